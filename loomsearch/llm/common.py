@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, for they may not have it on their own path."""
+    context = spark.sparkContext
+    if not getattr(context, "_loomsearch_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="loomsearch-")) / "loomsearch.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._loomsearch_shipped = True
+
+
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(step, schema)
 
@@ -67,22 +83,16 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: st
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], buckets: int, out: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], part: str, order: str, out: str) -> DataFrame:
     """Numbers rows from 0, gapless, within each group, however large the group.
 
-    Rows are first dealt to ``buckets`` by a hash of ``order``, numbered in
-    their bucket, and moved on by the counts of the buckets before it. A group
-    that holds most of the table is so spread over as many tasks as there are
-    buckets. Only rows equal in all of ``order`` may change places.
+    ``part`` deals rows out evenly and ``order`` is unique within it (such as
+    the partition and place that rows had when they were staged). Rows are
+    numbered within their part and moved on by the counts of the parts before
+    it, so a group that holds most of the table is spread over all parts.
     """
-    b = "__bucket"
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias("__n"))
-    starts = prefix_sums(counts, group, b, "__n", "__start").drop("__n")
-    w = Window.partitionBy(*group, b).orderBy(*order)
-    ranked = df.withColumn("__row", F.row_number().over(w) - 1)
-    return (
-        ranked.join(starts, [*group, b])
-        .withColumn(out, (F.col("__start") + F.col("__row")).cast("long"))
-        .drop(b, "__row", "__start")
-    )
+    counts = df.groupBy(*group, part).agg(F.count(F.lit(1)).alias("__n"))
+    starts = prefix_sums(counts, group, part, "__n", "__start").drop("__n")
+    w = Window.partitionBy(*group, part).orderBy(order)
+    ranked = df.withColumn("__row", F.row_number().over(w) - 1).join(starts, [*group, part])
+    return ranked.withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__row", "__start")

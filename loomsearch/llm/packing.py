@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     schema = T.StructType([own.schema["id"], *T.StructType.fromDDL(extra).fields])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = PieceTable(path), TaskContext.get().partitionId()
+        table, part = PieceTable.of(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:

@@ -9,27 +9,46 @@ library about stretches that are new to it.
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, only
 
-#: Stretches kept by a worker before its table starts afresh, and the longest stretch that is kept.
-MOST_KEPT, LONGEST_KEPT = 300_000, 48
+#: Stretches and pieces that a worker keeps before its tables start afresh, and the longest stretch that is kept.
+MOST_KEPT, LONGEST_KEPT = 600_000, 48
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+# The two splitting patterns that the vocabularies' files name.
+_SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+_LETTERS = _byte_letters()
+_TABLES: dict[tuple[str, bool], PieceTable] = {}
 
 
 class PieceTable:
     """Looks up the ids (little-endian unsigned 32-bit, as bytes) or the number of ids of texts.
 
-    A stretch whose first character is white space (several spaces in a row,
-    say) is joined to the one before it, because white space runs are cut by
-    their end. A text that contains the string of a special token goes to the
-    library whole.
+    A stretch is cut into the library's own pieces (words, punctuation) once,
+    and each distinct piece is given to the library's model once. A stretch
+    whose first character is white space (several spaces in a row, say) is
+    joined to the one before it, because white space runs are cut by their
+    end. A text that contains the string of a special token goes to the
+    library whole, and a very long stretch is encoded without being kept.
     """
 
     def __init__(self, path: str, counts: bool = False):
@@ -41,26 +60,60 @@ class PieceTable:
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.counts = counts
+        spec = json.loads(self.library.to_str())
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        #: Whether plain words can be cut here, without the library's splitter, and whether a piece has the space before it.
+        self.spaced = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"]["use_regex"]
+        self.plain = self.spaced or kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
         self.later: dict[str, bytes | int | None] = {}  # stretches after a space
         self.first: dict[str, bytes | int | None] = {}  # stretches that begin a text
+        self.pieces: dict[str, bytes | int] = {}
 
-    def _value(self, encoding):
-        return len(encoding.ids) if self.counts else np.asarray(encoding.ids, dtype="<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list:
-        return [self._value(e) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _odd(self, stretch: str, later: bool) -> bool:
-        return len(stretch) > LONGEST_KEPT or later and (not stretch or stretch[0].isspace()) or any(s in stretch for s in self.specials)
+    @classmethod
+    def of(cls, path: str, counts: bool = False) -> PieceTable:
+        """This process's table: worker processes outlive tasks, and so do their tables."""
+        if (path, counts) not in _TABLES:
+            _TABLES[path, counts] = cls(path, counts)
+        return _TABLES[path, counts]
 
-    def _learn(self, table: dict, stretches: set[str], lead: str) -> None:
-        new = stretches.difference(table)
-        plain = [s for s in new if not self._odd(s, bool(lead))]
-        table.update(dict.fromkeys((s for s in new if len(s) <= LONGEST_KEPT)))
-        table.update(zip(plain, self._encode([lead + s for s in plain]), strict=True))
+    def _value(self, ids: list[int]):
+        return len(ids) if self.counts else array("I", ids).tobytes()
 
     def _whole(self, text: str):
-        return self._encode([text])[0]
+        return self._value(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _cut(self, text: str) -> list[str]:
+        """The library's pieces of a stretch with the space before it; by its own pattern where all characters are Latin-1 ones, or else by its splitter."""
+        if self.plain and (text.isascii() or max(text) < "\u0100"):
+            if self.spaced:
+                return [p.encode().decode("latin-1").translate(_LETTERS) for p in _SPACED.findall(text)]
+            text = "".join(c.lower() for c in text)
+            return [p.encode().decode("latin-1").translate(_LETTERS) for p in _BARE.findall(text)]
+        if self.library.normalizer:
+            text = self.library.normalizer.normalize_str(text)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _learn(self, table: dict, new: set[str], lead: str) -> None:
+        pieces, tokenize, value = self.pieces, self.library.model.tokenize, self._value
+        mark = "\u0120" if lead and self.spaced else ""
+        nothing = 0 if self.counts else b""
+        for s in new:
+            if self.plain and s.isalpha() and s.isascii() and len(s) <= LONGEST_KEPT:
+                p = mark + s if self.spaced else s.lower()
+                found = pieces.get(p)
+                if found is None:
+                    found = pieces[p] = value([t.id for t in tokenize(p)])
+                table[s] = found
+            elif len(s) > LONGEST_KEPT or lead and (not s or s[0].isspace()) or "<" in s and any(x in s for x in self.specials):
+                table[s] = None
+            else:
+                whole = nothing
+                for p in self._cut(lead + s):
+                    found = pieces.get(p)
+                    if found is None:
+                        found = pieces[p] = value([t.id for t in tokenize(p)])
+                    whole += found
+                table[s] = whole
 
     def _carefully(self, parts: list[str], text: str):
         if any(s in text for s in self.specials):
@@ -71,26 +124,28 @@ class PieceTable:
                 joined.append((" " if start else "") + " ".join(parts[start:i]))
                 start = i
         found = [self.later.get(s[1:]) if k else self.first.get(s) for k, s in enumerate(joined)]
-        missing = [k for k, v in enumerate(found) if v is None]
-        for k, v in zip(missing, self._encode([joined[k] for k in missing]), strict=True):
-            found[k] = v
+        found = [self._whole(joined[k]) if v is None else v for k, v in enumerate(found)]
         return sum(found) if self.counts else b"".join(found)
 
     def look_up(self, texts: list[str | None]) -> list:
         """For each text its ids as bytes, or how many there are. Null counts as empty."""
         if len(self.later) + len(self.first) > MOST_KEPT:
             self.later, self.first = {}, {}
+        if len(self.pieces) > MOST_KEPT:
+            self.pieces = {}
         split = [(t or "").split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn(self.later, {s for p in split for s in p[1:]}, " ")
-        out, later = [], self.later
+        first, later = self.first, self.later
+        self._learn(first, {p[0] for p in split}.difference(first), "")
+        new: set[str] = set()
+        for parts in split:
+            new.update(parts[1:])
+        self._learn(later, new.difference(later), " ")
+        out = []
         for parts, text in zip(split, texts, strict=True):
             try:
-                if self.counts:
-                    out.append(self.first[parts[0]] + sum([later[s] for s in parts[1:]]))
-                else:
-                    out.append(self.first[parts[0]] + b"".join([later[s] for s in parts[1:]]))
-            except (KeyError, TypeError):
+                rest = [later[s] for s in parts[1:]]
+                out.append(first[parts[0]] + (sum(rest) if self.counts else b"".join(rest)))
+            except TypeError:
                 out.append(self._carefully(parts, text or ""))
         return out
 
@@ -116,7 +171,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = own.select("id", "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(path, counts=True)
+        table = PieceTable.of(path, counts=True)
         for batch in batches:
             for part in in_slices(batch, 2):
                 counts = pa.array(table.look_up(part.column(2).to_pylist()), pa.int64())
