@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, tokens
+from . import decontamination, packing, sharding, tokenfiles, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def held_out(id_col: str = "doc_id"):
+    """One row in five is kept out of what labels are learned from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(~held_out()))
+    scored = toxicity.score(docs, machine)
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     digests = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -47,6 +61,11 @@ def op8_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     )
 
 
+def op9_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return tokenfiles.read(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
