@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, tokenfiles, tokens, toxicity
+from . import chat, decontamination, neighbours, packing, sharding, tokenfiles, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_chats(chat.write(told.unionByName(extra))).withColumnRenamed("conv", "conv_id")
+
+
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shards_by_bytes(table(spark, sf_dir, "documents"), 8)
     return dealt.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -66,6 +73,12 @@ def op9_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
