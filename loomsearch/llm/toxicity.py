@@ -26,7 +26,7 @@ BUCKETS, FACTORS, BEGINNING = 1 << 18, 8, 5
 #: The fit sees at most so many labelled rows: those whose id has the lowest hash.
 MOST_LABELLED = 20_000
 #: A bucket takes part if its share among the classes differs by so many standard errors; the strongest ``MOST_ACTIVE`` ones.
-LEAST_Z, LEAST_ROWS, MOST_ACTIVE = 4.0, 5, 20_000
+LEAST_Z, LEAST_ROWS, MOST_ACTIVE = 5.0, 5, 20_000
 _WORD = re.compile(r"\w+")
 
 
@@ -60,7 +60,7 @@ class Machine:
         return self.bias + w[ends] - w[begins] + 0.5 * (((z[ends] - z[begins]) ** 2).sum(axis=1) - (q[ends] - q[begins]))
 
 
-def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
     """Fits by Adam on the mean logistic loss; ``rows`` are (places in ``active``, label). Without both classes: their share."""
     y = np.array([label for _, label in rows], float)
     share = (y.sum() + 0.5) / (len(y) + 1)
