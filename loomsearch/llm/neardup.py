@@ -17,7 +17,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import map_arrow, staged
 from .decontamination import words_of
@@ -200,10 +199,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     ``label`` is the ``nth`` of one of them, so ``nth = label`` picks one row
     of each class. Texts with the same words are one class from the start, and
     only one of them is sketched further. In a bucket of texts that agree in a
-    sketch, all are compared with the one that meets most others (over all its
-    buckets); where that leaves more than one component, with the next 4, 16
-    and so on, until all that are in one bucket are linked or have been
-    compared. So a large group of copies costs one comparison each.
+    sketch, all are first compared with two of them: the one that meets most
+    others (over all its buckets), and one by a hash. Where that leaves more
+    than one component, those that are not in the first one's are compared
+    with all others of the bucket (see ``_rest``), so that in the end every two
+    texts of a bucket are linked or have been compared, while a large group of
+    copies costs two comparisons each.
 
     Null texts are near nothing; texts without words only their exact copies;
     shorter texts than a k-mer are one k-mer; repeated rows are copies; an
@@ -211,60 +212,106 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     """
     rows = sketched(docs, id_col, text_col, keep)
     exact = staged(rows.where("key is not null").groupBy("key").agg(F.min("nth").alias("rep")), "classes")
-    reps = rows.where("n > 0").join(exact.select(F.col("rep").alias("nth")), "nth", "left_semi")
-    spread = staged(reps.select("nth", "n", F.explode("keys").alias("bucket")), "buckets")
+    reps = rows.where("n > 0").select("nth", "n", "keys").join(exact.select(F.col("rep").alias("nth")), "nth", "left_semi")
+    spread = staged(reps.select("nth", "n", F.posexplode("keys").alias("sketch", "bucket")), "buckets")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = staged(spread.join(shared, "bucket"), "members")
-    popular = members.groupBy("nth").agg(F.sum("size").alias("met"))
-    ranked = staged(members.join(popular, "nth"), "ranked")
-    labels = links = tested = None
-    first, last = 0, 1
-    while True:
-        pairs = _pairs(ranked, labels, first, last, least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["nth", "leader"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        n = pairs.count()
-        if n:
-            found = staged(verified(pairs, rows, 64 * (1 + n // 5_000_000), least), "found")
-            links = found if links is None else links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            labels = components(links)
-        if not _open(ranked, labels, last):
-            break
-        first, last = last, last + 4 * (last - first)
-    classes = exact.withColumnRenamed("rep", "nth")
-    classes = classes.join(labels, "nth", "left") if labels is not None else classes.withColumn("label", F.lit(None).cast("long"))
-    classes = classes.select("key", F.coalesce("label", "nth").alias("label"))
+    popular = staged(members.groupBy("nth").agg(F.sum("size").alias("met")), "met")
+    texts = staged(rows.select("nth", "text", "keys").join(popular.hint("merge"), "nth", "left_semi"), "member-texts")
+    chance = F.xxhash64("bucket", "nth")
+    picked = members.join(popular, "nth").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("nth")).alias("low"))).alias("best"), F.min(F.struct(chance.alias("h"), "nth")).alias("other"))
+    leaders = staged(picked.select("bucket", (-F.col("best.low")).alias("first"), F.col("other.nth").alias("second")), "leaders")
+    seen = members.join(leaders, "bucket").select("nth", F.explode(F.array("first", "second")).alias("leader")).where("nth <> leader")
+    pairs = staged(seen.select(F.greatest("nth", "leader").alias("nth"), F.least("nth", "leader").alias("leader")).distinct(), "pairs")
+    links = staged(verified(pairs, texts, _deals(pairs), least), "found")
+    labels = components(links)
+    more = _rest(members, leaders, labels, texts, least)
+    if more is not None:
+        labels = components(links.unionByName(more))
+    classes = exact.withColumnRenamed("rep", "nth").join(labels, "nth", "left").select("key", F.coalesce("label", "nth").alias("label"))
     kept = [F.col(f"kept_{c}") for c in keep]
     return rows.join(classes, "key", "left").select("id", "nth", F.coalesce("label", "nth").alias("label"), "text", *kept)
 
 
-def _leaders(ranked: DataFrame, first: int, last: int) -> DataFrame:
-    """The members of places ``first`` to ``last`` of each bucket; the limit on the window is applied before rows are shuffled."""
-    w = Window.partitionBy("bucket").orderBy(F.desc("met"), "nth")
-    return ranked.where(F.col("size") > first).withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < last).where(F.col("place") >= first)
-
-
-def _pairs(ranked: DataFrame, labels: DataFrame | None, first: int, last: int, least: float) -> DataFrame:
-    """Pairs of a leader and another member of its bucket whose sizes allow a match and that are not linked yet; one way only."""
-    leaders = _leaders(ranked, first, last).select("bucket", F.col("nth").alias("leader"), F.col("n").alias("leader_n"), F.col("met").alias("leader_met"))
-    others = ranked.where(F.col("size") > first).select("bucket", "nth", "n", "met")
-    if labels is not None:
-        leaders = leaders.join(labels.select(F.col("nth").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
-        others = others.join(labels, "nth", "left")
-    after = (F.col("met") < F.col("leader_met")) | ((F.col("met") == F.col("leader_met")) & (F.col("nth") > F.col("leader")))
-    fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n")
-    pairs = others.join(leaders, "bucket").where(after & fits)
-    if labels is not None:
-        pairs = pairs.where(F.coalesce("label", "nth") != F.coalesce("leader_label", "leader"))
-    return pairs.select("nth", "leader").distinct()
-
-
-def _open(ranked: DataFrame, labels: DataFrame | None, last: int) -> bool:
-    """Whether a bucket with members beyond place ``last`` holds more than one component."""
-    rest = ranked.where(F.col("size") > last)
-    if labels is not None:
-        rest = rest.join(labels, "nth", "left")
-    label = F.coalesce("label", "nth") if labels is not None else F.col("nth")
-    return bool(rest.groupBy("bucket").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a < b").limit(1).count())
+def _deals(pairs: DataFrame) -> int:
+    return 64 * (1 + pairs.count() // 5_000_000)
+
+
+#: Buckets up to this size give pairs; larger ones are compared block by block, so that no row stands for a pair.
+SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 20_000
+
+
+def _rest(members: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """Links between components that share a bucket: texts outside of the first leader's component against all others."""
+    known = members.join(labels, "nth", "left").withColumn("label", F.coalesce("label", "nth"))
+    first = leaders.join(labels.withColumnRenamed("nth", "first"), "first", "left").select("bucket", "first", "second", F.coalesce("label", "first").alias("main"))
+    known = known.join(first, "bucket").withColumn("new", (F.col("label") != F.col("main")).cast("int"))
+    counts = known.groupBy("bucket").agg(F.sum("new").alias("n_new")).where("n_new > 0")
+    open_ = staged(known.join(counts, "bucket"), "open")
+    small = open_.where(F.col("size") <= SMALL)
+    a, b = (small.where("nth <> first and nth <> second").select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("nth", "n", "label"))) for x in "ab")
+    fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    pairs = a.join(b, "bucket").where("nth_a > nth_b and label_a <> label_b").where(fits).select(F.col("nth_a").alias("nth"), F.col("nth_b").alias("leader")).distinct()
+    pairs = staged(pairs, "pairs")
+    found = []
+    if pairs.limit(1).count():
+        found.append(staged(verified(pairs, texts, _deals(pairs), least), "found"))
+    large = open_.where(F.col("size") > SMALL)
+    if large.limit(1).count():
+        found.append(staged(_blocks(large, texts, least), "found"))
+    return None if not found else found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _blocks(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``nth, leader`` of the links that large buckets add.
+
+    The texts outside of the main component are dealt into blocks of about
+    ``BLOCK_NEW``, all texts into blocks of about ``BLOCK_ALL``, and a task
+    holds one block of the former while the latter stream by. A pair is
+    compared in the first of the buckets that it shares; pairs of components
+    that are linked by then are passed over.
+    """
+    row, column = F.ceil(F.col("n_new") / BLOCK_NEW), F.ceil(F.col("size") / BLOCK_ALL)
+    hashed = F.xxhash64("nth")
+    own = ["bucket", "sketch", "nth", "label"]
+    new = large.where("new = 1").select(*own, F.lit(0).alias("side"), F.pmod(hashed, row).alias("r"), F.explode(F.sequence(F.lit(0), column - 1)).alias("c"))
+    every = large.select(*own, (1 + F.col("new")).alias("side"), F.explode(F.sequence(F.lit(0), row - 1)).alias("r"), F.pmod(hashed, column).alias("c"))
+    rows = new.unionByName(every).join(texts, "nth").repartition("bucket", "r", "c").sortWithinPartitions("bucket", "r", "c", "side", "nth")
+    rows = rows.select("bucket", "r", "c", "side", "sketch", "nth", "label", "keys", "text")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at = Words(), None
+        held: list[tuple[int, int, np.ndarray]] = []
+        keys = np.zeros((0, SKETCHES), np.int64)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for whole in batches:
+            for batch in in_slices(whole, 8):
+                out: tuple[list[int], list[int]] = ([], [])
+                for bucket, r, c, side, sketch, nth, label, own_keys, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    if at != (bucket, r, c):
+                        at, held, parent = (bucket, r, c), [], {}
+                    kmers = table.kmers(words_of(text))
+                    own = np.array(own_keys, np.int64)
+                    if side == 0:
+                        held.append((nth, label, kmers))
+                        keys = own[None] if len(held) == 1 else np.vstack((keys, own))
+                        continue
+                    first_shared = (keys == own).argmax(axis=1) if len(held) else ()
+                    for k in np.flatnonzero(first_shared == sketch).tolist():
+                        other, other_label, other_kmers = held[k]
+                        if other == nth or side == 2 and other > nth or root(label) == root(other_label):
+                            continue
+                        if aligned(other_kmers, kmers, least):
+                            parent[root(label)] = root(other_label)
+                            out[0].append(nth)
+                            out[1].append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["nth", "leader"])
+
+    return map_arrow(rows, step, "nth long, leader long")
