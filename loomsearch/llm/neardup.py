@@ -177,10 +177,15 @@ def verified(pairs: DataFrame, texts: DataFrame, deals: int, least: float) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """``nth`` and ``label`` (the smallest number of its component) of everything that ``edges`` (``nth, leader``) link.
 
+    First, what has several links keeps the one to the smallest, and the others
+    become links between what they lead to, of which there are far fewer kinds.
     Labels take the smallest of their neighbours' and then jump to the label of
     their label, until none changes; every step is written to the shared
     folder, and only the number of changes comes to the driver.
     """
+    low = edges.groupBy("nth").agg(F.min("leader").alias("low"))
+    across = edges.join(low, "nth").where("leader <> low").select(F.col("leader").alias("nth"), F.col("low").alias("leader")).distinct()
+    edges = low.select("nth", F.col("low").alias("leader")).unionByName(across)
     both = staged(edges.select("nth", "leader").unionByName(edges.select(F.col("leader").alias("nth"), F.col("nth").alias("leader"))).distinct(), "links")
     labels = staged(both.groupBy("nth").agg(F.least(F.col("nth"), F.min("leader")).alias("label")), "labels")
     while True:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,29 @@ def _dealt(df: DataFrame, by: str, most: int) -> DataFrame:
     return df.join(F.broadcast(parts), "leaf").withColumn("deal", F.pmod(F.xxhash64(by), F.col("parts"))).drop("parts")
 
 
+def _matrices(vectors: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the vectors of each length."""
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    values, starts = vectors.values.to_numpy(zero_copy_only=False).astype(float), vectors.offsets.to_numpy()[:-1]
+    for dim in np.unique(lengths):
+        at = np.flatnonzero(lengths == dim)
+        yield int(dim), at, values[starts[at][:, None] + np.arange(dim)]
+
+
+def _closest(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
+    """For each query the rows that may be among its ``k`` nearest, and their exact distances.
+
+    A product of matrices finds them, with room for its rounding; distances
+    are then taken from differences of the vectors themselves.
+    """
+    squares = _squares(q, x)
+    room = 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max())
+    far = np.partition(squares, k, axis=1)[:, k] if x.shape[0] > k + 1 else np.full(len(q), np.inf)
+    for at in range(len(q)):
+        near = np.flatnonzero(squares[at] <= far[at] + room[at])
+        yield at, near.tolist(), np.sqrt(((x[near] - q[at]) ** 2).sum(axis=1)).tolist()
+
+
 def _nearest(asked: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
     """Joins queries to the blocks of their leaves and keeps the ``k`` nearest of each."""
     kind = indexed.schema["ids"].dataType.elementType.simpleString()
@@ -182,25 +206,31 @@ def _nearest(asked: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
     query_kind = asked.schema["query_id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}  # query -> its k nearest so far, as (distance, id)
+        types = None
+
+        def rows() -> pa.RecordBatch:
+            out = [(q, i, d) for q, near in best.items() for d, i in near]
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(types)], ["query_id", "id", "score"])
+
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for asked_, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for dim in {len(r["v"]) for r in block} & {len(a["q"]) for a in asked_}:
-                    here = [r for r in block if len(r["v"]) == dim]
-                    x = np.array([r["v"] for r in here], float)
-                    for a in asked_:
-                        if len(a["q"]) != dim:
-                            continue
-                        d = ((x - np.array(a["q"], float)) ** 2).sum(axis=1)
-                        far = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                        for j in np.flatnonzero(d <= far).tolist():
-                            for i in here[j]["ids"]:
-                                if i != a["query_id"]:
-                                    out[0].append(a["query_id"])
-                                    out[1].append(i)
-                                    out[2].append(float(np.sqrt(d[j])))
-            types = (batch.schema.field(0).type.value_type.field("query_id").type, batch.schema.field(1).type.value_type.field("ids").type.value_type, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["query_id", "id", "score"])
+            asked_, every = batch.column(0), batch.column(1)
+            types = (asked_.type.value_type.field("query_id").type, every.type.value_type.field("ids").type.value_type, pa.float64())
+            for n in range(batch.num_rows):
+                queries, block = asked_[n].values, every[n].values
+                keys, ids = queries.field("query_id").to_pylist(), block.field("ids")
+                for (dim, q_at, q), (other, x_at, x) in product(_matrices(queries.field("q")), _matrices(block.field("v"))):
+                    if dim == other:
+                        for at, near, d in _closest(q, x, k):
+                            query = keys[q_at[at]]
+                            found = best.get(query, [])
+                            found += [(far, i) for j, far in zip(near, d, strict=True) for i in ids[int(x_at[j])].as_py() if i != query]
+                            best[query] = sorted(set(found))[:k]
+            if len(best) > 20_000:
+                yield rows()
+        if types:
+            yield rows()
 
     found = map_arrow(pairs, compare, f"query_id {query_kind}, id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy("score", "id")
