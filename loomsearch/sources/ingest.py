@@ -6,6 +6,8 @@ parts gives what reading it at once gives.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +44,11 @@ class Tables:
         return Tables.read(self.sessions.sparkSession, path)
 
 
-def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = None, rules: Iterable[Rule] | None = None, redact: bool = True) -> Tables:
+def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = None, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None) -> Tables:
     """Adds parsed messages (``files.PARSED``), redacted, and rolls their sessions up again.
 
+    With ``work``, what several steps read is written there once.
+
     ``extra`` gives titles, summaries and times of sessions by ``session_uid``
     that their messages do not tell.
     """
@@ -53,9 +57,9 @@ def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = No
         parsed = parsed.withColumn("content", redactor.column(F.col("content")))
         if extra is not None:
             extra = extra.withColumns({c: redactor.column(F.col(c)) for c in ("title", "summary")})
-    parsed = parsed.withColumn("session_id", merge.session_key())
+    parsed = _kept(parsed.withColumn("session_id", merge.session_key()), work, "parsed")
     new = merge.assign_ordinals(parsed, tables.messages).withColumn("mid", merge.message_key())
-    messages = merge.insert_messages(tables.messages, new.select(*tables.messages.columns))
+    messages = _kept(merge.insert_messages(tables.messages, new.select(*tables.messages.columns)), work, "merged")
     touched = parsed.groupBy("session_id", "agent", "session_uid").agg(
         F.max(F.struct(F.col("workspace") != "", "source_path", "workspace")).alias("w"), F.min("started_at").alias("told"), F.max(F.struct("source_path", "source_mtime_ns", "source_size")).alias("src")
     )
@@ -76,41 +80,59 @@ def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = No
     return Tables(merge.upsert_sessions(tables.sessions, rolled), messages, tables.state)
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True) -> Tables:
+def _kept(df: DataFrame, work: str | None, name: str) -> DataFrame:
+    if work is None:
+        return df
+    path = f"{work}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _work(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share, or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ingest-")
+    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+
+
+def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None) -> Tables:
     """The next version of all tables after reading the sources in ``roots`` (by agent).
 
+    The tables are written to ``work`` after each source, so that a later one
+    does not plan and compute the earlier ones again.
+
     Unchanged files are skipped, shortened ones replace what they gave before,
     and longer ones are read from where the last whole line ended. ``full``
     starts from nothing. Histories come last, for sessions not known otherwise.
     """
     now = tables if tables is not None and not full else Tables.empty(spark)
+    work = work or _work(spark)
     readers = {"claude_code": files.session_files, "codex": files.rollout_files}
     patterns = {"claude_code": ("{}/*/*.jsonl", False, None), "codex": ("{}/sessions", True, "rollout-*.jsonl")}
     for agent, reader in readers.items():
         if agent in roots:
             pattern, recursive, name = patterns[agent]
-            now = _read_source(now, files.listing(spark, pattern.format(roots[agent]), recursive, name), lambda offsets, r=reader, a=agent: r(spark, roots[a], offsets), rules, redact)
+            now = _read_source(now, files.listing(spark, pattern.format(roots[agent]), recursive, name), lambda offsets, r=reader, a=agent: r(spark, roots[a], offsets), rules, redact, work).write(f"{work}/{agent}")
     if "cursor" in roots:
-        now = _read_composers(spark, now, roots["cursor"], rules, redact)
+        now = _read_composers(spark, now, roots["cursor"], rules, redact, work).write(f"{work}/cursor")
     if "codex" in roots:
         history = merge.unknown_only(files.history_files(spark, roots["codex"]), now.sessions)
-        now = merge_parsed(now, history.select(*files.PARSED.names), None, rules, redact)
+        now = merge_parsed(now, history.select(*files.PARSED.names), None, rules, redact, work).write(f"{work}/history")
     return now
 
 
-def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool) -> Tables:
+def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool, work: str) -> Tables:
     decided = merge.decide(listed, now.state)
     gone = decided.where("truncate").select("source_path")
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
-    parsed = reader(decided)
+    parsed = _kept(reader(decided), work, "read")
     state = decided.select("source_path", "mtime_ns", "size", F.when(F.col("action") == "skip", F.col("size")).otherwise(F.lit(0)).cast("long").alias("last_offset"), F.lit("").alias("fingerprint"))
-    merged = merge_parsed(now, parsed, None, rules, redact)
+    merged = merge_parsed(now, parsed, None, rules, redact, work)
     ends = parsed.groupBy("source_path").agg(F.max("source_offset").alias("end"))
     state = state.join(ends, "source_path", "left").withColumn("last_offset", F.greatest("last_offset", F.coalesce("end", F.lit(0)))).drop("end")
     return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
 
 
-def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool) -> Tables:
+def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str) -> Tables:
     prefix = "cursor:composer:"
     counts = now.state.where(F.startswith("source_path", F.lit(prefix))).select(F.substring("source_path", len(prefix) + 1, 1 << 20).alias("session_uid"), F.regexp_extract("fingerprint", r"count=(\d+)", 1).try_cast("int").alias("n"))
     sessions, parsed = files.composers(spark, root, counts)
@@ -118,7 +140,7 @@ def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact:
     gone = sessions.where("action = 'restart'").select(path.alias("source_path"))
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
     state = sessions.select(path.alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("last_offset"), F.concat(F.lit("count="), F.col("n").cast("string")).alias("fingerprint"))
-    merged = merge_parsed(now, parsed, sessions, rules, redact)
+    merged = merge_parsed(now, parsed, sessions, rules, redact, work)
     return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
 
 
