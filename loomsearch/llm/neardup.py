@@ -60,7 +60,8 @@ class Words:
         if same.any():
             begins = np.concatenate(([0], np.flatnonzero(~same) + 1))
             rank = np.arange(len(out)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(out)]))))
-            out[order] = _mixed(out[order] + rank.astype(np.uint64) * _MIX) if rank.any() else out[order]
+            again = rank > 0
+            out[order[again]] = _mixed(out[order[again]] + rank[again].astype(np.uint64) * _MIX)
         return out
 
 
