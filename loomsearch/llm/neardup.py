@@ -2,7 +2,8 @@
 
 A text is its run of occurrence-labelled k-mers of words. A sketch picks the
 ``PICKED`` k-mers with the smallest hashes and keeps them in text order, so two
-texts agree in it if they share these k-mers *and* their order. Texts that
+texts agree in it if they share these k-mers *and* their order; short texts
+have more sketches, of fewer k-mers. Texts that
 agree in any sketch are candidates; a banded alignment of their k-mers decides.
 """
 
@@ -23,11 +24,15 @@ from .decontamination import words_of
 from .tokens import in_slices
 
 WORDS, SIMILARITY = 5, 0.8
-#: Sketches of a text and k-mers in each. Two texts at 0.8 agree in one with 0.8**6 = 0.26, in none of 32 with less than 0.0001.
+#: Sketches of a text and k-mers in each. Long texts at 0.8 agree in one with 0.8**6 = 0.26, in none of 32 with less than 0.0001.
 SKETCHES, PICKED = 32, 6
+#: (up to so many k-mers in a text, sketches, k-mers in each). The fewer k-mers two texts have at 0.8, the fewer are the runs of six that
+#: they share; with the further sketches of short texts the loss stays below 0.0001 at every length (4 of 5 k-mers: 0.4**10).
+TIERS = ((None, SKETCHES, PICKED), (100, 4, 4), (30, 10, 2))
+_ALL = sum(count for _, count, _ in TIERS)
 _RNG = np.random.default_rng(11)
-_FACTORS = (_RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_SHIFTS = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
+_FACTORS = (_RNG.integers(0, 1 << 63, _ALL, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, _ALL, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,18 +77,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
-    """One number for each sketch: the picked k-mers in the order in which the text has them."""
-    picked = min(PICKED, len(kmers))
-    values = kmers[None, :] * _FACTORS[:, None] + _SHIFTS[:, None]
+    """One number for each sketch of every tier that the text is short enough for: the picked k-mers in the order in which the text has them."""
+    out, begin = [], 0
+    for most, count, picked in TIERS:
+        if most is None or len(kmers) <= most:
+            out.append(_tier(kmers, begin, count, min(picked, len(kmers))))
+        begin += count
+    return np.concatenate(out).view(np.int64)
+
+
+def _tier(kmers: np.ndarray, begin: int, count: int, picked: int) -> np.ndarray:
+    values = kmers[None, :] * _FACTORS[begin : begin + count, None] + _SHIFTS[begin : begin + count, None]
     values ^= values >> np.uint64(32)
     if picked < len(kmers):
         at = np.sort(np.argpartition(values, picked - 1, axis=1)[:, :picked], axis=1)
     else:
-        at = np.broadcast_to(np.arange(picked), (SKETCHES, picked))
-    out = np.arange(1, SKETCHES + 1, dtype=np.uint64) * _MIX
+        at = np.broadcast_to(np.arange(picked), (count, picked))
+    out = np.arange(begin + 1, begin + count + 1, dtype=np.uint64) * _MIX
     for j in range(picked):
         out = _mixed(out * _MIX + kmers[at[:, j]])
-    return out.view(np.int64)
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -288,7 +301,7 @@ def _blocks(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, at = Words(), None
         held: list[tuple[int, int, np.ndarray]] = []
-        keys = np.zeros((0, SKETCHES), np.int64)
+        keys = np.zeros((0, _ALL), np.int64)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -304,7 +317,8 @@ def _blocks(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     if at != (bucket, r, c):
                         at, held, parent = (bucket, r, c), [], {}
                     kmers = table.kmers(words_of(text))
-                    own = np.array(own_keys, np.int64)
+                    own = np.zeros(_ALL, np.int64)  # What a text has no sketch for comes last, after any that two texts of a bucket share.
+                    own[: len(own_keys)] = own_keys
                     if side == 0:
                         held.append((nth, label, kmers))
                         keys = own[None] if len(held) == 1 else np.vstack((keys, own))
