@@ -1,11 +1,14 @@
-"""Masked pseudo-likelihood: a small network predicts every token from both neighbours.
+"""Masked pseudo-likelihood: a small network predicts every token's class from both neighbours, counts of all words the word in it.
 
 Words fall into ``CLASSES`` classes: the most frequent words have one each,
 all others share classes by length and make-up. The network sees the classes
-left and right of a hidden token, and a text's score is the sum of the
-log-probabilities that it gives to each of the text's tokens.
+left and right of a hidden token. In a shared class, a word has the share of
+the corpus that it has in the class, so every word has a probability of its
+own; the counts of words grow with the corpus and are met in a join, except for
+the ``MOST_HELD`` most frequent ones, which every task holds. A text's score is
+the sum of the log-probabilities of its tokens.
 
-The corpus is gathered as counts of (left, token, right), over all tokens of
+Classes are learned from counts of (left, token, right), over all tokens of
 all texts; their table has at most ``CLASSES ** 3`` rows however large the
 corpus is, and a context's tokens are learned in one step, so training costs
 the same at every size while the counting is spread over all of the input.
@@ -17,7 +20,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,10 @@ from .decontamination import words_of
 from .tokens import in_slices
 
 CLASSES, SHAPES, HIDDEN = 256, 64, 24
+#: Words of shared classes whose counts each task holds; those of all others come by a join, so this bounds memory and not the vocabulary.
+MOST_HELD = 50_000
+#: Logarithms of counts are summed as whole numbers of this size, so that the order of rows does not matter.
+FINE = 1_000_000_000
 #: Rounds of training, passes over the counts in each, and parts that learn side by side and are then averaged.
 ROUNDS, PASSES, PARTS = 3, 6, 8
 #: Contexts in a step, and steps that a round has at least, however few contexts there are.
@@ -46,7 +53,11 @@ def shape_of(word: bytes) -> int:
 
 @dataclass
 class Network:
-    """Weights, and which words have a class of their own. ``token`` names it in worker processes."""
+    """Weights, and which words have a class of their own. ``token`` names it in worker processes.
+
+    ``totals``: tokens of the corpus in each shared class; ``held``: the logarithms of the most frequent words' counts there;
+    ``counts``: ``word, fine`` of all others that occur more than once (a table, which does not travel to workers).
+    """
 
     words: list[bytes]
     left: np.ndarray
@@ -55,6 +66,9 @@ class Network:
     out: np.ndarray
     out_bias: np.ndarray
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(SHAPES + 1))
+    held: dict[bytes, float] = field(default_factory=dict)
+    counts: DataFrame | None = None
 
     def parameters(self) -> list[np.ndarray]:
         return [self.left, self.right, self.bias, self.out, self.out_bias]
@@ -95,14 +109,15 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return only(docs, text=text_col).where(F.col("text").isNotNull())
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = CLASSES - SHAPES - 1) -> list[bytes]:
-    """The most frequent words of the whole corpus; counted in the map before they are shuffled."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, shape`` and ``n`` of every word of the whole corpus; counted in the map before they are shuffled."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            columns = [pa.array(list(counts), pa.binary()), pa.array([shape_of(w) for w in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            out = pa.RecordBatch.from_arrays(columns, ["word", "shape", "n"])
             counts.clear()
             return out
 
@@ -114,8 +129,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = CLASSES
                     yield rows()
         yield rows()
 
-    found = map_arrow(_texts(docs, text_col), step, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return map_arrow(_texts(docs, text_col), step, "word binary, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    rows = counted.orderBy(F.desc("n"), "word").limit(most).select("word", "n").collect()
+    return [(bytes(r["word"]), r["n"]) for r in rows]
 
 
 def count_windows(docs: DataFrame, words: list[bytes], text_col: str = "text") -> DataFrame:
@@ -179,7 +198,18 @@ def _learn(network: Network, context: np.ndarray, counts: np.ndarray, seed: int,
 
 def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
     """A network for the corpus. Parts of the (bounded) count table learn side by side; after each round the driver averages their weights."""
-    words = frequent_words(docs, text_col)
+    own = CLASSES - SHAPES - 1
+    counted = staged(word_counts(docs, text_col), "words")
+    first = most_frequent(counted, own + MOST_HELD)
+    words, held = [w for w, _ in first[:own]], {w: float(np.log(n)) for w, n in first[own:]}
+    totals = np.zeros(SHAPES + 1)
+    for row in counted.groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        totals[row["shape"]] = row["n"]
+    for w, n in first[:own]:
+        totals[shape_of(w)] -= n
+    last = first[-1][1] if first else 0
+    # Words as frequent as the last one held may be held or not; a held one is never looked up here.
+    others = counted.where((F.col("n") > 1) & (F.col("n") <= last)).select("word", F.round(F.log("n") * FINE).cast("long").alias("fine"))
     rng = np.random.default_rng(seed)
     shapes = ((CLASSES, HIDDEN), (CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
     network = Network(words, *(rng.normal(0, 0.1, s) for s in shapes))
@@ -202,7 +232,7 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
             mean = sum(np.frombuffer(p) * w for p, w in parts) / sum(w for _, w in parts)
             cut = np.split(mean, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
             network = Network(words, *(c.reshape(s) for c, s in zip(cut, shapes, strict=True)))
-    return network
+    return replace(network, totals=totals, held=held, counts=others)
 
 
 _TABLES: dict[str, tuple[Classes, np.ndarray]] = {}
@@ -217,25 +247,48 @@ def _ready(network: Network) -> tuple[Classes, np.ndarray]:
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, log_prob`` (sum) of every row and ``mean_log_prob``; one scan, no shuffle.
+    """``id, n_words, log_prob`` (sum) of every row and ``mean_log_prob``.
+
+    In a shared class of ``t`` tokens of the corpus, a word that occurs ``n``
+    times has n / (t + 1), and all that never occur together 1 / (t + 1). One
+    scan; only words that no task holds are shuffled to their counts, once for
+    each text that has them.
 
     Null, empty and wordless texts have no tokens, a sum of 0 and no mean;
     repeated rows are scored alike; an empty table gives an empty result.
     """
-    own = only(docs, id=id_col, text=text_col)
-    schema = T.StructType([own.schema["id"], *T.StructType.fromDDL("n_words long, log_prob double").fields])
-    sent = docs.sparkSession.sparkContext.broadcast(network)
+    own = only(docs, id=id_col, text=text_col).withColumn("nth", F.monotonically_increasing_id())
+    schema = T.StructType([own.schema["id"], *T.StructType.fromDDL("nth long, n_words long, log_prob double, word array<binary>, times array<int>").fields])
+    counts = network.counts
+    sent = docs.sparkSession.sparkContext.broadcast(replace(network, counts=None))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, table = _ready(sent.value)
+        held, rest = sent.value.held, np.zeros(CLASSES)
+        rest[: SHAPES + 1] = np.log(sent.value.totals + 1)
+        rest[EDGE] = 0
         for whole in batches:
             for batch in in_slices(whole, 1):
-                sizes, sums = [], []
+                sizes, sums, others, times = [], [], [], []
                 for text in batch.column(1).to_pylist():
-                    c = classes.of(words_of(text))
+                    words = words_of(text)
+                    c = classes.of(words)
                     sizes.append(len(c) - 2)
-                    sums.append(float(table[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], schema.names)
+                    inner = c[1:-1]
+                    shared = Counter([words[k] for k in np.flatnonzero(inner <= SHAPES).tolist()])
+                    known = sum(n * held[w] for w, n in shared.items() if w in held)
+                    far = [w for w in shared if w not in held]
+                    others.append(far)
+                    times.append([shared[w] for w in far])
+                    sums.append(float(table[c[:-2], c[2:], inner].sum(dtype=np.float64) - rest[inner].sum() + known))
+                columns = [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], schema.names)
 
     scored = map_arrow(own, step, schema)
+    if counts is not None:
+        scored = staged(scored, "scored")
+        asked = scored.select("nth", F.explode(F.arrays_zip("word", "times")).alias("w")).select("nth", F.col("w.word").alias("word"), F.col("w.times").alias("times"))
+        more = asked.join(counts, "word").groupBy("nth").agg(F.sum(F.col("times") * F.col("fine")).alias("more"))
+        scored = scored.join(more, "nth", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("more") / FINE, F.lit(0.0)))
+    scored = scored.select("id", "n_words", "log_prob")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
