@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ BUCKETS, FACTORS, BEGINNING = 1 << 18, 8, 5
 #: The fit sees at most so many labelled rows: those whose id has the lowest hash.
 MOST_LABELLED = 20_000
 #: A bucket takes part if its share among the classes differs by so many standard errors; the strongest ``MOST_ACTIVE`` ones.
-LEAST_Z, LEAST_ROWS, MOST_ACTIVE = 5.0, 5, 20_000
+LEAST_Z, LEAST_ROWS, MOST_ACTIVE = 4.0, 5, 20_000
 _WORD = re.compile(r"\w+")
 
 
@@ -60,24 +61,48 @@ class Machine:
         return self.bias + w[ends] - w[begins] + 0.5 * (((z[ends] - z[begins]) ** 2).sum(axis=1) - (q[ends] - q[begins]))
 
 
-def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
     """Fits by Adam on the mean logistic loss; ``rows`` are (places in ``active``, label). Without both classes: their share."""
-    y = np.array([label for _, label in rows], float)
+    sizes = np.array([len(x) for x, _ in rows], np.int64)
+    flat = np.fromiter((i for x, _ in rows for i in x), np.int32, int(sizes.sum()))
+    return fit_places(flat, np.cumsum(sizes), np.array([label for _, label in rows], float), active, factors, rounds, rate, decay, seed)
+
+
+def _sums(values: np.ndarray, at: np.ndarray, ends: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """The sums of ``values[at]`` for each stretch of ``at`` cut at ``ends``; ``most`` places are held at once, or one stretch."""
+    out = np.zeros((len(ends), values.shape[1]), values.dtype)
+    begins = np.concatenate(([0], ends[:-1]))
+    k = 0
+    while k < len(ends):
+        to = max(k + 1, int(np.searchsorted(ends, begins[k] + most, "right")))
+        some = np.flatnonzero(ends[k:to] > begins[k:to])
+        if len(some):
+            out[k + some] = np.add.reduceat(values[at[begins[k] : ends[to - 1]]], begins[k + some] - begins[k], axis=0)
+        k = to
+    return out
+
+
+def fit_places(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, factors: int = FACTORS, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+    """Fits rows whose places in ``active`` are ``flat``, cut at ``ends``. Sums go by row and by place, so no array has factors for every entry."""
     share = (y.sum() + 0.5) / (len(y) + 1)
-    machine = Machine(float(np.log(share / (1 - share))), active, np.zeros(len(active)), np.random.default_rng(seed).normal(0, 0.05, (len(active), factors)))
-    if not len(active) or not len(rows):
+    # The pairs of a row of many terms say little at first, as those of a row of few do.
+    spread = min(0.05, (0.05 / max(1.0, len(flat) / max(1, len(y)))) ** 0.5)
+    machine = Machine(float(np.log(share / (1 - share))), active, np.zeros(len(active)), np.random.default_rng(seed).normal(0, spread, (len(active), factors)))
+    if not len(active) or not len(y):
         return machine
-    sizes = np.array([len(x) for x, _ in rows])
-    flat = np.fromiter((i for x, _ in rows for i in x), np.int64, int(sizes.sum()))
-    owner, ends = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.concatenate(([0], ends))))
+    owner = owner[np.argsort(flat, kind="stable")]
+    place_ends = np.cumsum(np.bincount(flat, minlength=len(active)))
     state = [np.zeros_like(x) for x in (np.zeros(1), machine.weights, machine.vectors) for _ in range(2)]
     for t in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-machine.log_odds(flat, ends))) - y
-        pull = error[owner]
-        sums = np.stack([np.bincount(owner, machine.vectors[flat, f], len(rows)) for f in range(factors)], axis=1)
-        by_vector = pull[:, None] * (sums[owner] - machine.vectors[flat])
-        grads = [np.array([error.sum()]), np.bincount(flat, pull, len(active)), np.stack([np.bincount(flat, by_vector[:, f], len(active)) for f in range(factors)], axis=1)]
-        grads = [g / len(rows) for g in grads]
+        v = machine.vectors
+        by_row = _sums(np.column_stack((v, (v**2).sum(axis=1), machine.weights)), flat, ends)
+        z = by_row[:, :factors]
+        odds = machine.bias + by_row[:, -1] + 0.5 * ((z**2).sum(axis=1) - by_row[:, factors])
+        error = 1 / (1 + np.exp(-np.clip(odds, -40, 40))) - y
+        by_place = _sums(np.column_stack((error[:, None] * z, error)), owner, place_ends)
+        grads = [np.array([error.sum()]), by_place[:, -1].copy(), by_place[:, :factors] - by_place[:, -1:] * v]
+        grads = [g / len(y) for g in grads]
         grads[1] += decay * machine.weights / len(active)
         grads[2] += decay * machine.vectors / len(active)
         steps = []
@@ -94,8 +119,8 @@ def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Machine:
     """Fits a machine on at most ``most_labelled`` labelled rows.
 
-    Only the ids and labels of that sample are broadcast, and only the counts
-    of differing buckets and the sample's places in them reach the driver.
+    Only the ids and labels of that sample are broadcast, and only the
+    buckets that take part and the sample's places in them reach the driver.
     Ids or labels that are null, and labels other than 0 and 1, do not count;
     an id labelled more than once is toxic if any label says so.
     """
@@ -120,13 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         z = F.abs(F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
         found = counts.where(F.col("n") >= LEAST_ROWS).select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_ACTIVE)
         active = np.array(sorted(r["term"] for r in found.collect()), np.int64)
-    place = {int(b): i for i, b in enumerate(active)}
-    taking_part = F.array(*(F.lit(int(b)) for b in active)) if len(active) <= 2000 else None
-    if taking_part is not None and len(active):
-        rows = rows.select("y", F.array_intersect("terms", taking_part.cast("array<int>")).alias("terms"))
-    fitted = [([place[b] for b in r["terms"] if b in place], r["y"]) for r in rows.toLocalIterator()]
-    fitted.sort()
-    return fit_machine(fitted, active)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(BUCKETS, -1, np.int32)
+        at[active] = np.arange(len(active))
+        for batch in batches:
+            found = [at[np.asarray(x, np.int64)] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0] for x in found], pa.list_(pa.int32()))], ["y", "places"])
+
+    told = map_arrow(rows, places, "y int, places array<int>").orderBy("y", "places").toArrow()
+    flat = pc.list_flatten(told.column("places")).to_numpy()
+    ends = np.cumsum(pc.list_value_length(told.column("places")).to_numpy())
+    return fit_places(flat, ends, told.column("y").to_numpy().astype(float), active)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
