@@ -36,11 +36,13 @@ class Redactor:
 
     def redact(self, text: str) -> str:
         """All rules in order, and again while that changes anything: a secret may begin only where another one has gone."""
-        before = None
-        for _ in range(5):
-            if text == before:
+        seen: set[str] = set()
+        # A round that changes anything takes a character that the text came with, so there are no more rounds than those.
+        for _ in range(len(text) + 1):
+            if text in seen:
                 break
-            before, text = text, self._once(text)
+            seen.add(text)
+            text = self._once(text)
         return text
 
     def _once(self, text: str) -> str:
