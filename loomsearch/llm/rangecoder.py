@@ -1,15 +1,23 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks that are reset and checksummed independently. In a
-block, tables keyed by the last two ids (order 2) and by the last id (order 1)
-predict the next id, and a table of recent ids (order 0) knows what has been
-seen. Which of them is right is a symbol of four classes; its frequencies are
-the sum of three adaptive tables, kept by the confidence of the order-2 and of
-the order-1 prediction and for the block as a whole. These frequencies drive a
-carry-less range coder of 32 bits with bytes as output.
+Ids are coded in blocks that are reset and checksummed independently. Inside a
+block an id is known by its place of first appearance, and its probability is a
+mixture of three distributions over these places:
+
+* order 0: how often each place has been seen in the block, halved now and then;
+* order 1: the two places that have followed the last id, in a table by it;
+* order 2: the place that has followed the last two ids, in a table by them.
+
+The weights of the orders adapt: for each confidence of a table's prediction
+the coder keeps how often it was right lately. A place that several orders
+predict gets the sum of their shares in one interval, so nothing is lost
+between them. Ids that the block has not had yet are an interval of their own,
+followed by the id in adaptive frequencies of its high byte. The intervals drive
+a carry-less range coder of 64 bits that gives out 16 bits at a time.
 
 Blocks do not depend on each other, so many of them are coded side by side,
-each numpy operation taking a step in all of them.
+each numpy operation taking a step in all of them. All arithmetic is in whole
+numbers, so a block decodes alike everywhere.
 """
 
 from __future__ import annotations
@@ -20,12 +28,16 @@ import zlib
 import numpy as np
 
 #: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 8192, 1024
-MAGIC, VERSION = b"LSRC", 1
+BLOCK, LANES = 16384, 1024
+MAGIC, VERSION = b"LSRC", 2
 _HEAD = struct.Struct("<4sBBII")  # magic, version, bytes of an id, ids, crc32 of the ids as little-endian unsigned 32-bit
-_SLOTS, _RECENT = 4096, 1024
-_TOP, _BOTTOM, _MASK = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-_STEP, _FULL = 24, 3000
+#: Places are counted in a tree of three levels of ``_FAN`` branches; slots of the tables of orders 1 and 2; what an occurrence counts.
+_FAN, _FIRST, _SECOND, _COUNT = 32, 2048, 8192, 32
+#: Probabilities are shares of ``_ONE``; they move by a 32nd of what they are off. Counts are halved every so many steps.
+_ONE, _SPEED, _HALVE = 1 << 12, 5, 256
+_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_WORD, _SHIFT = np.uint64(16), np.uint64(48)
+_WIDE = np.arange(_FAN)
 
 
 class CorruptBlock(ValueError):
@@ -33,50 +45,127 @@ class CorruptBlock(ValueError):
 
 
 class _Model:
-    """The adaptive state of ``lanes`` blocks; everything is an array over lanes."""
+    """The adaptive state of ``lanes`` blocks; everything is an array over lanes, and lanes that have ended come last."""
 
     def __init__(self, lanes: int):
         self.row = np.arange(lanes, dtype=np.int64)
-        self.second = np.zeros(lanes * _SLOTS, np.int64)  # (id + 1) * 4 + confidence
-        self.first = np.zeros(lanes * _SLOTS, np.int64)
-        self.recent = np.full(lanes * _RECENT, -1, np.int64)
-        start = np.array([1, 1, 2, 8], np.int64)
-        self.by_second = np.tile(start, (lanes * 4, 1))
-        self.by_first = np.tile(start, (lanes * 8, 1))
-        self.overall = np.tile(start, (lanes, 1))
+        self.levels = [np.zeros((lanes * _FAN**k, _FAN), np.int32) for k in range(3)]
+        self.flat = [x.reshape(-1) for x in self.levels]
+        self.first = np.full((lanes * _FIRST, 4), -1, np.int32)  # place, confidence, other place, its confidence
+        self.first[:, 1::2] = 0
+        self.second = np.full((lanes * _SECOND, 2), -1, np.int32)
+        self.second[:, 1] = 0
+        start = np.array([60, 500, 1200, 1800, 2400, 2900, 3200, 3500])
+        self.right2 = np.tile(np.concatenate((start, np.minimum(start * 3 // 2, 3600))), (lanes, 1)).reshape(-1).astype(np.int64)
+        self.right1 = np.tile(start // 2, (lanes, 1)).reshape(-1).astype(np.int64)
+        self.other1 = np.tile(start // 3, (lanes, 1)).reshape(-1).astype(np.int64)
+        self.fresh = np.full(lanes, _ONE // 2, np.int64)  # the share of ids beside the predicted ones that are new
+        self.size = np.zeros(lanes, np.int64)  # places so far
+        self.total = np.zeros(lanes, np.int64)
+        self.high = np.ones((lanes, 256), np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.steps = 0
+
+    def predict(self, k: int) -> None:
+        """The candidates of the first ``k`` lanes and the ends of their intervals, of what is new, and of the rest.
 
-    def predict(self, k: int) -> np.ndarray:
-        """Cumulative frequencies of the four classes, in the first ``k`` lanes."""
+        Candidates' counts are taken out of order 0 meanwhile; ``learn`` puts them back.
+        """
         row, last = self.row[:k], self.last[:k]
-        self.at2 = row * _SLOTS + (((last * 0x9E3779B1 + self.before[:k] * 0x85EBCA6B) >> 11) & (_SLOTS - 1))
-        self.at1 = row * _SLOTS + (((last * 0x9E3779B1) >> 11) & (_SLOTS - 1))
-        found2, found1 = self.second[self.at2], self.first[self.at1]
-        self.id2, self.id1 = (found2 >> 2) - 1, (found1 >> 2) - 1
-        self.conf2, self.conf1 = found2 & 3, found1 & 3
-        self.ctx2 = row * 4 + self.conf2
-        self.ctx1 = row * 8 + self.conf1 + 4 * (self.id1 == self.id2)
-        return np.cumsum(self.by_second[self.ctx2] + self.by_first[self.ctx1] + self.overall[:k], axis=1).astype(np.uint64)
-
-    def update(self, k: int, ids: np.ndarray, kind: np.ndarray) -> None:
+        self.at1 = row * _FIRST + (last & (_FIRST - 1))
+        self.at2 = row * _SECOND + (((last * 0x9E3779B1 + self.before[:k] * 0x85EBCA6B) >> 15) & (_SECOND - 1))
+        self.found1, self.found2 = self.first[self.at1], self.second[self.at2]
+        c2 = self.found2[:, 0]
+        c1, o1 = self.found1[:, 0], self.found1[:, 2]
+        self.ctx2 = row * 16 + self.found2[:, 1] + 8 * (c2 == c1)
+        self.ctx1, self.ctxo = row * 8 + self.found1[:, 1], row * 8 + self.found1[:, 3]
+        self.places = np.stack((c2, np.where(c1 == c2, -1, c1), np.where(o1 == c2, -1, o1))).astype(np.int64)
+        self.known = self.places >= 0
+        shares = np.stack((self.right2[self.ctx2], self.right1[self.ctx1], self.other1[self.ctxo])) * self.known
+        sum_ = shares.sum(axis=0)
+        over = np.maximum(sum_, _ONE - 200)
+        shares = shares * (_ONE - 200) // over
+        at = np.where(self.known, self.places, 0) + row * _FAN**3
+        self.taken = self.flat[2][at] * self.known
+        self.at = at
+        self._move(-self.taken)
+        rest = self.total[:k] - self.taken.sum(axis=0)
+        total = np.maximum(self.total[:k], 1) << 4
+        mass = self.taken.astype(np.int64) * 16 + total * shares // (_ONE - shares.sum(axis=0)) + self.known
+        new = (np.maximum(rest, 8) << 4) * self.fresh[:k] // (_ONE - self.fresh[:k]) + 1
+        self.ends = np.cumsum(np.stack((mass[0], mass[1], mass[2], new, rest << 4)), axis=0)
+
+    def _move(self, by: np.ndarray) -> None:
+        for j in range(3):
+            at, some = self.at[j], by[j]
+            self.flat[2][at] += some
+            self.flat[1][at >> 5] += some
+            self.flat[0][at >> 10] += some
+
+    def below(self, lanes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all smaller places and of the places themselves."""
+        whole = lanes * _FAN**3 + places
+        out = np.zeros(len(lanes), np.int64)
+        for level, shift in ((0, 10), (1, 5), (2, 0)):
+            node = whole >> shift
+            out += (self.levels[level][node >> 5] * (_WIDE < (node & 31)[:, None])).sum(axis=1)
+        return out, self.flat[2][whole].astype(np.int64)
+
+    def find(self, lanes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places whose counts reach over ``counts``, with what ``below`` gives of them."""
+        node, left, base = lanes, counts.copy(), np.zeros(len(lanes), np.int64)
+        for level in range(3):
+            sums = np.cumsum(self.levels[level][node], axis=1)
+            branch = np.minimum((sums <= left[:, None]).sum(axis=1), _FAN - 1)
+            under = np.where(branch > 0, sums[np.arange(len(node)), branch - 1], 0)
+            left, base, node = left - under, base + under, node * _FAN + branch
+        return node - lanes * _FAN**3, base, self.flat[2][node].astype(np.int64)
+
+    def learn(self, k: int, places: np.ndarray, kind: np.ndarray) -> None:
+        """``places``: those of this step; ``kind``: 0 to 2 for the candidates, 3 for new, 4 for others."""
         row = self.row[:k]
-        for table, at in ((self.by_second, self.ctx2), (self.by_first, self.ctx1), (self.overall, row)):
-            table[at, kind] += _STEP
-            full = at[table[at, kind] > _FULL]
-            if len(full):
-                table[full] = (table[full] + 1) >> 1
-        for table, at, known, conf in ((self.second, self.at2, self.id2, self.conf2), (self.first, self.at1, self.id1, self.conf1)):
-            right = known == ids
-            conf = np.where(right, np.minimum(conf + 1, 3), conf >> 1)
-            kept = np.where(right | (conf > 0), known, ids)
-            table[at] = (kept + 1) * 4 + np.where(kept == ids, np.maximum(conf, 1), conf)
-        self.recent[row * _RECENT + _recent_slot(ids)] = ids
+        self._move(self.taken)
+        new = kind == 3
+        whole = row * _FAN**3 + places
+        self.flat[2][whole] += _COUNT
+        self.flat[1][whole >> 5] += _COUNT
+        self.flat[0][whole >> 10] += _COUNT
+        self.total[:k] += _COUNT
+        self.size[:k] += new
+        beside = kind >= 3
+        self.fresh[:k] += np.where(beside, ((_ONE * new) - self.fresh[:k]) >> _SPEED, 0)
+        np.clip(self.fresh[:k], 16, _ONE - 200, out=self.fresh[:k])
+        (c2, n2), (c1, n1, o1, no) = self.found2.T, self.found1.T
+        hit2, hit1, hito = c2 == places, c1 == places, o1 == places
+        for table, ctx, hit, there in ((self.right2, self.ctx2, hit2, c2 >= 0), (self.right1, self.ctx1, hit1, c1 >= 0), (self.other1, self.ctxo, hito, o1 >= 0)):
+            old = table[ctx]
+            table[ctx] = old + np.where(there, (hit * (_ONE - 64) - old) >> _SPEED, 0)
+        n2 = np.where(hit2, np.minimum(n2 + 1, 7), n2 >> 1)
+        kept = hit2 | (n2 > 0)
+        self.second[self.at2] = np.stack((np.where(kept, c2, places), n2), axis=1)
+        n1 = np.where(hit1, np.minimum(n1 + 1, 7), np.where(hito, n1, np.maximum(n1 - 1, 0)))
+        no = np.where(hito, np.minimum(no + 1, 7), np.where(hit1, no, 0))
+        o1 = np.where(hit1 | hito, o1, places)
+        swap = (no > n1) | (c1 < 0) | ~(hit1 | hito) & (n1 == 0)
+        self.first[self.at1] = np.stack((np.where(swap, o1, c1), np.where(swap, no, n1), np.where(swap, c1, o1), np.where(swap, n1, no)), axis=1)
         self.before[:k] = self.last[:k]
-        self.last[:k] = ids
+        self.last[:k] = places
+        self.steps += 1
+        if self.steps % _HALVE == 0:
+            self._halve()
 
+    def _halve(self) -> None:
+        """Halves all counts, none to nothing; only branches that have places are touched."""
+        used = int(self.size.max()) // _FAN**2 + 1
+        lanes = len(self.size)
+        places, groups = self.flat[2].reshape(lanes, _FAN, _FAN, _FAN)[:, :used], self.flat[1].reshape(lanes, _FAN, _FAN)[:, :used]
+        places -= places >> 1
+        groups[:] = places.sum(axis=3, dtype=np.int32)
+        self.levels[0][:, :used] = groups.sum(axis=2, dtype=np.int32)
+        self.total[:] = self.levels[0].sum(axis=1)
 
-def _recent_slot(ids: np.ndarray) -> np.ndarray:
-    return ((ids * 0x9E3779B1) >> 13) & (_RECENT - 1)
+    def learn_new(self, lanes: np.ndarray, high: np.ndarray) -> None:
+        self.high[lanes, high] += 12
 
 
 class _Coder:
@@ -84,18 +173,18 @@ class _Coder:
 
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
+        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
 
     def _narrow(self, at, low: np.ndarray, width: np.ndarray) -> None:
-        """Takes the new intervals of lanes ``at`` and shifts out the bytes that are settled."""
+        """Takes the new intervals of lanes ``at`` and shifts out the words that are settled."""
         todo = self._settled(low, width)
         while len(todo):
             part_low, part_width = low[todo], width[todo]
             straddles = (part_low ^ (part_low + part_width)) >= _TOP
             part_width = np.where(straddles, (~part_low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), part_width)
             self._shift(at[todo] if isinstance(at, np.ndarray) else todo, part_low)
-            low[todo] = (part_low << np.uint64(8)) & _MASK
-            width[todo] = (part_width << np.uint64(8)) & _MASK
+            low[todo] = part_low << _WORD
+            width[todo] = part_width << _WORD
             todo = todo[self._settled(low[todo], width[todo])]
         self.low[at], self.range[at] = low, width
 
@@ -107,89 +196,102 @@ class _Coder:
 class _Encoder(_Coder):
     def __init__(self, lanes: int, room: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, room), np.uint8)
+        self.out = np.zeros((lanes, room), "<u2")
         self.size = np.zeros(lanes, np.int64)
 
     def _shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.size[lanes]] = low >> np.uint64(24)
+        self.out[lanes, self.size[lanes]] = low >> _SHIFT
         self.size[lanes] += 1
 
     def put(self, at, begin: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        unit = self.range[at] // total
-        self._narrow(at, self.low[at] + unit * begin, unit * size)
+        unit = self.range[at] // np.asarray(total).astype(np.uint64)
+        self._narrow(at, self.low[at] + unit * begin.astype(np.uint64), unit * np.asarray(size).astype(np.uint64))
 
     def flush(self) -> list[bytes]:
         for k in range(4):
-            self.out[np.arange(len(self.low)), self.size + k] = (self.low >> np.uint64(24 - 8 * k)) & np.uint64(255)
+            self.out[np.arange(len(self.low)), self.size + k] = (self.low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
         return [row[: n + 4].tobytes() for row, n in zip(self.out, self.size, strict=True)]
 
 
 class _Decoder(_Coder):
     def __init__(self, coded: list[bytes]):
         super().__init__(len(coded))
-        self.bytes = np.frombuffer(b"".join(coded) + bytes(8), np.uint8)
-        ends = np.cumsum([len(c) for c in coded])
-        self.at = ends - [len(c) for c in coded]
-        self.most = len(self.bytes) - 1
+        self.words = np.frombuffer(b"".join(c[: len(c) & ~1] for c in coded) + bytes(16), "<u2")
+        sizes = np.array([len(c) >> 1 for c in coded])
+        self.at = np.cumsum(sizes) - sizes
+        self.most = len(self.words) - 1
         self.code = np.zeros(len(coded), np.uint64)
         for _ in range(4):
-            self.code = (self.code << np.uint64(8)) | self._next(slice(None))
+            self.code = (self.code << _WORD) | self._next(slice(None))
 
     def _next(self, lanes) -> np.ndarray:
-        got = self.bytes[np.minimum(self.at[lanes], self.most)].astype(np.uint64)
+        got = self.words[np.minimum(self.at[lanes], self.most)].astype(np.uint64)
         self.at[lanes] += 1
         return got
 
     def _shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.code[lanes] = ((self.code[lanes] << np.uint64(8)) & _MASK) | self._next(lanes)
+        self.code[lanes] = (self.code[lanes] << _WORD) | self._next(lanes)
 
     def peek(self, at, total: np.ndarray) -> np.ndarray:
+        total = np.asarray(total).astype(np.uint64)
         self.unit = self.range[at] // total
-        return np.minimum(((self.code[at] - self.low[at]) & _MASK) // self.unit, total - np.uint64(1))
+        return np.minimum((self.code[at] - self.low[at]) // self.unit, total - np.uint64(1)).astype(np.int64)
 
     def take(self, at, begin: np.ndarray, size: np.ndarray) -> None:
-        self._narrow(at, self.low[at] + self.unit * begin, self.unit * size)
+        self._narrow(at, self.low[at] + self.unit * begin.astype(np.uint64), self.unit * np.asarray(size).astype(np.uint64))
 
-    def uniform(self, at: np.ndarray, total: int) -> np.ndarray:
-        found = self.peek(at, np.uint64(total))
-        self.take(at, found, np.uint64(1))
-        return found.astype(np.int64)
+
+def _places(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of first appearance of each id, and where new ids come."""
+    _, first, which = np.unique(block, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return rank[which], first
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes blocks of ids (unsigned, below 2**32), at most ``LANES`` at a time; one self-contained string each."""
+    """Codes blocks of at most ``BLOCK`` ids (unsigned, below 2**32), at most ``LANES`` at a time; one self-contained string each."""
     if len(blocks) > LANES:
         return encode_blocks(blocks[:LANES]) + encode_blocks(blocks[LANES:])
     if not blocks:
         return []
+    if max(len(b) for b in blocks) > _FAN**3:
+        raise ValueError(f"a block has at most {_FAN**3} ids")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     width = 2 if max((int(b.max()) for b in blocks if len(b)), default=0) < 1 << 16 else 4
     most = int(sizes[0])
-    ids = np.zeros((most, len(blocks)), np.int64)
+    ids, places = np.zeros((most, len(blocks)), np.int64), np.zeros((most, len(blocks)), np.int64)
+    new = np.zeros((most, len(blocks)), bool)
     for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model, coder = _Model(len(blocks)), _Encoder(len(blocks), (2 + width) * most + 16)
+        n = len(blocks[i])
+        ids[:n, lane] = blocks[i]
+        places[:n, lane], first = _places(np.asarray(blocks[i]))
+        new[first, lane] = True
+    model, coder = _Model(len(blocks)), _Encoder(len(blocks), (1 + width) * most + 16)
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
-    one = np.uint64(1)
     for step in range(most):
         k = int(active[step])
-        x = ids[step, :k]
-        ends = model.predict(k)
-        slot = _recent_slot(x)
-        known = model.recent[model.row[:k] * _RECENT + slot] == x
-        kind = np.where(x == model.id2, 0, np.where(x == model.id1, 1, np.where(known, 2, 3)))
-        end = ends[model.row[:k], kind]
-        begin = np.where(kind > 0, ends[model.row[:k], kind - 1], 0).astype(np.uint64)
-        coder.put(slice(0, k), begin, end - begin, ends[:, 3])
-        old = np.flatnonzero(kind == 2)
-        if len(old):
-            coder.put(old, slot[old].astype(np.uint64), one, np.uint64(_RECENT))
-        new = np.flatnonzero(kind == 3)
-        if len(new):
-            for shift in range(8 * width - 8, -8, -8):
-                coder.put(new, ((x[new] >> shift) & 255).astype(np.uint64), one, np.uint64(256))
-        model.update(k, x, kind)
+        x, fresh = places[step, :k], new[step, :k]
+        model.predict(k)
+        ends = model.ends
+        kind = np.where(fresh, 3, 4)
+        for j in (2, 1, 0):
+            kind[model.places[j] == x] = j
+        end = ends[kind, model.row[:k]]
+        begin = np.where(kind > 0, ends[kind - 1, model.row[:k]], 0)
+        size = end - begin
+        others = np.flatnonzero(kind == 4)
+        if len(others):
+            under, own = model.below(others, x[others])
+            begin[others] += under << 4
+            size[others] = own << 4
+        coder.put(slice(0, k), begin, size, ends[4])
+        lanes = np.flatnonzero(fresh)
+        if len(lanes):
+            _put_new(model, coder, lanes, ids[step, lanes], width)
+        model.learn(k, x, kind)
     out: list[bytes] = [b""] * len(blocks)
     for i, coded in zip(order, coder.flush(), strict=True):
         raw = np.asarray(blocks[i]).astype("<u4").tobytes()
@@ -197,6 +299,34 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _put_new(model: _Model, coder: _Encoder, lanes: np.ndarray, ids: np.ndarray, width: int) -> None:
+    sums = np.cumsum(model.high[lanes], axis=1)
+    high, at = (ids >> 8) & 255, np.arange(len(lanes))
+    size = model.high[lanes, high]
+    coder.put(lanes, sums[at, high] - size, size, sums[:, -1])
+    coder.put(lanes, ids & 255, 1, np.uint64(256))
+    if width == 4:
+        coder.put(lanes, ids >> 16, 1, np.uint64(1 << 16))
+    model.learn_new(lanes, high)
+
+
+def _take_new(model: _Model, coder: _Decoder, lanes: np.ndarray, width: int) -> np.ndarray:
+    sums = np.cumsum(model.high[lanes], axis=1)
+    at = np.arange(len(lanes))
+    high = (sums <= coder.peek(lanes, sums[:, -1])[:, None]).sum(axis=1)
+    size = model.high[lanes, high]
+    coder.take(lanes, sums[at, high] - size, size)
+    low = coder.peek(lanes, np.uint64(256))
+    coder.take(lanes, low, 1)
+    ids = high << 8 | low
+    if width == 4:
+        top = coder.peek(lanes, np.uint64(1 << 16))
+        coder.take(lanes, top, 1)
+        ids |= top << 16
+    model.learn_new(lanes, high)
+    return ids
+
+
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks as little-endian unsigned 32-bit arrays; raises ``CorruptBlock`` for what fails its checksum."""
     if len(coded) > LANES:
@@ -208,7 +338,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         if len(c) < _HEAD.size or c[:4] != MAGIC:
             raise CorruptBlock("this is not a block of ids")
         heads.append(_HEAD.unpack(c[: _HEAD.size]))
-        if heads[-1][1] != VERSION or heads[-1][2] not in (2, 4):
+        if heads[-1][1] != VERSION or heads[-1][2] not in (2, 4) or heads[-1][3] > _FAN**3:
             raise CorruptBlock("this block is of another version")
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
     for width in (2, 4):
@@ -226,30 +356,35 @@ def _decode(coded: list[bytes], heads: list[tuple], width: int) -> list[np.ndarr
     order = sorted(range(len(coded)), key=lambda i: -heads[i][3])
     sizes = np.array([heads[i][3] for i in order])
     most = int(sizes[0])
-    ids = np.zeros((most, len(coded)), np.int64)
+    places = np.zeros((most, len(coded)), np.int64)
+    ids_at = np.zeros((len(coded), max(1, most)), np.int64)
     model, coder = _Model(len(coded)), _Decoder([coded[i][_HEAD.size :] for i in order])
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
     for step in range(most):
         k = int(active[step])
-        ends = model.predict(k)
-        at = slice(0, k)
-        found = coder.peek(at, ends[:, 3])
-        kind = (found[:, None] >= ends[:, :3]).sum(axis=1)
-        begin = np.where(kind > 0, ends[model.row[:k], kind - 1], 0).astype(np.uint64)
-        coder.take(at, begin, ends[model.row[:k], kind] - begin)
-        x = np.where(kind == 0, model.id2, model.id1)
-        old = np.flatnonzero(kind == 2)
-        if len(old):
-            x[old] = model.recent[old * _RECENT + coder.uniform(old, _RECENT)]
-        new = np.flatnonzero(kind == 3)
-        if len(new):
-            value = coder.uniform(new, 256)
-            for _ in range(width - 1):
-                value = (value << 8) | coder.uniform(new, 256)
-            x[new] = value
-        ids[step, :k] = x
-        model.update(k, x, kind)
+        model.predict(k)
+        ends, row = model.ends, model.row[:k]
+        found = coder.peek(slice(0, k), ends[4])
+        kind = (found >= ends[:4]).sum(axis=0)
+        end = ends[kind, row]
+        begin = np.where(kind > 0, ends[kind - 1, row], 0)
+        size = end - begin
+        x = np.where(kind < 3, model.places[np.minimum(kind, 2), row], model.size[:k])
+        others = np.flatnonzero(kind == 4)
+        if len(others):
+            at, under, own = model.find(others, (found[others] - begin[others]) >> 4)
+            x[others] = at
+            begin[others] += under << 4
+            size[others] = own << 4
+        coder.take(slice(0, k), begin, size)
+        lanes = np.flatnonzero(kind == 3)
+        if len(lanes):
+            if (model.size[lanes] >= most).any():
+                raise CorruptBlock("a block has more ids than it says")
+            ids_at[lanes, model.size[lanes]] = _take_new(model, coder, lanes, width)
+        places[step, :k] = x
+        model.learn(k, x, kind)
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(coded)
     for lane, i in enumerate(order):
-        out[i] = ids[: heads[i][3], lane].astype("<u4")
+        out[i] = ids_at[lane, places[: heads[i][3], lane]].astype("<u4")
     return out

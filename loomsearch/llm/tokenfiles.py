@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,15 @@ from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import PieceTable, in_slices
 
 END_ID = 2
+#: Bytes of text in a part: at least the first, so that its blocks fill the coder's lanes, if that leaves all cores something to do; at most the second.
+LEAST_PART, MOST_PART = 24 << 20, 96 << 20
+
+
+def _parts(own: DataFrame) -> int:
+    """How many parts to write: lanes cost little more together than alone, so parts are as large as cores and memory allow."""
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cores = own.sparkSession.sparkContext.defaultParallelism
+    return max(1, size // MOST_PART, min(-(-size // LEAST_PART), 4 * cores))
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,7 +44,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
     """
     own = only(docs, id=id_col, text=text_col)
     id_type = own.schema["id"].dataType
-    ordered = own.withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash")
+    ordered = own.withColumn("hash", F.xxhash64("text")).repartitionByRange(_parts(own), "id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash")
     schema = T.StructType.fromDDL("part int, block int, n int, coded binary, before array<long>, counts array<int>").add("ids", T.ArrayType(id_type))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +141,17 @@ def read(files: DataFrame) -> DataFrame:
     starts = prefix_sums(sizes, [], "part", "size", "first").drop("size")
     found = map_arrow(files.select("part", "block", "coded", "before", "counts", "ids"), step, schema)
     joined = found.groupBy("part", "start", "id").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("before", "n", "crc"))).alias("all"))
-    joined = joined.withColumn("ids_crc32", F.when(F.size("all") == 1, F.col("all")[0]["crc"]).otherwise(_combined("all")))
+    joined = joined.withColumn("ids_crc32", F.when(F.size("all") == 1, F.col("all")[0]["crc"]).otherwise(_combined(F.when(F.size("all") > 1, F.col("all")))))
     return joined.join(starts, "part").select("id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _combined(column: str):
+def _combined(column: Column):
     """The crc32 of texts in a row from the crc32 and length of each: shifting by n zero bytes is a matrix over bits, and such matrices are squared."""
 
     def combine(all_):
         import pandas as pd
 
-        return pd.Series([_fold([(int(x["n"]), int(x["crc"])) for x in parts]) for parts in all_])
+        return pd.Series([None if parts is None else _fold([(int(x["n"]), int(x["crc"])) for x in parts]) for parts in all_], dtype="Int64")
 
     return F.pandas_udf(combine, "long")(column)
 

@@ -91,6 +91,30 @@ def test_blocks_round_trip_and_say_when_they_are_corrupt():
             rangecoder.decode_blocks([bad])
 
 
+def test_blocks_are_smaller_than_order_0_and_zlib():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.frombuffer(b"".join(PieceTable(WORDS).look_up(texts)), "<u4")
+    blocks = [ids[k : k + rangecoder.BLOCK] for k in range(0, len(ids) - rangecoder.BLOCK, rangecoder.BLOCK)][:16]
+    coded = rangecoder.encode_blocks(blocks)
+    shares = [np.unique(block, return_counts=True)[1] / len(block) for block in blocks]
+    order_0 = sum(-(p * np.log2(p)).sum() * len(block) for p, block in zip(shares, blocks, strict=True))
+    assert 8 * sum(map(len, coded)) < 0.97 * order_0
+    assert sum(map(len, coded)) < 0.85 * sum(len(zlib.compress(block.astype("<u2").tobytes(), 9)) for block in blocks)
+    assert np.array_equal(rangecoder.decode_blocks(coded[:1])[0], blocks[0])
+
+
+def test_orders_1_and_2_are_mixed_in():
+    rng = np.random.default_rng(3)
+    follows = rng.permutation(500)  # what follows an id is nearly always the same
+    ids = [0]
+    while len(ids) < 6000:
+        ids.append(int(follows[ids[-1]]) if rng.random() < 0.9 else int(rng.integers(0, 500)))
+    out = rangecoder.encode_blocks([np.array(ids), rng.integers(0, 500, 6000)])
+    assert len(out[0]) < 0.5 * len(out[1])
+
+
 def test_files_of_odd_rows(odd_docs, no_docs):
     got = sorted((r["start"], r["id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.read(tokenfiles.write(odd_docs, WORDS)).collect())
     library, at, ids = Tokenizer.from_file(WORDS), 0, []
