@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -15,21 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomsearch-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+from ..storage import file_system
+from ..storage import shared_dir as shared_dir
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, at = file_system(spark, path)
+        system.delete(at, True)
     except Exception:  # noqa: BLE001  the session has ended before us
         pass
 
@@ -66,10 +61,29 @@ def ship(spark: SparkSession) -> None:
         context._loomsearch_shipped = True
 
 
-def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _give_back() -> None:
+    """Returns what a finished task has freed to the system, for worker processes outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, step: Step, schema: T.StructType | str) -> DataFrame:
+    """``df`` through ``step`` in Arrow batches of bounded size."""
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(step, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        _give_back()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

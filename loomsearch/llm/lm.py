@@ -97,7 +97,7 @@ class Classes:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The classes of a text's words, with an edge before and after."""
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known = dict(self.own)
         known = self.known
         for w in set(words).difference(known):

@@ -43,7 +43,7 @@ class Words:
         self.known: dict[bytes, int] = {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
@@ -257,7 +257,7 @@ def _deals(pairs: DataFrame) -> int:
 
 
 #: Buckets up to this size give pairs; larger ones are compared block by block, so that no row stands for a pair.
-SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 20_000
+SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 1_000
 
 
 def _rest(members: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, only
 
 #: Stretches and pieces that a worker keeps before its tables start afresh, and the longest stretch that is kept.
-MOST_KEPT, LONGEST_KEPT = 600_000, 48
+MOST_KEPT, LONGEST_KEPT = 250_000, 48
 
 
 def _byte_letters() -> dict[int, int]:

@@ -26,8 +26,11 @@ from .tokens import in_slices
 BUCKETS, FACTORS, BEGINNING = 1 << 18, 8, 5
 #: The fit sees at most so many labelled rows: those whose id has the lowest hash.
 MOST_LABELLED = 20_000
-#: A bucket takes part if its share among the classes differs by so many standard errors; the strongest ``MOST_ACTIVE`` ones.
-LEAST_Z, LEAST_ROWS, MOST_ACTIVE = 4.0, 5, 20_000
+#: The most frequent buckets take part whatever the labels say, for what they tell may lie in pairs alone; so do rarer ones (of ``LEAST_ROWS`` rows
+#: and more, as one row tells nothing) whose share among the classes differs by ``LEAST_Z`` standard errors, the strongest first, up to ``MOST_ACTIVE``.
+MOST_FREQUENT, LEAST_ROWS, LEAST_Z, MOST_ACTIVE = 4_000, 5, 4.0, 24_000
+#: How strongly parameters are drawn to nothing: what serves rows best that a fit on ``TRIED`` rows has not seen.
+ROUNDS, DECAYS, TRIED = 120, (1e-3, 30.0), 2_500
 _WORD = re.compile(r"\w+")
 
 
@@ -61,7 +64,7 @@ class Machine:
         return self.bias + w[ends] - w[begins] + 0.5 * (((z[ends] - z[begins]) ** 2).sum(axis=1) - (q[ends] - q[begins]))
 
 
-def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+def fit_machine(rows: list[tuple[list[int], int]], active: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
     """Fits by Adam on the mean logistic loss; ``rows`` are (places in ``active``, label). Without both classes: their share."""
     sizes = np.array([len(x) for x, _ in rows], np.int64)
     flat = np.fromiter((i for x, _ in rows for i in x), np.int32, int(sizes.sum()))
@@ -82,7 +85,7 @@ def _sums(values: np.ndarray, at: np.ndarray, ends: np.ndarray, most: int = 1 <<
     return out
 
 
-def fit_places(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, factors: int = FACTORS, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+def fit_places(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
     """Fits rows whose places in ``active`` are ``flat``, cut at ``ends``. Sums go by row and by place, so no array has factors for every entry."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     # The pairs of a row of many terms say little at first, as those of a row of few do.
@@ -96,11 +99,11 @@ def fit_places(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.nda
     state = [np.zeros_like(x) for x in (np.zeros(1), machine.weights, machine.vectors) for _ in range(2)]
     for t in range(1, rounds + 1):
         v = machine.vectors
-        by_row = _sums(np.column_stack((v, (v**2).sum(axis=1), machine.weights)), flat, ends)
+        by_row = _sums(np.column_stack((v, (v**2).sum(axis=1), machine.weights)).astype(np.float32), flat, ends)
         z = by_row[:, :factors]
         odds = machine.bias + by_row[:, -1] + 0.5 * ((z**2).sum(axis=1) - by_row[:, factors])
         error = 1 / (1 + np.exp(-np.clip(odds, -40, 40))) - y
-        by_place = _sums(np.column_stack((error[:, None] * z, error)), owner, place_ends)
+        by_place = _sums(np.column_stack((error[:, None] * z, error)).astype(np.float32), owner, place_ends)
         grads = [np.array([error.sum()]), by_place[:, -1].copy(), by_place[:, :factors] - by_place[:, -1:] * v]
         grads = [g / len(y) for g in grads]
         grads[1] += decay * machine.weights / len(active)
@@ -116,11 +119,33 @@ def fit_places(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.nda
     return machine
 
 
+def rows_of(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and ends of some rows."""
+    begins = np.concatenate(([0], ends[:-1]))[rows]
+    sizes = ends[rows] - begins
+    out = np.cumsum(sizes)
+    return flat[np.repeat(begins - (out - sizes), sizes) + np.arange(int(out[-1]) if len(out) else 0)], out
+
+
+def best_decay(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, seed: int = 7) -> float:
+    """Of ``DECAYS``, the one with the least loss on a fifth of at most ``TRIED`` rows after a fit on the others."""
+    picked = np.random.default_rng(seed).permutation(len(y))[:TRIED]
+    fitted, checked = picked[len(picked) // 5 :], picked[: len(picked) // 5]
+    losses = []
+    for decay in DECAYS:
+        machine = fit_places(*rows_of(flat, ends, fitted), y[fitted], active, decay=decay, seed=seed)
+        odds = np.clip(machine.log_odds(*rows_of(flat, ends, checked)), -40, 40)
+        losses.append(float((np.logaddexp(0, odds) - y[checked] * odds).sum()))
+    return DECAYS[int(np.argmin(losses))]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Machine:
     """Fits a machine on at most ``most_labelled`` labelled rows.
 
     Only the ids and labels of that sample are broadcast, and only the
     buckets that take part and the sample's places in them reach the driver.
+    Which buckets take part is a matter of how frequent they are, so a pair of
+    terms can tell what neither tells alone; the labels only add rare ones.
     Ids or labels that are null, and labels other than 0 and 1, do not count;
     an id labelled more than once is toxic if any label says so.
     """
@@ -143,8 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
         share = F.col("n") / (n1 + n0)
         z = F.abs(F.col("a") / n1 - (F.col("n") - F.col("a")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-        found = counts.where(F.col("n") >= LEAST_ROWS).select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_ACTIVE)
-        active = np.array(sorted(r["term"] for r in found.collect()), np.int64)
+        enough = counts.where(F.col("n") >= LEAST_ROWS)
+        frequent = enough.orderBy(F.desc("n"), "term").limit(MOST_FREQUENT).select("term")
+        telling = enough.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_ACTIVE - MOST_FREQUENT).select("term")
+        active = np.array(sorted({r["term"] for found in (frequent, telling) for r in found.collect()}), np.int64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.full(BUCKETS, -1, np.int32)
@@ -156,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = map_arrow(rows, places, "y int, places array<int>").orderBy("y", "places").toArrow()
     flat = pc.list_flatten(told.column("places")).to_numpy()
     ends = np.cumsum(pc.list_value_length(told.column("places")).to_numpy())
-    return fit_places(flat, ends, told.column("y").to_numpy().astype(float), active)
+    y = told.column("y").to_numpy().astype(float)
+    del told
+    return fit_places(flat, ends, y, active, decay=best_decay(flat, ends, y, active))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,8 +204,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         place = {int(b): i for i, b in enumerate(machine.active)}
         known: dict[str, tuple[int, ...]] = {}
         for whole in batches:
-            for batch in in_slices(whole, 1):
-                if len(known) > 400_000:
+            for batch in in_slices(whole, 1, 1 << 20):
+                if len(known) > 150_000:
                     known.clear()
                 flat: list[int] = []
                 ends: list[int] = []
