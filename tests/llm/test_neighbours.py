@@ -41,7 +41,32 @@ def test_odd_vectors(spark):
 
 def test_best_bins_visit_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(2000, 8))
-    tree = neighbours.fit_tree(x, 10)
-    assert sorted(tree.best_bins(x[0], tree.leaves)) == list(range(tree.leaves))
-    assert tree.best_bins(x[5], tree.leaves)[0] == tree.assign(x[5:6])[0]
-    assert 1 <= tree.visits <= tree.leaves
+    tree = neighbours._numbered(neighbours.grow(x, 16, 1000, np.random.default_rng(2)))
+    leaves = len(tree.leaves())
+    assert sorted(tree.best_bins(x[0], leaves)) == list(range(leaves))
+    assert tree.best_bins(x[5], leaves)[0] == tree.assign(x[5:6])[0]
+    counts, raw = neighbours._packed(tree)
+    again = neighbours._numbered(neighbours._unpacked(counts, raw, 8))
+    assert len(again.leaves()) == leaves and (again.assign(x) == tree.assign(x)).mean() > 0.99
+
+
+def test_recall_on_the_driver_s_table_and_depth_that_follows_the_data(spark):
+    """Vectors without much structure: the share of rows that a query is compared with falls as rows are added."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = rows.select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in vectors], float)
+    ids = np.array([r["vec_id"] for r in vectors])
+    found: dict[int, set[int]] = {}
+    for r in neighbours.search(rows, rows.where("vec_id % 100 = 0"), 10).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    hit = 0
+    for q, got in found.items():
+        d = ((x - x[ids == q]) ** 2).sum(axis=1)
+        d[ids == q] = np.inf
+        hit += len(got & set(ids[np.argsort(d)[:10]].tolist()))
+    assert hit >= 0.9 * 10 * len(found)
+    shares = []
+    for n in (500, 2000):
+        index = neighbours.build(rows.where(f"vec_id < {n}").select("embedding").withColumnRenamed("embedding", "v"), 10)
+        shares.append((index.visits / index.leaves, index.leaves))
+    assert shares[1][0] < shares[0][0] and shares[1][1] > 2 * shares[0][1]
