@@ -1,25 +1,30 @@
-"""Token counts and ids of whole texts, each distinct pre-token being encoded once.
+"""Token counts and ids of whole texts, from their pre-tokens.
 
 A *pre-token* here is a stretch of text from one space to the next, with the
 space before it. The tokenizers used never merge across the start of such a
-stretch, so a text's ids are the ids of its stretches in a row. Each worker
-process keeps what it has encoded in a bounded table and only ever asks the
-library about stretches that are new to it.
+stretch, so a text's ids are the ids of its stretches in a row. ``count_tokens``
+counts the pieces of every distinct stretch of the corpus once and joins them to
+the stretches of each document. ``PieceTable`` gives ids: each worker process
+keeps what it has encoded in a bounded table and only ever asks the library
+about stretches that are new to it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, only
+from .common import map_arrow, only, staged
 
 #: Stretches and pieces that a worker keeps before its tables start afresh, and the longest stretch that is kept.
 MOST_KEPT, LONGEST_KEPT = 250_000, 48
@@ -158,23 +163,158 @@ def in_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) ->
         yield batch.slice(k, rows)
 
 
+class Splitter:
+    """Cuts texts into pre-tokens and counts them; see the module. Strings of special tokens are pre-tokens of their own.
+
+    Pre-tokens that begin with a space are counted without it, in ``later``;
+    all others in ``first``.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        added = self.library.get_added_tokens_decoder().values()
+        self.specials = [t.content for t in added]
+        #: Whether special strings are cut out of a text as they are; if not, a text that has one is a pre-token itself.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.pattern = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
+
+    def count(self, text: str, later: Counter[str], first: Counter[str]) -> None:
+        if self.pattern is not None and self.pattern.search(text):
+            if not self.plain:
+                self._put(text, later, first)
+                return
+            for k, part in enumerate(self.pattern.split(text)):
+                if k % 2:
+                    first[part] += 1
+                else:
+                    self._cut(part, later, first)
+        else:
+            self._cut(text, later, first)
+
+    @staticmethod
+    def _put(stretch: str, later: Counter[str], first: Counter[str]) -> None:
+        if stretch.startswith(" "):
+            later[stretch[1:]] += 1
+        elif stretch:
+            first[stretch] += 1
+
+    def _cut(self, text: str, later: Counter[str], first: Counter[str]) -> None:
+        parts = text.split(" ")
+        if not _RUN.search(text):
+            if parts[0]:
+                first[parts[0]] += 1
+            later.update(parts[1:])
+            return
+        start = 0
+        for i in range(1, len(parts) + 1):  # what begins with white space belongs to the stretch before it
+            if i == len(parts) or parts[i] and not parts[i][0].isspace():
+                self._put((" " if start else "") + " ".join(parts[start:i]), later, first)
+                start = i
+
+    def sizes(self, stretches: list[str]) -> list[int]:
+        """How many pieces each pre-token has."""
+        out: list[int] = []
+        for k in range(0, len(stretches), 2000):
+            out += [len(e.ids) for e in self.library.encode_batch(stretches[k : k + 2000], add_special_tokens=False)]
+        return out
+
+
+#: A space before white space or at the end.
+_RUN = re.compile(r" (?=\s|\Z)")
+#: Pre-tokens whose counts each task holds, the most frequent ones; all others come by a join, so this bounds memory and not what is counted.
+MOST_HELD = 100_000
+
+
+def pre_token_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``piece, n, size``: every distinct pre-token of all texts, how often it occurs, and how many pieces it has, counted once."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(path)
+        later: Counter[str] = Counter()
+        first: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([*(" " + s for s in later), *first], pa.string()), pa.array([*later.values(), *first.values()], pa.int64())], ["piece", "n"])
+            later.clear()
+            first.clear()
+            return out
+
+        for batch in batches:
+            for part in in_slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    splitter.count(text, later, first)
+                if len(later) + len(first) > 200_000:
+                    yield rows()
+        yield rows()
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(path)
+        for batch in batches:
+            for part in in_slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(splitter.sizes(part.column(0).to_pylist()), pa.int64())], ["piece", "n", "size"])
+
+    found = map_arrow(only(docs, text=text_col).where(F.col("text") != ""), step, "piece string, n long")
+    return map_arrow(found.groupBy("piece").agg(F.sum("n").alias("n")), sized, "piece string, n long, size long")
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_bytes`` and ``n_tokens`` of every row; one scan, no shuffle.
+    """``id``, ``n_bytes`` and ``n_tokens`` of every row.
+
+    Pieces are counted once for each distinct pre-token of the corpus; that
+    table meets the pre-token frequencies of each document, and the products
+    are summed, so no ids are made. The ``MOST_HELD`` most frequent pre-tokens
+    meet in the tasks (they are most of all occurrences, and no key is hot after
+    that); only pairs of a document and a rarer pre-token are shuffled.
 
-    Per-document stretch frequencies meet the counts of distinct stretches in
-    the worker's table, and only sums leave it: no ids, and no row for each
-    pair of document and stretch, which would be several times the input.
     Null and empty texts have no bytes and no tokens; repeated rows and null
     ids are counted like others; an empty table gives an empty result.
     """
-    own = only(docs, id=id_col, text=text_col).select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    schema = own.select("id", "n_bytes", F.lit(0).cast("long").alias("n_tokens")).schema
+    table = staged(pre_token_table(docs, path, text_col), "pre-tokens")
+    frequent = table.orderBy(F.desc("n"), "piece").limit(MOST_HELD).select("piece", "n", "size").toArrow()
+    held = dict(zip(frequent.column("piece").to_pylist(), frequent.column("size").to_pylist(), strict=True))
+    last = frequent.column("n")[-1].as_py() if len(held) == MOST_HELD else 0
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    own = only(docs, id=id_col, text=text_col).select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("nth"), "text")
+    schema = T.StructType([*own.schema.fields[:3], *T.StructType.fromDDL("known long, piece array<string>, times array<long>").fields])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable.of(path, counts=True)
+        splitter, held = Splitter(path), sent.value
+        after = {s[1:]: n for s, n in held.items() if s.startswith(" ")}
         for batch in batches:
-            for part in in_slices(batch, 2):
-                counts = pa.array(table.look_up(part.column(2).to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts], ["id", "n_bytes", "n_tokens"])
+            for part in in_slices(batch, 3):
+                sums: list[int] = []
+                others: list[list[str]] = []
+                times: list[list[int]] = []
+                for text in part.column(3).to_pylist():
+                    later: Counter[str] = Counter()
+                    first: Counter[str] = Counter()
+                    splitter.count(text or "", later, first)
+                    known, far, often = 0, [], []
+                    for counts, sizes, lead in ((later, after, " "), (first, held, "")):
+                        for s, n in counts.items():
+                            size = sizes.get(s)
+                            if size is None:
+                                far.append(lead + s)
+                                often.append(n)
+                            else:
+                                known += n * size
+                    sums.append(known)
+                    others.append(far)
+                    times.append(often)
+                columns = [pa.array(sums, pa.int64()), pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], schema.names)
 
-    return map_arrow(own, step, schema)
+    met = map_arrow(own, step, schema)
+    if not last:  # all are held
+        return met.select("id", "n_bytes", F.col("known").alias("n_tokens"))
+    met = staged(met, "met")
+    # Pre-tokens as frequent as the last one held may be held or not; a held one is never asked for here.
+    rarer = table.where(F.col("n") <= last).select("piece", "size")
+    asked = met.select("nth", F.explode(F.arrays_zip("piece", "times")).alias("w")).select("nth", F.col("w.piece").alias("piece"), F.col("w.times").alias("times"))
+    more = asked.join(rarer, "piece").groupBy("nth").agg(F.sum(F.col("times") * F.col("size")).alias("more"))
+    return met.select("id", "n_bytes", "nth", "known").join(more, "nth", "left").select("id", "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))

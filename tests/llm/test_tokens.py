@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomsearch.llm import packing, rangecoder, tokenfiles
+from loomsearch.llm import packing, rangecoder, tokenfiles, tokens
 from loomsearch.llm.tokens import PieceTable, count_tokens
 
 BYTES, WORDS = (str(public_tokenizers.path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -26,6 +26,19 @@ def test_ids_are_the_library_s(path, prose):
         assert counts.look_up(texts) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("held", [100_000, 7])
+def test_counts_are_the_library_s(spark, path, held, prose, monkeypatch):
+    """With all pre-tokens held by the tasks, and with most of them met in the join."""
+    monkeypatch.setattr(tokens, "MOST_HELD", held)
+    texts = [None, *ODD, *(prose(60) for _ in range(30)), " ".join(ODD), prose(5) + "  \n " + prose(5), "<|endoftext|>", " <|endoftext|><|endoftext|> a", "x<|endoftext|>"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(path)
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    got = sorted((r["id"], r["n_tokens"], r["n_bytes"]) for r in tokens.count_tokens(df, path).collect())
+    assert got == sorted((k, n, len((texts[k] or "").encode())) for k, n in enumerate(want) for _ in range(2))
+
+
 def test_counts_of_odd_rows(odd_docs, no_docs):
     rows = count_tokens(odd_docs, BYTES).collect()
     assert len(rows) == odd_docs.count()
