@@ -25,9 +25,9 @@ class Redactor:
 
     @property
     def compiled(self) -> list[tuple[Rule, re.Pattern]]:
-        """Compiled once in each process, where they are used."""
+        """Compiled once in each process, where they are used; classes and word ends are those of ASCII, as the rules mean them."""
         if self._compiled is None:
-            self._compiled = [(r, re.compile(r.pattern)) for r in self.rules]
+            self._compiled = [(r, re.compile(r.pattern, re.ASCII)) for r in self.rules]
         return self._compiled
 
     def _due(self, text: str) -> Iterable[tuple[Rule, re.Pattern]]:
@@ -50,9 +50,10 @@ class Redactor:
 
             def replace(m: re.Match, rule=rule) -> str:
                 whole = f"[REDACTED:{rule.id}]"
-                if not m.re.groups or m.start(1) < 0:
+                group = rule.group
+                if m.re.groups < group or m.start(group) < 0:
                     return whole
-                a, b = m.start(1) - m.start(), m.end(1) - m.start()
+                a, b = m.start(group) - m.start(), m.end(group) - m.start()
                 return m[0][:a] + whole + m[0][b:]
 
             text = pattern.sub(replace, text)

@@ -1,4 +1,4 @@
-"""Search against the standard library's SQLite FTS5, and the store fixtures."""
+"""Search against the standard library's SQLite FTS5, and filters, results and pages on a small corpus."""
 
 import random
 import sqlite3
@@ -73,45 +73,62 @@ def store(spark, sessions, messages):
     return Corpus(s, m)
 
 
+SESSIONS = [
+    (11, "cursor", "hay-1", "/farm", "Barn", "", 5_000, 5_300),
+    (12, "claude_code", "hay-2", "/mill", None, None, None, None),
+    (13, "codex", "hay-3", "/farm", "", "wheat", 9_000, 9_050),
+]
+SPOKEN = [
+    (11, 0, "user", 5_000, "Where do the sparrows nest this year?"), (11, 1, "assistant", None, "Sparrows nest under the SparrowHouse roof."), (11, 2, "tool", 5_200, "roofCheck(ok)"),
+    (12, 0, "user", None, "Count the sparrow eggs, please"), (12, 1, "thinking", 7_100, "eggs only"), (13, 4, "assistant", 9_040, "A sparrowhawk is no sparrow."), (13, 5, "user", 9_050, "Thanks"),
+]
+
+
 @pytest.fixture(scope="module")
-def two(spark):
-    return store(
-        spark,
-        [(1, "claudecode", "a", "wsA", "t", None, 100, 150), (2, "codex", "b", "wsB", None, None, 1000, None)],
-        [(1, 1, 1, "user", 100, "keyword alpha"), (2, 1, 2, "assistant", 150, "keyword reply"), (3, 2, 1, "user", 1000, "keyword beta")],
-    )
+def farm(spark):
+    return store(spark, SESSIONS, [(100 + n, *row) for n, row in enumerate(SPOKEN)])
+
+
+def matches(session, said_by, ts, want):
+    """A filter read off the rows: times are the message's, or else its session's start."""
+    own = next(s for s in SESSIONS if s[0] == session)
+    when = ts if ts is not None else own[6] or 0
+    return all((want.get("agent") in (None, own[1]), want.get("workspace") in (None, own[3]), want.get("role") in (None, said_by), when >= want.get("since", 0), when <= want.get("until", 1 << 40)))
+
+
+@pytest.mark.parametrize("want", [{}, {"agent": "cursor"}, {"agent": "codex", "role": "user"}, {"workspace": "/farm"}, {"role": "assistant"}, {"since": 5_001}, {"until": 8_999}, {"since": 5_001, "until": 9_000}, {"workspace": "/sea"}])
+def test_filters_are_those_of_the_rows(farm, want):
+    expected = {}
+    for session, ordinal, role, ts, text in SPOKEN:
+        if "sparrow" in text.lower() and matches(session, role, ts, want):
+            expected.setdefault(session, set()).add(ordinal)
+    got = {r["session_id"]: {e["ordinal"] for e in r["excerpts"]} for r in search(farm, Query("sparrow", **want)).collect()}
+    assert got == expected
+
+
+def test_results_have_no_nulls_and_flatten(farm):
+    found = search(farm, Query("sparrow"))
+    rows = found.collect()
+    for r in rows:
+        assert None not in (r["workspace"], r["title"], r["summary"], r["started_at"], r["ended_at"])
+        assert all("«" in e["snippet"] for e in r["excerpts"]) and r["match_count"] == len(r["excerpts"])
+    assert [r["score"] for r in rows] == sorted(r["score"] for r in rows)
+    flat = flat_hits(found, 20).collect()
+    assert {r["rank"] for r in flat} == {21, 22, 23} and {r["cite"] for r in flat} == {"cur/hay-1:0", "cur/hay-1:1", "cc/hay-2:0", "cdx/hay-3:4"}
 
 
 @pytest.mark.parametrize(
-    ("options", "want"),
-    [({}, {"a", "b"}), ({"agent": "codex"}, {"b"}), ({"workspace": "wsA"}, {"a"}), ({"role": "asst"}, {"a"}), ({"until": 500}, {"a"}), ({"since": 500}, {"b"}), ({"agent": "nobody"}, set())],
+    ("query", "want"),
+    [("sparrowhouse", {11}), ("rowHo", {11}), ("nests", {11}), ("egg count", {12}), ('"sparrow eggs"', {12}), ('"eggs sparrow"', set()), ("roofcheck thanks", set()), ("NOT sparrow", set()), ("", set()), (' "?" - ', set())],
 )
-def test_filters(two, options, want):
-    assert {r["session_uid"] for r in search(two, Query("keyword", **options)).collect()} == want
+def test_words_parts_and_phrases(farm, query, want):
+    assert {r["session_id"] for r in search(farm, Query(query)).collect()} == want
 
 
-def test_results_have_no_nulls_and_flatten(two):
-    found = search(two, Query("keyword"))
-    for r in found.collect():
-        assert None not in (r["workspace"], r["title"], r["summary"], r["started_at"], r["ended_at"])
-        assert all("«" in e["snippet"] for e in r["excerpts"])
-    rows = flat_hits(found, 5).collect()
-    assert {r["rank"] for r in rows} == {6, 7} and {r["cite"] for r in rows} == {"claudecode/a:1", "claudecode/a:2", "cdx/b:1"}
-
-
-def test_camel_case_parts_and_empty_queries(spark):
-    c = store(
-        spark,
-        [(1, "codex", "a", "", "", "", 100, 120), (2, "codex", "b", "", "", "", 300, 300)],
-        [(1, 1, 1, "user", 100, "How do I configure authentication?"), (2, 1, 2, "assistant", 110, "Use the webhookRetry handler for auth."), (3, 1, 3, "user", 120, "Totally unrelated content here."), (4, 2, 1, "user", 300, "Nothing of it")],
-    )
-    for q in ("authentication", "webhookRetry", "hookRet", "AND authentication"):
-        uids = [r["session_uid"] for r in search(c, Query(q)).collect()]
-        assert uids == (["a"] if not q.startswith("AND") else [])
-    assert search(c, Query("")).count() == 0 == search(c, Query('"!!!"')).count()
-
-
-def test_limit_and_offset(spark):
-    c = store(spark, [(k, "codex", f"s{k}", "", "", "", 100 + k, None) for k in range(5)], [(k, k, 0, "user", 100 + k, "uniquekeyword body") for k in range(5)])
-    pages = [[r["session_uid"] for r in search(c, Query("uniquekeyword", limit=2, offset=o)).collect()] for o in (0, 2, 4)]
-    assert sum(pages, []) == [f"s{k}" for k in range(5)]
+def test_pages_follow_each_other(spark):
+    rng = random.Random(8)
+    texts = ["turnip " * rng.randint(1, 4) + "field " * rng.randint(0, 9) for _ in range(11)]
+    c = store(spark, [(k, "cursor", f"bed{k}", "", "", "", k, k) for k in range(11)], [(k, k, 0, "user", k, t) for k, t in enumerate(texts)])
+    whole = [r["session_id"] for r in search(c, Query("turnip", limit=50)).collect()]
+    pages = [[r["session_id"] for r in search(c, Query("turnip", limit=4, offset=o)).collect()] for o in (0, 4, 8, 12)]
+    assert sorted(whole) == list(range(11)) and sum(pages, []) == whole and [len(p) for p in pages] == [4, 4, 3, 0]
