@@ -1,13 +1,18 @@
 """Incremental ingest with Structured Streaming.
 
 The file source remembers which files it has seen, so a query that is started
-again goes on with new ones. Each micro-batch is merged by key, so a batch that
-is run twice adds nothing. Every version of the table is a folder of its own;
-a pointer file names the current one.
+again goes on with new ones. A table is a set of buckets by the hash of its key.
+A micro-batch rewrites only the buckets that it has keys of, each into a folder of
+its own, and is committed by one pointer file that names the folders of all
+buckets; the pointer comes into being by a rename, so it is there as a whole or
+not at all. A batch that runs again, whether it stopped before or after its
+commit, starts from the pointer before it and gives the same table.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,36 +20,106 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import file_system
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+#: Buckets of a new table (a table keeps its own number), and pointers that are kept: readers of older ones may still be at work.
+BUCKETS, KEPT = 64, 3
+_POINTER = "pointer-"
+
+
+def _pointers(spark: SparkSession, table: str) -> list[int]:
+    """The numbers of the committed batches, ascending."""
+    fs, p = file_system(spark, table)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix(_POINTER)) for n in names if n.startswith(_POINTER))
+
+
+def _pointer(spark: SparkSession, table: str, number: int) -> dict:
+    text = "\n".join(r["value"] for r in spark.read.text(f"{table}/{_POINTER}{number}").collect())
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, table: str, number: int, pointer: dict) -> None:
+    """Writes a pointer beside its place and renames it; one that a lost run has left for this batch is replaced."""
+    fs, at = file_system(spark, f"{table}/{_POINTER}{number}")
+    draft = file_system(spark, f"{table}/_draft-{uuid.uuid4().hex}")[1]
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(pointer).encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(draft, at):
+        raise OSError(f"the pointer of batch {number} of {table} could not be put in its place")
+
+
+def _read(spark: SparkSession, table: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*(f"{table}/{f}" for f in folders)) if folders else spark.createDataFrame([], schema)
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The latest whole version of a table, or ``None`` before the first."""
-    fs, p = _fs(spark, table)
-    if not fs.exists(p):
+    """The table after the last committed batch, or ``None`` before the first."""
+    done = _pointers(spark, table)
+    if not done:
         return None
-    done = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v") and fs.exists(_fs(spark, f"{table}/{s.getPath().getName()}/_SUCCESS")[1])]
-    return spark.read.parquet(f"{table}/{max(done)}") if done else None
+    pointer = _pointer(spark, table, done[-1])
+    return _read(spark, table, sorted(pointer["folders"].values()), T.StructType.fromJson(pointer["schema"]))
 
 
-def merge_batch(table: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def merge_batch(table: str, key: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: rows whose key is stored are left out; of several new ones the first by ``order`` stays."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        done = [n for n in _pointers(spark, table) if n < number]
+        pointer = _pointer(spark, table, done[-1]) if done else {"folders": {}, "buckets": buckets, "schema": json.loads(batch.schema.json())}
+        schema = T.StructType.fromJson(pointer["schema"])
+        run = f"run-{number:012d}-{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64(*key), F.lit(pointer["buckets"])).cast("int")
         one = Window.partitionBy(*key).orderBy(order)
-        new = batch.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
-        old = current(spark, table)
-        if old is not None:
-            new = old.unionByName(new.join(old.select(*key), key, "left_anti"))
-        new.write.mode("overwrite").parquet(f"{table}/v{number:012d}")
+        new = batch.select(*schema.names).withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").withColumn("bucket", bucket)
+        # The batch is read once: what it brings lies beside the table until its buckets are written.
+        new.repartition(pointer["buckets"], "bucket").write.partitionBy("bucket").parquet(f"{table}/{run}/new")
+        touched = _buckets(spark, f"{table}/{run}/new")
+        if touched:
+            news = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{table}/{run}/new")
+            olds = [pointer["folders"][str(b)] for b in touched if str(b) in pointer["folders"]]
+            old = _read(spark, table, olds, schema).withColumn("bucket", bucket)
+            whole = old.unionByName(news.join(old.select(*key), key, "left_anti"))
+            whole.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{table}/{run}/whole")
+        folders = pointer["folders"] | {str(b): f"{run}/whole/bucket={b}" for b in touched}
+        _commit(spark, table, number, pointer | {"folders": folders})
+        fs, at = file_system(spark, f"{table}/{run}/new")
+        fs.delete(at, True)
+        _forget(spark, table)
 
     return apply
 
 
+def _buckets(spark: SparkSession, path: str) -> list[int]:
+    fs, p = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    """Removes all but the last ``KEPT`` pointers, and the folders that none of these names."""
+    fs, p = file_system(spark, table)
+    done = _pointers(spark, table)
+    for n in done[:-KEPT]:
+        fs.delete(file_system(spark, f"{table}/{_POINTER}{n}")[1], False)
+    named = {f for n in done[-KEPT:] for f in _pointer(spark, table, n)["folders"].values()}
+    last = f"run-{done[-1]:012d}"
+    for run in (s.getPath().getName() for s in fs.listStatus(p)):
+        if not run.startswith("run-") or run[:16] > last:
+            continue
+        if not any(f.startswith(run + "/") for f in named):
+            fs.delete(file_system(spark, f"{table}/{run}")[1], True)
+            continue
+        for b in _buckets(spark, f"{table}/{run}/whole"):
+            if f"{run}/whole/bucket={b}" not in named:
+                fs.delete(file_system(spark, f"{table}/{run}/whole/bucket={b}")[1], True)
+
+
 def ingest_available(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str, key: list[str], order: str, files_per_batch: int = 32) -> DataFrame:
     """Reads all files that are there now, in micro-batches, and gives the table after them."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -54,9 +129,9 @@ def ingest_available(spark: SparkSession, source: str, schema: T.StructType, tab
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def ingest_every(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str, key: list[str], order: str, every: str = "5 minutes"):
+def ingest_every(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str, key: list[str], order: str, every: str = "5 minutes", files_per_batch: int = 32):
     """The same as a query that goes on; returns it."""
-    rows = spark.readStream.schema(schema).parquet(source)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return rows.writeStream.foreachBatch(merge_batch(table, key, order)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
