@@ -257,7 +257,7 @@ def _deals(pairs: DataFrame) -> int:
 
 
 #: Buckets up to this size give pairs; larger ones are compared block by block, so that no row stands for a pair.
-SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 1_000
+SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 256
 
 
 def _rest(members: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:

@@ -152,15 +152,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = only(labels, id=id_col, y=label_col).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     picked = staged(picked, "labelled")
-    sample = only(docs, id=id_col, text=text_col).join(F.broadcast(picked), "id").select("y", "text")
+    sample = only(docs, id=id_col, text=text_col).join(F.broadcast(picked), "id").select("y", "text", F.xxhash64("text").alias("h"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_slices(whole, 1):
                 found = pa.array([terms_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), found], ["y", "terms"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], ["y", "h", "terms"])
 
-    rows = staged(map_arrow(sample, terms, "y int, terms array<int>"), "labelled-terms")
+    rows = staged(map_arrow(sample, terms, "y int, h long, terms array<int>"), "labelled-terms")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     active = np.zeros(0, np.int64)
@@ -177,10 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.full(BUCKETS, -1, np.int32)
         at[active] = np.arange(len(active))
         for batch in batches:
-            found = [at[np.asarray(x, np.int64)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0] for x in found], pa.list_(pa.int32()))], ["y", "places"])
+            found = [at[np.asarray(x, np.int64)] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x[x >= 0] for x in found], pa.list_(pa.int32()))], ["y", "h", "places"])
 
-    told = map_arrow(rows, places, "y int, places array<int>").orderBy("y", "places").toArrow()
+    # Equal texts are alike in any order; the sample is bounded, so the driver sorts it.
+    told = map_arrow(rows, places, "y int, h long, places array<int>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     flat = pc.list_flatten(told.column("places")).to_numpy()
     ends = np.cumsum(pc.list_value_length(told.column("places")).to_numpy())
     y = told.column("y").to_numpy().astype(float)
