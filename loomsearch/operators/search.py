@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from ..functions.snippet import substring_snippet, word_snippet
 from ..model import Corpus, Query, agent_code, normalize_agent, normalize_role
 from ..plans.grammar import Item, substring_items, word_items
 
+if TYPE_CHECKING:
+    from .index import SearchIndex
+
 SUBSTRING_WEIGHT, EXCERPTS = 0.7, 3
 #: Constants of the ranking function: term saturation, length normalisation, and what idf is at least.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -97,12 +101,12 @@ def substring_hits(messages: DataFrame, query: str) -> DataFrame | None:
     return bm25(scanned, len(parts)).withColumn("score", F.col("score") * SUBSTRING_WEIGHT)
 
 
-def hits(messages: DataFrame, query: str, stems: bool = True, words: bool = True, substrings: bool = True) -> DataFrame | None:
-    """Hits of both searches, one row for each message: ``mid, score, by_words``; ties go to the word search."""
+def hits(messages: DataFrame, query: str, stems: bool = True, words: bool = True, substrings: bool = True, index: SearchIndex | None = None) -> DataFrame | None:
+    """Hits of both searches, one row for each message: ``mid, score, by_words``; ties go to the word search. With an index of the messages, only its postings are read."""
     found = []
-    if words and (by_words := word_hits(messages, query, stems)) is not None:
+    if words and (by_words := index.word_hits(query) if index else word_hits(messages, query, stems)) is not None:
         found.append(by_words.withColumn("by_words", F.lit(True)))
-    if substrings and (by_parts := substring_hits(messages, query)) is not None:
+    if substrings and (by_parts := index.substring_hits(query, messages) if index else substring_hits(messages, query)) is not None:
         found.append(by_parts.withColumn("by_words", F.lit(False)))
     if not found:
         return None
@@ -145,9 +149,10 @@ def ranked(found: DataFrame, corpus: Corpus, query: Query, exclude_uid: str | No
     return kept
 
 
-def search(corpus: Corpus, query: Query, stems: bool = True, words: bool = True, substrings: bool = True, snippets: bool = True, exclude_uid: str | None = None) -> DataFrame:
+def search(corpus: Corpus, query: Query, stems: bool = True, words: bool = True, substrings: bool = True, snippets: bool = True, exclude_uid: str | None = None, index: SearchIndex | None = None) -> DataFrame:
     """The sessions that match, best first, each with up to three excerpts (columns: ``RESULT``). An empty query finds nothing."""
-    found = hits(corpus.messages, query.text, stems, words, substrings)
+    stems = index.stems if index else stems
+    found = hits(corpus.messages, query.text, stems, words, substrings, index)
     if found is None:
         return corpus.messages.sparkSession.createDataFrame([], RESULT)
     kept = ranked(found, corpus, query, exclude_uid)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.porter import stem
 from ..model import Corpus, Query, SessionFilter, cite, ref_columns
 from ..operators import merge, redact, render, search, sessions
+from ..operators.index import SearchIndex
 from ..operators.redact_rules import GENERIC_TOKEN, default_rules
+from ..storage import shared_dir
 from ..streaming import ingest as streaming
 
 #: Search terms that the conversations have.
@@ -28,7 +31,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> Corpus:
     """Conversations as sessions: ``conv_id`` is the session, ``turn`` the ordinal; times, agents and workspaces are derived from the id."""
     rows = _read(spark, sf_dir, "conversations")
     messages = rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("mid"), F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("ordinal"), "role", (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"), F.col("text").alias("content")
+        merge.message_key("conv_id", "turn").alias("mid"), F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("ordinal"), "role", (F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"), F.col("text").alias("content")
     )
     ids = rows.groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").alias("last"))
     kind = F.pmod("session_id", F.lit(3))
@@ -68,9 +71,37 @@ def _searched(query: Query, **options) -> Callable[[SparkSession, str], DataFram
     return lambda spark, sf_dir: _flat(search.search(conversations(spark, sf_dir), query, stems=False, snippets=False, **options), query.offset)
 
 
+_INDEXES: dict[tuple[str, str, str, bool], SearchIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str, messages: DataFrame, stems: bool = False) -> SearchIndex:
+    """The index of a table's messages, made where the session has none yet."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, stems)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex(spark, f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}", stems).add(messages.select("mid", "content"))
+    return _INDEXES[key]
+
+
+def _indexed_words(query: str, stems: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _hits(index_of(spark, sf_dir, "documents", document_messages(spark, sf_dir).messages, stems).word_hits(query))
+
+
+def _indexed_parts(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        messages = document_messages(spark, sf_dir).messages
+        return _hits(index_of(spark, sf_dir, "documents", messages).substring_hits(query, messages))
+
+    return run
+
+
+def search_hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = conversations(spark, sf_dir)
+    return _flat(search.search(c, Query(TERM), snippets=False, index=index_of(spark, sf_dir, "conversations", c.messages)))
+
+
 # -- the same in SQL --
 
-_CONV = """conv AS (SELECT conv_id * 1000 + turn AS mid, conv_id AS session_id, CAST(turn AS INTEGER) AS ordinal, role, 1704067200 + conv_id * 3600 + turn * 60 AS ts, text AS content FROM conversations),
+_CONV = """conv AS (SELECT conv_id || ':' || turn AS mid, conv_id AS session_id, CAST(turn AS INTEGER) AS ordinal, role, 1704067200 + conv_id * 3600 + turn * 60 AS ts, text AS content FROM conversations),
 sess AS (SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' ELSE 'cursor' END AS agent, CASE session_id % 3 WHEN 0 THEN 'cc' WHEN 1 THEN 'cdx' ELSE 'cur' END AS code,
   lpad(CAST(session_id AS VARCHAR), 8, '0') AS session_uid, '/work/w' || CAST(session_id % 5 AS VARCHAR) AS workspace, 1704067200 + session_id * 3600 AS started_at, 1704067200 + session_id * 3600 + max(ordinal) * 60 AS ended_at FROM conv GROUP BY session_id)"""
 
@@ -207,14 +238,14 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations(spark, sf_dir)
-    refs = c.messages.join(c.sessions, "session_id").select(F.when(F.col("ordinal") % 2 == 0, cite(F.col("agent"), F.col("session_uid"), F.col("ordinal"))).otherwise(F.col("session_uid")).alias("ref"), "mid")
+    refs = c.messages.join(c.sessions, "session_id").select(F.when(F.col("ordinal") % 2 == 0, cite(F.col("agent"), F.col("session_uid"), F.col("ordinal"))).otherwise(F.col("session_uid")).alias("ref"), "session_id", F.col("ordinal").alias("at"))
     uid, ordinal = ref_columns(F.col("ref"))
-    return refs.select("mid", uid.alias("uid"), ordinal.alias("ordinal"))
+    return refs.select("session_id", "at", uid.alias("uid"), ordinal.alias("ordinal"))
 
 
 def cite_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations(spark, sf_dir)
-    return c.messages.join(c.sessions, "session_id").select("mid", cite(F.col("agent"), F.col("session_uid"), F.col("ordinal")).alias("cite"))
+    return c.messages.join(c.sessions, "session_id").select("session_id", "ordinal", cite(F.col("agent"), F.col("session_uid"), F.col("ordinal")).alias("cite"))
 
 
 def byte_budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,8 +257,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, streamed from their files into a table that keeps one row for each event."""
     from pyspark.errors import AnalysisException
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    place = f"{base}/stream-{spark.sparkContext.applicationId}-{id(sf_dir)}" if base else tempfile.mkdtemp(prefix="stream-")
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = _read(spark, sf_dir, "events")
     e.repartition(4, "user_id").write.mode("overwrite").parquet(f"{place}/landing")
     try:
@@ -247,6 +277,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_word_prefix": lambda s, d: _hits(search.word_hits(document_messages(s, d).messages, PREFIX, stems=False)),
     "search_phrase": lambda s, d: _hits(search.word_hits(document_messages(s, d).messages, f'"{PHRASE}"', stems=False)),
     "search_stemmed": lambda s, d: _hits(search.word_hits(document_messages(s, d).messages, "thed aning", stems=True)),
+    "search_word_indexed": _indexed_words(f'"{WORD}"'),
+    "search_word_prefix_indexed": _indexed_words(PREFIX),
+    "search_phrase_indexed": _indexed_words(f'"{PHRASE}"'),
+    "search_stemmed_indexed": _indexed_words("thed aning", stems=True),
+    "search_substring_indexed": _indexed_parts(TERM),
+    "search_hybrid_indexed": search_hybrid_indexed,
     "search_hybrid": _searched(Query(TERM)),
     "search_hits_flat": _searched(Query("anth", limit=200)),
     "search_filter_role": _searched(Query(TERM, role="asst")),
@@ -309,6 +345,10 @@ ORACLE_SQL: dict[str, str] = {
     "search_word_prefix": f"WITH {_DOCS}, {_word_sql('hits', [_prefix(PREFIX)], 'docs')} SELECT mid, round(score, 6) AS score FROM hits",
     "search_phrase": f"WITH {_DOCS}, {_word_sql('hits', [_phrase(*PHRASE.split())], 'docs')} SELECT mid, round(score, 6) AS score FROM hits",
     "search_hybrid": _search_sql(_hybrid(_prefix(TERM), TERM)),
+    "search_hybrid_indexed": _search_sql(_hybrid(_prefix(TERM), TERM)),
+    "search_substring_indexed": f"WITH {_DOCS}, {_sub_sql('hits', [TERM], 'docs')} SELECT mid, round(score, 6) AS score FROM hits",
+    # Stems differ from words by their ends only, so words whose stem begins with one of these two stems are those that begin with it.
+    "search_stemmed": f"WITH {_DOCS}, {_word_sql('hits', [_prefix(stem('thed')), _prefix(stem('aning'))], 'docs')} SELECT mid, round(score, 6) AS score FROM hits",
     "search_hits_flat": _search_sql(_hybrid(_prefix("anth"), "anth"), limit=200),
     "search_filter_role": _search_sql(_hybrid(_prefix(TERM), TERM), where="role = 'assistant'"),
     "search_filter_agent": _search_sql(_hybrid(_prefix(TERM), TERM), where="agent = 'codex'"),
@@ -335,8 +375,8 @@ ORACLE_SQL: dict[str, str] = {
     "session_cut": f"WITH {_CONV} SELECT code || '/' || substr(session_uid, 1, 8) || ':' || ordinal AS cite, session_uid AS uid, ordinal, role, CASE WHEN length(content) > 40 THEN substr(content, 1, 40) || '…[truncated]' ELSE content END AS content FROM conv JOIN sess USING (session_id) WHERE session_uid = '00000005'",
     "session_lookup_prefix": f"WITH {_CONV} SELECT session_id, agent, session_uid FROM sess WHERE starts_with(session_uid, '0000001') ORDER BY session_uid = '0000001' DESC, session_uid LIMIT 1",
     "session_exact": f"WITH {_CONV} SELECT session_id, agent, session_uid FROM sess WHERE agent = 'codex' AND session_uid = '00000007'",
-    "cite_tokens": f"WITH {_CONV} SELECT mid, code || '/' || session_uid || ':' || ordinal AS cite FROM conv JOIN sess USING (session_id)",
-    "parse_refs": f"WITH {_CONV} SELECT mid, session_uid AS uid, CASE WHEN ordinal % 2 = 0 THEN ordinal END AS ordinal FROM conv JOIN sess USING (session_id)",
+    "cite_tokens": f"WITH {_CONV} SELECT session_id, ordinal, code || '/' || session_uid || ':' || ordinal AS cite FROM conv JOIN sess USING (session_id)",
+    "parse_refs": f"WITH {_CONV} SELECT session_id, ordinal AS at, session_uid AS uid, CASE WHEN ordinal % 2 = 0 THEN ordinal END AS ordinal FROM conv JOIN sess USING (session_id)",
     "context_expand": f"WITH {_CONV}, {_hybrid(_prefix(TERM), TERM)}, found AS (SELECT h.score, c.session_id, c.ordinal FROM hits h JOIN conv c USING (mid)), top AS (SELECT session_id, min(score) AS s FROM found GROUP BY 1 ORDER BY 2, 1 LIMIT 6), placed AS (SELECT *, CAST(row_number() OVER (ORDER BY s, session_id) AS INTEGER) AS rank FROM top), anchor AS (SELECT session_id, arg_min(ordinal, (score, ordinal)) AS a FROM found GROUP BY 1) SELECT rank, code || '/' || session_uid || ':' || c.ordinal AS cite, c.ordinal, c.role, c.content FROM placed JOIN anchor USING (session_id) JOIN conv c USING (session_id) JOIN sess USING (session_id) WHERE c.ordinal BETWEEN a - 2 AND a + 2",
     "related": _search_sql(_hybrid(_prefix(TERM), TERM), where="session_id <> 7", limit=10),
     "titles_first_user_line": f"WITH {_ROLL} SELECT session_id, coalesce(CASE WHEN length(split_part(t, chr(10), 1)) > 200 THEN substr(split_part(t, chr(10), 1), 1, 200) || '…' ELSE split_part(t, chr(10), 1) END, '') AS title, started_at, ended_at FROM span LEFT JOIN title ON conv_id = session_id",
@@ -354,3 +394,4 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_stream_available_now": "SELECT event_id, user_id, event_type, value FROM events",
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
 }
+ORACLE_SQL |= {f"{name}_indexed": ORACLE_SQL[name] for name in ("search_word", "search_word_prefix", "search_phrase", "search_stemmed")}

@@ -6,7 +6,6 @@ parts gives what reading it at once gives.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -17,6 +16,7 @@ from ..model import INDEX_STATE, MESSAGES, SESSIONS
 from ..operators import merge
 from ..operators.redact import Redactor
 from ..operators.redact_rules import Rule
+from ..storage import shared_dir
 from . import files
 
 STORED = "session_id long, ordinal int, role string, ts long, content string, source_path string, source_offset long, sub int, mid long"
@@ -89,9 +89,8 @@ def _kept(df: DataFrame, work: str | None, name: str) -> DataFrame:
 
 
 def _work(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ingest-")
-    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
 def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None) -> Tables:
