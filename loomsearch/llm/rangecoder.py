@@ -37,7 +37,8 @@ _FAN, _FIRST, _SECOND, _COUNT = 32, 2048, 8192, 32
 _ONE, _SPEED, _HALVE = 1 << 12, 5, 256
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD, _SHIFT = np.uint64(16), np.uint64(48)
-_WIDE = np.arange(_FAN)
+#: Row k: the branches before branch k.
+_UNDER, _UNDER_HIGH = np.tri(_FAN, _FAN, -1, np.int32), np.tri(256, 256, -1, np.int32)
 
 
 class CorruptBlock(ValueError):
@@ -51,10 +52,9 @@ class _Model:
         self.row = np.arange(lanes, dtype=np.int64)
         self.levels = [np.zeros((lanes * _FAN**k, _FAN), np.int32) for k in range(3)]
         self.flat = [x.reshape(-1) for x in self.levels]
-        self.first = np.full((lanes * _FIRST, 4), -1, np.int32)  # place, confidence, other place, its confidence
-        self.first[:, 1::2] = 0
-        self.second = np.full((lanes * _SECOND, 2), -1, np.int32)
-        self.second[:, 1] = 0
+        # A slot is one number, so that a look touches one place in memory: (place + 1) * 8 + confidence, for order 1 twice.
+        self.first = np.zeros(lanes * _FIRST, np.int64)
+        self.second = np.zeros(lanes * _SECOND, np.int32)
         start = np.array([60, 500, 1200, 1800, 2400, 2900, 3200, 3500])
         self.right2 = np.tile(np.concatenate((start, np.minimum(start * 3 // 2, 3600))), (lanes, 1)).reshape(-1).astype(np.int64)
         self.right1 = np.tile(start // 2, (lanes, 1)).reshape(-1).astype(np.int64)
@@ -62,24 +62,26 @@ class _Model:
         self.fresh = np.full(lanes, _ONE // 2, np.int64)  # the share of ids beside the predicted ones that are new
         self.size = np.zeros(lanes, np.int64)  # places so far
         self.total = np.zeros(lanes, np.int64)
-        self.high = np.ones((lanes, 256), np.int64)
+        self.high, self.high_total = np.ones((lanes, 256), np.int32), np.full(lanes, 256, np.int64)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.steps = 0
+        self.small = True  # All places are below the first branch of the top level.
 
-    def predict(self, k: int) -> None:
+    def predict(self, k: int, taking: bool = False) -> None:
         """The candidates of the first ``k`` lanes and the ends of their intervals, of what is new, and of the rest.
 
-        Candidates' counts are taken out of order 0 meanwhile; ``learn`` puts them back.
+        The rest is order 0 without the candidates. With ``taking``, their counts are out of the tree until ``learn`` puts them back.
         """
         row, last = self.row[:k], self.last[:k]
         self.at1 = row * _FIRST + (last & (_FIRST - 1))
         self.at2 = row * _SECOND + (((last * 0x9E3779B1 + self.before[:k] * 0x85EBCA6B) >> 15) & (_SECOND - 1))
-        self.found1, self.found2 = self.first[self.at1], self.second[self.at2]
-        c2 = self.found2[:, 0]
-        c1, o1 = self.found1[:, 0], self.found1[:, 2]
-        self.ctx2 = row * 16 + self.found2[:, 1] + 8 * (c2 == c1)
-        self.ctx1, self.ctxo = row * 8 + self.found1[:, 1], row * 8 + self.found1[:, 3]
-        self.places = np.stack((c2, np.where(c1 == c2, -1, c1), np.where(o1 == c2, -1, o1))).astype(np.int64)
+        found1, found2 = self.first[self.at1], self.second[self.at2]
+        self.conf1, self.conf2, self.confo = found1 & 7, found2 & 7, (found1 >> 32) & 7
+        c1, c2, o1 = ((found1 >> 3) & 0x1FFFFFFF) - 1, (found2 >> 3) - 1, (found1 >> 35) - 1
+        self.c1, self.c2, self.o1 = c1, c2, o1
+        self.ctx2 = row * 16 + self.conf2 + 8 * (c2 == c1)
+        self.ctx1, self.ctxo = row * 8 + self.conf1, row * 8 + self.confo
+        self.places = np.stack((c2, np.where(c1 == c2, -1, c1), np.where(o1 == c2, -1, o1)))
         self.known = self.places >= 0
         shares = np.stack((self.right2[self.ctx2], self.right1[self.ctx1], self.other1[self.ctxo])) * self.known
         sum_ = shares.sum(axis=0)
@@ -88,7 +90,9 @@ class _Model:
         at = np.where(self.known, self.places, 0) + row * _FAN**3
         self.taken = self.flat[2][at] * self.known
         self.at = at
-        self._move(-self.taken)
+        self.taking = taking
+        if taking:
+            self._move(-self.taken)
         rest = self.total[:k] - self.taken.sum(axis=0)
         total = np.maximum(self.total[:k], 1) << 4
         mass = self.taken.astype(np.int64) * 16 + total * shares // (_ONE - shares.sum(axis=0)) + self.known
@@ -103,18 +107,20 @@ class _Model:
             self.flat[0][at >> 10] += some
 
     def below(self, lanes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of all smaller places and of the places themselves."""
+        """The counts of all smaller places but the candidates, and of the places themselves."""
         whole = lanes * _FAN**3 + places
         out = np.zeros(len(lanes), np.int64)
-        for level, shift in ((0, 10), (1, 5), (2, 0)):
+        for level, shift in ((0, 10), (1, 5), (2, 0))[self.small :]:
             node = whole >> shift
-            out += (self.levels[level][node >> 5] * (_WIDE < (node & 31)[:, None])).sum(axis=1)
+            out += np.einsum("ij,ij->i", self.levels[level][node >> 5], _UNDER[node & 31])
+        for j in range(3):
+            out -= self.taken[j][lanes] * (self.places[j][lanes] < places)
         return out, self.flat[2][whole].astype(np.int64)
 
     def find(self, lanes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places whose counts reach over ``counts``, with what ``below`` gives of them."""
-        node, left, base = lanes, counts.copy(), np.zeros(len(lanes), np.int64)
-        for level in range(3):
+        node, left, base = lanes * _FAN if self.small else lanes, counts.copy(), np.zeros(len(lanes), np.int64)
+        for level in range(self.small, 3):
             sums = np.cumsum(self.levels[level][node], axis=1)
             branch = np.minimum((sums <= left[:, None]).sum(axis=1), _FAN - 1)
             under = np.where(branch > 0, sums[np.arange(len(node)), branch - 1], 0)
@@ -124,7 +130,8 @@ class _Model:
     def learn(self, k: int, places: np.ndarray, kind: np.ndarray) -> None:
         """``places``: those of this step; ``kind``: 0 to 2 for the candidates, 3 for new, 4 for others."""
         row = self.row[:k]
-        self._move(self.taken)
+        if self.taking:
+            self._move(self.taken)
         new = kind == 3
         whole = row * _FAN**3 + places
         self.flat[2][whole] += _COUNT
@@ -132,22 +139,23 @@ class _Model:
         self.flat[0][whole >> 10] += _COUNT
         self.total[:k] += _COUNT
         self.size[:k] += new
+        self.small = self.small and int(self.size.max()) <= _FAN**2
         beside = kind >= 3
         self.fresh[:k] += np.where(beside, ((_ONE * new) - self.fresh[:k]) >> _SPEED, 0)
         np.clip(self.fresh[:k], 16, _ONE - 200, out=self.fresh[:k])
-        (c2, n2), (c1, n1, o1, no) = self.found2.T, self.found1.T
+        c2, c1, o1, n2, n1, no = self.c2, self.c1, self.o1, self.conf2, self.conf1, self.confo
         hit2, hit1, hito = c2 == places, c1 == places, o1 == places
         for table, ctx, hit, there in ((self.right2, self.ctx2, hit2, c2 >= 0), (self.right1, self.ctx1, hit1, c1 >= 0), (self.other1, self.ctxo, hito, o1 >= 0)):
             old = table[ctx]
-            table[ctx] = old + np.where(there, (hit * (_ONE - 64) - old) >> _SPEED, 0)
+            table[ctx] = old + ((hit * (_ONE - 64) - old) >> _SPEED) * there
         n2 = np.where(hit2, np.minimum(n2 + 1, 7), n2 >> 1)
-        kept = hit2 | (n2 > 0)
-        self.second[self.at2] = np.stack((np.where(kept, c2, places), n2), axis=1)
+        self.second[self.at2] = (np.where(hit2 | (n2 > 0), c2, places) + 1 << 3) + n2
+        either = hit1 | hito
         n1 = np.where(hit1, np.minimum(n1 + 1, 7), np.where(hito, n1, np.maximum(n1 - 1, 0)))
         no = np.where(hito, np.minimum(no + 1, 7), np.where(hit1, no, 0))
-        o1 = np.where(hit1 | hito, o1, places)
-        swap = (no > n1) | (c1 < 0) | ~(hit1 | hito) & (n1 == 0)
-        self.first[self.at1] = np.stack((np.where(swap, o1, c1), np.where(swap, no, n1), np.where(swap, c1, o1), np.where(swap, n1, no)), axis=1)
+        one, other = (c1 + 1 << 3) + n1, (np.where(either, o1, places) + 1 << 3) + no
+        swap = (no > n1) | (c1 < 0) | ~either & (n1 == 0)
+        self.first[self.at1] = np.where(swap, (one << 32) + other, (other << 32) + one)
         self.before[:k] = self.last[:k]
         self.last[:k] = places
         self.steps += 1
@@ -166,6 +174,7 @@ class _Model:
 
     def learn_new(self, lanes: np.ndarray, high: np.ndarray) -> None:
         self.high[lanes, high] += 12
+        self.high_total[lanes] += 12
 
 
 class _Coder:
@@ -300,10 +309,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _put_new(model: _Model, coder: _Encoder, lanes: np.ndarray, ids: np.ndarray, width: int) -> None:
-    sums = np.cumsum(model.high[lanes], axis=1)
-    high, at = (ids >> 8) & 255, np.arange(len(lanes))
+    high = (ids >> 8) & 255
     size = model.high[lanes, high]
-    coder.put(lanes, sums[at, high] - size, size, sums[:, -1])
+    coder.put(lanes, np.einsum("ij,ij->i", model.high[lanes], _UNDER_HIGH[high]), size, model.high_total[lanes])
     coder.put(lanes, ids & 255, 1, np.uint64(256))
     if width == 4:
         coder.put(lanes, ids >> 16, 1, np.uint64(1 << 16))
@@ -362,7 +370,7 @@ def _decode(coded: list[bytes], heads: list[tuple], width: int) -> list[np.ndarr
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
     for step in range(most):
         k = int(active[step])
-        model.predict(k)
+        model.predict(k, taking=True)
         ends, row = model.ends, model.row[:k]
         found = coder.peek(slice(0, k), ends[4])
         kind = (found >= ends[:4]).sum(axis=0)
