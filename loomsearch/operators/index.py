@@ -64,9 +64,10 @@ def postings(messages: DataFrame, stems: bool = True) -> DataFrame:
 def gram_postings(messages: DataFrame) -> DataFrame:
     """``term, mid, size``: the distinct trigrams of each message's lower-case text."""
     low = messages.select("mid", F.lower("content").alias("low")).withColumn("size", F.greatest(F.char_length("low") - 2, F.lit(0)))
-    at = F.sequence(F.lit(1), F.col("size"))
-    grams = F.array_distinct(F.transform(at, lambda k: F.substr("low", k, F.lit(GRAM))))
-    return low.where("size > 0").select(F.explode(grams).alias("term"), "mid", "size")
+    # Characters first: a substring of UTF-8 is found by counting from its start, which would make long texts quadratic.
+    chars = low.withColumn("c", F.split("low", ""))
+    grams = F.array_distinct(F.zip_with(F.zip_with("c", F.slice("c", 2, F.size("c")), lambda x, y: F.concat(x, y)), F.slice("c", 3, F.size("c")), lambda x, y: F.concat(x, y)))
+    return chars.where("size > 0").select(F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("term"), "mid", "size")
 
 
 class SearchIndex:
