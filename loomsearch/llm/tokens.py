@@ -227,7 +227,7 @@ class Splitter:
 #: A space before white space or at the end.
 _RUN = re.compile(r" (?=\s|\Z)")
 #: Pre-tokens whose counts each task holds, the most frequent ones; all others come by a join, so this bounds memory and not what is counted.
-MOST_HELD = 100_000
+MOST_HELD = 300_000
 
 
 def pre_token_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
