@@ -26,7 +26,7 @@ from ..plans.grammar import Item, substring_items, word_items
 if TYPE_CHECKING:
     from .index import SearchIndex
 
-SUBSTRING_WEIGHT, EXCERPTS = 0.7, 3
+SUBSTRING_WEIGHT, EXCERPTS, LARGEST_BROADCAST = 0.7, 3, 10_000
 #: Constants of the ranking function: term saturation, length normalisation, and what idf is at least.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RESULT = "session_id long, agent string, session_uid string, workspace string, title string, summary string, started_at long, ended_at long, score double, match_count long, excerpts array<struct<ordinal:int,role:string,ts:long,snippet:string,score:double>>"
@@ -116,6 +116,11 @@ def hits(messages: DataFrame, query: str, stems: bool = True, words: bool = True
     return found[0].unionByName(found[1]).groupBy("mid").agg(best.alias("best")).select("mid", F.col("best.score").alias("score"), (~F.col("best.by_parts")).alias("by_words"))
 
 
+def small(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of which a limit leaves few, to be broadcast; with a large limit they are joined as the planner sees fit."""
+    return F.broadcast(rows) if limit <= LARGEST_BROADCAST else rows
+
+
 def filters(query: Query) -> list[Column]:
     """Conditions on a hit's message and session; times are the message's, or else when its session began."""
     when = F.coalesce("ts", "started_at", F.lit(0))
@@ -145,7 +150,7 @@ def ranked(found: DataFrame, corpus: Corpus, query: Query, exclude_uid: str | No
     top = at.groupBy("session_id").agg(F.min("score").alias("session_score"), F.count(F.lit(1)).alias("match_count"))
     top = top.orderBy("session_score", "session_id").offset(max(0, query.offset)).limit(query.limit if query.limit > 0 else 20)
     best = Window.partitionBy("session_id").orderBy("score", "ordinal")
-    kept = at.join(F.broadcast(top), "session_id").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= EXCERPTS)
+    kept = at.join(small(top, query.limit), "session_id").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= EXCERPTS)
     return kept
 
 
@@ -163,7 +168,7 @@ def search(corpus: Corpus, query: Query, stems: bool = True, words: bool = True,
     none = F.lit(0).cast("long")
     meta = corpus.sessions.select("session_id", "agent", "session_uid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("workspace", "title", "summary")), *(F.coalesce(c, none).alias(c) for c in ("started_at", "ended_at")))
     excerpts = F.transform("all", lambda e: F.struct(*(e[c].alias(c) for c in ("ordinal", "role")), F.coalesce(e["ts"], none).alias("ts"), *(e[c].alias(c) for c in ("snippet", "score"))))
-    out = meta.join(F.broadcast(folded), "session_id").select(
+    out = meta.join(small(folded, query.limit), "session_id").select(
         *meta.columns, F.col("session_score").alias("score"), "match_count", excerpts.alias("excerpts")
     )
     return out.orderBy("score", "session_id")

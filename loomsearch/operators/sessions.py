@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import cut_bytes
 from ..model import Corpus, Query, SessionFilter, cite, normalize_agent, normalize_role, parse_ref
-from .search import search
+from .search import search, small
 
 SPAN, SEED_LEAST, SEED_MOST = 3, 20, 300
 CUT_MARK = "…[truncated]"
@@ -49,7 +49,7 @@ def list_sessions(corpus: Corpus, f: SessionFilter) -> DataFrame:
     way = F.asc if f.order == "asc" else F.desc
     by = last_time()
     page = select_sessions(corpus, f).withColumn("__at", by).orderBy(way("__at"), way("session_id")).offset(max(0, f.offset)).limit(f.limit if f.limit > 0 else 50)
-    counts = corpus.messages.join(F.broadcast(page.select("session_id")), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
+    counts = corpus.messages.join(small(page.select("session_id"), f.limit), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
     out = page.join(counts, "session_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long")))
     return out.orderBy(way("__at"), way("session_id")).drop("__at")
 
@@ -131,8 +131,8 @@ def rag_context(corpus: Corpus, query: Query, span: int = 2, stems: bool = True)
     found = search(corpus, query, stems=stems, snippets=False)
     place = Window.orderBy("score", "session_id")
     top = found.withColumn("rank", F.row_number().over(place)).select("rank", "session_id", "agent", "session_uid", "title", F.col("excerpts")[0]["ordinal"].alias("anchor"))
-    rows = expand(F.broadcast(top.select("session_id", "anchor")), corpus.messages, span)
-    out = rows.join(F.broadcast(top.drop("anchor")), "session_id")
+    rows = expand(small(top.select("session_id", "anchor"), query.limit), corpus.messages, span)
+    out = rows.join(small(top.drop("anchor"), query.limit), "session_id")
     return out.select("rank", cite(F.col("agent"), F.col("session_uid"), F.col("ordinal")).alias("cite"), "agent", "session_uid", "title", "ordinal", "role", "ts", "content").orderBy("rank", "ordinal")
 
 
@@ -172,11 +172,23 @@ def related(corpus: Corpus, ref: str, limit: int = 10, **options) -> DataFrame:
     return search(corpus, Query(text, limit=limit), exclude_uid=uid["session_uid"], **options)
 
 
-def session_rows(listed: DataFrame, offset: int = 0) -> DataFrame:
-    """``list_sessions`` rows as they are shown: with a cite token and a position, without empty fields."""
-    way = Window.orderBy(F.monotonically_increasing_id())
+def session_rows(listed: DataFrame, offset: int = 0, order: str = "desc") -> DataFrame:
+    """``list_sessions`` rows as they are shown: with a cite token and their position in the list (of the same ``order``), without empty fields."""
+    way = F.asc if order == "asc" else F.desc
+    place = Window.orderBy(way(last_time()), way("session_id"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
     return listed.select(
         cite(F.col("agent"), F.col("session_uid")).alias("cite"), "agent", F.col("session_uid").alias("uid"), blank("title"), blank("summary"), blank("workspace"),
-        "started_at", "ended_at", "message_count", (F.row_number().over(way) + max(0, offset)).cast("int").alias("rank"),
+        "started_at", "ended_at", "message_count", (F.row_number().over(place) + max(0, offset)).cast("int").alias("rank"),
     )
+
+
+#: Seconds after which what an agent last said counts as old.
+STALE_S = 1800
+
+
+def doctor(sessions: DataFrame, messages: DataFrame, now: int) -> DataFrame:
+    """``agent, sessions, messages, latest, age, stale``: what is there of each agent, and how fresh it is at ``now`` (unix seconds)."""
+    rows = stats(Corpus(sessions, messages))
+    age = F.lit(now) - F.col("latest")
+    return rows.select("agent", "sessions", "messages", "latest", age.cast("long").alias("age"), (age > STALE_S).alias("stale"))

@@ -16,6 +16,7 @@ from ..operators.index import SearchIndex
 from ..operators.redact_rules import GENERIC_TOKEN, default_rules
 from ..storage import shared_dir
 from ..streaming import ingest as streaming
+from . import transcripts
 
 #: Search terms that the conversations have.
 TERM, SECOND, PREFIX, PHRASE = "attion", "anndst", "anthh", "of the"
@@ -395,3 +396,6 @@ ORACLE_SQL: dict[str, str] = {
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
 }
 ORACLE_SQL |= {f"{name}_indexed": ORACLE_SQL[name] for name in ("search_word", "search_word_prefix", "search_phrase", "search_stemmed")}
+
+QUERIES |= transcripts.QUERIES
+ORACLE_SQL |= transcripts.ORACLE_SQL

@@ -7,6 +7,7 @@ turns into sessions and messages.
 
 from __future__ import annotations
 
+import re
 import sqlite3
 import tempfile
 import time
@@ -41,12 +42,19 @@ def _binary(spark: SparkSession, pattern: str, recursive: bool, name: str | None
     return reader.load(pattern)
 
 
+def _named(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files of these paths, whatever characters their names have."""
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
 def _parsed(files: DataFrame, agent: str, parser: Callable[[str, bytes, int], Iterator[dict]], offsets: DataFrame | None) -> DataFrame:
-    own = files.select(F.col("path").alias("source_path"), "content", (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.col("length").alias("size"))
+    """Parsed files, and a row without a role for each that has bad lines (``sub`` of them); with ``offsets``, only those that are due are read. Their names come to the driver, which lists all files anyway."""
     if offsets is not None:
-        own = own.join(F.broadcast(offsets.where("action != 'skip'").select("source_path", F.col("offset").alias("from"))), "source_path")
-    else:
-        own = own.withColumn("from", F.lit(0).cast("long"))
+        due = offsets.where("action != 'skip'").select("source_path", F.col("offset").alias("from"))
+        files = _named(files.sparkSession, [r["source_path"] for r in due.select("source_path").collect()])
+    own = files.select(F.col("path").alias("source_path"), "content", (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.col("length").alias("size"))
+    own = own.join(due, "source_path") if offsets is not None else own.withColumn("from", F.lit(0).cast("long"))
     own = own.select("source_path", "content", "mtime", "size", "from")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +63,8 @@ def _parsed(files: DataFrame, agent: str, parser: Callable[[str, bytes, int], It
                 path, data, mtime, size, begin = (c[k].as_py() for c in batch.columns)
                 extra = {"agent": agent, "source_path": path, "source_mtime_ns": mtime, "source_size": size}
                 rows = [r | extra for r in parser(path, data, begin)]
+                if bad := parse.bad_lines(data, begin):
+                    rows.append({"sub": bad, "source_offset": begin} | extra)  # a row without a role tells how many lines were no records
                 if rows:
                     yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in PARSED.names} for r in rows], schema=_ARROW)
 

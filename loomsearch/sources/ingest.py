@@ -6,6 +6,7 @@ parts gives what reading it at once gives.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -93,7 +94,7 @@ def _work(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None) -> Tables:
+def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None, report: list[dict] | None = None) -> Tables:
     """The next version of all tables after reading the sources in ``roots`` (by agent).
 
     The tables are written to ``work`` after each source, so that a later one
@@ -102,28 +103,47 @@ def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = N
     Unchanged files are skipped, shortened ones replace what they gave before,
     and longer ones are read from where the last whole line ended. ``full``
     starts from nothing. Histories come last, for sessions not known otherwise.
+    ``report`` gets a row for each source: ``sessions`` touched, messages
+    ``offered`` (known ones included), ``errors`` (lines that are no records)
+    and ``seconds``.
     """
     now = tables if tables is not None and not full else Tables.empty(spark)
     work = work or _work(spark)
+
+    def note(source: str):
+        began = time.monotonic()
+
+        def told(parsed: DataFrame) -> None:
+            if report is not None:
+                said = F.col("role").isNotNull()
+                row = parsed.agg(F.count_distinct(F.when(said, F.col("session_uid"))).alias("sessions"), F.count(F.when(said, 1)).alias("offered"), F.coalesce(F.sum(F.when(~said, F.col("sub"))), F.lit(0)).alias("errors")).first()
+                report.append({"source": source, **row.asDict(), "seconds": round(time.monotonic() - began, 3)})
+
+        return told
+
     readers = {"claude_code": files.session_files, "codex": files.rollout_files}
     patterns = {"claude_code": ("{}/*/*.jsonl", False, None), "codex": ("{}/sessions", True, "rollout-*.jsonl")}
     for agent, reader in readers.items():
         if agent in roots:
             pattern, recursive, name = patterns[agent]
-            now = _read_source(now, files.listing(spark, pattern.format(roots[agent]), recursive, name), lambda offsets, r=reader, a=agent: r(spark, roots[a], offsets), rules, redact, work).write(f"{work}/{agent}")
+            now = _read_source(now, files.listing(spark, pattern.format(roots[agent]), recursive, name), lambda offsets, r=reader, a=agent: r(spark, roots[a], offsets), rules, redact, work, note(agent)).write(f"{work}/{agent}")
     if "cursor" in roots:
-        now = _read_composers(spark, now, roots["cursor"], rules, redact, work).write(f"{work}/cursor")
+        now = _read_composers(spark, now, roots["cursor"], rules, redact, work, note("cursor")).write(f"{work}/cursor")
     if "codex" in roots:
-        history = merge.unknown_only(files.history_files(spark, roots["codex"]), now.sessions)
-        now = merge_parsed(now, history.select(*files.PARSED.names), None, rules, redact, work).write(f"{work}/history")
+        history = merge.unknown_only(files.history_files(spark, roots["codex"]).where("role is not null"), now.sessions)
+        history = _kept(history.select(*files.PARSED.names), work, "history")
+        note("history")(history)
+        now = merge_parsed(now, history, None, rules, redact, work).write(f"{work}/history")
     return now
 
 
-def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool, work: str) -> Tables:
+def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool, work: str, note) -> Tables:
     decided = merge.decide(listed, now.state)
     gone = decided.where("truncate").select("source_path")
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
     parsed = _kept(reader(decided), work, "read")
+    note(parsed)
+    parsed = parsed.where("role is not null")
     state = decided.select("source_path", "mtime_ns", "size", F.when(F.col("action") == "skip", F.col("size")).otherwise(F.lit(0)).cast("long").alias("last_offset"), F.lit("").alias("fingerprint"))
     merged = merge_parsed(now, parsed, None, rules, redact, work)
     ends = parsed.groupBy("source_path").agg(F.max("source_offset").alias("end"))
@@ -131,10 +151,12 @@ def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool, wo
     return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
 
 
-def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str) -> Tables:
+def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str, note) -> Tables:
     prefix = "cursor:composer:"
     counts = now.state.where(F.startswith("source_path", F.lit(prefix))).select(F.substring("source_path", len(prefix) + 1, 1 << 20).alias("session_uid"), F.regexp_extract("fingerprint", r"count=(\d+)", 1).try_cast("int").alias("n"))
     sessions, parsed = files.composers(spark, root, counts)
+    parsed = _kept(parsed, work, "read")
+    note(parsed)
     path = F.concat(F.lit(prefix), "session_uid")
     gone = sessions.where("action = 'restart'").select(path.alias("source_path"))
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))

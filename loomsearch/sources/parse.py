@@ -46,6 +46,12 @@ def lines(data: bytes, offset: int = 0) -> Iterator[tuple[int, dict]]:
         at = end + 1
 
 
+def bad_lines(data: bytes, offset: int = 0) -> int:
+    """How many whole lines from ``offset`` say something that is no record, or are too long."""
+    whole = [x for x in data[offset : consumed(data)].split(b"\n") if x.strip()]
+    return len(whole) - sum(1 for _ in lines(data, offset))
+
+
 def consumed(data: bytes) -> int:
     """The offset after the last whole line."""
     return data.rfind(b"\n") + 1
