@@ -2,11 +2,12 @@
 
 Words fall into ``CLASSES`` classes: the most frequent words have one each,
 all others share classes by length and make-up. The network sees the classes
-left and right of a hidden token. In a shared class, a word has the share of
-the corpus that it has in the class, so every word has a probability of its
-own; the counts of words grow with the corpus and are met in a join, except for
-the ``MOST_HELD`` most frequent ones, which every task holds. A text's score is
-the sum of the log-probabilities of its tokens.
+left and right of a hidden token. In a shared class, a word has the share that
+it has of the class in all other texts, smoothed by ``UNSEEN`` occurrences of
+every word and of all that never occur together, so every word has a probability of its own and
+a text does not vouch for itself. The counts of words grow with the corpus and
+are met in a join, except for the ``MOST_HELD`` most frequent ones, which every
+task holds. A text's score is the sum of the log-probabilities of its tokens.
 
 Classes are learned from counts of (left, token, right), over all tokens of
 all texts; their table has at most ``CLASSES ** 3`` rows however large the
@@ -37,6 +38,7 @@ CLASSES, SHAPES, HIDDEN = 256, 64, 24
 MOST_HELD = 50_000
 #: Logarithms of counts are summed as whole numbers of this size, so that the order of rows does not matter.
 FINE = 1_000_000_000
+UNSEEN = 0.1
 #: Rounds of training, passes over the counts in each, and parts that learn side by side and are then averaged.
 ROUNDS, PASSES, PARTS = 3, 6, 8
 #: Contexts in a step, and steps that a round has at least, however few contexts there are.
@@ -55,8 +57,8 @@ def shape_of(word: bytes) -> int:
 class Network:
     """Weights, and which words have a class of their own. ``token`` names it in worker processes.
 
-    ``totals``: tokens of the corpus in each shared class; ``held``: the logarithms of the most frequent words' counts there;
-    ``counts``: ``word, fine`` of all others that occur more than once (a table, which does not travel to workers).
+    ``totals`` and ``kinds``: tokens of the corpus in each shared class and different words among them; ``held``: the most frequent words' counts there;
+    ``counts``: ``word, n`` of all others (a table, which does not travel to workers).
     """
 
     words: list[bytes]
@@ -67,7 +69,8 @@ class Network:
     out_bias: np.ndarray
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
     totals: np.ndarray = field(default_factory=lambda: np.zeros(SHAPES + 1))
-    held: dict[bytes, float] = field(default_factory=dict)
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(SHAPES + 1))
+    held: dict[bytes, int] = field(default_factory=dict)
     counts: DataFrame | None = None
 
     def parameters(self) -> list[np.ndarray]:
@@ -79,6 +82,10 @@ class Network:
         scores -= scores.max(axis=1, keepdims=True)
         return hidden, scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
+    def rest(self, own: np.ndarray) -> np.ndarray:
+        """The logarithm of what is shared out in each shared class, to a text that has ``own`` tokens of each."""
+        return np.log(np.maximum(self.totals - own, 0) + UNSEEN * (self.kinds + 1))
+
     def table(self) -> np.ndarray:
         """Log-probabilities of every class in every context, ``[left, right, class]``."""
         out = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
@@ -201,15 +208,16 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
     own = CLASSES - SHAPES - 1
     counted = staged(word_counts(docs, text_col), "words")
     first = most_frequent(counted, own + MOST_HELD)
-    words, held = [w for w, _ in first[:own]], {w: float(np.log(n)) for w, n in first[own:]}
-    totals = np.zeros(SHAPES + 1)
-    for row in counted.groupBy("shape").agg(F.sum("n").alias("n")).collect():
-        totals[row["shape"]] = row["n"]
+    words, held = [w for w, _ in first[:own]], dict(first[own:])
+    totals, kinds = np.zeros(SHAPES + 1), np.zeros(SHAPES + 1)
+    for row in counted.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        totals[row["shape"]], kinds[row["shape"]] = row["n"], row["kinds"]
     for w, n in first[:own]:
         totals[shape_of(w)] -= n
+        kinds[shape_of(w)] -= 1
     last = first[-1][1] if first else 0
     # Words as frequent as the last one held may be held or not; a held one is never looked up here.
-    others = counted.where((F.col("n") > 1) & (F.col("n") <= last)).select("word", F.round(F.log("n") * FINE).cast("long").alias("fine"))
+    others = counted.where(F.col("n") <= last).select("word", "n")
     rng = np.random.default_rng(seed)
     shapes = ((CLASSES, HIDDEN), (CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
     network = Network(words, *(rng.normal(0, 0.1, s) for s in shapes))
@@ -232,7 +240,7 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
             mean = sum(np.frombuffer(p) * w for p, w in parts) / sum(w for _, w in parts)
             cut = np.split(mean, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
             network = Network(words, *(c.reshape(s) for c, s in zip(cut, shapes, strict=True)))
-    return replace(network, totals=totals, held=held, counts=others)
+    return replace(network, totals=totals, kinds=kinds, held=held, counts=others)
 
 
 _TABLES: dict[str, tuple[Classes, np.ndarray]] = {}
@@ -246,13 +254,15 @@ def _ready(network: Network) -> tuple[Classes, np.ndarray]:
     return _TABLES[network.token]
 
 
-def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", leave_out: bool = True) -> DataFrame:
     """``id, n_words, log_prob`` (sum) of every row and ``mean_log_prob``.
 
-    In a shared class of ``t`` tokens of the corpus, a word that occurs ``n``
-    times has n / (t + 1), and all that never occur together 1 / (t + 1). One
-    scan; only words that no task holds are shuffled to their counts, once for
-    each text that has them.
+    In a shared class of ``t`` tokens and ``k`` different words in all other
+    texts, a word that occurs ``n`` times there has (n + u) / (t + u (k + 1)),
+    and all that never occur together u / (t + u (k + 1)), u being ``UNSEEN``.
+    Without ``leave_out``, for texts that the network was not trained on, the
+    corpus takes the place of all other texts. One scan; only words that no
+    task holds are shuffled to their counts, once for each text that has them.
 
     Null, empty and wordless texts have no tokens, a sum of 0 and no mean;
     repeated rows are scored alike; an empty table gives an empty result.
@@ -264,9 +274,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, table = _ready(sent.value)
-        held, rest = sent.value.held, np.zeros(CLASSES)
-        rest[: SHAPES + 1] = np.log(sent.value.totals + 1)
-        rest[EDGE] = 0
+        network, held, never = sent.value, sent.value.held, float(np.log(UNSEEN))
         for whole in batches:
             for batch in in_slices(whole, 1):
                 sizes, sums, others, times = [], [], [], []
@@ -276,11 +284,16 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
                     sizes.append(len(c) - 2)
                     inner = c[1:-1]
                     shared = Counter([words[k] for k in np.flatnonzero(inner <= SHAPES).tolist()])
-                    known = sum(n * held[w] for w, n in shared.items() if w in held)
+                    met = [(n, held[w]) for w, n in shared.items() if w in held]
                     far = [w for w in shared if w not in held]
                     others.append(far)
                     times.append([shared[w] for w in far])
-                    sums.append(float(table[c[:-2], c[2:], inner].sum(dtype=np.float64) - rest[inner].sum() + known))
+                    own = np.bincount(inner[inner <= SHAPES], minlength=SHAPES + 1)
+                    words_sum = never * sum(times[-1])
+                    if met:
+                        n, of = np.array(met, float).T
+                        words_sum += float((n * np.log(np.maximum(of - leave_out * n, 0) + UNSEEN)).sum())
+                    sums.append(float(table[c[:-2], c[2:], inner].sum(dtype=np.float64)) - float(own @ network.rest(leave_out * own)) + words_sum)
                 columns = [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], schema.names)
 
@@ -288,7 +301,10 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     if counts is not None:
         scored = staged(scored, "scored")
         asked = scored.select("nth", F.explode(F.arrays_zip("word", "times")).alias("w")).select("nth", F.col("w.word").alias("word"), F.col("w.times").alias("times"))
-        more = asked.join(counts, "word").groupBy("nth").agg(F.sum(F.col("times") * F.col("fine")).alias("more"))
+        # What a word has beyond UNSEEN; a word of this text alone is not in the other texts.
+        others = F.col("n") - (F.col("times") if leave_out else F.lit(0))
+        gain = F.round(F.log(others / UNSEEN + 1) * FINE).cast("long")
+        more = asked.join(counts, "word").where(others > 0).groupBy("nth").agg(F.sum(F.col("times") * gain).alias("more"))
         scored = scored.join(more, "nth", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("more") / FINE, F.lit(0.0)))
     scored = scored.select("id", "n_words", "log_prob")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
