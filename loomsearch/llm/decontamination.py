@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, only
+from .common import map_arrow, only, staged
 from .tokens import in_slices
 
 WINDOW = 10
@@ -42,7 +42,7 @@ class Automaton:
     items that are the state's own longest or a shorter stretch of it.
     """
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link = array("q", [-1])
@@ -138,7 +138,7 @@ class Automaton:
 class Matcher:
     """One automaton with its vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.numbers: dict[bytes, int] = {}
         numbered = [(name, [self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)]) for name, text in items]
         self.automaton = Automaton(numbered, window)
@@ -155,7 +155,7 @@ class Matcher:
         items: set[int] = set()
         for begin, end in edge.reshape(-1, 2)[np.diff(edge)[::2] >= self.automaton.least] if len(edge) else ():
             self.automaton.stream(at[begin:end].tolist(), int(begin), spans, items)
-        return spans, [self.automaton.names[k] for k in items]
+        return spans, [name for k in items if (name := self.automaton.names[k]) is not None]
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -168,18 +168,18 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int) -> list[list[Row]]:
-    """The items in blocks of bounded size. They arrive one partition at a time; a block is all that an automaton holds."""
-    blocks: list[list[Row]] = [[]]
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_words: int) -> Iterator[list[Row]]:
+    """The items in blocks of bounded size. They arrive one partition at a time, and only a block is held."""
+    block: list[Row] = []
     size = 0
-    for row in only(benchmark, item=item_col, text=text_col).where("text is not null and item is not null").select(F.col("item").cast("string"), "text").toLocalIterator():
+    for row in only(benchmark, item=item_col, text=text_col).where("text is not null").select(F.col("item").cast("string"), "text").toLocalIterator():
         n = len(row["text"]) // 4 + 1
-        if blocks[-1] and size + n > most_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(row)
+        if block and size + n > most_words:
+            yield block
+            block, size = [], 0
+        block.append(row)
         size += n
-    return blocks
+    yield block
 
 
 def find_leaks(
@@ -187,15 +187,19 @@ def find_leaks(
 ) -> DataFrame:
     """``id, n_words, spans (of words, from and to), items`` of every document, and the columns in ``keep``.
 
-    One scan for every block of items (nearly always one), no shuffle. Null
-    and empty texts have no words; null or wordless items never occur; items
-    with one name count once; repeated rows are rows of their own.
+    One scan for every block of items (nearly always one), no shuffle; between
+    blocks the result is written, and the block before is let go. Null and
+    empty texts have no words; items without text or words never occur; items
+    without a name are looked for like others and not listed; items with one
+    name count once; repeated rows are rows of their own.
     """
     spark = docs.sparkSession
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.lit([]).cast("array<array<int>>").alias("spans"), F.lit([]).cast("array<string>").alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
-    for block in item_blocks(benchmark, item_col, item_text_col, most_words):
+    blocks = item_blocks(benchmark, item_col, item_text_col, most_words)
+    block = next(blocks)
+    while block is not None:
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], r["text"]) for r in block]))
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -214,6 +218,10 @@ def find_leaks(
                     yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
 
         out = map_arrow(out, step, schema)
+        block = next(blocks, None)
+        if block is not None:
+            out = staged(out, "leaks")
+            sent.destroy()
     return out
 
 

@@ -29,7 +29,7 @@ MOST_LABELLED = 20_000
 #: The most frequent buckets take part whatever the labels say, for what they tell may lie in pairs alone; so do rarer ones (of ``LEAST_ROWS`` rows
 #: and more, as one row tells nothing) whose share among the classes differs by ``LEAST_Z`` standard errors, the strongest first, up to ``MOST_ACTIVE``.
 MOST_FREQUENT, LEAST_ROWS, LEAST_Z, MOST_ACTIVE = 4_000, 5, 4.0, 24_000
-#: How strongly parameters are drawn to nothing: what serves rows best that a fit on ``TRIED`` rows has not seen.
+#: How strongly parameters are drawn to nothing; which of these, and of two sets of terms, is a matter of at most ``TRIED`` rows.
 ROUNDS, DECAYS, TRIED = 120, (1e-3, 30.0), 2_500
 _WORD = re.compile(r"\w+")
 
@@ -127,16 +127,25 @@ def rows_of(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(begins - (out - sizes), sizes) + np.arange(int(out[-1]) if len(out) else 0)], out
 
 
-def best_decay(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, seed: int = 7) -> float:
-    """Of ``DECAYS``, the one with the least loss on a fifth of at most ``TRIED`` rows after a fit on the others."""
+def fit_best(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, telling: np.ndarray, seed: int = 7) -> Machine:
+    """Fits all rows in the way that serves rows best that a fit has not seen: a fifth of at most ``TRIED`` rows, after a fit on the others.
+
+    The ways are all terms with each of ``DECAYS``, or only those that are
+    ``telling`` (a mask), which is best where there are few rows for many terms.
+    """
     picked = np.random.default_rng(seed).permutation(len(y))[:TRIED]
     fitted, checked = picked[len(picked) // 5 :], picked[: len(picked) // 5]
+    only = np.where(telling, np.cumsum(telling) - 1, -1)[flat] if len(flat) else flat
+    few = only[only >= 0].astype(np.int32)
+    few_ends = np.concatenate(([0], np.cumsum(only >= 0)))[ends] if len(ends) else ends
+    ways = [(flat, ends, active, decay) for decay in DECAYS] + [(few, few_ends, active[telling], DECAYS[0])]
     losses = []
-    for decay in DECAYS:
-        machine = fit_places(*rows_of(flat, ends, fitted), y[fitted], active, decay=decay, seed=seed)
-        odds = np.clip(machine.log_odds(*rows_of(flat, ends, checked)), -40, 40)
+    for places, cuts, terms, decay in ways:
+        machine = fit_places(*rows_of(places, cuts, fitted), y[fitted], terms, decay=decay, seed=seed)
+        odds = np.clip(machine.log_odds(*rows_of(places, cuts, checked)), -40, 40)
         losses.append(float((np.logaddexp(0, odds) - y[checked] * odds).sum()))
-    return DECAYS[int(np.argmin(losses))]
+    places, cuts, terms, decay = ways[int(np.argmin(losses))]
+    return fit_places(places, cuts, y, terms, decay=decay, seed=seed)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Machine:
@@ -144,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Only the ids and labels of that sample are broadcast, and only the
     buckets that take part and the sample's places in them reach the driver.
-    Which buckets take part is a matter of how frequent they are, so a pair of
-    terms can tell what neither tells alone; the labels only add rare ones.
+    Frequent buckets take part whatever the labels say, so a pair of terms can
+    tell what neither tells alone, and the labels add rare ones; only where
+    unseen rows are served better by it, the frequent ones stay out.
     Ids or labels that are null, and labels other than 0 and 1, do not count;
     an id labelled more than once is toxic if any label says so.
     """
@@ -163,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = staged(map_arrow(sample, terms, "y int, h long, terms array<int>"), "labelled-terms")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    active = np.zeros(0, np.int64)
+    active = telling = np.zeros(0, np.int64)
     if n1 and n0:
         counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
         share = F.col("n") / (n1 + n0)
@@ -171,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         enough = counts.where(F.col("n") >= LEAST_ROWS)
         frequent = enough.orderBy(F.desc("n"), "term").limit(MOST_FREQUENT).select("term")
         telling = enough.select("term", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_ACTIVE - MOST_FREQUENT).select("term")
-        active = np.array(sorted({r["term"] for found in (frequent, telling) for r in found.collect()}), np.int64)
+        telling = np.array([r["term"] for r in telling.collect()], np.int64)
+        active = np.union1d(telling, np.array([r["term"] for r in frequent.collect()], np.int64))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.full(BUCKETS, -1, np.int32)
@@ -186,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ends = np.cumsum(pc.list_value_length(told.column("places")).to_numpy())
     y = told.column("y").to_numpy().astype(float)
     del told
-    return fit_places(flat, ends, y, active, decay=best_decay(flat, ends, y, active))
+    return fit_best(flat, ends, y, active, np.isin(active, telling))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -133,6 +133,7 @@ def test_leaks_in_odd_rows(spark, odd_docs, no_docs, prose):
     for most in (10**6, 3):  # one block, and a block for each item
         got = {r["id"]: r for r in decontamination.find_leaks(docs, bench, most_words=most).collect()}
         assert got[1]["spans"] == [[1, 16]] and got[1]["items"] == ["b1"] and got[3]["items"] == ["b2"] and not got[2]["items"] and not got[5]["items"]
+        assert [0, 1] in got[3]["spans"]  # an item without a name is found, and not listed
     left = {r["id"]: r["text"] for r in decontamination.remove_leaks(decontamination.find_leaks(docs, bench)).collect()}
     assert set(left) == {2, 3, 5} and left[3] == "x y z u v w " + short + " y"
     kept = {r["id"]: r["text"] for r in decontamination.remove_leaks(decontamination.find_leaks(docs, bench), most_coverage=0.95).collect()}
