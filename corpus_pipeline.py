@@ -3,6 +3,14 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs,
 sf_dir), works on all that its predecessor kept and returns a table that is
 written as Parquet and read again as the next one's ``docs``.
+
+Nulls may be in any column. A null text scores like an empty one, is near
+nothing, has no passages and is packed as an end id; null and empty texts stay.
+Exact copies, those of empty texts included, are one group, of which one row
+stays. Very long texts are worked on whole. Further columns, whatever they are
+called, are left behind by the first stage; an empty table goes through all
+stages and gives an empty result. Passages of items of fewer than ten words are
+not cut, for they stand in clean texts too; they only count towards the half.
 """
 
 from __future__ import annotations
