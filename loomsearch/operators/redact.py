@@ -1,7 +1,7 @@
 """Redaction: secrets become ``[REDACTED:id]``, one rule after the other on what the rules before have left.
 
-A row is handed to Python only if a hint of some rule stands in it, which the
-JVM finds with one pattern, and there only the rules whose hints it has run.
+Texts travel in Arrow batches. Of a text, only the rules run whose hints it has;
+one automaton finds the hints of all rules in a pass over the text.
 """
 
 from __future__ import annotations
@@ -9,19 +9,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .redact_rules import Rule, default_rules
 
 
+#: Hexadecimal digits become 1, all other bytes 0.
+_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
+
+
 class Redactor:
     def __init__(self, rules: Iterable[Rule] | None = None):
         self.rules = list(default_rules() if rules is None else rules)
         self._compiled: list[tuple[Rule, re.Pattern]] | None = None
+        self._finder: ahocorasick.Automaton | None = None
 
     def __getstate__(self):
-        return {"rules": self.rules, "_compiled": None}
+        return {"rules": self.rules, "_compiled": None, "_finder": None}
 
     @property
     def compiled(self) -> list[tuple[Rule, re.Pattern]]:
@@ -30,9 +36,29 @@ class Redactor:
             self._compiled = [(r, re.compile(r.pattern, re.ASCII)) for r in self.rules]
         return self._compiled
 
-    def _due(self, text: str) -> Iterable[tuple[Rule, re.Pattern]]:
-        low = text.lower()
-        return (x for x in self.compiled if not x[0].hints or any(h in low for h in x[0].hints))
+    @property
+    def finder(self) -> ahocorasick.Automaton:
+        """All hints at once, each with the numbers of the rules that have it."""
+        if self._finder is None:
+            by_hint: dict[str, list[int]] = {}
+            for n, rule in enumerate(self.rules):
+                for hint in rule.hints:
+                    by_hint.setdefault(hint, []).append(n)
+            self._finder = ahocorasick.Automaton()
+            for hint, numbers in by_hint.items():
+                self._finder.add_word(hint, tuple(numbers))
+            if by_hint:
+                self._finder.make_automaton()
+            self._others = [n for n, r in enumerate(self.rules) if not r.hints]
+        return self._finder
+
+    def _due(self, text: str) -> list[tuple[Rule, re.Pattern]]:
+        low, finder = text.lower(), self.finder
+        due = {n for _, numbers in finder.iter(low) for n in numbers} if len(finder) else set()
+        if self._others:
+            digits = low.encode("utf-8", "replace").translate(_HEX)
+            due.update(n for n in self._others if b"1" * self.rules[n].run in digits)
+        return [self.compiled[n] for n in sorted(due)]
 
     def redact(self, text: str) -> str:
         """All rules in order, and again while that changes anything: a secret may begin only where another one has gone."""
@@ -62,13 +88,6 @@ class Redactor:
     def has_secret(self, text: str) -> bool:
         return any(pattern.search(text) for _, pattern in self._due(text))
 
-    def hinted(self, text: Column) -> Column:
-        """Whether any rule may match at all."""
-        hints = sorted({h for r in self.rules for h in r.hints})
-        if not all(r.hints for r in self.rules):
-            return text.isNotNull()
-        return text.rlike("(?i)" + "|".join(re.sub(r"([^\w\s]|_)", r"\\\1", h) for h in hints))
-
     def column(self, text: Column) -> Column:
         """``text`` redacted; null stays null."""
 
@@ -76,14 +95,14 @@ class Redactor:
         def clean(texts):
             return texts.map(lambda t: None if t is None else self.redact(t))
 
-        return F.coalesce(clean(F.when(self.hinted(text), text)), text)
+        return clean(text)
 
     def flag(self, text: Column) -> Column:
         @F.pandas_udf("boolean")
         def find(texts):
             return texts.map(lambda t: t is not None and self.has_secret(t))
 
-        return F.coalesce(find(F.when(self.hinted(text), text)), F.lit(False))
+        return find(text)
 
 
 def redact_columns(df: DataFrame, columns: tuple[str, ...], rules: Iterable[Rule] | None = None) -> DataFrame:
