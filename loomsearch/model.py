@@ -30,9 +30,15 @@ AGENT_ALIASES = {"all": "", "cc": "claude_code", "claude": "claude_code", "cdx":
 ROLE_ALIASES = {"all": "", "user": "user", "u": "user", "human": "user", "assistant": "assistant", "a": "assistant", "ai": "assistant", "asst": "assistant", "thinking": "thinking", "t": "thinking", "thnk": "thinking", "think": "thinking", "tool": "tool"}
 CITE = re.compile(r"^(cc|cdx|cur)/[0-9a-f]{8}:\d+$")
 
-#: Results when no limit is asked for, by surface, and the largest limits that a tool server accepts.
+# Results when no limit is asked for, by surface, and the largest limits that are accepted where there is one.
 DEFAULT_LIMITS = {"search": 20, "sessions": 50, "related": 10, "ask": 6, "web_search": 50, "web_sessions": 100, "tui": 100}
-LARGEST_LIMITS = {"search": 200, "sessions": 500}
+LARGEST_LIMITS = {"search": 200, "sessions": 500, "related": 200, "web_search": 500, "web_sessions": 500}
+
+
+def capped(limit: int | None, surface: str) -> int:
+    """The limit that a surface works with: its own where none above 0 is asked for, and never more than its largest."""
+    asked = limit if limit is not None and limit > 0 else DEFAULT_LIMITS[surface]
+    return min(asked, LARGEST_LIMITS.get(surface, asked))
 
 
 @dataclass(frozen=True)

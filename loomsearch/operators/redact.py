@@ -10,8 +10,9 @@ import re
 from collections.abc import Iterable
 
 import ahocorasick
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .redact_rules import Rule, default_rules
 
@@ -111,6 +112,15 @@ def redact_columns(df: DataFrame, columns: tuple[str, ...], rules: Iterable[Rule
     return df.withColumns({c: redactor.column(F.col(c)) for c in columns})
 
 
-def redact_lines(lines: DataFrame, rules: Iterable[Rule] | None = None) -> DataFrame:
-    """A redacted copy of raw lines (column ``value``); sources themselves are never rewritten."""
-    return redact_columns(lines, ("value",), rules)
+def write_redacted(spark: SparkSession, pattern: str, target: str, rules: Iterable[Rule] | None = None) -> DataFrame:
+    """A redacted copy of the lines of text files below ``target``, in a folder for each source file; sources themselves are never rewritten.
+
+    Lines keep their order: a file is read whole by one task or in stretches,
+    and its stretches are sorted by where they begin. Gives the lines back
+    (``source_path, line, value``, ``line`` from 0).
+    """
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("nth"), "value")
+    place = Window.partitionBy("source_path").orderBy("begin", "nth")
+    redacted = redact_columns(lines, ("value",), rules).withColumn("line", (F.row_number().over(place) - 1).cast("long"))
+    redacted.select("source_path", "line", "value").write.mode("overwrite").partitionBy("source_path").parquet(target)
+    return spark.read.parquet(target).select("source_path", "line", "value")

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cut_bytes
+from ..functions.text import age_text, cut_bytes
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
@@ -54,3 +54,24 @@ def highlighted(snippet: Column, begin: str = "<mark>", end: str = "</mark>") ->
 def markdown(rows: Iterable) -> str:
     """Messages (``role, content``) under a heading for each."""
     return "\n\n".join(f"### {r['role']}\n\n{r['content']}" for r in rows)
+
+
+def hit_lines(hits: Iterable, begin: str = "", end: str = "") -> str:
+    """Flat hits as text: a session's title and cite once, then its excerpts, matches between ``begin`` and ``end``."""
+    out, rank = [], None
+    for r in hits:
+        if r["rank"] != rank:
+            rank = r["rank"]
+            out.append(f"{rank:>3}. {r['title'] or r['uid']} [{r['agent']}]")
+        snippet = (r["snippet"] or "").replace("«", begin).replace("»", end).replace("\n", " ")
+        out.append(f"     {r['cite']} {r['role']}: {snippet}")
+    return "\n".join(out)
+
+
+def session_lines(rows: Iterable, now: int) -> str:
+    """Session rows as text: position, cite, age, messages and title."""
+    out = []
+    for r in rows:
+        last = r["ended_at"] or r["started_at"] or 0
+        out.append(f"{r['rank']:>3}. {r['cite']} {age_text(now - last) if last else '-':>4} {r['message_count']:>5}  {r['title'] or ''}".rstrip())
+    return "\n".join(out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.porter import stem
+from .. import surface
 from ..model import Corpus, Query, SessionFilter, cite, ref_columns
 from ..operators import merge, redact, render, search, sessions
 from ..operators.index import SearchIndex
@@ -249,6 +250,18 @@ def cite_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.messages.join(c.sessions, "session_id").select("session_id", "ordinal", cite(F.col("agent"), F.col("session_uid"), F.col("ordinal")).alias("cite"))
 
 
+def surface_search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far more is asked for than a search gives: at most 200 sessions."""
+    c = conversations(spark, sf_dir)
+    found = surface.search(c, "anth", limit=1_000_000, index=index_of(spark, sf_dir, "conversations", c.messages))
+    return found.select("cite", "ordinal", "role", F.round("score", 6).alias("score"), F.round("session_score", 6).alias("session_score"), "match_count", "rank")
+
+
+def surface_list_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of an agent's sessions are asked for: at most 500, with their positions."""
+    return surface.list_sessions(events(spark, sf_dir), agent="click", limit=1_000_000, order="asc").select("uid", "started_at", "ended_at", "message_count", "rank")
+
+
 def byte_budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.flat_hits(search.search(conversations(spark, sf_dir), Query(TERM), stems=False, snippets=False)).orderBy("rank", "score")
     return render.budgeted(rows, 2000)
@@ -294,6 +307,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_offset": _searched(Query("anth", limit=7, offset=5), words=False),
     "search_empty": lambda s, d: _flat(search.search(conversations(s, d), Query("  "), stems=False)),
     "search_snippet": lambda s, d: search.flat_hits(search.search(conversations(s, d), Query(TERM))).select("cite", "rank", "snippet"),
+    "surface_search_capped": surface_search_capped,
+    "surface_list_capped": surface_list_capped,
     "list_sessions_desc": lambda s, d: _page(s, d, SessionFilter()),
     "list_sessions_asc": lambda s, d: _page(s, d, SessionFilter(order="asc", limit=20)),
     "list_sessions_window": lambda s, d: _page(s, d, SessionFilter(since=SINCE, until=1706500000, limit=500)),
@@ -358,6 +373,8 @@ ORACLE_SQL: dict[str, str] = {
     "search_filter_until": _search_sql(_ANTH_HITS, where="ts <= 1704250000"),
     "search_offset": _search_sql(_ANTH_HITS, limit=7, offset=5, begin=5),
     "search_empty": _search_sql(_TERM_HITS, where="FALSE"),
+    "surface_search_capped": _search_sql(_hybrid(_prefix("anth"), "anth"), limit=200),
+    "surface_list_capped": f"WITH {_EV} SELECT CAST(session_id AS VARCHAR) AS uid, started_at, ended_at, message_count, CAST(row_number() OVER (ORDER BY ended_at, session_id) AS INTEGER) AS rank FROM es WHERE agent = 'click' ORDER BY rank LIMIT 500",
     "list_sessions_desc": _list_sql(),
     "list_sessions_asc": _list_sql(way="ASC", limit=20),
     "list_sessions_window": _list_sql(f"ended_at >= {SINCE} AND ended_at <= 1706500000", limit=500),
