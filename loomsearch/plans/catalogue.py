@@ -267,6 +267,32 @@ def byte_budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.budgeted(rows, 2000)
 
 
+#: Texts around made secrets: (before, secret from 32 hexadecimal digits, the rule that takes it, after).
+_MADE = (
+    ("use ", "ghp_{h}abcd", "github-pat", " or "), ("", "glpat-{h20}", "gitlab-pat", "; "), ("npm: ", "npm_{h}wxyz", "npm-access-token", " "), ("adafruit_key = ", "{h}", "adafruit-api-key", " "),
+    ("db postgres://app:", "{h}", "url-password", "@db.internal/x "), ("Authorization: Bearer ", "{h}", "bearer-token", "\n"), ("Authorization: Basic ", "{h}==", "basic-auth", "\n"),
+    ("cookie ", "eyJ{h}.eyJ{h}.{h}", "jwt", ", "), ("", "-----BEGIN EC PRIVATE KEY-----\n{h}\n-----END EC PRIVATE KEY-----", "private-key", " end"),
+)
+
+
+def redact_made_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of nine rules in each text, made from a hash of the document's id."""
+    h = F.md5(F.col("doc_id").cast("string"))
+    parts = [F.lit("")]
+    for before, secret, _, after in _MADE:
+        made = F.replace(F.replace(F.lit(secret), F.lit("{h20}"), F.substring(h, 1, 20)), F.lit("{h}"), h)
+        parts += [F.lit(before), made, F.lit(after)]
+    text = F.concat(F.substring(F.translate("text", '"', "'"), 1, 40), F.lit(" | "), *parts)
+    redactor = redact.Redactor()
+    return _read(spark, sf_dir, "documents").select("doc_id", redactor.column(text).alias("text"), redactor.flag(text).alias("secret"))
+
+
+def compact_json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key order, nesting, whole floats, escapes and white space."""
+    nested = F.concat(F.lit('{"z": [1.0, 2.50, true, null, "é"],\n "event": "'), F.col("event_type"), F.lit('", "a": {"k": '), F.get_json_object("props", "$.k"), F.lit('.0, "b": "x<y&z>"}}'))
+    return _read(spark, sf_dir, "events").select("event_id", X.compact_json_text(nested).alias("props"))
+
+
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, streamed from their files into a table that keeps one row for each event."""
     from pyspark.errors import AnalysisException
@@ -342,6 +368,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_runes": lambda s, d: _read(s, d, "documents").select("doc_id", X.truncate_runes(F.col("text"), 80).alias("head"), X.one_line(F.col("text"), 60).alias("line")),
     "timestamp_seconds": lambda s, d: _read(s, d, "events").select("event_id", X.unix_seconds(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("seconds")),
     "redact_documents": lambda s, d: _read(s, d, "documents").select("doc_id", redact.Redactor([GENERIC_TOKEN, *default_rules()]).column(F.col("text")).alias("text")),
+    "redact_made_secrets": redact_made_secrets,
+    "compact_json_nested": compact_json_nested,
     "has_secret": lambda s, d: _read(s, d, "documents").select("doc_id", redact.Redactor([GENERIC_TOKEN, *default_rules()]).flag(F.col("text")).alias("secret")),
     "byte_budget_rows": byte_budget_rows,
     "ingest_stream_available_now": ingest_stream,
@@ -408,6 +436,8 @@ ORACLE_SQL: dict[str, str] = {
     "truncate_runes": "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS head, CASE WHEN length(text) > 60 THEN substr(translate(text, chr(10) || chr(13), '  '), 1, 60) || '…' ELSE translate(text, chr(10) || chr(13), '  ') END AS line FROM documents",
     "timestamp_seconds": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
     "redact_documents": "SELECT doc_id, regexp_replace(text, 'token = \"[0-9a-f]{40}\"', 'token = \"[REDACTED:generic-token]\"', 'g') AS text FROM documents",
+    "redact_made_secrets": "SELECT doc_id, substr(translate(text, chr(34), chr(39)), 1, 40) || ' | ' || " + " || ".join(f"'{b}[REDACTED:{i}]{a}'" for b, _, i, a in _MADE) + " AS text, TRUE AS secret FROM documents",
+    "compact_json_nested": "SELECT event_id, '{\"a\":{\"b\":\"x\\u003cy\\u0026z\\u003e\",\"k\":' || json_extract_string(props, '$.k') || '},\"event\":\"' || event_type || '\",\"z\":[1,2.5,true,null,\"é\"]}' AS props FROM events",
     "has_secret": "SELECT doc_id, regexp_matches(text, 'token = \"[0-9a-f]{40}\"') AS secret FROM documents",
     "ingest_stream_available_now": "SELECT event_id, user_id, event_type, value FROM events",
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
