@@ -5,7 +5,7 @@ block an id is known by its place of first appearance, and its probability is a
 mixture of three distributions over these places:
 
 * order 0: how often each place has been seen in the block, halved now and then;
-* order 1: the two places that have followed the last id, in a table by it;
+* order 1: the place that has followed the last id, in a table by it;
 * order 2: the place that has followed the last two ids, in a table by them.
 
 The weights of the orders adapt: for each confidence of a table's prediction
@@ -52,13 +52,12 @@ class _Model:
         self.row = np.arange(lanes, dtype=np.int64)
         self.levels = [np.zeros((lanes * _FAN**k, _FAN), np.int32) for k in range(3)]
         self.flat = [x.reshape(-1) for x in self.levels]
-        # A slot is one number, so that a look touches one place in memory: (place + 1) * 8 + confidence, for order 1 twice.
-        self.first = np.zeros(lanes * _FIRST, np.int64)
+        # A slot is one number, so that a look touches one place in memory: (place + 1) * 8 + confidence.
+        self.first = np.zeros(lanes * _FIRST, np.int32)
         self.second = np.zeros(lanes * _SECOND, np.int32)
         start = np.array([60, 500, 1200, 1800, 2400, 2900, 3200, 3500])
         self.right2 = np.tile(np.concatenate((start, np.minimum(start * 3 // 2, 3600))), (lanes, 1)).reshape(-1).astype(np.int64)
         self.right1 = np.tile(start // 2, (lanes, 1)).reshape(-1).astype(np.int64)
-        self.other1 = np.tile(start // 3, (lanes, 1)).reshape(-1).astype(np.int64)
         self.fresh = np.full(lanes, _ONE // 2, np.int64)  # the share of ids beside the predicted ones that are new
         self.size = np.zeros(lanes, np.int64)  # places so far
         self.total = np.zeros(lanes, np.int64)
@@ -76,31 +75,32 @@ class _Model:
         self.at1 = row * _FIRST + (last & (_FIRST - 1))
         self.at2 = row * _SECOND + (((last * 0x9E3779B1 + self.before[:k] * 0x85EBCA6B) >> 15) & (_SECOND - 1))
         found1, found2 = self.first[self.at1], self.second[self.at2]
-        self.conf1, self.conf2, self.confo = found1 & 7, found2 & 7, (found1 >> 32) & 7
-        c1, c2, o1 = ((found1 >> 3) & 0x1FFFFFFF) - 1, (found2 >> 3) - 1, (found1 >> 35) - 1
-        self.c1, self.c2, self.o1 = c1, c2, o1
-        self.ctx2 = row * 16 + self.conf2 + 8 * (c2 == c1)
-        self.ctx1, self.ctxo = row * 8 + self.conf1, row * 8 + self.confo
-        self.places = np.stack((c2, np.where(c1 == c2, -1, c1), np.where(o1 == c2, -1, o1)))
+        self.conf1, self.conf2 = found1 & 7, found2 & 7
+        self.c1, self.c2 = c1, c2 = (found1 >> 3) - 1, (found2 >> 3) - 1
+        same = c2 == c1
+        self.ctx2, self.ctx1 = row * 16 + self.conf2 + 8 * same, row * 8 + self.conf1
+        self.places = np.stack((c2, np.where(same, -1, c1)))
         self.known = self.places >= 0
-        shares = np.stack((self.right2[self.ctx2], self.right1[self.ctx1], self.other1[self.ctxo])) * self.known
-        sum_ = shares.sum(axis=0)
-        over = np.maximum(sum_, _ONE - 200)
-        shares = shares * (_ONE - 200) // over
+        shares = np.stack((self.right2[self.ctx2], self.right1[self.ctx1])) * self.known
+        both = shares[0] + shares[1]
+        over = both > _ONE - 200
+        if over.any():
+            shares = np.where(over, shares * (_ONE - 200) // np.maximum(both, 1), shares)
+            both = shares[0] + shares[1]
         at = np.where(self.known, self.places, 0) + row * _FAN**3
         self.taken = self.flat[2][at] * self.known
         self.at = at
         self.taking = taking
         if taking:
             self._move(-self.taken)
-        rest = self.total[:k] - self.taken.sum(axis=0)
+        rest = self.total[:k] - self.taken[0] - self.taken[1]
         total = np.maximum(self.total[:k], 1) << 4
-        mass = self.taken.astype(np.int64) * 16 + total * shares // (_ONE - shares.sum(axis=0)) + self.known
+        mass = self.taken.astype(np.int64) * 16 + total * shares // (_ONE - both) + self.known
         new = (np.maximum(rest, 8) << 4) * self.fresh[:k] // (_ONE - self.fresh[:k]) + 1
-        self.ends = np.cumsum(np.stack((mass[0], mass[1], mass[2], new, rest << 4)), axis=0)
+        self.ends = np.cumsum(np.stack((mass[0], mass[1], new, rest << 4)), axis=0)
 
     def _move(self, by: np.ndarray) -> None:
-        for j in range(3):
+        for j in range(2):
             at, some = self.at[j], by[j]
             self.flat[2][at] += some
             self.flat[1][at >> 5] += some
@@ -113,7 +113,7 @@ class _Model:
         for level, shift in ((0, 10), (1, 5), (2, 0))[self.small :]:
             node = whole >> shift
             out += np.einsum("ij,ij->i", self.levels[level][node >> 5], _UNDER[node & 31])
-        for j in range(3):
+        for j in range(2):
             out -= self.taken[j][lanes] * (self.places[j][lanes] < places)
         return out, self.flat[2][whole].astype(np.int64)
 
@@ -121,18 +121,18 @@ class _Model:
         """The places whose counts reach over ``counts``, with what ``below`` gives of them."""
         node, left, base = lanes * _FAN if self.small else lanes, counts.copy(), np.zeros(len(lanes), np.int64)
         for level in range(self.small, 3):
-            sums = np.cumsum(self.levels[level][node], axis=1)
-            branch = np.minimum((sums <= left[:, None]).sum(axis=1), _FAN - 1)
+            sums = np.cumsum(self.levels[level][node], axis=1, dtype=np.int32)
+            branch = (sums > left[:, None]).argmax(axis=1)
             under = np.where(branch > 0, sums[np.arange(len(node)), branch - 1], 0)
             left, base, node = left - under, base + under, node * _FAN + branch
         return node - lanes * _FAN**3, base, self.flat[2][node].astype(np.int64)
 
     def learn(self, k: int, places: np.ndarray, kind: np.ndarray) -> None:
-        """``places``: those of this step; ``kind``: 0 to 2 for the candidates, 3 for new, 4 for others."""
+        """``places``: those of this step; ``kind``: 0 and 1 for the candidates, 2 for new, 3 for others."""
         row = self.row[:k]
         if self.taking:
             self._move(self.taken)
-        new = kind == 3
+        new = kind == 2
         whole = row * _FAN**3 + places
         self.flat[2][whole] += _COUNT
         self.flat[1][whole >> 5] += _COUNT
@@ -140,22 +140,15 @@ class _Model:
         self.total[:k] += _COUNT
         self.size[:k] += new
         self.small = self.small and int(self.size.max()) <= _FAN**2
-        beside = kind >= 3
+        beside = kind >= 2
         self.fresh[:k] += np.where(beside, ((_ONE * new) - self.fresh[:k]) >> _SPEED, 0)
         np.clip(self.fresh[:k], 16, _ONE - 200, out=self.fresh[:k])
-        c2, c1, o1, n2, n1, no = self.c2, self.c1, self.o1, self.conf2, self.conf1, self.confo
-        hit2, hit1, hito = c2 == places, c1 == places, o1 == places
-        for table, ctx, hit, there in ((self.right2, self.ctx2, hit2, c2 >= 0), (self.right1, self.ctx1, hit1, c1 >= 0), (self.other1, self.ctxo, hito, o1 >= 0)):
+        for table, ctx, slots, at, place, sure in ((self.right2, self.ctx2, self.second, self.at2, self.c2, self.conf2), (self.right1, self.ctx1, self.first, self.at1, self.c1, self.conf1)):
+            hit = place == places
             old = table[ctx]
-            table[ctx] = old + ((hit * (_ONE - 64) - old) >> _SPEED) * there
-        n2 = np.where(hit2, np.minimum(n2 + 1, 7), n2 >> 1)
-        self.second[self.at2] = (np.where(hit2 | (n2 > 0), c2, places) + 1 << 3) + n2
-        either = hit1 | hito
-        n1 = np.where(hit1, np.minimum(n1 + 1, 7), np.where(hito, n1, np.maximum(n1 - 1, 0)))
-        no = np.where(hito, np.minimum(no + 1, 7), np.where(hit1, no, 0))
-        one, other = (c1 + 1 << 3) + n1, (np.where(either, o1, places) + 1 << 3) + no
-        swap = (no > n1) | (c1 < 0) | ~either & (n1 == 0)
-        self.first[self.at1] = np.where(swap, (one << 32) + other, (other << 32) + one)
+            table[ctx] = old + ((hit * (_ONE - 64) - old) >> _SPEED) * (place >= 0)
+            sure = np.where(hit, np.minimum(sure + 1, 7), sure >> 1)
+            slots[at] = (np.where(sure > 0, place, places) + 1 << 3) + sure
         self.before[:k] = self.last[:k]
         self.last[:k] = places
         self.steps += 1
@@ -252,11 +245,15 @@ class _Decoder(_Coder):
 
 def _places(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of first appearance of each id, and where new ids come."""
-    _, first, which = np.unique(block, return_index=True, return_inverse=True)
-    order = np.argsort(first, kind="stable")
-    rank = np.empty(len(first), np.int64)
-    rank[order] = np.arange(len(first))
-    return rank[which], first
+    n = len(block)
+    if n and int(block.max()) >= 1 << 16:
+        block = np.unique(block, return_inverse=True)[1]
+    first = np.full(1 << 16, n, np.int32)
+    first[block[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)  # the last one written is the first
+    new = np.sort(first[first < n])
+    rank = np.zeros(1 << 16, np.int32)
+    rank[block[new]] = np.arange(len(new), dtype=np.int32)
+    return rank[block], new
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -285,18 +282,16 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         x, fresh = places[step, :k], new[step, :k]
         model.predict(k)
         ends = model.ends
-        kind = np.where(fresh, 3, 4)
-        for j in (2, 1, 0):
-            kind[model.places[j] == x] = j
+        kind = np.where(model.places[0] == x, 0, np.where(model.places[1] == x, 1, np.where(fresh, 2, 3)))
         end = ends[kind, model.row[:k]]
         begin = np.where(kind > 0, ends[kind - 1, model.row[:k]], 0)
         size = end - begin
-        others = np.flatnonzero(kind == 4)
+        others = np.flatnonzero(kind == 3)
         if len(others):
             under, own = model.below(others, x[others])
             begin[others] += under << 4
             size[others] = own << 4
-        coder.put(slice(0, k), begin, size, ends[4])
+        coder.put(slice(0, k), begin, size, ends[3])
         lanes = np.flatnonzero(fresh)
         if len(lanes):
             _put_new(model, coder, lanes, ids[step, lanes], width)
@@ -319,9 +314,9 @@ def _put_new(model: _Model, coder: _Encoder, lanes: np.ndarray, ids: np.ndarray,
 
 
 def _take_new(model: _Model, coder: _Decoder, lanes: np.ndarray, width: int) -> np.ndarray:
-    sums = np.cumsum(model.high[lanes], axis=1)
+    sums = np.cumsum(model.high[lanes], axis=1, dtype=np.int32)
     at = np.arange(len(lanes))
-    high = (sums <= coder.peek(lanes, sums[:, -1])[:, None]).sum(axis=1)
+    high = (sums > coder.peek(lanes, sums[:, -1])[:, None]).argmax(axis=1)
     size = model.high[lanes, high]
     coder.take(lanes, sums[at, high] - size, size)
     low = coder.peek(lanes, np.uint64(256))
@@ -372,20 +367,20 @@ def _decode(coded: list[bytes], heads: list[tuple], width: int) -> list[np.ndarr
         k = int(active[step])
         model.predict(k, taking=True)
         ends, row = model.ends, model.row[:k]
-        found = coder.peek(slice(0, k), ends[4])
-        kind = (found >= ends[:4]).sum(axis=0)
+        found = coder.peek(slice(0, k), ends[3])
+        kind = (found >= ends[:3]).sum(axis=0)
         end = ends[kind, row]
         begin = np.where(kind > 0, ends[kind - 1, row], 0)
         size = end - begin
-        x = np.where(kind < 3, model.places[np.minimum(kind, 2), row], model.size[:k])
-        others = np.flatnonzero(kind == 4)
+        x = np.where(kind < 2, model.places[np.minimum(kind, 1), row], model.size[:k])
+        others = np.flatnonzero(kind == 3)
         if len(others):
             at, under, own = model.find(others, (found[others] - begin[others]) >> 4)
             x[others] = at
             begin[others] += under << 4
             size[others] = own << 4
         coder.take(slice(0, k), begin, size)
-        lanes = np.flatnonzero(kind == 3)
+        lanes = np.flatnonzero(kind == 2)
         if len(lanes):
             if (model.size[lanes] >= most).any():
                 raise CorruptBlock("a block has more ids than it says")
