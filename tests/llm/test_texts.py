@@ -165,6 +165,39 @@ def test_shards_are_even_and_groups_whole(spark, odd_docs, no_docs, prose):
     assert sharding.shards_by_bytes(no_docs, 8).count() == 0
 
 
+def test_shards_are_cells_of_a_k_d_tree(spark, prose):
+    """Read off the result: at every node, the left shards' texts come before the right ones' along the widest dimension, and weigh what they should."""
+    rng = random.Random(11)
+    texts = [prose(rng.randint(1, 150)) + "\n" * rng.randint(0, 40) + "é" * rng.randint(0, 60) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shard = {r["id"]: r["shard"] for r in sharding.shards_by_bytes(docs, 8).collect()}
+    key = {r["doc_id"]: r["k"] for r in docs.selectExpr("doc_id", "xxhash64(text) as k").collect()}
+    point = {k: dict(zip(sharding.DIMENSIONS, (len(t.encode()), len(t), t.count("\n") + 1), strict=True)) for k, t in enumerate(texts)}
+    weight = {k: p["bytes"] + 1 for k, p in point.items()}
+    total, heaviest = sum(weight.values()), max(weight.values())
+
+    def check(rows, first, shards, siblings):
+        assert {shard[k] for k in rows} == set(range(first, first + shards))
+        if shards == 1:
+            return
+        every = [k for group in siblings for k in group]  # all nodes of a storey are measured on one scale
+        spread = {d: max(1.0, max(point[k][d] for k in every) - min(point[k][d] for k in every)) for d in sharding.DIMENSIONS}
+        widest = max(sharding.DIMENSIONS, key=lambda d: (max(point[k][d] for k in rows) - min(point[k][d] for k in rows)) / spread[d])
+        half = shards // 2
+        left, right = [k for k in rows if shard[k] < first + half], [k for k in rows if shard[k] >= first + half]
+        place = lambda k: (point[k][widest], key[k])
+        assert max(map(place, left)) < min(map(place, right))
+        aim = sum(weight[k] for k in rows) * half / shards
+        assert abs(sum(weight[k] for k in left) - aim) <= heaviest + sharding.NEARNESS * total / 8
+
+    storey = [(list(range(1500)), 0, 8)]
+    while storey:
+        for node in storey:
+            check(*node, [rows for rows, _, _ in storey])
+        halves = [(f, s // 2) for _, f, s in storey if s > 1] + [(f + s // 2, s - s // 2) for _, f, s in storey if s > 1]
+        storey = [([k for k in shard if f <= shard[k] < f + s], f, s) for f, s in sorted(halves)]
+
+
 # -- chat --
 
 
