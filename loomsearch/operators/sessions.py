@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import cut_bytes
 from ..model import Corpus, Query, SessionFilter, cite, normalize_agent, normalize_role, parse_ref
+from .index import SearchIndex
 from .search import search, small
 
 SPAN, SEED_LEAST, SEED_MOST = 3, 20, 300
@@ -123,12 +124,12 @@ def expand(anchors: DataFrame, messages: DataFrame, span: int = 2) -> DataFrame:
     return rows.select(messages["session_id"], anchors["anchor"], messages["ordinal"], messages["role"], messages["ts"], messages["content"])
 
 
-def rag_context(corpus: Corpus, query: Query, span: int = 2, stems: bool = True) -> DataFrame:
+def rag_context(corpus: Corpus, query: Query, span: int = 2, stems: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """What a grounded answer is made of: for the best sessions, the messages around their best excerpt.
 
     Columns ``rank, cite, agent, session_uid, title, ordinal, role, ts, content``, in reading order.
     """
-    found = search(corpus, query, stems=stems, snippets=False)
+    found = search(corpus, query, stems=stems, snippets=False, index=index)
     place = Window.orderBy("score", "session_id")
     top = found.withColumn("rank", F.row_number().over(place)).select("rank", "session_id", "agent", "session_uid", "title", F.col("excerpts")[0]["ordinal"].alias("anchor"))
     rows = expand(small(top.select("session_id", "anchor"), query.limit), corpus.messages, span)

@@ -137,6 +137,22 @@ def test_ingest_in_parts_is_ingest_at_once(spark, tmp_path):
     assert Tables.read(spark, str(tmp_path / "t5")).state.count() == shorter.state.count()
 
 
+def test_registered_tables_have_statistics(spark, tmp_path):
+    from loomsearch.sources.ingest import register
+
+    (tmp_path / "a/p").mkdir(parents=True)
+    (tmp_path / "a/p/u.jsonl").write_text(lines(*A))
+    report = []
+    tables = ingest(spark, {"claude_code": str(tmp_path / "a")}, report=report)
+    assert [(r["source"], r["sessions"], r["offered"], r["errors"]) for r in report] == [("claude_code", 1, 4, 1)] and report[0]["seconds"] >= 0
+    try:
+        rows = {r["table"]: r["rows"] for r in register(tables, "kept_transcripts", str(tmp_path / "db")).collect()}
+        assert rows == {"sessions": 1, "messages": 4, "index_state": 1}
+        assert spark.table("kept_transcripts.messages").count() == 4
+    finally:
+        spark.sql("DROP DATABASE kept_transcripts CASCADE")
+
+
 def test_streamed_ingest_adds_each_row_once(spark, tmp_path):
     from loomsearch.streaming.ingest import current, ingest_available
 
