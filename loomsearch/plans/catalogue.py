@@ -22,6 +22,7 @@ from . import transcripts
 #: Search terms that the conversations have.
 TERM, SECOND, PREFIX, PHRASE = "attion", "anndst", "anthh", "of the"
 WORD = "thea"
+BUDGET = 700
 SINCE, UNTIL = 1704700000, 1705600000
 
 
@@ -263,8 +264,9 @@ def surface_list_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.flat_hits(search.search(conversations(spark, sf_dir), Query(TERM), stems=False, snippets=False)).orderBy("rank", "score")
-    return render.budgeted(rows, 2000)
+    """As many hits as fit in ``BUDGET`` bytes of JSON lines, and how many do not."""
+    rows = search.flat_hits(search.search(conversations(spark, sf_dir), Query(TERM), stems=False, snippets=False)).orderBy("rank", "ordinal")
+    return render.budgeted(rows.select("cite", "ordinal", "role", "rank"), BUDGET)
 
 
 #: Texts around made secrets: (before, secret from 32 hexadecimal digits, the rule that takes it, after).
@@ -439,6 +441,10 @@ ORACLE_SQL: dict[str, str] = {
     "redact_made_secrets": "SELECT doc_id, substr(translate(text, chr(34), chr(39)), 1, 40) || ' | ' || " + " || ".join(f"'{b}[REDACTED:{i}]{a}'" for b, _, i, a in _MADE) + " AS text, TRUE AS secret FROM documents",
     "compact_json_nested": "SELECT event_id, '{\"a\":{\"b\":\"x\\u003cy\\u0026z\\u003e\",\"k\":' || json_extract_string(props, '$.k') || '},\"event\":\"' || event_type || '\",\"z\":[1,2.5,true,null,\"é\"]}' AS props FROM events",
     "has_secret": "SELECT doc_id, regexp_matches(text, 'token = \"[0-9a-f]{40}\"') AS secret FROM documents",
+    "byte_budget_rows": f"""WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY rank, ordinal) AS n, '{{"cite":"' || cite || '","ordinal":' || ordinal || ',"role":"' || role || '","rank":' || rank || '}}' AS line FROM ({_search_sql(_hybrid(_prefix(TERM), TERM))})),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, FALSE AS kept UNION ALL SELECT l.n, CASE WHEN used + strlen(line) + 1 <= {BUDGET} THEN used + strlen(line) + 1 ELSE used END, used + strlen(line) + 1 <= {BUDGET} FROM w JOIN l ON l.n = w.n + 1),
+k AS (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS position, line FROM w JOIN l USING (n) WHERE kept)
+SELECT * FROM k UNION ALL SELECT (SELECT CAST(count(*) AS INTEGER) FROM k), '{{"truncated":true,"skipped_hits":' || count(*) || '}}' FROM w WHERE n > 0 AND NOT kept HAVING count(*) > 0""",
     "ingest_stream_available_now": "SELECT event_id, user_id, event_type, value FROM events",
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
 }
