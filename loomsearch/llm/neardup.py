@@ -257,7 +257,8 @@ def _deals(pairs: DataFrame) -> int:
 
 
 #: Buckets up to this size give pairs; larger ones are compared block by block, so that no row stands for a pair.
-SMALL, BLOCK_NEW, BLOCK_ALL = 24, 256, 256
+#: Blocks of all texts, which stream by, are at most ``MOST_COLUMNS`` a bucket, for each of them gets the new texts once more.
+SMALL, BLOCK_NEW, BLOCK_ALL, MOST_COLUMNS = 24, 256, 256, 64
 
 
 def _rest(members: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
@@ -285,12 +286,12 @@ def _blocks(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``nth, leader`` of the links that large buckets add.
 
     The texts outside of the main component are dealt into blocks of about
-    ``BLOCK_NEW``, all texts into blocks of about ``BLOCK_ALL``, and a task
+    ``BLOCK_NEW``, all texts into blocks of ``BLOCK_ALL`` or more, and a task
     holds one block of the former while the latter stream by. A pair is
     compared in the first of the buckets that it shares; pairs of components
     that are linked by then are passed over.
     """
-    row, column = F.ceil(F.col("n_new") / BLOCK_NEW), F.ceil(F.col("size") / BLOCK_ALL)
+    row, column = F.ceil(F.col("n_new") / BLOCK_NEW), F.least(F.ceil(F.col("size") / BLOCK_ALL), F.lit(MOST_COLUMNS))
     hashed = F.xxhash64("nth")
     own = ["bucket", "sketch", "nth", "label"]
     new = large.where("new = 1").select(*own, F.lit(0).alias("side"), F.pmod(hashed, row).alias("r"), F.explode(F.sequence(F.lit(0), column - 1)).alias("c"))

@@ -169,7 +169,7 @@ def build(distinct: DataFrame, k: int, recall: float = RECALL, seed: int = 3) ->
     size, n = lengths[0]["size"], lengths[0]["n"]
     own = distinct.where(F.size("v") == size).select("v")
     # A part of the hash's range has about as many vectors as are wanted, so a sample is no sort of the table.
-    share = min(1.0, 1.2 * MOST_SAMPLE / n)
+    share = min(1.0, 0.97 * MOST_SAMPLE / n)
     low = own.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(MOST_SAMPLE).toArrow()
     sample = _matrix(low.column(0).combine_chunks())
     cells = max(1, min(MOST_CELLS, n // 200))
