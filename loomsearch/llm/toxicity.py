@@ -29,7 +29,7 @@ MOST_LABELLED = 20_000
 #: The most frequent buckets take part whatever the labels say, for what they tell may lie in pairs alone; so do rarer ones (of ``LEAST_ROWS`` rows
 #: and more, as one row tells nothing) whose share among the classes differs by ``LEAST_Z`` standard errors, the strongest first, up to ``MOST_ACTIVE``.
 MOST_FREQUENT, LEAST_ROWS, LEAST_Z, MOST_ACTIVE = 4_000, 5, 4.0, 24_000
-#: How strongly parameters are drawn to nothing; which of these, and of two sets of terms, is a matter of at most ``TRIED`` rows.
+#: How strongly parameters are drawn to nothing; which of these is a matter of at most ``TRIED`` rows.
 ROUNDS, DECAYS, TRIED = 120, (1e-3, 30.0), 2_500
 _WORD = re.compile(r"\w+")
 
@@ -128,24 +128,51 @@ def rows_of(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 
 
 def fit_best(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, active: np.ndarray, telling: np.ndarray, seed: int = 7) -> Machine:
-    """Fits all rows in the way that serves rows best that a fit has not seen: a fifth of at most ``TRIED`` rows, after a fit on the others.
+    """The machine that serves best a tenth of the rows, which its fit has not seen: one of all terms, or one of those that are ``telling`` (a mask).
 
-    The ways are all terms with each of ``DECAYS``, or only those that are
-    ``telling`` (a mask), which is best where there are few rows for many terms.
+    The latter is best where there are few rows for many terms, and is then
+    fitted to all rows. The decay for all terms is chosen before, in the same
+    way, on ``TRIED`` of the other rows.
     """
-    picked = np.random.default_rng(seed).permutation(len(y))[:TRIED]
-    fitted, checked = picked[len(picked) // 5 :], picked[: len(picked) // 5]
-    only = np.where(telling, np.cumsum(telling) - 1, -1)[flat] if len(flat) else flat
-    few = only[only >= 0].astype(np.int32)
-    few_ends = np.concatenate(([0], np.cumsum(only >= 0)))[ends] if len(ends) else ends
-    ways = [(flat, ends, active, decay) for decay in DECAYS] + [(few, few_ends, active[telling], DECAYS[0])]
-    losses = []
-    for places, cuts, terms, decay in ways:
-        machine = fit_places(*rows_of(places, cuts, fitted), y[fitted], terms, decay=decay, seed=seed)
-        odds = np.clip(machine.log_odds(*rows_of(places, cuts, checked)), -40, 40)
-        losses.append(float((np.logaddexp(0, odds) - y[checked] * odds).sum()))
-    places, cuts, terms, decay = ways[int(np.argmin(losses))]
-    return fit_places(places, cuts, y, terms, decay=decay, seed=seed)
+    order = np.random.default_rng(seed).permutation(len(y))
+    checked, fitted = order[: len(y) // 10], order[len(y) // 10 :]
+
+    def loss(machine: Machine, places: np.ndarray, cuts: np.ndarray, rows: np.ndarray) -> float:
+        odds = np.clip(machine.log_odds(*rows_of(places, cuts, rows)), -40, 40)
+        return float((np.logaddexp(0, odds) - y[rows] * odds).sum())
+
+    def fit(places: np.ndarray, cuts: np.ndarray, rows: np.ndarray, terms: np.ndarray, decay: float) -> Machine:
+        return fit_places(*rows_of(places, cuts, rows), y[rows], terms, decay=decay, seed=seed)
+
+    unseen, seen = fitted[: min(len(fitted), TRIED) // 5], fitted[min(len(fitted), TRIED) // 5 : TRIED]
+    decay = min(DECAYS, key=lambda d: loss(fit(flat, ends, seen, active, d), flat, ends, unseen))
+    # What is telling to rows that are checked later must not be told by them.
+    known = telling & (_standard_errors(*rows_of(flat, ends, fitted), y[fitted], len(active)) >= LEAST_Z)
+    few, few_ends = _places_of(flat, ends, known)
+    whole, part = fit(flat, ends, fitted, active, decay), fit(few, few_ends, fitted, active[known], DECAYS[0])
+    if loss(whole, flat, ends, checked) <= loss(part, few, few_ends, checked):
+        return whole
+    return fit_places(*_places_of(flat, ends, telling), y, active[telling], decay=DECAYS[0], seed=seed)
+
+
+def _places_of(flat: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the terms of a mask only, which are numbered anew."""
+    if not len(flat):
+        return flat, ends
+    kept = np.where(mask, np.cumsum(mask) - 1, -1)[flat]
+    return kept[kept >= 0].astype(np.int32), np.concatenate(([0], np.cumsum(kept >= 0)))[ends]
+
+
+def _standard_errors(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
+    """By how many standard errors each term's share differs between the classes of these rows."""
+    n1, rows = y.sum(), max(1, len(y))
+    n0 = rows - n1
+    if not n1 or not n0:
+        return np.zeros(terms)
+    n = np.bincount(flat, minlength=terms)
+    a = np.bincount(flat, np.repeat(y, np.diff(np.concatenate(([0], ends)))), terms)
+    share = n / rows
+    return np.abs(a / n1 - (n - a) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Machine:
