@@ -28,7 +28,7 @@ import zlib
 import numpy as np
 
 #: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 16384, 1024
+BLOCK, LANES = 16384, 512
 MAGIC, VERSION = b"LSRC", 2
 _HEAD = struct.Struct("<4sBBII")  # magic, version, bytes of an id, ids, crc32 of the ids as little-endian unsigned 32-bit
 #: Places are counted in a tree of three levels of ``_FAN`` branches; slots of the tables of orders 1 and 2; what an occurrence counts.
@@ -209,6 +209,11 @@ class _Encoder(_Coder):
         unit = self.range[at] // np.asarray(total).astype(np.uint64)
         self._narrow(at, self.low[at] + unit * begin.astype(np.uint64), unit * np.asarray(size).astype(np.uint64))
 
+    def make_room(self, most: int = 16) -> None:
+        """Room for another step, which gives out fewer words than ``most``, in every lane."""
+        if int(self.size.max()) + most > self.out.shape[1]:
+            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1] // 2 + most)))
+
     def flush(self) -> list[bytes]:
         for k in range(4):
             self.out[np.arange(len(self.low)), self.size + k] = (self.low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
@@ -268,18 +273,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     sizes = np.array([len(blocks[i]) for i in order])
     width = 2 if max((int(b.max()) for b in blocks if len(b)), default=0) < 1 << 16 else 4
     most = int(sizes[0])
-    ids, places = np.zeros((most, len(blocks)), np.int64), np.zeros((most, len(blocks)), np.int64)
+    ids, places = np.zeros((most, len(blocks)), np.uint32), np.zeros((most, len(blocks)), np.int32)
     new = np.zeros((most, len(blocks)), bool)
     for lane, i in enumerate(order):
         n = len(blocks[i])
         ids[:n, lane] = blocks[i]
         places[:n, lane], first = _places(np.asarray(blocks[i]))
         new[first, lane] = True
-    model, coder = _Model(len(blocks)), _Encoder(len(blocks), (1 + width) * most + 16)
+    model, coder = _Model(len(blocks)), _Encoder(len(blocks), most // 2 + 64)
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
     for step in range(most):
         k = int(active[step])
-        x, fresh = places[step, :k], new[step, :k]
+        x, fresh = places[step, :k].astype(np.int64), new[step, :k]
         model.predict(k)
         ends = model.ends
         kind = np.where(model.places[0] == x, 0, np.where(model.places[1] == x, 1, np.where(fresh, 2, 3)))
@@ -294,8 +299,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         coder.put(slice(0, k), begin, size, ends[3])
         lanes = np.flatnonzero(fresh)
         if len(lanes):
-            _put_new(model, coder, lanes, ids[step, lanes], width)
+            _put_new(model, coder, lanes, ids[step, lanes].astype(np.int64), width)
         model.learn(k, x, kind)
+        coder.make_room()
     out: list[bytes] = [b""] * len(blocks)
     for i, coded in zip(order, coder.flush(), strict=True):
         raw = np.asarray(blocks[i]).astype("<u4").tobytes()
@@ -359,8 +365,8 @@ def _decode(coded: list[bytes], heads: list[tuple], width: int) -> list[np.ndarr
     order = sorted(range(len(coded)), key=lambda i: -heads[i][3])
     sizes = np.array([heads[i][3] for i in order])
     most = int(sizes[0])
-    places = np.zeros((most, len(coded)), np.int64)
-    ids_at = np.zeros((len(coded), max(1, most)), np.int64)
+    places = np.zeros((most, len(coded)), np.int32)
+    ids_at = np.zeros((len(coded), max(1, most)), np.uint32)
     model, coder = _Model(len(coded)), _Decoder([coded[i][_HEAD.size :] for i in order])
     active = np.searchsorted(-sizes, -np.arange(most), side="left")
     for step in range(most):

@@ -23,7 +23,7 @@ from .tokens import PieceTable, in_slices
 
 END_ID = 2
 #: Bytes of text in a part: at least the first, so that its blocks fill the coder's lanes, if that leaves all cores something to do; at most the second.
-LEAST_PART, MOST_PART = 24 << 20, 96 << 20
+LEAST_PART, MOST_PART = 20 << 20, 96 << 20
 
 
 def _parts(own: DataFrame) -> int:
@@ -55,12 +55,12 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
             for batch in in_slices(whole, 1):
                 for key, ids in zip(batch.column(0), table.look_up(batch.column(1).to_pylist()), strict=True):
                     writer.add(key.as_py(), ids + end)
-                if len(writer.blocks) >= LANES:
+                while len(writer.blocks) >= 2 * LANES:
                     yield writer.rows(LANES, batch.schema.field(0).type)
                 id_type = batch.schema.field(0).type
         writer.cut()
-        while writer.blocks:
-            yield writer.rows(LANES, id_type)
+        while n := len(writer.blocks):  # the last ones in equal shares, for few lanes take as long as many
+            yield writer.rows(-(-n // 2) if n > LANES else n, id_type)
 
     return map_arrow(ordered, step, schema)
 
