@@ -91,6 +91,22 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """The smallest count (column ``n``) that at most ``most`` rows reach, or a little more than it; more than any has if too many share the largest.
+
+    Only a histogram with eight bins for each doubling comes to the driver, and
+    no task sees more than its own rows, as one that sorts all tops would.
+    """
+    bins = counted.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    least, held = max((r["high"] for r in bins), default=0) + 1, 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["low"]
+    return least
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before this one in its group. For small tables (a row per group and part)."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, only, staged
+from .common import least_count, map_arrow, only, staged
 from .decontamination import words_of
 from .tokens import in_slices
 
@@ -207,17 +207,20 @@ def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
     """A network for the corpus. Parts of the (bounded) count table learn side by side; after each round the driver averages their weights."""
     own = CLASSES - SHAPES - 1
     counted = staged(word_counts(docs, text_col), "words")
-    first = most_frequent(counted, own + MOST_HELD)
-    words, held = [w for w, _ in first[:own]], dict(first[own:])
+    first = most_frequent(counted, own)
+    words = [w for w, _ in first]
+    least = least_count(counted, own + MOST_HELD)
+    frequent = counted.where(F.col("n") >= least).select("word", "n").toArrow()
+    held = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True))
+    for w in words:
+        held.pop(w, None)
     totals, kinds = np.zeros(SHAPES + 1), np.zeros(SHAPES + 1)
     for row in counted.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
         totals[row["shape"]], kinds[row["shape"]] = row["n"], row["kinds"]
-    for w, n in first[:own]:
+    for w, n in first:
         totals[shape_of(w)] -= n
         kinds[shape_of(w)] -= 1
-    last = first[-1][1] if first else 0
-    # Words as frequent as the last one held may be held or not; a held one is never looked up here.
-    others = counted.where(F.col("n") <= last).select("word", "n")
+    others = counted.where(F.col("n") < least).select("word", "n")
     rng = np.random.default_rng(seed)
     shapes = ((CLASSES, HIDDEN), (CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
     network = Network(words, *(rng.normal(0, 0.1, s) for s in shapes))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, only, staged
+from .common import least_count, map_arrow, only, staged
 
 #: Stretches and pieces that a worker keeps before its tables start afresh, and the longest stretch that is kept.
 MOST_KEPT, LONGEST_KEPT = 250_000, 48
@@ -275,9 +275,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ids are counted like others; an empty table gives an empty result.
     """
     table = staged(pre_token_table(docs, path, text_col), "pre-tokens")
-    frequent = table.orderBy(F.desc("n"), "piece").limit(MOST_HELD).select("piece", "n", "size").toArrow()
+    least = least_count(table, MOST_HELD)
+    frequent = table.where(F.col("n") >= least).select("piece", "size").toArrow()
     held = dict(zip(frequent.column("piece").to_pylist(), frequent.column("size").to_pylist(), strict=True))
-    last = frequent.column("n")[-1].as_py() if len(held) == MOST_HELD else 0
     sent = docs.sparkSession.sparkContext.broadcast(held)
     own = only(docs, id=id_col, text=text_col).select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("nth"), "text")
     schema = T.StructType([*own.schema.fields[:3], *T.StructType.fromDDL("known long, piece array<string>, times array<long>").fields])
@@ -310,11 +310,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], schema.names)
 
     met = map_arrow(own, step, schema)
-    if not last:  # all are held
+    if least <= 1:  # all are held
         return met.select("id", "n_bytes", F.col("known").alias("n_tokens"))
     met = staged(met, "met")
-    # Pre-tokens as frequent as the last one held may be held or not; a held one is never asked for here.
-    rarer = table.where(F.col("n") <= last).select("piece", "size")
+    rarer = table.where(F.col("n") < least).select("piece", "size")
     asked = met.select("nth", F.explode(F.arrays_zip("piece", "times")).alias("w")).select("nth", F.col("w.piece").alias("piece"), F.col("w.times").alias("times"))
     more = asked.join(rarer, "piece").groupBy("nth").agg(F.sum(F.col("times") * F.col("size")).alias("more"))
     return met.select("id", "n_bytes", "nth", "known").join(more, "nth", "left").select("id", "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
