@@ -27,8 +27,8 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 16384, 512
+#: Ids in a block, and blocks that are coded and read side by side (reading holds less for each).
+BLOCK, LANES, READ_LANES = 16384, 512, 1024
 MAGIC, VERSION = b"LSRC", 2
 _HEAD = struct.Struct("<4sBBII")  # magic, version, bytes of an id, ids, crc32 of the ids as little-endian unsigned 32-bit
 #: Places are counted in a tree of three levels of ``_FAN`` branches; slots of the tables of orders 1 and 2; what an occurrence counts.
@@ -338,8 +338,8 @@ def _take_new(model: _Model, coder: _Decoder, lanes: np.ndarray, width: int) ->
 
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks as little-endian unsigned 32-bit arrays; raises ``CorruptBlock`` for what fails its checksum."""
-    if len(coded) > LANES:
-        return decode_blocks(coded[:LANES]) + decode_blocks(coded[LANES:])
+    if len(coded) > READ_LANES:
+        return decode_blocks(coded[:READ_LANES]) + decode_blocks(coded[READ_LANES:])
     if not coded:
         return []
     heads = []
