@@ -1,5 +1,6 @@
 """The queries opN_ over the driver's smallest tables: their contracts, by brute force or by their SQL."""
 
+import hashlib
 import zlib
 
 import duckdb
@@ -142,3 +143,12 @@ def test_op10(run, spark):
         want = sorted((float(np.sqrt(((x[q] - v) ** 2).sum())), k) for k, v in x.items() if k != q)[:10]
         hit += len({k for _, k in want} & {k for _, _, k in near})
     assert hit >= 0.9 * 10 * len(found)
+
+
+def test_op11(run, texts):
+    rows = {r["doc_id"]: r for r in run("op11").collect()}
+    assert set(rows) == set(texts)
+    for k, r in rows.items():
+        ids = BYTES.encode(texts[k], add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(BYTES.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
