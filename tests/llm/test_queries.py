@@ -152,3 +152,28 @@ def test_op11(run, texts):
         ids = BYTES.encode(texts[k], add_special_tokens=False).ids
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(BYTES.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_op13(run, spark):
+    rows = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(np.int64) + 1_000_000 for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    once = np.unique(np.array(list(rows.values())), axis=0)
+    n, s = len(once), once.sum(axis=0)
+    values, directions = np.linalg.eigh(np.cov((once - s / n).T, bias=True))
+    values, directions = values[::-1], directions[:, ::-1]
+    found = run("op13").toPandas()
+    assert len(found) == 16 * len(rows) and set(found.n) == {n} and found.identity_error.max() < 1e-9 and found.identity_error.nunique() == 1
+    for k, own in found.groupby("component"):
+        x = np.array([rows[v] for v in own.vec_id])
+        assert own.deviation.tolist() == ((n * x - s) ** 2).sum(axis=1).tolist()
+        assert np.allclose(own.explained, values[k - 1] / values.sum(), rtol=1e-10)
+        want = (x - s / n) @ directions[:, k - 1] / np.sqrt(values[k - 1])
+        assert np.abs(own.whitened * np.sign(own.whitened.iloc[0] * want[0]) - want).max() < 1e-7
+
+
+def test_op12(run, texts):
+    from test_alignment import brute_force
+
+    keys = sorted(texts)
+    want = {k: (*r[:6], hashlib.sha256(r[6].encode()).hexdigest() if r[6] else "") for k, r in zip(keys, brute_force([texts[k] for k in keys]), strict=True)}
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in run("op12").collect()} == want
