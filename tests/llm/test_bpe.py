@@ -20,7 +20,7 @@ def want(text):
 
 
 def ids_of(text):
-    return np.frombuffer(OWN.encode(text), "<u4").tolist()
+    return np.frombuffer(OWN.encode([text])[0], "<u4").tolist()
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -42,11 +42,18 @@ def test_any_ids_decode_as_by_the_library(ids):
     assert OWN.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcdeinrst", max_size=90))
-def test_the_scan_and_the_queue_agree(word):
-    ranks = OWN.pieces.ranks
-    assert bpe.scan_merge(word, ranks) == bpe.queue_merge(word, ranks)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeinrst é", min_size=1, max_size=60), max_size=20))
+def test_the_scan_and_the_queue_agree(words):
+    raw = [w.encode() for w in words]
+    queued = [bpe.queue_merge(OWN.letters[np.frombuffer(w, np.uint8)].tolist(), OWN.ranks, OWN.merged) for w in raw]
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.merge(raw)] == queued
+
+
+def test_every_pair_has_its_rank():
+    left, right = np.array(list(OWN.ranks)).T
+    assert OWN.table.of(left, right).tolist() == list(OWN.ranks.values())
+    assert (OWN.table.of(left, right + 60_000) == bpe._NONE).all() and (OWN.table.of(np.full(3, -1), left[:3]) == bpe._NONE).all()
 
 
 def test_blocks_and_what_is_forgotten_change_nothing(prose, monkeypatch):
