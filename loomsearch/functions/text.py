@@ -9,6 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import pandas_function
 from .porter import stem
 
 
@@ -39,7 +40,7 @@ def stemmed(words: Column) -> Column:
     def stems(lists):
         return lists.map(lambda words: None if words is None else [stem(w) for w in words])
 
-    return F.pandas_udf(stems, "array<string>")(words)
+    return pandas_function(stems, "array<string>")(words)
 
 
 def fold_char(c: str) -> str:
@@ -150,4 +151,4 @@ def compact_json_text(text: Column | str) -> Column:
         except (TypeError, ValueError):
             return text
 
-    return F.pandas_udf(lambda texts: texts.map(one), "string")(text)
+    return pandas_function(lambda texts: texts.map(one), "string")(text)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.porter import stem
 from ..plans.grammar import substring_items, word_items
-from ..storage import file_system
+from ..storage import file_system, pandas_function
 from .search import LEAST_IDF, SUBSTRING_WEIGHT, B, K1, phrase_tokens, substring_frequency
 
 GRAM = 3
@@ -53,7 +53,7 @@ def postings(messages: DataFrame, stems: bool = True) -> DataFrame:
     placed = tokens.select("mid", F.size("t").alias("size"), F.posexplode("t").alias("pos", "token"))
     by_token = placed.groupBy("token", "mid", "size").agg(F.collect_list("pos").alias("at"))
     if stems:
-        stemmer = F.pandas_udf(lambda words: words.map(stem), "string")
+        stemmer = pandas_function(lambda words: words.map(stem), "string")
         vocabulary = by_token.select("token").distinct().select("token", stemmer("token").alias("term"))
         by_token = by_token.join(vocabulary, "token").groupBy("term", "mid", "size").agg(F.flatten(F.collect_list("at")).alias("at"))
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import pandas_function
 from .redact_rules import Rule, default_rules
 
 
@@ -91,19 +92,10 @@ class Redactor:
 
     def column(self, text: Column) -> Column:
         """``text`` redacted; null stays null."""
-
-        @F.pandas_udf("string")
-        def clean(texts):
-            return texts.map(lambda t: None if t is None else self.redact(t))
-
-        return clean(text)
+        return pandas_function(lambda texts: texts.map(lambda t: None if t is None else self.redact(t)), "string")(text)
 
     def flag(self, text: Column) -> Column:
-        @F.pandas_udf("boolean")
-        def find(texts):
-            return texts.map(lambda t: t is not None and self.has_secret(t))
-
-        return find(text)
+        return pandas_function(lambda texts: texts.map(lambda t: t is not None and self.has_secret(t)), "boolean")(text)
 
 
 def redact_columns(df: DataFrame, columns: tuple[str, ...], rules: Iterable[Rule] | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from ..functions.porter import stem
 from ..functions.snippet import substring_snippet, word_snippet
 from ..model import Corpus, Query, agent_code, normalize_agent, normalize_role
 from ..plans.grammar import Item, substring_items, word_items
+from ..storage import pandas_function
 
 if TYPE_CHECKING:
     from .index import SearchIndex
@@ -178,13 +179,12 @@ def _snippets(query: str, stems: bool):
     phrases = [p for p in ((phrase_tokens(i, stems), i.prefix) for i in word_items(query)) if p[0]]
     parts = [i.text.lower() for i in substring_items(query)]
 
-    @F.pandas_udf("string")
     def cut(contents, by_words):
         import pandas as pd
 
         return pd.Series([word_snippet(c, phrases, stems) if w else substring_snippet(c, parts) for c, w in zip(contents, by_words, strict=True)], dtype="object")
 
-    return cut
+    return pandas_function(cut, "string")
 
 
 def flat_hits(results: DataFrame, offset: int = 0) -> DataFrame:

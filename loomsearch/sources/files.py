@@ -1,8 +1,8 @@
 """Transcript sources as tables of parsed messages.
 
-Files are listed and read by Spark; a file is parsed where it is read, one at
-a time. Every reader gives the same columns (``PARSED``), which ``ingest``
-turns into sessions and messages.
+Files of lines are read by byte ranges, stores of key-value pairs whole, and
+parsed where they are read. Every reader gives the same columns (``PARSED``),
+which ``ingest`` turns into sessions and messages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import re
 import sqlite3
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_path
 from ..model import flat_schema
-from . import parse
+from ..storage import pandas_function, ship
+from . import parse, ranges
+from .ranges import RANGE, by_ranges, read_lines
 
 PARSED = flat_schema("agent string, session_uid string, workspace string, role string, ts long, content string, source_path string, source_offset long, sub int, started_at long, source_mtime_ns long, source_size long")
 # Where the agents keep their transcripts, below a home folder.
@@ -48,51 +50,133 @@ def _named(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
-def _parsed(files: DataFrame, agent: str, parser: Callable[[str, bytes, int], Iterator[dict]], offsets: DataFrame | None) -> DataFrame:
-    """Parsed files, and a row without a role for each that has bad lines (``sub`` of them); with ``offsets``, only those that are due are read. Their names come to the driver, which lists all files anyway."""
-    if offsets is not None:
-        due = offsets.where("action != 'skip'").select("source_path", F.col("offset").alias("from"))
-        files = _named(files.sparkSession, [r["source_path"] for r in due.select("source_path").collect()])
-    own = files.select(F.col("path").alias("source_path"), "content", (F.unix_micros("modificationTime") * 1000).alias("mtime"), F.col("length").alias("size"))
-    own = own.join(due, "source_path") if offsets is not None else own.withColumn("from", F.lit(0).cast("long"))
-    own = own.select("source_path", "content", "mtime", "size", "from")
+#: Parsed lines before it is known what their file says of itself: rows with a role are messages, rows without tell of the file and of lines that are no records (``sub`` of them).
+LINES = flat_schema("source_path string, source_offset long, session_uid string, role string, ts long, content string, sub int, head_uid string, head_workspace string, head_started long")
+HEAD = "uid string, workspace string, started long"
+
+
+def _parse_lines(lines: DataFrame, parser: str) -> DataFrame:
+    """Lines (``source_path, source_offset, line, begin``) as ``LINES``; messages of lines before ``begin`` are left out, but not what such lines say of their file."""
+    ship(lines.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = getattr(parse, parser)
+        bad: dict[str, int] = {}
+        heads: dict[str, list] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                path, data, mtime, size, begin = (c[k].as_py() for c in batch.columns)
-                extra = {"agent": agent, "source_path": path, "source_mtime_ns": mtime, "source_size": size}
-                rows = [r | extra for r in parser(path, data, begin)]
-                if bad := parse.bad_lines(data, begin):
-                    rows.append({"sub": bad, "source_offset": begin} | extra)  # a row without a role tells how many lines were no records
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in PARSED.names} for r in rows], schema=_ARROW)
-
-    return own.mapInArrow(step, PARSED)
+            rows = []
+            for path, at, raw, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                record = parse.record_of(raw)
+                if record is None:
+                    if at >= begin and (raw is None or raw.strip()):
+                        bad[path] = bad.get(path, 0) + 1
+                    continue
+                said, found = read(record)
+                told = {"source_path": path, "source_offset": at}
+                if at >= begin:
+                    rows += [told | r for r in found]
+                known = heads.setdefault(path, list(parse.NOTHING))
+                if any(s and not k for s, k in zip(said, known, strict=True)):  # the first of this task; whether it is the first of the file shows later
+                    heads[path] = [k or s for k, s in zip(known, said, strict=True)]
+                    rows.append(told | {"sub": 0, "head_uid": said[0] or None, "head_workspace": said[1] or None, "head_started": said[2] or None})
+            if rows:
+                yield _rows(rows)
+        if bad:
+            yield _rows([{"source_path": path, "source_offset": 0, "sub": n} for path, n in bad.items()])
+
+    return lines.select("source_path", "source_offset", "line", "begin").mapInArrow(step, LINES)
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{f: r.get(f) for f in LINES.names} for r in rows], schema=_ARROW)
 
 
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-_ARROW = pa.schema([pa.field(f.name, _KINDS[f.dataType.simpleString()]) for f in PARSED.fields])
+_ARROW = pa.schema([pa.field(f.name, _KINDS[f.dataType.simpleString()]) for f in LINES.fields])
+
 
+def _lines(spark: SparkSession, due: DataFrame, range_bytes: int) -> DataFrame:
+    """Lines of files (``source_path, size, offset, head``) by byte ranges, from ``offset`` where it is known what the lines before it say of their file.
 
-def session_files(spark: SparkSession, root: str, offsets: DataFrame | None = None) -> DataFrame:
+    Files in stores that only Spark reads are read whole. Names come to the driver, which lists all files anyway.
+    """
+    rows = due.select("source_path", "size", "offset", F.coalesce("head", F.lit("")).alias("head")).collect()
+    begins = {r["source_path"]: r["offset"] for r in rows if r["offset"]}
+    here = [(r["source_path"], r["offset"] if r["head"] else 0, r["size"]) for r in rows if by_ranges(r["source_path"])]
+    found = read_lines(spark, here, range_bytes)
+    others = [r["source_path"] for r in rows if not by_ranges(r["source_path"])]
+    if others:
+        whole = _named(spark, others).select(F.col("path").alias("source_path"), "content")
+        found = found.unionByName(whole.mapInArrow(_split, "source_path string, source_offset long, line binary"))
+    if not begins:
+        return found.withColumn("begin", F.lit(0).cast("long"))
+    return found.join(spark.createDataFrame(sorted(begins.items()), "source_path string, begin long"), "source_path", "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part in ranges.lines_of(path, data):
+                yield part
+
+
+def read_source(spark: SparkSession, agent: str, root: str, due: DataFrame | None = None, range_bytes: int = RANGE) -> DataFrame:
+    """``LINES`` of an agent's files: of all, or of those that are ``due`` (``source_path, size, offset, head``)."""
+    pattern, recursive, name, parser = SOURCES[agent]
+    if due is None:
+        due = listing(spark, pattern.format(root), recursive, name).select("source_path", "size", F.lit(0).cast("long").alias("offset"), F.lit("").alias("head"))
+    return _parse_lines(_lines(spark, due, range_bytes), parser)
+
+
+def heads(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``source_path, uid, workspace, started``: the first that any line of a file names; what is ``known`` already (``source_path, head``, as JSON) comes from lines before."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_offset")))
+    named = lines.where("role is null").groupBy("source_path").agg(*(first(f"head_{c}").alias(c) for c in ("uid", "workspace", "started")))
+    if known is None:
+        return named
+    before = known.where("head != ''").select("source_path", F.from_json("head", HEAD).alias("k"))
+    return named.join(before, "source_path", "full_outer").select("source_path", *(F.coalesce(F.col(f"k.{c}"), F.col(c)).alias(c) for c in ("uid", "workspace", "started")))
+
+
+def assembled(lines: DataFrame, agent: str, listed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``PARSED`` messages of ``LINES``, with what their files say; ``listed`` has the files' times and sizes. Format B's files without a session give none."""
+    stem = F.regexp_extract("source_path", r"([^/]*?)(\.jsonl)?$", 1)
+    uid = F.coalesce(F.col("session_uid"), F.col("uid"), *([stem] if agent == "claude_code" else []))
+    whole = lines.where("role is not null").join(heads(lines, known), "source_path", "left").join(listed.select("source_path", "mtime_ns", "size"), "source_path", "left")
+    return whole.select(
+        F.lit(agent).alias("agent"), uid.alias("session_uid"), F.coalesce("workspace", F.lit("")).alias("workspace"), "role", "ts", "content", "source_path", "source_offset", "sub",
+        F.col("started").alias("started_at"), F.col("mtime_ns").alias("source_mtime_ns"), F.col("size").alias("source_size"),
+    ).where("session_uid is not null")
+
+
+#: By agent: the pattern below its root, whether folders are searched, the files' names, and what reads a line.
+SOURCES = {"claude_code": ("{}/*/*.jsonl", False, None, "session_line"), "codex": ("{}/sessions", True, "rollout-*.jsonl", "rollout_line"), "history": ("{}", False, "history.jsonl", "history_line")}
+
+
+def session_files(spark: SparkSession, root: str) -> DataFrame:
     """Format A: ``<root>/*/*.jsonl``, a session each."""
-    return _parsed(_binary(spark, f"{root}/*/*.jsonl", False, None), "claude_code", parse.session_file, offsets)
+    return _all(spark, "claude_code", root)
 
 
-def rollout_files(spark: SparkSession, root: str, offsets: DataFrame | None = None) -> DataFrame:
+def rollout_files(spark: SparkSession, root: str) -> DataFrame:
     """Format B: ``rollout-*.jsonl`` anywhere below ``<root>/sessions``."""
-    return _parsed(_binary(spark, f"{root}/sessions", True, "rollout-*.jsonl"), "codex", parse.rollout_file, offsets)
+    return _all(spark, "codex", root)
 
 
-def history_files(spark: SparkSession, root: str, offsets: DataFrame | None = None) -> DataFrame:
+def history_files(spark: SparkSession, root: str) -> DataFrame:
     """Format B's shared history, a message of an otherwise unknown session each."""
-    return _parsed(_binary(spark, root, False, "history.jsonl"), "codex", parse.history_file, offsets)
+    return _all(spark, "history", root).withColumn("agent", F.lit("codex"))
+
+
+def _all(spark: SparkSession, agent: str, root: str) -> DataFrame:
+    pattern, recursive, name, _ = SOURCES[agent]
+    return assembled(read_source(spark, agent, root), agent, listing(spark, pattern.format(root), recursive, name))
 
 
 def key_values(files: DataFrame, table: str, like: str = "%") -> DataFrame:
     """``source_path, key, value`` of SQLite files' key-value tables, read without changing them, one file at a time."""
     own = files.select(F.col("path").alias("source_path"), "content")
+    ship(files.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +234,7 @@ def composers(spark: SparkSession, root: str, counts: DataFrame | None = None) -
     with more only the later bubbles are read. Bubbles are joined, not looked up.
     """
     stores = key_values(_binary(spark, f"{root}/globalStorage/state.vscdb", False, None), "cursorDiskKV")
-    digest = F.pandas_udf(lambda s: s.map(lambda t: parse.summary_digest(t) if t else ""), "string")
+    digest = pandas_function(lambda s: s.map(lambda t: parse.summary_digest(t) if t else ""), "string")
     c = F.from_json("value", _COMPOSER)
     heads = stores.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_uid"), c.alias("c"))
     heads = heads.select("session_uid", F.col("c.fullConversationHeadersOnly").alias("heads"), F.coalesce("c.name", F.lit("")).alias("title"), F.col("c.latestConversationSummary.summary.summary").alias("raw"), F.floor(F.col("c.createdAt") / 1000).alias("started_at"), F.floor(F.col("c.lastUpdatedAt") / 1000).alias("ended_at"))
@@ -163,7 +247,7 @@ def composers(spark: SparkSession, root: str, counts: DataFrame | None = None) -
     begin = F.when(F.col("action") == "resume", F.col("prior")).otherwise(0)
     wanted = due.select("session_uid", begin.alias("begin"), F.posexplode("heads").alias("pos", "h")).where(F.col("pos") >= F.col("begin"))
     bubbles = stores.where(F.startswith("key", F.lit("bubbleId:"))).select(F.split_part("key", F.lit(":"), F.lit(2)).alias("session_uid"), F.split_part("key", F.lit(":"), F.lit(3)).alias("bubble"), "value")
-    text = F.pandas_udf(lambda s: s.map(_bubble), "string")
+    text = pandas_function(lambda s: s.map(_bubble), "string")
     rows = wanted.join(bubbles, (wanted["session_uid"] == bubbles["session_uid"]) & (wanted["h.bubbleId"] == bubbles["bubble"])).select(wanted["session_uid"], "pos", F.col("h.type").alias("type"), text("value").alias("content"))
     rows = rows.where(F.trim("content") != "").join(composer_workspaces(spark, root).withColumnRenamed("composer", "session_uid"), "session_uid", "left")
     none = F.lit(None).cast("long")

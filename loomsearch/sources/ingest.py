@@ -138,12 +138,9 @@ def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = N
 
         return told
 
-    readers = {"claude_code": files.session_files, "codex": files.rollout_files}
-    patterns = {"claude_code": ("{}/*/*.jsonl", False, None), "codex": ("{}/sessions", True, "rollout-*.jsonl")}
-    for agent, reader in readers.items():
+    for agent in ("claude_code", "codex"):
         if agent in roots:
-            pattern, recursive, name = patterns[agent]
-            now = _read_source(now, files.listing(spark, pattern.format(roots[agent]), recursive, name), lambda offsets, r=reader, a=agent: r(spark, roots[a], offsets), rules, redact, work, note(agent)).write(f"{work}/{agent}")
+            now = _read_source(spark, now, agent, roots[agent], rules, redact, work, note(agent)).write(f"{work}/{agent}")
     if "cursor" in roots:
         now = _read_composers(spark, now, roots["cursor"], rules, redact, work, note("cursor")).write(f"{work}/cursor")
     if "codex" in roots:
@@ -154,17 +151,24 @@ def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = N
     return now
 
 
-def _read_source(now: Tables, listed: DataFrame, reader, rules, redact: bool, work: str, note) -> Tables:
-    decided = merge.decide(listed, now.state)
+def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules, redact: bool, work: str, note) -> Tables:
+    pattern, recursive, name, _ = files.SOURCES[agent]
+    listed = files.listing(spark, pattern.format(root), recursive, name)
+    decided = merge.decide(listed, now.state).join(now.state.select("source_path", F.col("fingerprint").alias("told")), "source_path", "left")
+    # What lines before the offset say of their file is kept with its state; without it, a file is read from its start.
+    decided = _kept(decided.withColumn("head", F.when(F.col("action") != "restart", F.coalesce("told", F.lit(""))).otherwise("")).drop("told"), work, "decided")
     gone = decided.where("truncate").select("source_path")
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
-    parsed = _kept(reader(decided), work, "read")
-    note(parsed)
-    parsed = parsed.where("role is not null")
-    state = decided.select("source_path", "mtime_ns", "size", F.when(F.col("action") == "skip", F.col("size")).otherwise(F.lit(0)).cast("long").alias("last_offset"), F.lit("").alias("fingerprint"))
-    merged = merge_parsed(now, parsed, None, rules, redact, work)
+    lines = _kept(files.read_source(spark, agent, root, decided.where("action != 'skip'")), work, "read")
+    parsed = _kept(files.assembled(lines, agent, decided, decided), work, "assembled")
+    note(parsed.unionByName(lines.where("role is null and sub > 0").select("source_path", "sub"), allowMissingColumns=True))
+    heads = files.heads(lines, decided).select("source_path", F.to_json(F.struct("uid", "workspace", "started")).alias("fingerprint"))
     ends = parsed.groupBy("source_path").agg(F.max("source_offset").alias("end"))
-    state = state.join(ends, "source_path", "left").withColumn("last_offset", F.greatest("last_offset", F.coalesce("end", F.lit(0)))).drop("end")
+    state = decided.join(heads, "source_path", "left").join(ends, "source_path", "left")
+    offset = F.greatest(F.when(F.col("action") == "skip", F.col("offset_before")).otherwise(F.lit(0)), F.coalesce("end", F.lit(0)))
+    state = state.join(now.state.select("source_path", F.col("last_offset").alias("offset_before")), "source_path", "left")
+    state = state.select("source_path", "mtime_ns", "size", F.coalesce(offset, F.lit(0)).cast("long").alias("last_offset"), F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    merged = merge_parsed(now, parsed, None, rules, redact, work)
     return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
 
 

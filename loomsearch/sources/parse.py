@@ -36,16 +36,20 @@ def lines(data: bytes, offset: int = 0) -> Iterator[tuple[int, dict]]:
     at = offset
     while (end := data.find(b"\n", at)) >= 0:
         raw = data[at:end]
-        if raw.strip() and len(raw) <= LONGEST_LINE:
-            try:
-                record = json.loads(raw)
-            except ValueError:
-                record = None
-            if isinstance(record, dict):
-                yield at, record
+        if raw.strip() and len(raw) <= LONGEST_LINE and (record := record_of(raw)) is not None:
+            yield at, record
         at = end + 1
 
 
+def record_of(raw: bytes | None) -> dict | None:
+    """The record of a line, or nothing; a line that is too long comes as none."""
+    try:
+        found = json.loads(raw) if raw is not None else None
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def bad_lines(data: bytes, offset: int = 0) -> int:
     """How many whole lines from ``offset`` say something that is no record, or are too long."""
     whole = [x for x in data[offset : consumed(data)].split(b"\n") if x.strip()]
@@ -106,31 +110,43 @@ def _assistant_texts(content) -> tuple[str, str]:
     return "\n".join(said), "\n".join(thought)
 
 
-def session_file(path: str, data: bytes, offset: int = 0) -> Iterator[dict]:
-    """Message rows of a format A file: ``session_uid, workspace, role, ts, content, source_offset, sub``.
+#: What a line says of its whole file (``uid, workspace, started``), and its messages (``role, ts, content, sub``, for some formats with a session).
+Line = tuple[tuple[str, str, int], list[dict]]
+NOTHING = ("", "", 0)
 
-    The session's id and folder are the first that any line names, so they are
-    looked for from the start even if messages are read from ``offset``.
-    """
-    uid = workspace = ""
-    rows = []
+
+def session_line(record: dict) -> Line:
+    """A line of a format A file; the session's id and folder are the first that any line of the file names."""
+    head = (_text(record.get("sessionId")), _text(record.get("cwd")), 0)
+    message = record.get("message")
+    if not isinstance(message, dict):
+        return head, []
+    if record.get("type") == "user":
+        found = [("user", _user_text(message.get("content")))]
+    elif record.get("type") == "assistant":
+        found = list(zip(("assistant", "thinking"), _assistant_texts(message.get("content")), strict=True))
+    else:
+        return head, []
+    ts = unix_seconds(record.get("timestamp")) or None
+    return head, [{"role": role, "ts": ts, "content": text, "sub": sub} for sub, (role, text) in enumerate(found) if text.strip()]
+
+
+def _whole(data: bytes, offset: int, line) -> tuple[list, list[dict]]:
+    """What all lines say of the file, and the messages from ``offset``."""
+    head, rows = list(NOTHING), []
     for at, record in lines(data):
-        uid = uid or _text(record.get("sessionId"))
-        workspace = workspace or _text(record.get("cwd"))
-        message = record.get("message")
-        if at < offset or not isinstance(message, dict):
-            continue
-        ts = unix_seconds(record.get("timestamp"))
-        if record.get("type") == "user":
-            found = [("user", _user_text(message.get("content")))]
-        elif record.get("type") == "assistant":
-            found = list(zip(("assistant", "thinking"), _assistant_texts(message.get("content")), strict=True))
-        else:
-            continue
-        rows += [(role, ts, text, at, sub) for sub, (role, text) in enumerate(found) if text.strip()]
+        said, found = line(record)
+        head = [h or s for h, s in zip(head, said, strict=True)]
+        if at >= offset:
+            rows += [r | {"source_offset": at} for r in found]
+    return head, rows
+
+
+def session_file(path: str, data: bytes, offset: int = 0) -> Iterator[dict]:
+    """Message rows of a format A file: ``session_uid, workspace, role, ts, content, source_offset, sub``; the head is looked for from the start."""
+    (uid, workspace, _), rows = _whole(data, offset, session_line)
     uid = uid or path.rsplit("/", 1)[-1].removesuffix(".jsonl")
-    for role, ts, text, at, sub in rows:
-        yield {"session_uid": uid, "workspace": workspace, "role": role, "ts": ts or None, "content": text, "source_offset": at, "sub": sub, "started_at": None}
+    return ({"session_uid": uid, "workspace": workspace, "started_at": None} | r for r in rows)
 
 
 # -- format B: a rollout of payloads in a JSON-lines file, and a history shared by sessions --
@@ -153,32 +169,36 @@ def _payload_message(payload: dict) -> tuple[str, str] | None:
     return None
 
 
+def rollout_line(record: dict) -> Line:
+    """A line of a format B file; ``started`` is what the session's own record says."""
+    payload = record.get("payload")
+    if not isinstance(payload, dict):
+        return NOTHING, []
+    ts = unix_seconds(record.get("timestamp"))
+    if record.get("type") == "session_meta":
+        return (_text(payload.get("id")), _text(payload.get("cwd")), unix_seconds(payload.get("timestamp")) or ts), []
+    if record.get("type") == "response_item" and (found := _payload_message(payload)) and found[1].strip():
+        return NOTHING, [{"role": found[0], "ts": ts or None, "content": found[1], "sub": 0}]
+    return NOTHING, []
+
+
 def rollout_file(path: str, data: bytes, offset: int = 0) -> Iterator[dict]:
-    """Message rows of a format B file, as ``session_file``; ``started_at`` is what the session's own record says."""
-    uid, workspace, started, rows = "", "", 0, []
-    for at, record in lines(data):
-        payload = record.get("payload")
-        if not isinstance(payload, dict):
-            continue
-        ts = unix_seconds(record.get("timestamp"))
-        if record.get("type") == "session_meta":
-            uid = uid or _text(payload.get("id"))
-            workspace = workspace or _text(payload.get("cwd"))
-            started = started or unix_seconds(payload.get("timestamp")) or ts
-        elif record.get("type") == "response_item" and at >= offset and (found := _payload_message(payload)) and found[1].strip():
-            rows.append((*found, ts, at))
-    if uid:
-        for role, text, ts, at in rows:
-            yield {"session_uid": uid, "workspace": workspace, "role": role, "ts": ts or None, "content": text, "source_offset": at, "sub": 0, "started_at": started or None}
+    """Message rows of a format B file, as ``session_file``; none if it names no session."""
+    (uid, workspace, started), rows = _whole(data, offset, rollout_line)
+    return ({"session_uid": uid, "workspace": workspace, "started_at": started or None} | r for r in rows if uid)
+
+
+def history_line(record: dict) -> Line:
+    """A line of a shared history: a user message of a session of its own, if it says something."""
+    text, ts = _text(record.get("text")), record.get("ts")
+    if not _text(record.get("session_id")) or not text.strip() or text.lstrip().startswith(NOT_HISTORY):
+        return NOTHING, []
+    return NOTHING, [{"session_uid": record["session_id"], "role": "user", "ts": int(ts) if isinstance(ts, int | float) and ts else None, "content": text, "sub": 0}]
 
 
 def history_file(path: str, data: bytes, offset: int = 0) -> Iterator[dict]:
-    """One user message for each line of a shared history that says something."""
-    for at, record in lines(data):
-        text = _text(record.get("text"))
-        if at >= offset and _text(record.get("session_id")) and text.strip() and not text.lstrip().startswith(NOT_HISTORY):
-            ts = record.get("ts")
-            yield {"session_uid": record["session_id"], "workspace": "", "role": "user", "ts": int(ts) if isinstance(ts, int | float) and ts else None, "content": text, "source_offset": at, "sub": 0, "started_at": None}
+    """Message rows of a shared history."""
+    return ({"workspace": "", "started_at": None} | r for r in _whole(data, offset, history_line)[1])
 
 
 # -- format C: key-value stores of composers and their bubbles --

@@ -1,10 +1,14 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and this package's code."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +27,54 @@ def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as it takes it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file beside its place and renames it there, so it is there as a whole or not at all; whether it could, for there may be one."""
+    fs, at = file_system(spark, path)
+    draft = file_system(spark, f"{at.getParent()}/_draft-{uuid.uuid4().hex}")[1]
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(at) and fs.rename(draft, at):
+        return True
+    fs.delete(draft, False)
+    return False
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder, in order; none if there is no such folder."""
+    fs, at = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Gives executors this package, for they may not have it on their own path. Whatever builds a Python function for them calls this."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    context = spark.sparkContext
+    if not getattr(context, "_loomsearch_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="loomsearch-")) / "loomsearch.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._loomsearch_shipped = True
+
+
+def pandas_function(f, kind: str):
+    """``F.pandas_udf`` whose executors have this package."""
+    ship()
+    return F.pandas_udf(f, kind)
