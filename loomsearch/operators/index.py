@@ -1,20 +1,29 @@
 """An index for ranked search: postings of words and of trigrams as tables, so that a query reads only what its terms need.
 
 ``words`` has a row for each (term, message): how often and where the term
-stands, and the message's number of tokens. ``grams`` has a row for each
-(trigram of the lower-case text, message). Both lie in folders by a term's first
-character and are sorted by term inside: a query prunes folders when it is
-planned and row groups by their ranges of terms, and a term that most messages
-have is spread over many files. ``sizes`` has the totals that ranking needs.
-
-Every table is written in segments. Adding messages writes one more segment and
-notes the messages' earlier rows as dead, so only what has changed is indexed
-again; ``compact`` and ``rebuild`` make one segment of all.
+stands, the message's number of tokens, and the *level* of the row, which grows
+with what it can add to a score. ``grams`` has a row for each (trigram of the
+lower-case text, message). ``blocks`` tells of each term and level how many rows
+there are, the largest frequency and the smallest message, and ``gram_counts`` how
+many messages have a trigram. All lie in folders by a term's first character and
+are sorted by term (and level) inside: a query prunes folders when it is planned
+and row groups by their ranges, and a term that most messages have is spread over
+many files.
+
+Each table has a folder for each *segment*. What counts is the last manifest, a
+small file that names the live segments, the sets of dead messages and the
+totals that ranking needs; it comes into being by a rename. A run that is lost
+before that leaves folders that nobody reads. Adding messages writes one more
+segment and notes the messages' earlier rows as dead. Segments of about the same
+size are merged, so there are few of them and a row is rewritten a logarithmic
+number of times; ``compact`` makes one segment of all and forgets the dead.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import math
 import operator
 import uuid
 
@@ -24,16 +33,23 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.porter import stem
 from ..plans.grammar import substring_items, word_items
-from ..storage import file_system, pandas_function
+from ..storage import file_system, names, pandas_function, read_text, write_new
 from .search import LEAST_IDF, SUBSTRING_WEIGHT, B, K1, phrase_tokens, substring_frequency
 
 GRAM = 3
+#: Segments of about one size (within this factor) that are merged into one, manifests that are kept for readers at work, levels of postings.
+FANOUT, KEPT, LEVELS = 4, 3, 64
+#: Rarest trigrams of a part that are met; what has them all is looked at.
+RAREST = 3
 _TABLES = {
-    "words": "term string, mid long, tf int, positions array<int>, size int, segment int, lead string",
-    "grams": "term string, mid long, size int, segment int, lead string",
-    "sizes": "mid long, tokens int, characters int, segment int",
-    "dead": "mid long, before int",
+    "words": "term string, mid long, tf int, positions array<int>, size int, segment long, level int, run string, lead string",
+    "grams": "term string, mid long, size int, segment long, run string, lead string",
+    "blocks": "term string, level int, n long, most int, least int, run string, lead string",
+    "gram_counts": "term string, n long, run string, lead string",
+    "sizes": "mid long, tokens int, characters int, segment long, run string",
+    "dead": "mid long, before long, run string",
 }
+_MANIFEST = "manifest-"
 
 
 def _lead(term: Column) -> Column:
@@ -70,6 +86,20 @@ def gram_postings(messages: DataFrame) -> DataFrame:
     return chars.where("size > 0").select(F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("term"), "mid", "size")
 
 
+def level(tf: Column, size: Column, mean: Column) -> Column:
+    """How much a posting can add to a score, in steps from 0, by the mean size when it is written; what is exact are its block's bounds."""
+    return F.least(F.floor(LEVELS * tf / (tf + K1 * (1 - B + B * size / mean))), F.lit(LEVELS - 1)).cast("int")
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed meanwhile; nothing has changed by this one."""
+
+
+def _totals(sizes: DataFrame) -> dict:
+    found = sizes.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "characters"))).first()
+    return found.asDict()
+
+
 class SearchIndex:
     """An index below ``path``; ``stems`` is fixed when it is made."""
 
@@ -78,65 +108,157 @@ class SearchIndex:
 
     # -- writing --
 
+    def manifest(self) -> dict:
+        """What the last commit says: ``number``, ``segments`` (run and rows each), ``dead`` runs and totals."""
+        found = [int(n.removeprefix(_MANIFEST)) for n in names(self.spark, self.path) if n.startswith(_MANIFEST)]
+        return json.loads(read_text(self.spark, f"{self.path}/{_MANIFEST}{max(found)}")) if found else {"number": 0, "segments": [], "dead": [], "rows": 0, "tokens": 0, "characters": 0}
+
     def add(self, messages: DataFrame) -> SearchIndex:
         """Indexes messages (``mid, content``), in place of what is indexed under their ids. Contents that are null are empty."""
-        own = messages.select("mid", F.coalesce("content", F.lit("")).alias("content"))
-        number = self._segments()
-        if number:
-            known = self._table("sizes").select("mid").distinct()
-            own.select("mid").join(known, "mid", "left_semi").select("mid", F.lit(number).alias("before")).write.mode("append").parquet(f"{self.path}/dead")
-        self._write(own, number, self.path)
-        return self
-
-    def _write(self, own: DataFrame, number: int, path: str) -> None:
-        segment = F.lit(number).alias("segment")
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        for name, rows in (("words", postings(own, self.stems)), ("grams", gram_postings(own))):
-            rows = rows.select("*", segment, _lead(F.col("term")).alias("lead"))
-            rows.repartitionByRange(parts, "lead", "term", "mid").sortWithinPartitions("lead", "term", "mid").write.mode("append").partitionBy("lead").parquet(f"{path}/{name}")
-        # What says that a segment is there comes last.
-        sizes = own.select("mid", F.size(X.tokens(F.col("content"))).alias("tokens"), F.greatest(F.char_length("content") - 2, F.lit(0)).alias("characters"), segment)
-        sizes.write.mode("append").parquet(f"{path}/sizes")
+        return self.update(messages, None)
 
     def remove(self, mids: DataFrame) -> SearchIndex:
         """Takes messages (column ``mid``) out of the index."""
-        mids.select("mid", F.lit(self._segments()).alias("before")).write.mode("append").parquet(f"{self.path}/dead")
-        return self
+        return self.update(None, mids)
+
+    def update(self, messages: DataFrame | None, removed: DataFrame | None) -> SearchIndex:
+        """Adds and removes messages in one commit, and merges segments if there are enough of one size."""
+        now, run = self.manifest(), uuid.uuid4().hex
+        number = now["number"] + 1
+        after = dict(now, number=number)
+        gone = None if removed is None else removed.select("mid")
+        if messages is not None:
+            own = messages.select("mid", F.coalesce("content", F.lit("")).alias("content"))
+            sizes = self._write(own, number, run)
+            gone = own.select("mid") if gone is None else gone.unionByName(own.select("mid"))
+            after["segments"] = [*now["segments"], *([{"run": run, "rows": sizes["rows"]}] if sizes["rows"] else [])]
+            after |= {k: now[k] + sizes[k] for k in ("rows", "tokens", "characters")}
+        if now["segments"] and gone is not None:
+            dead = self._alive(now, "sizes").join(gone.distinct(), "mid", "left_semi").select("mid", "tokens", "characters", F.lit(number).cast("long").alias("before"))
+            dead = self._put(dead, "dead", run)
+            lost = _totals(dead)
+            if lost["rows"]:
+                after["dead"] = [*now["dead"], run]
+                after |= {k: after[k] - lost[k] for k in ("rows", "tokens", "characters")}
+        self._commit(after)
+        return self._merge_like_sized()
+
+    def apply(self, before: DataFrame, after: DataFrame) -> SearchIndex:
+        """Follows a table, or the part of it that has changed, from one version to the next (``mid, content``): only what differs is touched."""
+        old, new = (m.select("mid", F.coalesce("content", F.lit("")).alias("content")).withColumn("digest", F.xxhash64("content")) for m in (before, after))
+        return self.update(new.join(old.select("mid", "digest"), ["mid", "digest"], "left_anti"), old.join(new.select("mid"), "mid", "left_anti"))
+
+    def compact(self) -> SearchIndex:
+        """Makes one segment of all and forgets the dead."""
+        now = self.manifest()
+        return self._merge(now, now["segments"]) if now["segments"] else self
 
     def needs_rebuild(self, messages: DataFrame) -> bool:
-        """Whether messages are missing from the index, as after a run that was lost."""
-        return self._alive("sizes").count() < messages.count()
+        """Whether messages are missing from the index, or are gone from the table."""
+        known = self._alive(self.manifest(), "sizes").select("mid")
+        return bool(messages.select("mid").join(known, "mid", "left_anti").limit(1).count() or known.join(messages.select("mid"), "mid", "left_anti").limit(1).count())
 
     def rebuild(self, messages: DataFrame) -> SearchIndex:
-        """Makes the index anew from all messages, beside the old one, and puts it in its place."""
-        fresh = f"{self.path}-{uuid.uuid4().hex}"
-        self._write(messages.select("mid", F.coalesce("content", F.lit("")).alias("content")), 0, fresh)
-        fs, old = file_system(self.spark, self.path)
-        fs.delete(old, True)
-        if not fs.rename(file_system(self.spark, fresh)[1], old):
-            raise OSError(f"the index could not be moved to {self.path}")
+        """Makes the index anew from all messages, as one more commit."""
+        now, run = self.manifest(), uuid.uuid4().hex
+        sizes = self._write(messages.select("mid", F.coalesce("content", F.lit("")).alias("content")), now["number"] + 1, run)
+        self._commit({"number": now["number"] + 1, "segments": [{"run": run, "rows": sizes["rows"]}], "dead": []} | {k: sizes[k] for k in ("rows", "tokens", "characters")})
         return self
 
-    # -- reading --
+    def _put(self, rows: DataFrame, name: str, run: str, order: tuple[str, ...] = ()) -> DataFrame:
+        """Writes a table's part of a segment and reads it back."""
+        at = f"{self.path}/{name}/run={run}"
+        if order:
+            parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        writer = rows.write.partitionBy("lead") if "lead" in rows.columns else rows.write
+        writer.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _write(self, own: DataFrame, number: int, run: str) -> dict:
+        segment = F.lit(number).cast("long").alias("segment")
+        sizes = own.select("mid", F.size(X.tokens(F.col("content"))).alias("tokens"), F.greatest(F.char_length("content") - 2, F.lit(0)).alias("characters"), segment)
+        totals = _totals(self._put(sizes, "sizes", run))
+        mean = F.lit(max(1.0, totals["tokens"] / max(1, totals["rows"])))
+        words = postings(own, self.stems).select("*", segment, level(F.col("tf"), F.col("size"), mean).alias("level"), _lead(F.col("term")).alias("lead"))
+        self._summaries(self._put(words, "words", run, ("lead", "term", "level", "mid")), self._put(gram_postings(own).select("*", segment, _lead(F.col("term")).alias("lead")), "grams", run, ("lead", "term", "mid")), run)
+        return totals
 
-    def _table(self, name: str) -> DataFrame:
-        fs, at = file_system(self.spark, f"{self.path}/{name}")
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}") if fs.exists(at) else self.spark.createDataFrame([], _TABLES[name])
+    def _summaries(self, words: DataFrame, grams: DataFrame, run: str) -> None:
+        n = F.count(F.lit(1)).alias("n")
+        self._put(words.groupBy("lead", "term", "level").agg(n, F.max("tf").alias("most"), F.min("size").alias("least")), "blocks", run, ("lead", "term", "level"))
+        self._put(grams.groupBy("lead", "term").agg(n), "gram_counts", run, ("lead", "term"))
 
-    def _segments(self) -> int:
-        fs, at = file_system(self.spark, f"{self.path}/sizes")
-        if not fs.exists(at):
-            return 0
-        return (self._table("sizes").agg(F.max("segment")).first()[0] or 0) + 1
+    def _merge_like_sized(self) -> SearchIndex:
+        while True:
+            now = self.manifest()
+            tiers: dict[int, list[dict]] = {}
+            for s in now["segments"]:
+                tiers.setdefault(int(math.log(max(1, s["rows"]), FANOUT)), []).append(s)
+            full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= FANOUT), None)
+            if full is None:
+                return self
+            self._merge(now, full)
 
-    def _alive(self, name: str, where: Column | None = None) -> DataFrame:
-        """Rows of a table but those that are dead: of a segment before the one that replaced their message."""
-        rows = self._table(name)
+    def _merge(self, now: dict, some: list[dict]) -> SearchIndex:
+        """One segment in place of some; rows keep the number of the commit that brought them, so the dead of later ones stay dead."""
+        run, runs = uuid.uuid4().hex, [s["run"] for s in some]
+        kept = {name: self._alive(now, name, runs=runs).drop("run") for name in ("sizes", "words", "grams")}
+        rows = self._put(kept["sizes"], "sizes", run).count()
+        self._summaries(self._put(kept["words"], "words", run, ("lead", "term", "level", "mid")), self._put(kept["grams"], "grams", run, ("lead", "term", "mid")), run)
+        left = [s for s in now["segments"] if s["run"] not in runs]
+        self._commit(dict(now, number=now["number"] + 1, segments=[*left, {"run": run, "rows": rows}], dead=now["dead"] if left else []))
+        return self
+
+    def _commit(self, manifest: dict) -> None:
+        if not write_new(self.spark, f"{self.path}/{_MANIFEST}{manifest['number']}", json.dumps(manifest)):
+            raise Conflict(f"commit {manifest['number']} of {self.path} is there already")
+        self._forget(manifest["number"])
+
+    def _forget(self, number: int) -> None:
+        """Removes old manifests, and the segments of theirs that none of the last ``KEPT`` names. What a lost run has left stays until ``sweep``."""
+        def runs(n: int) -> set[str]:
+            m = json.loads(read_text(self.spark, f"{self.path}/{_MANIFEST}{n}"))
+            return {s["run"] for s in m["segments"]} | set(m["dead"])
+
+        there = [int(n.removeprefix(_MANIFEST)) for n in names(self.spark, self.path) if n.startswith(_MANIFEST)]
+        kept = set().union(*(runs(n) for n in there if n > number - KEPT))
+        for n in (n for n in there if n <= number - KEPT):
+            for run in runs(n) - kept:
+                self._drop(run)
+            fs, at = file_system(self.spark, f"{self.path}/{_MANIFEST}{n}")
+            fs.delete(at, False)
+
+    def _drop(self, run: str) -> None:
+        for name in _TABLES:
+            fs, at = file_system(self.spark, f"{self.path}/{name}/run={run}")
+            fs.delete(at, True)
+
+    def sweep(self) -> int:
+        """Removes what lost runs have left; only while no other writer is at work. Gives how many runs there were."""
+        there = [int(n.removeprefix(_MANIFEST)) for n in names(self.spark, self.path) if n.startswith(_MANIFEST)]
+        named = set()
+        for n in there:
+            m = json.loads(read_text(self.spark, f"{self.path}/{_MANIFEST}{n}"))
+            named |= {s["run"] for s in m["segments"]} | set(m["dead"])
+        lost = {d.removeprefix("run=") for name in _TABLES for d in names(self.spark, f"{self.path}/{name}")} - named
+        for run in lost:
+            self._drop(run)
+        return len(lost)
+
+    # -- reading --
+
+    def _table(self, name: str, runs: list[str]) -> DataFrame:
+        at = [f"{self.path}/{name}/run={r}" for r in runs]
+        return self.spark.read.schema(_TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*at) if at else self.spark.createDataFrame([], _TABLES[name])
+
+    def _alive(self, now: dict, name: str, where: Column | None = None, runs: list[str] | None = None) -> DataFrame:
+        """Rows of a table but those that are dead: of a commit before the one that replaced or removed their message."""
+        rows = self._table(name, [s["run"] for s in now["segments"]] if runs is None else runs)
         rows = rows if where is None else rows.where(where)
-        fs, at = file_system(self.spark, f"{self.path}/dead")
-        if not fs.exists(at):
+        if not now["dead"]:
             return rows
-        dead = self._table("dead").groupBy("mid").agg(F.max("before").alias("before"))
+        dead = self._table("dead", now["dead"]).groupBy("mid").agg(F.max("before").alias("before"))
         return rows.join(dead, "mid", "left").where("before is null or segment >= before").drop("before")
 
     def word_hits(self, query: str) -> DataFrame | None:
@@ -144,13 +266,13 @@ class SearchIndex:
         phrases = [p for p in ((phrase_tokens(i, self.stems), i.prefix) for i in word_items(query)) if p[0]]
         if not phrases:
             return None
-        found = []
+        found, now = [], self.manifest()
         for tokens, prefix in phrases:
             wanted = [F.col("term") == t for t in tokens]
             if prefix:
                 wanted[-1] = F.startswith("term", F.lit(tokens[-1]))
             where = F.col("lead").isin(_leads(self.spark, set(tokens))) & functools.reduce(operator.or_, wanted)
-            rows = self._alive("words", where)
+            rows = self._alive(now, "words", where)
             if len(tokens) == 1:
                 found.append(rows.groupBy("mid").agg(F.sum("tf").alias("f"), F.first("size").alias("size")))
                 continue
@@ -158,25 +280,99 @@ class SearchIndex:
             slots = [rows.where(w).select("mid", "size", F.explode("positions").alias("pos")).select("mid", "size", (F.col("pos") - k).alias("begin")) for k, w in enumerate(wanted)]
             whole = functools.reduce(DataFrame.unionByName, slots).groupBy("mid", "size", "begin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(tokens))
             found.append(whole.groupBy("mid").agg(F.count(F.lit(1)).alias("f"), F.first("size").alias("size")))
-        return self._ranked(found, "tokens")
+        return self._ranked(now, found, "tokens")
 
     def substring_hits(self, query: str, messages: DataFrame) -> DataFrame | None:
         """``mid, score`` of the messages with all substrings: those that have all trigrams are looked at in ``messages`` (``mid, content``)."""
         parts = [i.text.lower() for i in substring_items(query)]
         if not parts:
             return None
-        found = []
+        found, now = [], self.manifest()
         for part in parts:
             grams = {part[k : k + GRAM] for k in range(len(part) - GRAM + 1)}
-            rows = self._alive("grams", F.col("lead").isin(_leads(self.spark, grams)) & F.col("term").isin(sorted(grams)))
-            maybe = rows.groupBy("mid").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where(F.col("n") == len(grams))
+            rare = self.rarest(now, grams)
+            rows = self._alive(now, "grams", F.col("lead").isin(_leads(self.spark, set(rare))) & F.col("term").isin(rare))
+            maybe = rows.groupBy("mid").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where(F.col("n") == len(rare))
             seen = messages.select("mid", F.lower("content").alias("low")).join(maybe, "mid")
             found.append(seen.select("mid", substring_frequency(F.col("low"), part).alias("f"), "size").where("f > 0"))
-        return self._ranked(found, "characters").withColumn("score", F.col("score") * SUBSTRING_WEIGHT)
+        return self._ranked(now, found, "characters").withColumn("score", F.col("score") * SUBSTRING_WEIGHT)
+
+    def rarest(self, now: dict, grams: set[str]) -> list[str]:
+        """The trigrams worth meeting: the rarest, as long as one more keeps out most of what the ones before let through. Counts are of all rows, the dead included, so they only guide."""
+        counts = self._table("gram_counts", [s["run"] for s in now["segments"]]).where(F.col("lead").isin(_leads(self.spark, grams)) & F.col("term").isin(sorted(grams)))
+        known = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        order = sorted(grams, key=lambda g: (known.get(g, 0), g))
+        out, left = order[:1], known.get(order[0], 0)
+        for g in order[1:RAREST]:
+            if known.get(g, 0) > 4 * left:  # its postings would cost more than the texts it keeps out
+                break
+            out.append(g)
+        return out
+
+    def top_word_hits(self, query: str, k: int) -> DataFrame | None:
+        """The ``k`` best messages (``mid, score``; ties by ``mid``) with all words of a query, as :meth:`word_hits` has them, by reading few postings.
+
+        A message's score is at most the sum of its blocks' bounds. The best
+        blocks are scored first; the k-th score found so bounds what a row of
+        any other block must reach, together with the other words' best blocks,
+        and blocks that cannot reach it are not read. Phrases and prefixes are
+        scored in full.
+        """
+        items = [(phrase_tokens(i, self.stems), i.prefix) for i in word_items(query)]
+        items = [p for p in items if p[0]]
+        if not items:
+            return None
+        now = self.manifest()
+        if now["dead"] or any(prefix or len(tokens) > 1 for tokens, prefix in items):
+            return self.word_hits(query).orderBy("score", "mid").limit(k)
+        times: dict[str, int] = {}
+        for tokens, _ in items:
+            times[tokens[0]] = times.get(tokens[0], 0) + 1
+        mean = now["tokens"] / max(1, now["rows"])
+        leads = F.col("lead").isin(_leads(self.spark, set(times)))
+        told = self._table("blocks", [s["run"] for s in now["segments"]]).where(leads & F.col("term").isin(list(times))).groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect()
+        weights = {t: self._idf(now["rows"], sum(r["n"] for r in told if r["term"] == t)) * n for t, n in times.items()}
+        blocks: dict[str, list[tuple[float, int, int]]] = {t: [] for t in times}
+        for r in told:
+            bound = weights[r["term"]] * r["most"] * (K1 + 1) / (r["most"] + K1 * (1 - B + B * r["least"] / mean))
+            blocks[r["term"]].append((bound, r["level"], r["n"]))
+        if not all(blocks.values()):
+            return self.spark.createDataFrame([], "mid long, score double")
+        best = {t: max(b for b, _, _ in blocks[t]) for t in times}
+        first = {t: {lv for _, lv, _ in sorted(blocks[t], reverse=True)[: self._enough(blocks[t], k * len(times) ** 2)]} for t in times}
+        probe = [r["score"] for r in self._scored(now, first, weights, mean, leads).orderBy("score").limit(k).collect()]
+        least = -probe[-1] if len(probe) == k else 0.0
+        # Scores are negative; a little room is left for rounding.
+        wanted = {t: {lv for b, lv, _ in blocks[t] if b + sum(best.values()) - best[t] >= least * (1 - 1e-9)} for t in times}
+        return self._scored(now, wanted, weights, mean, leads).orderBy("score", "mid").limit(k)
+
+    @staticmethod
+    def _idf(rows: int, n: int) -> float:
+        found = math.log((rows - n + 0.5) / (n + 0.5))
+        return found if found > 0 else LEAST_IDF
+
+    @staticmethod
+    def _enough(blocks: list[tuple[float, int, int]], k: int) -> int:
+        """How many of the best blocks have ``k`` rows."""
+        seen = 0
+        for m, (_, _, n) in enumerate(sorted(blocks, reverse=True), 1):
+            seen += n
+            if seen >= k:
+                return m
+        return len(blocks)
+
+    def _scored(self, now: dict, levels: dict[str, set[int]], weights: dict[str, float], mean: float, leads: Column) -> DataFrame:
+        """``mid, score`` of the messages that have all terms in the given levels."""
+        where = functools.reduce(operator.or_, ((F.col("term") == t) & F.col("level").isin(sorted(some)) for t, some in levels.items()))
+        rows = self._table("words", [s["run"] for s in now["segments"]]).where(leads & where)
+        weight = functools.reduce(lambda c, t: c.when(F.col("term") == t, weights[t]), levels, F)
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+        whole = rows.select("mid", part.alias("part")).groupBy("mid").agg(F.sum("part").alias("whole"), F.count(F.lit(1)).alias("n"))
+        return whole.where(F.col("n") == len(levels)).select("mid", (-F.col("whole")).alias("score"))
 
-    def _ranked(self, found: list[DataFrame], measure: str) -> DataFrame:
+    def _ranked(self, now: dict, found: list[DataFrame], measure: str) -> DataFrame:
         """BM25 over the whole index: a phrase's messages are counted before the phrases meet."""
-        totals = self._alive("sizes").agg(F.count(F.lit(1)).alias("rows"), F.avg(measure).alias("mean_size"))
+        totals = self.spark.range(1).select(F.lit(now["rows"]).alias("rows"), F.lit(now[measure] / max(1, now["rows"])).alias("mean_size"))
         hits = None
         for k, rows in enumerate(found):
             totals = totals.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias(f"n{k}"))))
