@@ -51,16 +51,18 @@ def _stretches(block: str) -> list[str]:
 class RankTable:
     """Ranks of pairs of ids, in an open hash table that whole arrays look up at once."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray):
+    def __init__(self, left: np.ndarray, right: np.ndarray, ranks: np.ndarray | None = None):
+        """Pairs are ranked by their order, or as ``ranks`` says, where several may share one."""
         self.mask = (1 << max(4, int(len(left)).bit_length() + 2)) - 1
         self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, _NONE, np.int32)
+        ranks = np.arange(len(left)) if ranks is None else ranks
         keys = left.astype(np.int64) << 32 | right
         todo, at = np.arange(len(keys)), self._slot(keys)
         while len(todo):
             free = np.flatnonzero(self.keys[at] < 0)
             _, first = np.unique(at[free], return_index=True)
             put = free[first]
-            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], todo[put]
+            self.keys[at[put]], self.ranks[at[put]] = keys[todo[put]], ranks[todo[put]]
             left_over = np.delete(np.arange(len(todo)), put)
             todo, at = todo[left_over], at[left_over] + 1 & self.mask
 
@@ -114,6 +116,24 @@ def scan_merge(parts: np.ndarray, table: RankTable, merged: np.ndarray) -> tuple
         near[here, k[here] - 1] = table.of(parts[here, k[here] - 1], parts[here, k[here]])
 
 
+def merge_rows(parts: np.ndarray, lengths: np.ndarray, table: RankTable, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merged parts of words, one after the other, and how many each has; ``parts`` are those of all words in a row, of which each has ``lengths``, at most the widest row."""
+    starts = np.cumsum(lengths) - lengths
+    sizes, found, order = np.zeros(len(lengths), np.int64), [], []
+    for least, width in zip((0, *WIDTHS), WIDTHS):
+        here = np.flatnonzero((lengths > least) & (lengths <= width))
+        if len(here):
+            inside = np.arange(width) < lengths[here, None]
+            rows = np.where(inside, parts[np.minimum(starts[here, None] + np.arange(width), len(parts) - 1)], -1).astype(np.int32)
+            rows, sizes[here] = scan_merge(rows, table, merged)
+            inside = np.arange(width) < sizes[here, None]
+            found.append(rows[inside])
+            order.append(np.repeat(here, sizes[here]))
+    if not found:
+        return np.zeros(0, np.int32), sizes
+    return np.concatenate(found)[np.argsort(np.concatenate(order), kind="stable")], sizes
+
+
 def queue_merge(parts: list[int], ranks: dict[tuple[int, int], int], merged: np.ndarray) -> list[int]:
     """The same for one word of any length: ranks wait in a queue, parts are linked in both directions."""
     n = len(parts)
@@ -182,15 +202,12 @@ class ByteBPE:
         """The ids of each word's bytes."""
         out = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for least, width in zip((0, *WIDTHS), WIDTHS):
-            here = np.flatnonzero((lengths > least) & (lengths <= width))
-            if len(here):
-                parts = np.full((len(here), width), -1, np.int32)
-                parts[np.arange(width) < lengths[here, None]] = self.letters[np.frombuffer(b"".join([words[k] for k in here]), np.uint8)]
-                parts, sizes = scan_merge(parts, self.table, self.merged)
-                ids, ends = parts[np.arange(width) < sizes[:, None]].tobytes(), (4 * np.cumsum(sizes)).tolist()
-                for k, a, b in zip(here.tolist(), [0, *ends], ends):
-                    out[k] = ids[a:b]
+        short = np.flatnonzero(lengths <= WIDTHS[-1])
+        raw = np.frombuffer(b"".join([words[k] for k in short]), np.uint8)
+        ids, sizes = merge_rows(self.letters[raw], lengths[short], self.table, self.merged)
+        flat, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        for k, a, b in zip(short.tolist(), [0, *ends], ends):
+            out[k] = flat[a:b]
         for k in np.flatnonzero(lengths > WIDTHS[-1]).tolist():
             out[k] = array("I", queue_merge(self.letters[np.frombuffer(words[k], np.uint8)].tolist(), self.ranks, self.merged)).tobytes()
         return out
