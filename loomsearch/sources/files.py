@@ -55,7 +55,7 @@ LINES = flat_schema("source_path string, source_offset long, session_uid string,
 HEAD = "uid string, workspace string, started long"
 
 
-def _parse_lines(lines: DataFrame, parser: str) -> DataFrame:
+def parse_lines(lines: DataFrame, parser: str) -> DataFrame:
     """Lines (``source_path, source_offset, line, begin``) as ``LINES``; messages of lines before ``begin`` are left out, but not what such lines say of their file."""
     ship(lines.sparkSession)
 
@@ -125,7 +125,7 @@ def read_source(spark: SparkSession, agent: str, root: str, due: DataFrame | Non
     pattern, recursive, name, parser = SOURCES[agent]
     if due is None:
         due = listing(spark, pattern.format(root), recursive, name).select("source_path", "size", F.lit(0).cast("long").alias("offset"), F.lit("").alias("head"))
-    return _parse_lines(_lines(spark, due, range_bytes), parser)
+    return parse_lines(_lines(spark, due, range_bytes), parser)
 
 
 def heads(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ parts gives what reading it at once gives.
 
 from __future__ import annotations
 
+import functools
 import time
 import uuid
 from collections.abc import Iterable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from ..operators.redact_rules import Rule
 from ..storage import shared_dir
 from . import files
 
+if TYPE_CHECKING:
+    from ..operators.index import SearchIndex
+
 STORED = "session_id long, ordinal int, role string, ts long, content string, source_path string, source_offset long, sub int, mid long"
 
 
@@ -111,7 +116,7 @@ def _work(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None, report: list[dict] | None = None) -> Tables:
+def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = None, full: bool = False, rules: Iterable[Rule] | None = None, redact: bool = True, work: str | None = None, report: list[dict] | None = None, index: SearchIndex | None = None) -> Tables:
     """The next version of all tables after reading the sources in ``roots`` (by agent).
 
     The tables are written to ``work`` after each source, so that a later one
@@ -122,8 +127,12 @@ def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = N
     starts from nothing. Histories come last, for sessions not known otherwise.
     ``report`` gets a row for each source: ``sessions`` touched, messages
     ``offered`` (known ones included), ``errors`` (lines that are no records)
-    and ``seconds``.
+    and ``seconds``. An ``index`` follows: the messages of sessions that any
+    source has touched are compared with what they were, and what differs is
+    added and removed in one commit.
     """
+    begin = tables if tables is not None else Tables.empty(spark)
+    touched: list[DataFrame] = []
     now = tables if tables is not None and not full else Tables.empty(spark)
     work = work or _work(spark)
 
@@ -140,27 +149,43 @@ def ingest(spark: SparkSession, roots: dict[str, str], tables: Tables | None = N
 
     for agent in ("claude_code", "codex"):
         if agent in roots:
-            now = _read_source(spark, now, agent, roots[agent], rules, redact, work, note(agent)).write(f"{work}/{agent}")
+            now = _read_source(spark, now, agent, roots[agent], rules, redact, work, note(agent), touched).write(f"{work}/{agent}")
     if "cursor" in roots:
-        now = _read_composers(spark, now, roots["cursor"], rules, redact, work, note("cursor")).write(f"{work}/cursor")
+        now = _read_composers(spark, now, roots["cursor"], rules, redact, work, note("cursor"), touched).write(f"{work}/cursor")
     if "codex" in roots:
         history = merge.unknown_only(files.history_files(spark, roots["codex"]).where("role is not null"), now.sessions)
         history = _kept(history.select(*files.PARSED.names), work, "history")
         note("history")(history)
+        touched.append(history.select(merge.session_key().alias("session_id")))
         now = merge_parsed(now, history, None, rules, redact, work).write(f"{work}/history")
+    if index is not None:
+        _follow(index, begin, now, touched if index.manifest()["number"] and not full else None)
     return now
 
 
-def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules, redact: bool, work: str, note) -> Tables:
+def _follow(index: SearchIndex, before: Tables, after: Tables, touched: list[DataFrame] | None) -> None:
+    """Brings an index from one version of the messages to the next; ``touched`` has the sessions that may differ, and is nothing for all."""
+    old, new = before.messages, after.messages
+    if touched is not None:
+        if not touched:
+            return
+        ids = functools.reduce(DataFrame.unionAll, touched).distinct()
+        old, new = old.join(ids, "session_id", "left_semi"), new.join(ids, "session_id", "left_semi")
+    index.apply(old.select("mid", "content"), new.select("mid", "content"))
+
+
+def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules, redact: bool, work: str, note, touched: list[DataFrame]) -> Tables:
     pattern, recursive, name, _ = files.SOURCES[agent]
     listed = files.listing(spark, pattern.format(root), recursive, name)
     decided = merge.decide(listed, now.state).join(now.state.select("source_path", F.col("fingerprint").alias("told")), "source_path", "left")
     # What lines before the offset say of their file is kept with its state; without it, a file is read from its start.
     decided = _kept(decided.withColumn("head", F.when(F.col("action") != "restart", F.coalesce("told", F.lit(""))).otherwise("")).drop("told"), work, "decided")
     gone = decided.where("truncate").select("source_path")
+    touched.append(now.sessions.join(gone, "source_path", "left_semi").select("session_id"))
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
     lines = _kept(files.read_source(spark, agent, root, decided.where("action != 'skip'")), work, "read")
     parsed = _kept(files.assembled(lines, agent, decided, decided), work, "assembled")
+    touched.append(parsed.select(merge.session_key().alias("session_id")))
     note(parsed.unionByName(lines.where("role is null and sub > 0").select("source_path", "sub"), allowMissingColumns=True))
     heads = files.heads(lines, decided).select("source_path", F.to_json(F.struct("uid", "workspace", "started")).alias("fingerprint"))
     ends = parsed.groupBy("source_path").agg(F.max("source_offset").alias("end"))
@@ -172,7 +197,7 @@ def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules,
     return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
 
 
-def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str, note) -> Tables:
+def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str, note, touched: list[DataFrame]) -> Tables:
     prefix = "cursor:composer:"
     counts = now.state.where(F.startswith("source_path", F.lit(prefix))).select(F.substring("source_path", len(prefix) + 1, 1 << 20).alias("session_uid"), F.regexp_extract("fingerprint", r"count=(\d+)", 1).try_cast("int").alias("n"))
     sessions, parsed = files.composers(spark, root, counts)
@@ -180,6 +205,7 @@ def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact:
     note(parsed)
     path = F.concat(F.lit(prefix), "session_uid")
     gone = sessions.where("action = 'restart'").select(path.alias("source_path"))
+    touched += [now.sessions.join(gone, "source_path", "left_semi").select("session_id"), parsed.select(merge.session_key().alias("session_id"))]
     now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
     state = sessions.select(path.alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("last_offset"), F.concat(F.lit("count="), F.col("n").cast("string")).alias("fingerprint"))
     merged = merge_parsed(now, parsed, sessions, rules, redact, work)

@@ -65,28 +65,43 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
     return _read(spark, table, sorted(pointer["folders"].values()), T.StructType.fromJson(pointer["schema"]))
 
 
-def merge_batch(table: str, key: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows whose key is stored are left out; of several new ones the first by ``order`` stays."""
+def merge_batch(table: str, key: list[str], order: str, buckets: int = BUCKETS, version: str | None = None, place: list[str] | None = None, gone: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: rows whose key is stored are left out; of several new ones the first by ``order`` stays.
+
+    With ``version``, a column, the row of a key that has the largest stays,
+    the new one in a tie. With ``gone``, a boolean column, rows that have it
+    true are no rows: they take away what is stored, before this batch, under
+    the same ``place``, columns of the key by which rows are dealt to buckets,
+    so such a row touches one bucket. ``gone`` itself is not stored.
+    """
+    place = place or key
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = [n for n in _pointers(spark, table) if n < number]
-        pointer = _pointer(spark, table, done[-1]) if done else {"folders": {}, "buckets": buckets, "schema": json.loads(batch.schema.json())}
+        stored = batch.drop(gone) if gone else batch
+        pointer = _pointer(spark, table, done[-1]) if done else {"folders": {}, "buckets": buckets, "schema": json.loads(stored.schema.json())}
         schema = T.StructType.fromJson(pointer["schema"])
         run = f"run-{number:012d}-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*key), F.lit(pointer["buckets"])).cast("int")
-        one = Window.partitionBy(*key).orderBy(order)
-        new = batch.select(*schema.names).withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").withColumn("bucket", bucket)
+        bucket = F.pmod(F.xxhash64(*place), F.lit(pointer["buckets"])).cast("int")
         # The batch is read once: what it brings lies beside the table until its buckets are written.
-        new.repartition(pointer["buckets"], "bucket").write.partitionBy("bucket").parquet(f"{table}/{run}/new")
+        flag = F.coalesce(F.col(gone), F.lit(False)) if gone else F.lit(False)
+        came = batch.select(*schema.names, flag.alias("__gone"), bucket.alias("bucket"))
+        came.repartition(pointer["buckets"], "bucket").write.partitionBy("bucket").parquet(f"{table}/{run}/new")
         touched = _buckets(spark, f"{table}/{run}/new")
         if touched:
-            news = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{table}/{run}/new")
+            came = spark.read.schema(T.StructType([*schema.fields, T.StructField("__gone", T.BooleanType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{table}/{run}/new")
             olds = [pointer["folders"][str(b)] for b in touched if str(b) in pointer["folders"]]
             old = _read(spark, table, olds, schema).withColumn("bucket", bucket)
-            whole = old.unionByName(news.join(old.select(*key), key, "left_anti"))
-            whole.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{table}/{run}/whole")
-        folders = pointer["folders"] | {str(b): f"{run}/whole/bucket={b}" for b in touched}
+            if gone:
+                old = old.join(came.where("__gone").select(*place).distinct(), place, "left_anti")
+            both = old.withColumn("__new", F.lit(0)).unionByName(came.where("not __gone").drop("__gone").withColumn("__new", F.lit(1)))
+            first = [F.desc(version), F.desc("__new"), F.col(order)] if version else [F.col("__new"), F.col(order)]
+            one = Window.partitionBy("bucket", *key).orderBy(*first)
+            whole = both.repartition(len(touched), "bucket").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__new")
+            whole.write.partitionBy("bucket").parquet(f"{table}/{run}/whole")
+        left = set(_buckets(spark, f"{table}/{run}/whole")) if touched else set()
+        folders = {b: f for b, f in pointer["folders"].items() if int(b) not in touched} | {str(b): f"{run}/whole/bucket={b}" for b in touched if b in left}
         _commit(spark, table, number, pointer | {"folders": folders})
         fs, at = file_system(spark, f"{table}/{run}/new")
         fs.delete(at, True)

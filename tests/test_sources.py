@@ -164,3 +164,31 @@ def test_streamed_ingest_adds_each_row_once(spark, tmp_path):
     df.where("id >= 10").write.mode("append").parquet(src)
     assert ingest_available(spark, src, df.schema, table, mark, ["id"], "v").count() == 30
     assert ingest_available(spark, src, df.schema, table, mark, ["id"], "v").count() == 30
+
+
+def test_the_index_follows_the_ingest(spark, tmp_path):
+    from loomsearch.operators.index import SearchIndex
+    from loomsearch.operators.search import word_hits
+
+    a = tmp_path / "a/p"
+    a.mkdir(parents=True)
+    (a / "u.jsonl").write_text(lines(*A))
+    (a / "v.jsonl").write_text(lines({**A[1], "sessionId": "u-2"}))
+    index, roots = SearchIndex(spark, str(tmp_path / "i"), stems=False), {"claude_code": str(tmp_path / "a")}
+
+    def same(tables):
+        m = tables.messages.select("mid", "content")
+        for query in ("first", "more", "hello"):
+            want = sorted((r["mid"], round(r["score"], 9)) for r in word_hits(m, query, stems=False).collect())
+            assert sorted((r["mid"], round(r["score"], 9)) for r in index.word_hits(query).collect()) == want
+        return index.manifest()
+
+    first = ingest(spark, roots, index=index).write(str(tmp_path / "t1"))
+    assert same(first)["rows"] == 5
+    with (a / "v.jsonl").open("a") as f:
+        f.write(lines({**said("user", "more of it", "2024-01-01T00:00:40Z"), "sessionId": "u-2"}))
+    grown = ingest(spark, roots, first, index=index).write(str(tmp_path / "t2"))
+    assert [s["rows"] for s in same(grown)["segments"]] == [5, 1]  # what was there is not indexed again
+    (a / "u.jsonl").write_text(lines(*A[:2]))
+    shorter = ingest(spark, roots, grown, index=index).write(str(tmp_path / "t3"))
+    assert same(shorter)["rows"] == 3 and not index.needs_rebuild(shorter.messages)
