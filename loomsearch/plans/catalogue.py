@@ -15,13 +15,13 @@ from ..model import Corpus, Query, SessionFilter, cite, ref_columns
 from ..operators import merge, redact, render, search, sessions
 from ..operators.index import SearchIndex
 from ..operators.redact_rules import GENERIC_TOKEN, default_rules
-from ..storage import shared_dir
+from ..storage import file_system, shared_dir
 from ..streaming import ingest as streaming
 from . import transcripts
 
 #: Search terms that the conversations have.
 TERM, SECOND, PREFIX, PHRASE = "attion", "anndst", "anthh", "of the"
-WORD = "thea"
+WORD, COMMON, BEST = "thea", "the", 20
 BUDGET = 700
 SINCE, UNTIL = 1704700000, 1705600000
 
@@ -74,15 +74,26 @@ def _searched(query: Query, **options) -> Callable[[SparkSession, str], DataFram
     return lambda spark, sf_dir: _flat(search.search(conversations(spark, sf_dir), query, stems=False, snippets=False, **options), query.offset)
 
 
-_INDEXES: dict[tuple[str, str, str, bool], SearchIndex] = {}
+_INDEXES: dict[tuple[str, str, str, bool], tuple[str, SearchIndex]] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str, name: str, messages: DataFrame, stems: bool = False) -> SearchIndex:
-    """The index of a table's messages, made where the session has none yet."""
+    """The index of a table's messages; made where the session has none yet, and anew where the table's files are others than those it was made of."""
     key = (spark.sparkContext.applicationId, sf_dir, name, stems)
+    fs, at = file_system(spark, f"{sf_dir}/{name}.parquet")
+    found = fs.listStatus(at)
+    now = repr(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
     if key not in _INDEXES:
-        _INDEXES[key] = SearchIndex(spark, f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}", stems).add(messages.select("mid", "content"))
-    return _INDEXES[key]
+        _INDEXES[key] = now, SearchIndex(spark, f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}", stems).add(messages.select("mid", "content"))
+    elif _INDEXES[key][0] != now:
+        _INDEXES[key] = now, _INDEXES[key][1].rebuild(messages.select("mid", "content"))
+    return _INDEXES[key][1]
+
+
+def search_top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best messages of two words, by the bounds of their posting blocks."""
+    index = index_of(spark, sf_dir, "documents", document_messages(spark, sf_dir).messages)
+    return _hits(index.top_word_hits(f'"{COMMON}" "{WORD}"', BEST))
 
 
 def _indexed_words(query: str, stems: bool = False) -> Callable[[SparkSession, str], DataFrame]:
@@ -273,18 +284,22 @@ def byte_budget_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MADE = (
     ("use ", "ghp_{h}abcd", "github-pat", " or "), ("", "glpat-{h20}", "gitlab-pat", "; "), ("npm: ", "npm_{h}wxyz", "npm-access-token", " "), ("adafruit_key = ", "{h}", "adafruit-api-key", " "),
     ("db postgres://app:", "{h}", "url-password", "@db.internal/x "), ("Authorization: Bearer ", "{h}", "bearer-token", "\n"), ("Authorization: Basic ", "{h}==", "basic-auth", "\n"),
+    ("snyk_oauth_token_of_build = ", "{uuid}", "snyk-api-token", "\n"), ("new-york-times, api: ", "{h}", "nytimes-access-token", " "), ("MailchimpSDK.initialize = ", "{h}-us12", "mailchimp-api-key", " "),
+    ("(", "pplx-{h}{h16}", "perplexity-api-key", ")."), (" vault ", "s.{h24}", "vault-service-token", " "),
     ("cookie ", "eyJ{h}.eyJ{h}.{h}", "jwt", ", "), ("", "-----BEGIN EC PRIVATE KEY-----\n{h}\n-----END EC PRIVATE KEY-----", "private-key", " end"),
 )
 
 
 def redact_made_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of nine rules in each text, made from a hash of the document's id."""
+    """Secrets of fourteen rules after the letters of each whole text, which have none, made from a hash of the document's id."""
     h = F.md5(F.col("doc_id").cast("string"))
     parts = [F.lit("")]
     for before, secret, _, after in _MADE:
-        made = F.replace(F.replace(F.lit(secret), F.lit("{h20}"), F.substring(h, 1, 20)), F.lit("{h}"), h)
+        made = F.lit(secret)
+        for name, value in [(f"{{h{n}}}", F.substring(h, 1, n)) for n in (16, 20, 24)] + [("{uuid}", F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")), ("{h}", h)]:
+            made = F.replace(made, F.lit(name), value)
         parts += [F.lit(before), made, F.lit(after)]
-    text = F.concat(F.substring(F.translate("text", '"', "'"), 1, 40), F.lit(" | "), *parts)
+    text = F.concat(F.regexp_replace("text", "[^a-z ]+", " "), F.lit(" | "), *parts)
     redactor = redact.Redactor()
     return _read(spark, sf_dir, "documents").select("doc_id", redactor.column(text).alias("text"), redactor.flag(text).alias("secret"))
 
@@ -325,6 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_stemmed_indexed": _indexed_words("thed aning", stems=True),
     "search_substring_indexed": _indexed_parts(TERM),
     "search_hybrid_indexed": search_hybrid_indexed,
+    "search_top_messages": search_top_messages,
     "search_hybrid": _searched(Query(TERM)),
     "search_hits_flat": _searched(Query("anth", limit=200)),
     "search_filter_role": _searched(Query(TERM, role="asst")),
@@ -438,7 +454,7 @@ ORACLE_SQL: dict[str, str] = {
     "truncate_runes": "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS head, CASE WHEN length(text) > 60 THEN substr(translate(text, chr(10) || chr(13), '  '), 1, 60) || '…' ELSE translate(text, chr(10) || chr(13), '  ') END AS line FROM documents",
     "timestamp_seconds": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events",
     "redact_documents": "SELECT doc_id, regexp_replace(text, 'token = \"[0-9a-f]{40}\"', 'token = \"[REDACTED:generic-token]\"', 'g') AS text FROM documents",
-    "redact_made_secrets": "SELECT doc_id, substr(translate(text, chr(34), chr(39)), 1, 40) || ' | ' || " + " || ".join(f"'{b}[REDACTED:{i}]{a}'" for b, _, i, a in _MADE) + " AS text, TRUE AS secret FROM documents",
+    "redact_made_secrets": "SELECT doc_id, regexp_replace(text, '[^a-z ]+', ' ', 'g') || ' | ' || " + " || ".join(f"'{b}[REDACTED:{i}]{a}'" for b, _, i, a in _MADE) + " AS text, TRUE AS secret FROM documents",
     "compact_json_nested": "SELECT event_id, '{\"a\":{\"b\":\"x\\u003cy\\u0026z\\u003e\",\"k\":' || json_extract_string(props, '$.k') || '},\"event\":\"' || event_type || '\",\"z\":[1,2.5,true,null,\"é\"]}' AS props FROM events",
     "has_secret": "SELECT doc_id, regexp_matches(text, 'token = \"[0-9a-f]{40}\"') AS secret FROM documents",
     "byte_budget_rows": f"""WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY rank, ordinal) AS n, '{{"cite":"' || cite || '","ordinal":' || ordinal || ',"role":"' || role || '","rank":' || rank || '}}' AS line FROM ({_search_sql(_hybrid(_prefix(TERM), TERM))})),
@@ -448,6 +464,8 @@ SELECT * FROM k UNION ALL SELECT (SELECT CAST(count(*) AS INTEGER) FROM k), '{{"
     "ingest_stream_available_now": "SELECT event_id, user_id, event_type, value FROM events",
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
 }
+_EXACT = [f"len(list_filter(w, lambda x: x = '{w}'))" for w in (COMMON, WORD)]
+ORACLE_SQL["search_top_messages"] = f"WITH {_DOCS}, {_word_sql('hits', _EXACT, 'docs')} SELECT mid, round(score, 6) AS score FROM hits ORDER BY hits.score, mid LIMIT {BEST}"
 ORACLE_SQL |= {f"{name}_indexed": ORACLE_SQL[name] for name in ("search_word", "search_word_prefix", "search_phrase", "search_stemmed")}
 
 QUERIES |= transcripts.QUERIES

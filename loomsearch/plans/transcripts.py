@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge, sessions
+from ..operators.index import SearchIndex
 from ..sources import files
 from ..sources.ingest import Tables, ingest
 from ..storage import file_system, shared_dir
+from ..streaming import transcripts as streamed
 
 START = 1704067200
 
@@ -181,6 +183,25 @@ def source_grown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(ingest(spark, {"claude_code": _files(session_lines(talk), root)}, first))
 
 
+def source_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream of lines: as they were after two turns, when they are whole, and one in seven written anew with one turn and then whole."""
+    talk, place = _talk(spark, sf_dir), _place(spark)
+    root, work = f"{place}/a", f"{place}/stream"
+    for lines in (session_lines(talk, 2), session_lines(talk), session_lines(talk.where("conv_id % 7 = 0"), 1), session_lines(talk.where("conv_id % 7 = 0"))):
+        streamed.follow(spark, "claude_code", _files(lines, root), f"{work}/table", f"{work}/mark", range_bytes=1 << 20)
+    return streamed.messages(spark, "claude_code", f"{work}/table").select("agent", "session_uid", "ordinal", "role", "ts", "content")
+
+
+def source_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by an index that the ingest keeps: of the files after two turns, and of what they have become."""
+    talk, place = _talk(spark, sf_dir), _place(spark)
+    root, index = f"{place}/a", SearchIndex(spark, f"{place}/index", stems=False)
+    first = ingest(spark, {"claude_code": _files(session_lines(talk, 2), root)}, index=index)
+    whole = ingest(spark, {"claude_code": _files(session_lines(talk), root)}, first, index=index)
+    hits = index.word_hits('"the"').join(whole.messages.select("mid", "session_id", "ordinal"), "mid").join(whole.sessions.select("session_id", "session_uid"), "session_id")
+    return hits.select("session_uid", "ordinal", F.round("score", 6).alias("score"))
+
+
 def source_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the next ingest would do with each file after a third of them has grown."""
     talk, root = _talk(spark, sf_dir), f"{_place(spark)}/a"
@@ -203,7 +224,7 @@ def source_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.doctor(tables.sessions, tables.messages, now=START + 10_000_000)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (source_session_files, source_rollouts, source_composers, source_sessions, source_grown_files, source_decisions, source_report, source_doctor)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (source_session_files, source_rollouts, source_composers, source_sessions, source_grown_files, source_streamed, source_indexed, source_decisions, source_report, source_doctor)}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(13)"
 _WHEN = f"{START} + conv_id * 3600 + turn * 60"
@@ -227,6 +248,10 @@ _FIRST_LINE = "CASE WHEN length(split_part(t, chr(10), 1)) > 200 THEN substr(spl
 ORACLE_SQL: dict[str, str] = {
     "source_session_files": f"WITH {_A} SELECT {_OUT} FROM a",
     "source_grown_files": f"WITH {_A} SELECT {_OUT} FROM a",
+    "source_streamed": f"WITH {_A} SELECT {_OUT} FROM a",
+    "source_indexed": f"""WITH {_A}, w AS (SELECT session_uid, ordinal, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM a),
+s AS (SELECT session_uid, ordinal, len(w) AS size, len(list_filter(w, lambda x: x = 'the')) AS f FROM w), t AS (SELECT count(*) AS r, avg(size) AS m, count(*) FILTER (WHERE f > 0) AS n FROM s)
+SELECT session_uid, ordinal, round(-greatest(ln((r - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / m)), 6) AS score FROM s, t WHERE f > 0""",
     "source_rollouts": f"WITH {_B} SELECT {_OUT} FROM b",
     "source_composers": f"WITH {_C} SELECT {_OUT} FROM c",
     "source_sessions": f"""WITH {_A}, {_B}, {_C}, m AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
