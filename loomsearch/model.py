@@ -43,10 +43,11 @@ def capped(limit: int | None, surface: str) -> int:
 
 @dataclass(frozen=True)
 class Corpus:
-    """``sessions`` (see ``SESSIONS``) and ``messages`` (see ``MESSAGES``); a query needs only the columns it uses."""
+    """``sessions`` (see ``SESSIONS``) and ``messages`` (see ``MESSAGES``); a query needs only the columns it uses. With ``summaries``, lists and counts read no messages."""
 
     sessions: DataFrame
     messages: DataFrame
+    summaries: DataFrame | None = None
 
 
 @dataclass(frozen=True)

@@ -83,13 +83,17 @@ def upsert_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*(out[c] if c in out else F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in old.columns))
 
 
-def insert_messages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old messages and those of the new ones whose (session_id, ordinal) is free; of several new ones the first by source."""
+def free_messages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of the new messages whose (session_id, ordinal) is free; of several the first by source."""
     key = ["session_id", "ordinal"]
     order = [c for c in ("source_path", "source_offset", "sub", "mid", "content") if c in new.columns]
     one = Window.partitionBy(*key).orderBy(*order)
-    free = new.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").join(old.select(*key), key, "left_anti")
-    return old.unionByName(free, allowMissingColumns=True)
+    return new.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").join(old.select(*key), key, "left_anti")
+
+
+def insert_messages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old messages and the free ones of the new."""
+    return old.unionByName(free_messages(old, new), allowMissingColumns=True)
 
 
 def delete_source(sessions: DataFrame, messages: DataFrame, state: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

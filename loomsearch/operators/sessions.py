@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import cut_bytes
 from ..model import Corpus, Query, SessionFilter, cite, normalize_agent, normalize_role, parse_ref
+from . import summaries
 from .index import SearchIndex
 from .search import search, small
 
@@ -37,7 +38,8 @@ def select_sessions(corpus: Corpus, f: SessionFilter) -> DataFrame:
     if f.until > 0:
         out = out.where(last_time() <= f.until)
     if f.ended_mid_task:
-        out = out.join(ended_mid_task(corpus.messages), "session_id", "left_semi")
+        ended = ended_mid_task(corpus.messages) if corpus.summaries is None else summaries.ended_mid_task(corpus.summaries)
+        out = out.join(ended, "session_id", "left_semi")
     return out
 
 
@@ -50,7 +52,10 @@ def list_sessions(corpus: Corpus, f: SessionFilter) -> DataFrame:
     way = F.asc if f.order == "asc" else F.desc
     by = last_time()
     page = select_sessions(corpus, f).withColumn("__at", by).orderBy(way("__at"), way("session_id")).offset(max(0, f.offset)).limit(f.limit if f.limit > 0 else 50)
-    counts = corpus.messages.join(small(page.select("session_id"), f.limit), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
+    if corpus.summaries is None:
+        counts = corpus.messages.join(small(page.select("session_id"), f.limit), "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
+    else:
+        counts = corpus.summaries.join(small(page.select("session_id"), f.limit), "session_id", "left_semi").select("session_id", F.col("messages").alias("message_count"))
     out = page.join(counts, "session_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0).cast("long")))
     return out.orderBy(way("__at"), way("session_id")).drop("__at")
 
@@ -64,9 +69,9 @@ def stats(corpus: Corpus, total: bool = False) -> DataFrame:
     """``agent, sessions, messages, latest`` by agent, and in all (agent ``total``).
 
     Messages are counted by session before they meet sessions, so no distinct
-    count and no row for each pair is needed.
+    count and no row for each pair is needed; summaries have these counts.
     """
-    counts = corpus.messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = corpus.messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")) if corpus.summaries is None else corpus.summaries.select("session_id", F.col("messages").alias("n"))
     rows = corpus.sessions.select("session_id", "agent", "started_at", "ended_at").join(counts, "session_id", "left")
     sums = [F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("messages"), F.max("ended_at").alias("e"), F.max("started_at").alias("s")]
     found = (rows.rollup("agent") if total else rows.groupBy("agent")).agg(*sums, *([F.grouping("agent").alias("g")] if total else [F.lit(0).alias("g")]))

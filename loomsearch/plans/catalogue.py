@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions.porter import stem
 from .. import surface
 from ..model import Corpus, Query, SessionFilter, cite, ref_columns
-from ..operators import merge, redact, render, search, sessions
+from ..operators import merge, redact, render, search, sessions, summaries
 from ..operators.index import SearchIndex
 from ..operators.redact_rules import GENERIC_TOKEN, default_rules
 from ..storage import file_system, shared_dir
@@ -90,6 +90,17 @@ def index_of(spark: SparkSession, sf_dir: str, name: str, messages: DataFrame, s
     return _INDEXES[key][1]
 
 
+def _summarised(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Conversations whose summaries were kept by deltas: of the first two turns, of sessions that were taken away, of those and the later turns added."""
+    c = conversations(spark, sf_dir)
+    again = F.pmod("session_id", F.lit(5)) == 0
+    early = c.messages.where("ordinal < 2")
+    kept = summaries.summarise(early)
+    kept = summaries.without_sessions(kept, c.sessions.where(again))
+    kept = summaries.with_added(kept, early.where(again))
+    return Corpus(c.sessions, c.messages, summaries.with_added(kept, c.messages.where("ordinal >= 2")))
+
+
 def search_top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best messages of two words, by the bounds of their posting blocks."""
     index = index_of(spark, sf_dir, "documents", document_messages(spark, sf_dir).messages)
@@ -341,6 +352,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_substring_indexed": _indexed_parts(TERM),
     "search_hybrid_indexed": search_hybrid_indexed,
     "search_top_messages": search_top_messages,
+    "stats_incremental": lambda s, d: sessions.stats(_summarised(s, d), total=True),
+    "ended_mid_task_incremental": lambda s, d: summaries.ended_mid_task(_summarised(s, d).summaries),
     "search_hybrid": _searched(Query(TERM)),
     "search_hits_flat": _searched(Query("anth", limit=200)),
     "search_filter_role": _searched(Query(TERM, role="asst")),
@@ -464,6 +477,7 @@ SELECT * FROM k UNION ALL SELECT (SELECT CAST(count(*) AS INTEGER) FROM k), '{{"
     "ingest_stream_available_now": "SELECT event_id, user_id, event_type, value FROM events",
     "sessionize_events": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS events FROM n GROUP BY user_id, k",
 }
+ORACLE_SQL |= {"stats_incremental": ORACLE_SQL["stats_with_total"], "ended_mid_task_incremental": ORACLE_SQL["ended_mid_task"]}
 _EXACT = [f"len(list_filter(w, lambda x: x = '{w}'))" for w in (COMMON, WORD)]
 ORACLE_SQL["search_top_messages"] = f"WITH {_DOCS}, {_word_sql('hits', _EXACT, 'docs')} SELECT mid, round(score, 6) AS score FROM hits ORDER BY hits.score, mid LIMIT {BEST}"
 ORACLE_SQL |= {f"{name}_indexed": ORACLE_SQL[name] for name in ("search_word", "search_word_prefix", "search_phrase", "search_stemmed")}

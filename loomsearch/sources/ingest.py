@@ -15,11 +15,11 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import INDEX_STATE, MESSAGES, SESSIONS
-from ..operators import merge
+from ..model import INDEX_STATE, MESSAGES, SESSIONS, Corpus
+from ..operators import merge, summaries
 from ..operators.redact import Redactor
 from ..operators.redact_rules import Rule
-from ..storage import shared_dir
+from ..storage import names, shared_dir
 from . import files
 
 if TYPE_CHECKING:
@@ -29,10 +29,11 @@ STORED = "session_id long, ordinal int, role string, ts long, content string, so
 
 
 class Tables:
-    """``sessions``, ``messages`` (with where they come from) and ``state``."""
+    """``sessions``, ``messages`` (with where they come from), ``state``, and ``summaries`` of sessions, which are made of the messages where there are none yet."""
 
-    def __init__(self, sessions: DataFrame, messages: DataFrame, state: DataFrame):
+    def __init__(self, sessions: DataFrame, messages: DataFrame, state: DataFrame, kept: DataFrame | None = None):
         self.sessions, self.messages, self.state = sessions, messages, state
+        self.summaries = kept if kept is not None else summaries.summarise(messages)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Tables:
@@ -40,13 +41,20 @@ class Tables:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Tables:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("sessions", "messages", "state")))
+        """Tables that an earlier version has written may have no summaries."""
+        tables = ["sessions", "messages", "state"] + (["summaries"] if "summaries" in names(spark, path) else [])
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in tables))
+
+    def corpus(self) -> Corpus:
+        """What is searched and listed; lists and counts come from the summaries."""
+        return Corpus(self.sessions, self.messages, self.summaries)
 
     def write(self, path: str) -> Tables:
         """Writes all tables to a new place (sessions and messages by session, which later joins and slices use) and reads them back."""
         self.sessions.write.mode("overwrite").parquet(f"{path}/sessions")
         self.messages.repartition("session_id").sortWithinPartitions("session_id", "ordinal").write.mode("overwrite").parquet(f"{path}/messages")
         self.state.write.mode("overwrite").parquet(f"{path}/state")
+        self.summaries.write.mode("overwrite").parquet(f"{path}/summaries")
         return Tables.read(self.sessions.sparkSession, path)
 
 
@@ -82,7 +90,8 @@ def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = No
             extra = extra.withColumns({c: redactor.column(F.col(c)) for c in ("title", "summary")})
     parsed = _kept(parsed.withColumn("session_id", merge.session_key()), work, "parsed")
     new = merge.assign_ordinals(parsed, tables.messages).withColumn("mid", merge.message_key())
-    messages = _kept(merge.insert_messages(tables.messages, new.select(*tables.messages.columns)), work, "merged")
+    added = _kept(merge.free_messages(tables.messages, new.select(*tables.messages.columns)), work, "added")
+    messages = tables.messages.unionByName(added)
     touched = parsed.groupBy("session_id", "agent", "session_uid").agg(
         F.max(F.struct(F.col("workspace") != "", "source_path", "workspace")).alias("w"), F.min("started_at").alias("told"), F.max(F.struct("source_path", "source_mtime_ns", "source_size")).alias("src")
     )
@@ -100,7 +109,7 @@ def merge_parsed(tables: Tables, parsed: DataFrame, extra: DataFrame | None = No
         rolled = rolled.join(e, "session_uid", "left")
         best = lambda c: F.coalesce(F.when(F.col(f"e_{c}") != "", F.col(f"e_{c}")), F.col(c))
         rolled = rolled.select("session_id", "agent", "session_uid", "workspace", best("title").alias("title"), best("summary").alias("summary"), F.coalesce("e_started_at", "started_at").alias("started_at"), F.coalesce("e_ended_at", "ended_at").alias("ended_at"), "source_path", "source_mtime_ns", "source_size")
-    return Tables(merge.upsert_sessions(tables.sessions, rolled), messages, tables.state)
+    return Tables(merge.upsert_sessions(tables.sessions, rolled), messages, tables.state, summaries.with_added(tables.summaries, added))
 
 
 def _kept(df: DataFrame, work: str | None, name: str) -> DataFrame:
@@ -174,6 +183,12 @@ def _follow(index: SearchIndex, before: Tables, after: Tables, touched: list[Dat
     index.apply(old.select("mid", "content"), new.select("mid", "content"))
 
 
+def _without(now: Tables, gone: DataFrame) -> Tables:
+    """All tables without what the sources of ``gone`` have given."""
+    lost = now.sessions.join(gone, "source_path", "left_semi").select("session_id")
+    return Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone), summaries.without_sessions(now.summaries, lost))
+
+
 def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules, redact: bool, work: str, note, touched: list[DataFrame]) -> Tables:
     pattern, recursive, name, _ = files.SOURCES[agent]
     listed = files.listing(spark, pattern.format(root), recursive, name)
@@ -182,7 +197,7 @@ def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules,
     decided = _kept(decided.withColumn("head", F.when(F.col("action") != "restart", F.coalesce("told", F.lit(""))).otherwise("")).drop("told"), work, "decided")
     gone = decided.where("truncate").select("source_path")
     touched.append(now.sessions.join(gone, "source_path", "left_semi").select("session_id"))
-    now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
+    now = _without(now, gone)
     lines = _kept(files.read_source(spark, agent, root, decided.where("action != 'skip'")), work, "read")
     parsed = _kept(files.assembled(lines, agent, decided, decided), work, "assembled")
     touched.append(parsed.select(merge.session_key().alias("session_id")))
@@ -194,7 +209,7 @@ def _read_source(spark: SparkSession, now: Tables, agent: str, root: str, rules,
     state = state.join(now.state.select("source_path", F.col("last_offset").alias("offset_before")), "source_path", "left")
     state = state.select("source_path", "mtime_ns", "size", F.coalesce(offset, F.lit(0)).cast("long").alias("last_offset"), F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
     merged = merge_parsed(now, parsed, None, rules, redact, work)
-    return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
+    return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state), merged.summaries)
 
 
 def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact: bool, work: str, note, touched: list[DataFrame]) -> Tables:
@@ -206,10 +221,10 @@ def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact:
     path = F.concat(F.lit(prefix), "session_uid")
     gone = sessions.where("action = 'restart'").select(path.alias("source_path"))
     touched += [now.sessions.join(gone, "source_path", "left_semi").select("session_id"), parsed.select(merge.session_key().alias("session_id"))]
-    now = Tables(*merge.delete_source(now.sessions, now.messages, now.state, gone))
+    now = _without(now, gone)
     state = sessions.select(path.alias("source_path"), F.lit(0).cast("long").alias("mtime_ns"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("last_offset"), F.concat(F.lit("count="), F.col("n").cast("string")).alias("fingerprint"))
     merged = merge_parsed(now, parsed, sessions, rules, redact, work)
-    return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state))
+    return Tables(merged.sessions, merged.messages, merge.save_state(now.state, state), merged.summaries)
 
 
 def ingest_stats(before: Tables, after: Tables) -> DataFrame:
