@@ -5,11 +5,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..storage import file_system
+from ..storage import file_system, ship
 from ..storage import shared_dir as shared_dir
 
 
@@ -48,19 +45,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, for they may not have it on their own path."""
-    context = spark.sparkContext
-    if not getattr(context, "_loomsearch_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="loomsearch-")) / "loomsearch.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        context._loomsearch_shipped = True
-
-
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
