@@ -4,7 +4,7 @@
 stands, the message's number of tokens, and the *level* of the row, which grows
 with what it can add to a score. ``grams`` has a row for each (trigram of the
 lower-case text, message). ``blocks`` tells of each term and level how many rows
-there are, the largest frequency and the smallest message, and ``gram_counts`` how
+there are and the most that one of them adds, and ``gram_counts`` how
 many messages have a trigram. All lie in folders by a term's first character and
 are sorted by term (and level) inside: a query prunes folders when it is planned
 and row groups by their ranges, and a term that most messages have is spread over
@@ -39,12 +39,14 @@ from .search import LEAST_IDF, SUBSTRING_WEIGHT, B, K1, phrase_tokens, substring
 GRAM = 3
 #: Segments of about one size (within this factor) that are merged into one, manifests that are kept for readers at work, levels of postings.
 FANOUT, KEPT, LEVELS = 4, 3, 64
+#: Rows of a page of a file: what a query can skip inside the files that it opens.
+PAGE_ROWS = 2_000
 #: Rarest trigrams of a part that are met; what has them all is looked at.
 RAREST = 3
 _TABLES = {
     "words": "term string, mid long, tf int, positions array<int>, size int, segment long, level int, run string, lead string",
     "grams": "term string, mid long, size int, segment long, run string, lead string",
-    "blocks": "term string, level int, n long, most int, least int, run string, lead string",
+    "blocks": "term string, level int, n long, best double, run string, lead string",
     "gram_counts": "term string, n long, run string, lead string",
     "sizes": "mid long, tokens int, characters int, segment long, run string",
     "dead": "mid long, before long, run string",
@@ -88,7 +90,12 @@ def gram_postings(messages: DataFrame) -> DataFrame:
 
 def level(tf: Column, size: Column, mean: Column) -> Column:
     """How much a posting can add to a score, in steps from 0, by the mean size when it is written; what is exact are its block's bounds."""
-    return F.least(F.floor(LEVELS * tf / (tf + K1 * (1 - B + B * size / mean))), F.lit(LEVELS - 1)).cast("int")
+    return F.least(F.floor(LEVELS * _part(tf, size, mean)), F.lit(LEVELS - 1)).cast("int")
+
+
+def _part(tf: Column, size: Column, mean: Column) -> Column:
+    """What a posting adds to a score, as a share of the most that its term can add."""
+    return tf / (tf + K1 * (1 - B + B * size / mean))
 
 
 class Conflict(RuntimeError):
@@ -131,7 +138,7 @@ class SearchIndex:
             own = messages.select("mid", F.coalesce("content", F.lit("")).alias("content"))
             sizes = self._write(own, number, run)
             gone = own.select("mid") if gone is None else gone.unionByName(own.select("mid"))
-            after["segments"] = [*now["segments"], *([{"run": run, "rows": sizes["rows"]}] if sizes["rows"] else [])]
+            after["segments"] = [*now["segments"], *([{"run": run, "rows": sizes["rows"], "mean": sizes["mean"]}] if sizes["rows"] else [])]
             after |= {k: now[k] + sizes[k] for k in ("rows", "tokens", "characters")}
         if now["segments"] and gone is not None:
             dead = self._alive(now, "sizes").join(gone.distinct(), "mid", "left_semi").select("mid", "tokens", "characters", F.lit(number).cast("long").alias("before"))
@@ -162,7 +169,7 @@ class SearchIndex:
         """Makes the index anew from all messages, as one more commit."""
         now, run = self.manifest(), uuid.uuid4().hex
         sizes = self._write(messages.select("mid", F.coalesce("content", F.lit("")).alias("content")), now["number"] + 1, run)
-        self._commit({"number": now["number"] + 1, "segments": [{"run": run, "rows": sizes["rows"]}], "dead": []} | {k: sizes[k] for k in ("rows", "tokens", "characters")})
+        self._commit({"number": now["number"] + 1, "segments": [{"run": run, "rows": sizes["rows"], "mean": sizes["mean"]}], "dead": []} | {k: sizes[k] for k in ("rows", "tokens", "characters")})
         return self
 
     def _put(self, rows: DataFrame, name: str, run: str, order: tuple[str, ...] = ()) -> DataFrame:
@@ -171,22 +178,22 @@ class SearchIndex:
         if order:
             parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
             rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        writer = rows.write.partitionBy("lead") if "lead" in rows.columns else rows.write
-        writer.parquet(at)
+        writer = rows.write.option("parquet.page.row.count.limit", PAGE_ROWS)
+        (writer.partitionBy("lead") if "lead" in rows.columns else writer).parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
     def _write(self, own: DataFrame, number: int, run: str) -> dict:
         segment = F.lit(number).cast("long").alias("segment")
         sizes = own.select("mid", F.size(X.tokens(F.col("content"))).alias("tokens"), F.greatest(F.char_length("content") - 2, F.lit(0)).alias("characters"), segment)
         totals = _totals(self._put(sizes, "sizes", run))
-        mean = F.lit(max(1.0, totals["tokens"] / max(1, totals["rows"])))
-        words = postings(own, self.stems).select("*", segment, level(F.col("tf"), F.col("size"), mean).alias("level"), _lead(F.col("term")).alias("lead"))
-        self._summaries(self._put(words, "words", run, ("lead", "term", "level", "mid")), self._put(gram_postings(own).select("*", segment, _lead(F.col("term")).alias("lead")), "grams", run, ("lead", "term", "mid")), run)
-        return totals
+        mean = max(1.0, totals["tokens"] / max(1, totals["rows"]))
+        words = postings(own, self.stems).select("*", segment, level(F.col("tf"), F.col("size"), F.lit(mean)).alias("level"), _lead(F.col("term")).alias("lead"))
+        self._summaries(self._put(words, "words", run, ("lead", "term", "level", "mid")), self._put(gram_postings(own).select("*", segment, _lead(F.col("term")).alias("lead")), "grams", run, ("lead", "term", "mid")), run, mean)
+        return totals | {"mean": mean}
 
-    def _summaries(self, words: DataFrame, grams: DataFrame, run: str) -> None:
+    def _summaries(self, words: DataFrame, grams: DataFrame, run: str, mean: float) -> None:
         n = F.count(F.lit(1)).alias("n")
-        self._put(words.groupBy("lead", "term", "level").agg(n, F.max("tf").alias("most"), F.min("size").alias("least")), "blocks", run, ("lead", "term", "level"))
+        self._put(words.groupBy("lead", "term", "level").agg(n, F.max(_part(F.col("tf"), F.col("size"), F.lit(mean))).alias("best")), "blocks", run, ("lead", "term", "level"))
         self._put(grams.groupBy("lead", "term").agg(n), "gram_counts", run, ("lead", "term"))
 
     def _merge_like_sized(self) -> SearchIndex:
@@ -205,9 +212,10 @@ class SearchIndex:
         run, runs = uuid.uuid4().hex, [s["run"] for s in some]
         kept = {name: self._alive(now, name, runs=runs).drop("run") for name in ("sizes", "words", "grams")}
         rows = self._put(kept["sizes"], "sizes", run).count()
-        self._summaries(self._put(kept["words"], "words", run, ("lead", "term", "level", "mid")), self._put(kept["grams"], "grams", run, ("lead", "term", "mid")), run)
+        mean = max(1.0, now["tokens"] / max(1, now["rows"]))
+        self._summaries(self._put(kept["words"], "words", run, ("lead", "term", "level", "mid")), self._put(kept["grams"], "grams", run, ("lead", "term", "mid")), run, mean)
         left = [s for s in now["segments"] if s["run"] not in runs]
-        self._commit(dict(now, number=now["number"] + 1, segments=[*left, {"run": run, "rows": rows}], dead=now["dead"] if left else []))
+        self._commit(dict(now, number=now["number"] + 1, segments=[*left, {"run": run, "rows": rows, "mean": mean}], dead=now["dead"] if left else []))
         return self
 
     def _commit(self, manifest: dict) -> None:
@@ -330,12 +338,14 @@ class SearchIndex:
             times[tokens[0]] = times.get(tokens[0], 0) + 1
         mean = now["tokens"] / max(1, now["rows"])
         leads = F.col("lead").isin(_leads(self.spark, set(times)))
-        told = self._table("blocks", [s["run"] for s in now["segments"]]).where(leads & F.col("term").isin(list(times))).groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")).collect()
+        told = self._table("blocks", [s["run"] for s in now["segments"]]).where(leads & F.col("term").isin(list(times))).groupBy("term", "level", "run").agg(F.sum("n").alias("n"), F.max("best").alias("best")).collect()
+        # Where messages have become longer since a segment was written, its parts have grown, but by no more than the mean.
+        grown = {s["run"]: max(1.0, mean / s["mean"]) for s in now["segments"]}
         weights = {t: self._idf(now["rows"], sum(r["n"] for r in told if r["term"] == t)) * n for t, n in times.items()}
         blocks: dict[str, list[tuple[float, int, int]]] = {t: [] for t in times}
-        for r in told:
-            bound = weights[r["term"]] * r["most"] * (K1 + 1) / (r["most"] + K1 * (1 - B + B * r["least"] / mean))
-            blocks[r["term"]].append((bound, r["level"], r["n"]))
+        for term, at in sorted({(r["term"], r["level"]) for r in told}):
+            own = [r for r in told if (r["term"], r["level"]) == (term, at)]
+            blocks[term].append((weights[term] * (K1 + 1) * max(r["best"] * grown[r["run"]] for r in own), at, sum(r["n"] for r in own)))
         if not all(blocks.values()):
             return self.spark.createDataFrame([], "mid long, score double")
         best = {t: max(b for b, _, _ in blocks[t]) for t in times}
@@ -362,8 +372,8 @@ class SearchIndex:
         return len(blocks)
 
     def _scored(self, now: dict, levels: dict[str, set[int]], weights: dict[str, float], mean: float, leads: Column) -> DataFrame:
-        """``mid, score`` of the messages that have all terms in the given levels."""
-        where = functools.reduce(operator.or_, ((F.col("term") == t) & F.col("level").isin(sorted(some)) for t, some in levels.items()))
+        """``mid, score`` of the messages that have all terms in the given levels, or between the lowest and the highest of them."""
+        where = functools.reduce(operator.or_, ((F.col("term") == t) & F.col("level").between(min(some), max(some)) for t, some in levels.items()))
         rows = self._table("words", [s["run"] for s in now["segments"]]).where(leads & where)
         weight = functools.reduce(lambda c, t: c.when(F.col("term") == t, weights[t]), levels, F)
         part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
