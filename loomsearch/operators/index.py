@@ -1,9 +1,11 @@
 """An index for ranked search: postings of words and of trigrams as tables, so that a query reads only what its terms need.
 
-``words`` has a row for each (term, message): how often and where the term
-stands, the message's number of tokens, and the *level* of the row, which grows
-with what it can add to a score. ``grams`` has a row for each (trigram of the
-lower-case text, message). ``blocks`` tells of each term and level how many rows
+``words`` has postings, one for each (term, message): how often and where the term
+stands, the message's number of tokens, and the *level* of the posting, which grows
+with what it can add to a score. ``grams`` has one for each (trigram of the
+lower-case text, message). Postings are made where texts are read, and those of a
+term (and level) among some thousand messages are one row of arrays, so what is
+shuffled and written is little more than numbers. ``blocks`` tells of each term and level how many rows
 there are and the most that one of them adds, and ``gram_counts`` how
 many messages have a trigram. All lie in folders by a term's first character and
 are sorted by term (and level) inside: a query prunes folders when it is planned
@@ -26,31 +28,40 @@ import json
 import math
 import operator
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.porter import stem
 from ..plans.grammar import substring_items, word_items
-from ..storage import file_system, names, pandas_function, read_text, write_new
+from ..storage import file_system, names, read_text, ship, write_new
 from .search import LEAST_IDF, SUBSTRING_WEIGHT, B, K1, phrase_tokens, substring_frequency
 
 GRAM = 3
 #: Segments of about one size (within this factor) that are merged into one, manifests that are kept for readers at work, levels of postings.
 FANOUT, KEPT, LEVELS = 4, 3, 64
-#: Rows of a page of a file: what a query can skip inside the files that it opens.
-PAGE_ROWS = 2_000
+#: Postings of a page of a file: what a query can skip inside the files that it opens. A row has some of them.
+PAGE_ROWS, ROW_POSTINGS = 2_000, 10
+#: Tokens or characters of which a task makes postings at a time; characters for each range that rows are sorted in.
+TAKEN, RANGE_CHARACTERS = 1_000_000, 16_000_000
+#: Rows that what is left of a term's postings is packed into when dead ones have gone.
+PACKS = 64
+FORMAT = 2
 #: Rarest trigrams of a part that are met; what has them all is looked at.
 RAREST = 3
 _TABLES = {
-    "words": "term string, mid long, tf int, positions array<int>, size int, segment long, level int, run string, lead string",
-    "grams": "term string, mid long, size int, segment long, run string, lead string",
+    "words": "term string, mids array<long>, tfs array<int>, sizes array<int>, positions array<array<int>>, segment long, level int, run string, lead string",
+    "grams": "term string, mids array<long>, segment long, run string, lead string",
     "blocks": "term string, level int, n long, best double, run string, lead string",
     "gram_counts": "term string, n long, run string, lead string",
     "sizes": "mid long, tokens int, characters int, segment long, run string",
     "dead": "mid long, before long, run string",
 }
+_ARRAYS = {"words": {"mids": "mid", "tfs": "tf", "sizes": "size", "positions": "positions"}, "grams": {"mids": "mid"}}
 _MANIFEST = "manifest-"
 
 
@@ -65,32 +76,124 @@ def _leads(spark: SparkSession, terms: set[str]) -> list[str]:
     return sorted(r["lead"] for r in rows)
 
 
-def postings(messages: DataFrame, stems: bool = True) -> DataFrame:
-    """``term, mid, tf, positions, size`` of messages (``mid, content``). Each distinct word of the corpus is stemmed once."""
-    tokens = messages.select("mid", X.tokens(F.col("content")).alias("t"))
-    placed = tokens.select("mid", F.size("t").alias("size"), F.posexplode("t").alias("pos", "token"))
-    by_token = placed.groupBy("token", "mid", "size").agg(F.collect_list("pos").alias("at"))
-    if stems:
-        stemmer = pandas_function(lambda words: words.map(stem), "string")
-        vocabulary = by_token.select("token").distinct().select("token", stemmer("token").alias("term"))
-        by_token = by_token.join(vocabulary, "token").groupBy("term", "mid", "size").agg(F.flatten(F.collect_list("at")).alias("at"))
-    else:
-        by_token = by_token.withColumnRenamed("token", "term")
-    return by_token.select("term", "mid", F.size("at").alias("tf"), F.array_sort("at").alias("positions"), "size")
+def postings(messages: DataFrame, stems: bool, mean: float) -> DataFrame:
+    """``term, level, mids, tfs, sizes, positions`` of messages (``mid, content``), with levels by their ``mean`` number of tokens."""
+    ship(messages.sparkSession)
+    tokens = messages.select("mid", F.array_join(X.tokens(F.col("content")), " ").alias("line"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mids, numbers, taken = [], [], 0
+        vocabulary = _Numbers()
+        for batch in batches:
+            for mid, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = line.as_py().split(" ") if line.is_valid and len(line.as_py()) else []
+                if not words:
+                    continue
+                mids.append(mid)
+                numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+                taken += len(words)
+                if taken >= TAKEN:
+                    yield from _packed(mids, numbers, list(vocabulary), stems, mean)
+                    mids, numbers, taken, vocabulary = [], [], 0, _Numbers()
+        yield from _packed(mids, numbers, list(vocabulary), stems, mean)
+
+    return tokens.mapInArrow(step, "term string, level int, mids array<long>, tfs array<int>, sizes array<int>, positions array<array<int>>")
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
+
+
+def _packed(mids: list[int | None], numbers: list[np.ndarray], words: list[str], stems: bool, mean: float) -> Iterator[pa.RecordBatch]:
+    if not mids:
+        return
+    terms = _Numbers()
+    term_of = np.array([terms[stem(w) if stems else w] for w in words], np.int64)
+    lengths = np.array([len(n) for n in numbers], np.int64)
+    owner = np.repeat(np.arange(len(mids)), lengths)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # A posting is a run of tokens of one term and message, in the text's order.
+    key = term_of[np.concatenate(numbers)] * len(mids) + owner
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    at = _begins(key)
+    term, owner, tf = key[at[:-1]] // len(mids), key[at[:-1]] % len(mids), np.diff(at)
+    size = lengths[owner]
+    levels = np.minimum(LEVELS * tf / (tf + K1 * (1 - B + B * size / mean)), LEVELS - 1).astype(np.int64)
+    by_level = np.argsort(term * LEVELS + levels, kind="stable")
+    rows = _begins((term * LEVELS + levels)[by_level])
+    head = by_level[rows[:-1]]
+    # The tokens' places in the postings' new order.
+    moved = np.repeat(at[:-1][by_level] - np.r_[0, np.cumsum(tf[by_level])[:-1]], tf[by_level]) + np.arange(len(place))
+    known = pa.array(mids, pa.int64())
+    each = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tf[by_level])], pa.int32()), pa.array(place[moved], pa.int32()))
+    lists = [known.take(pa.array(owner[by_level])), pa.array(tf[by_level], pa.int32()), pa.array(size[by_level], pa.int32()), each]
+    found = list(terms)
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([found[t] for t in term[head].tolist()], pa.string()), pa.array(levels[head], pa.int32()), *(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), x) for x in lists)],
+        ["term", "level", "mids", "tfs", "sizes", "positions"],
+    )
+    yield from (whole.slice(k, 10_000) for k in range(0, whole.num_rows, 10_000))
 
 
 def gram_postings(messages: DataFrame) -> DataFrame:
-    """``term, mid, size``: the distinct trigrams of each message's lower-case text."""
-    low = messages.select("mid", F.lower("content").alias("low")).withColumn("size", F.greatest(F.char_length("low") - 2, F.lit(0)))
-    # Characters first: a substring of UTF-8 is found by counting from its start, which would make long texts quadratic.
-    chars = low.withColumn("c", F.split("low", ""))
-    grams = F.array_distinct(F.zip_with(F.zip_with("c", F.slice("c", 2, F.size("c")), lambda x, y: F.concat(x, y)), F.slice("c", 3, F.size("c")), lambda x, y: F.concat(x, y)))
-    return chars.where("size > 0").select(F.explode(F.filter(grams, lambda g: g.isNotNull())).alias("term"), "mid", "size")
-
-
-def level(tf: Column, size: Column, mean: Column) -> Column:
-    """How much a posting can add to a score, in steps from 0, by the mean size when it is written; what is exact are its block's bounds."""
-    return F.least(F.floor(LEVELS * _part(tf, size, mean)), F.lit(LEVELS - 1)).cast("int")
+    """``term, mids``: the distinct trigrams of the messages' (``mid, content``) lower-case texts."""
+    ship(messages.sparkSession)
+    low = messages.where("mid is not null").select("mid", F.lower("content").alias("low")).where(F.char_length("low") >= GRAM)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mids, grams, taken = [], [], 0
+        for batch in batches:
+            for mid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # A character has 21 bits, so three are one number.
+                c = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.int64)
+                mids.append(mid)
+                grams.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+                taken += len(c)
+                if taken >= 4 * TAKEN:
+                    yield from _packed_grams(mids, grams)
+                    mids, grams, taken = [], [], 0
+        yield from _packed_grams(mids, grams)
+
+    return low.mapInArrow(step, "term string, mids array<long>")
+
+
+def _packed_grams(mids: list[int], grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if not mids:
+        return
+    owner, every = np.repeat(np.array(mids, np.int64), [len(g) for g in grams]), np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    begins = _begins(every)
+    terms = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in every[begins[:-1]].tolist()]
+    lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(owner))
+    whole = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), lists], ["term", "mids"])
+    yield from (whole.slice(k, 10_000) for k in range(0, len(terms), 10_000))
+
+
+def _flat(rows: DataFrame, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each posting, of the arrays ``columns`` or of all."""
+    arrays = {c: one for c, one in _ARRAYS[name].items() if columns is None or c in columns}
+    others = [c for c in rows.columns if c not in _ARRAYS[name]]
+    each = rows.select(*others, F.explode(F.arrays_zip(*arrays)).alias("p"))
+    return each.select(*others, *(F.col(f"p.{c}").alias(one) for c, one in arrays.items()))
+
+
+def _repacked(flat: DataFrame, name: str) -> DataFrame:
+    """Postings in rows again, those of a term in as many as ``PACKS``."""
+    arrays = _ARRAYS[name]
+    keys = [c for c in flat.columns if c not in arrays.values()]
+    packed = flat.groupBy(*keys, F.pmod(F.xxhash64("mid"), F.lit(PACKS)).alias("pack")).agg(F.sort_array(F.collect_list(F.struct(*arrays.values()))).alias("p"))
+    return packed.select(*keys, *(F.col(f"p.{one}").alias(c) for c, one in arrays.items()))
 
 
 def _part(tf: Column, size: Column, mean: Column) -> Column:
@@ -108,17 +211,18 @@ def _totals(sizes: DataFrame) -> dict:
 
 
 class SearchIndex:
-    """An index below ``path``; ``stems`` is fixed when it is made."""
+    """An index below ``path``. ``stems`` is fixed when it is made, and so is ``kinds``: with postings of words alone it answers no substrings, with those of grams no words."""
 
-    def __init__(self, spark: SparkSession, path: str, stems: bool = True):
-        self.spark, self.path, self.stems = spark, path.rstrip("/"), stems
+    def __init__(self, spark: SparkSession, path: str, stems: bool = True, kinds: tuple[str, ...] = ("words", "grams")):
+        self.spark, self.path, self.stems, self.kinds = spark, path.rstrip("/"), stems, kinds
+        self._parts = 1
 
     # -- writing --
 
     def manifest(self) -> dict:
         """What the last commit says: ``number``, ``segments`` (run and rows each), ``dead`` runs and totals."""
         found = [int(n.removeprefix(_MANIFEST)) for n in names(self.spark, self.path) if n.startswith(_MANIFEST)]
-        return json.loads(read_text(self.spark, f"{self.path}/{_MANIFEST}{max(found)}")) if found else {"number": 0, "segments": [], "dead": [], "rows": 0, "tokens": 0, "characters": 0}
+        return json.loads(read_text(self.spark, f"{self.path}/{_MANIFEST}{max(found)}")) if found else {"number": 0, "format": FORMAT, "segments": [], "dead": [], "rows": 0, "tokens": 0, "characters": 0}
 
     def add(self, messages: DataFrame) -> SearchIndex:
         """Indexes messages (``mid, content``), in place of what is indexed under their ids. Contents that are null are empty."""
@@ -161,24 +265,27 @@ class SearchIndex:
         return self._merge(now, now["segments"]) if now["segments"] else self
 
     def needs_rebuild(self, messages: DataFrame) -> bool:
-        """Whether messages are missing from the index, or are gone from the table."""
-        known = self._alive(self.manifest(), "sizes").select("mid")
+        """Whether messages are missing from the index, or are gone from the table, or an earlier version has written it."""
+        now = self.manifest()
+        if now.get("format") != FORMAT:
+            return True
+        known = self._alive(now, "sizes").select("mid")
         return bool(messages.select("mid").join(known, "mid", "left_anti").limit(1).count() or known.join(messages.select("mid"), "mid", "left_anti").limit(1).count())
 
     def rebuild(self, messages: DataFrame) -> SearchIndex:
         """Makes the index anew from all messages, as one more commit."""
         now, run = self.manifest(), uuid.uuid4().hex
         sizes = self._write(messages.select("mid", F.coalesce("content", F.lit("")).alias("content")), now["number"] + 1, run)
-        self._commit({"number": now["number"] + 1, "segments": [{"run": run, "rows": sizes["rows"], "mean": sizes["mean"]}], "dead": []} | {k: sizes[k] for k in ("rows", "tokens", "characters")})
+        self._commit({"number": now["number"] + 1, "format": FORMAT, "segments": [{"run": run, "rows": sizes["rows"], "mean": sizes["mean"]}], "dead": []} | {k: sizes[k] for k in ("rows", "tokens", "characters")})
         return self
 
     def _put(self, rows: DataFrame, name: str, run: str, order: tuple[str, ...] = ()) -> DataFrame:
         """Writes a table's part of a segment and reads it back."""
         at = f"{self.path}/{name}/run={run}"
         if order:
-            parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        writer = rows.write.option("parquet.page.row.count.limit", PAGE_ROWS)
+            rows = rows.repartitionByRange(self._parts, *order).sortWithinPartitions(*order)
+        page = max(1, PAGE_ROWS // ROW_POSTINGS)
+        writer = rows.write.option("parquet.page.row.count.limit", page).option("parquet.page.size.row.check.min", min(page, 100))
         (writer.partitionBy("lead") if "lead" in rows.columns else writer).parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
@@ -187,14 +294,21 @@ class SearchIndex:
         sizes = own.select("mid", F.size(X.tokens(F.col("content"))).alias("tokens"), F.greatest(F.char_length("content") - 2, F.lit(0)).alias("characters"), segment)
         totals = _totals(self._put(sizes, "sizes", run))
         mean = max(1.0, totals["tokens"] / max(1, totals["rows"]))
-        words = postings(own, self.stems).select("*", segment, level(F.col("tf"), F.col("size"), F.lit(mean)).alias("level"), _lead(F.col("term")).alias("lead"))
-        self._summaries(self._put(words, "words", run, ("lead", "term", "level", "mid")), self._put(gram_postings(own).select("*", segment, _lead(F.col("term")).alias("lead")), "grams", run, ("lead", "term", "mid")), run, mean)
+        made = {"words": lambda: postings(own, self.stems, mean), "grams": lambda: gram_postings(own)}
+        self._postings({name: made[name]().select("*", segment, _lead(F.col("term")).alias("lead")) for name in self.kinds}, run, mean, totals["characters"])
         return totals | {"mean": mean}
 
-    def _summaries(self, words: DataFrame, grams: DataFrame, run: str, mean: float) -> None:
-        n = F.count(F.lit(1)).alias("n")
-        self._put(words.groupBy("lead", "term", "level").agg(n, F.max(_part(F.col("tf"), F.col("size"), F.lit(mean))).alias("best")), "blocks", run, ("lead", "term", "level"))
-        self._put(grams.groupBy("lead", "term").agg(n), "gram_counts", run, ("lead", "term"))
+    def _postings(self, rows: dict[str, DataFrame], run: str, mean: float, characters: int) -> None:
+        """Writes a segment's postings and what tells of them."""
+        self._parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), characters // RANGE_CHARACTERS)
+        if "words" in rows:
+            words = self._put(rows["words"], "words", run, ("lead", "term", "level", "mids"))
+            best = F.array_max(F.zip_with("tfs", "sizes", lambda tf, size: _part(tf, size, F.lit(mean))))
+            told = words.select("lead", "term", "level", F.size("mids").cast("long").alias("n"), best.alias("best"))
+            self._put(told.groupBy("lead", "term", "level").agg(F.sum("n").alias("n"), F.max("best").alias("best")), "blocks", run, ("lead", "term", "level"))
+        if "grams" in rows:
+            grams = self._put(rows["grams"], "grams", run, ("lead", "term", "mids"))
+            self._put(grams.groupBy("lead", "term").agg(F.sum(F.size("mids")).alias("n")), "gram_counts", run, ("lead", "term"))
 
     def _merge_like_sized(self) -> SearchIndex:
         while True:
@@ -210,10 +324,10 @@ class SearchIndex:
     def _merge(self, now: dict, some: list[dict]) -> SearchIndex:
         """One segment in place of some; rows keep the number of the commit that brought them, so the dead of later ones stay dead."""
         run, runs = uuid.uuid4().hex, [s["run"] for s in some]
-        kept = {name: self._alive(now, name, runs=runs).drop("run") for name in ("sizes", "words", "grams")}
-        rows = self._put(kept["sizes"], "sizes", run).count()
+        rows = self._put(self._alive(now, "sizes", runs=runs).drop("run"), "sizes", run).count()
         mean = max(1.0, now["tokens"] / max(1, now["rows"]))
-        self._summaries(self._put(kept["words"], "words", run, ("lead", "term", "level", "mid")), self._put(kept["grams"], "grams", run, ("lead", "term", "mid")), run, mean)
+        whole = (lambda name: _repacked(self._alive(now, name, runs=runs).drop("run"), name)) if now["dead"] else lambda name: self._table(name, runs).drop("run")
+        self._postings({name: whole(name) for name in self.kinds}, run, mean, now["characters"])
         left = [s for s in now["segments"] if s["run"] not in runs]
         self._commit(dict(now, number=now["number"] + 1, segments=[*left, {"run": run, "rows": rows, "mean": mean}], dead=now["dead"] if left else []))
         return self
@@ -260,10 +374,19 @@ class SearchIndex:
         at = [f"{self.path}/{name}/run={r}" for r in runs]
         return self.spark.read.schema(_TABLES[name]).option("basePath", f"{self.path}/{name}").parquet(*at) if at else self.spark.createDataFrame([], _TABLES[name])
 
-    def _alive(self, now: dict, name: str, where: Column | None = None, runs: list[str] | None = None) -> DataFrame:
-        """Rows of a table but those that are dead: of a commit before the one that replaced or removed their message."""
-        rows = self._table(name, [s["run"] for s in now["segments"]] if runs is None else runs)
+    def _live(self, now: dict, name: str) -> DataFrame:
+        """A table's rows of all segments that are named."""
+        if now.get("format") != FORMAT:
+            raise RuntimeError(f"{self.path} was written by an earlier version: rebuild it")
+        if name in _ARRAYS and name not in self.kinds:
+            raise RuntimeError(f"{self.path} has no postings of {name}")
+        return self._table(name, [s["run"] for s in now["segments"]])
+
+    def _alive(self, now: dict, name: str, where: Column | None = None, runs: list[str] | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """Rows of a table, one for each posting, but those that are dead: of a commit before the one that replaced or removed their message."""
+        rows = self._live(now, name) if runs is None else self._table(name, runs)
         rows = rows if where is None else rows.where(where)
+        rows = _flat(rows, name, columns) if name in _ARRAYS else rows
         if not now["dead"]:
             return rows
         dead = self._table("dead", now["dead"]).groupBy("mid").agg(F.max("before").alias("before"))
@@ -280,7 +403,7 @@ class SearchIndex:
             if prefix:
                 wanted[-1] = F.startswith("term", F.lit(tokens[-1]))
             where = F.col("lead").isin(_leads(self.spark, set(tokens))) & functools.reduce(operator.or_, wanted)
-            rows = self._alive(now, "words", where)
+            rows = self._alive(now, "words", where, columns=("mids", "sizes", "tfs" if len(tokens) == 1 else "positions"))
             if len(tokens) == 1:
                 found.append(rows.groupBy("mid").agg(F.sum("tf").alias("f"), F.first("size").alias("size")))
                 continue
@@ -300,14 +423,15 @@ class SearchIndex:
             grams = {part[k : k + GRAM] for k in range(len(part) - GRAM + 1)}
             rare = self.rarest(now, grams)
             rows = self._alive(now, "grams", F.col("lead").isin(_leads(self.spark, set(rare))) & F.col("term").isin(rare))
-            maybe = rows.groupBy("mid").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where(F.col("n") == len(rare))
+            maybe = rows.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare))
             seen = messages.select("mid", F.lower("content").alias("low")).join(maybe, "mid")
-            found.append(seen.select("mid", substring_frequency(F.col("low"), part).alias("f"), "size").where("f > 0"))
+            size = F.greatest(F.char_length("low") - 2, F.lit(0)).alias("size")
+            found.append(seen.select("mid", substring_frequency(F.col("low"), part).alias("f"), size).where("f > 0"))
         return self._ranked(now, found, "characters").withColumn("score", F.col("score") * SUBSTRING_WEIGHT)
 
     def rarest(self, now: dict, grams: set[str]) -> list[str]:
         """The trigrams worth meeting: the rarest, as long as one more keeps out most of what the ones before let through. Counts are of all rows, the dead included, so they only guide."""
-        counts = self._table("gram_counts", [s["run"] for s in now["segments"]]).where(F.col("lead").isin(_leads(self.spark, grams)) & F.col("term").isin(sorted(grams)))
+        counts = self._live(now, "gram_counts").where(F.col("lead").isin(_leads(self.spark, grams)) & F.col("term").isin(sorted(grams)))
         known = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
         order = sorted(grams, key=lambda g: (known.get(g, 0), g))
         out, left = order[:1], known.get(order[0], 0)
@@ -338,7 +462,7 @@ class SearchIndex:
             times[tokens[0]] = times.get(tokens[0], 0) + 1
         mean = now["tokens"] / max(1, now["rows"])
         leads = F.col("lead").isin(_leads(self.spark, set(times)))
-        told = self._table("blocks", [s["run"] for s in now["segments"]]).where(leads & F.col("term").isin(list(times))).groupBy("term", "level", "run").agg(F.sum("n").alias("n"), F.max("best").alias("best")).collect()
+        told = self._live(now, "blocks").where(leads & F.col("term").isin(list(times))).groupBy("term", "level", "run").agg(F.sum("n").alias("n"), F.max("best").alias("best")).collect()
         # Where messages have become longer since a segment was written, its parts have grown, but by no more than the mean.
         grown = {s["run"]: max(1.0, mean / s["mean"]) for s in now["segments"]}
         weights = {t: self._idf(now["rows"], sum(r["n"] for r in told if r["term"] == t)) * n for t, n in times.items()}
@@ -374,7 +498,7 @@ class SearchIndex:
     def _scored(self, now: dict, levels: dict[str, set[int]], weights: dict[str, float], mean: float, leads: Column) -> DataFrame:
         """``mid, score`` of the messages that have all terms in the given levels, or between the lowest and the highest of them."""
         where = functools.reduce(operator.or_, ((F.col("term") == t) & F.col("level").between(min(some), max(some)) for t, some in levels.items()))
-        rows = self._table("words", [s["run"] for s in now["segments"]]).where(leads & where)
+        rows = _flat(self._live(now, "words").where(leads & where), "words", ("mids", "tfs", "sizes"))
         weight = functools.reduce(lambda c, t: c.when(F.col("term") == t, weights[t]), levels, F)
         part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
         whole = rows.select("mid", part.alias("part")).groupBy("mid").agg(F.sum("part").alias("whole"), F.count(F.lit(1)).alias("n"))
