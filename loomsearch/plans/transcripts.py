@@ -6,9 +6,11 @@ import json
 import sqlite3
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,13 @@ from ..operators import merge, sessions
 from ..operators.index import SearchIndex
 from ..sources import files
 from ..sources.ingest import Tables, ingest
-from ..storage import file_system, shared_dir
+from ..sources.ranges import by_ranges, put, store_of
+from ..storage import file_system, shared_dir, ship
 from ..streaming import transcripts as streamed
 
 START = 1704067200
+#: Turns that one composer store is given.
+STORE_ROWS = 50_000
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +36,32 @@ def _at(seconds: Column) -> Column:
 
 
 def _files(lines: DataFrame, root: str, suffix: str = ".jsonl") -> str:
-    """Writes lines (``folder, name, at, value``) in order into ``root/folder/name.jsonl``."""
+    """Writes lines (``folder, name, at, value``) in order into ``root/folder/name.jsonl``, each file in the task that has its lines."""
     spark = lines.sparkSession
-    draft = f"{root}/draft-{uuid.uuid4().hex}"
     ordered = lines.repartition("folder", "name").sortWithinPartitions("folder", "name", "at").select("folder", "name", "value")
+    if not by_ranges(root):
+        return _moved(ordered, root, suffix)
+    ship(spark)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(root)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made: set[str] = set()
+        for (folder, name), own in groupby(rows, lambda r: r[:2]):
+            if folder not in made:
+                store.create_dir(f"{top}/{folder}", recursive=True)
+                made.add(folder)
+            put(store, f"{top}/{folder}/{name}{suffix}", ((value or "").encode() + b"\n" for _, _, value in own))
+            yield pa.RecordBatch.from_pydict({"files": [1]})
+
+    ordered.mapInArrow(step, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+def _moved(ordered: DataFrame, root: str, suffix: str) -> str:
+    """The same in a store that only Spark opens: it writes a folder for each file, of which the driver moves the file to its place."""
+    spark = ordered.sparkSession
+    draft = f"{root}/draft-{uuid.uuid4().hex}"
     ordered.write.partitionBy("folder", "name").text(draft)
     fs, top = file_system(spark, draft)
     for folder in (s.getPath() for s in fs.listStatus(top) if s.isDirectory()):
@@ -110,35 +137,71 @@ def history_lines(talk: DataFrame) -> DataFrame:
     return out
 
 
-def composer_stores(talk: DataFrame, root: str) -> str:
-    """Format C: one SQLite store of composers and bubbles, and three workspaces that list them. A store is one file, so one process writes it."""
+def composer_stores(talk: DataFrame, root: str, rows: int = STORE_ROWS) -> str:
+    """Format C: SQLite stores of composers and bubbles, one in each of as many homes as there are ``rows`` turns, and three workspaces in each that list them.
+
+    A store is one file, so one task writes it, from rows in order; many tasks write many. Gives a pattern of all homes.
+    """
     spark = talk.sparkSession
-    with tempfile.TemporaryDirectory() as d:
-        local = Path(d)
-        heads: dict[int, list[dict]] = {}
-        with sqlite3.connect(local / "global.db") as db:
-            db.execute("CREATE TABLE cursorDiskKV (key TEXT, value BLOB)")
-            for r in talk.orderBy("conv_id", "turn").toLocalIterator():
-                k, t = r["conv_id"], r["turn"]
-                heads.setdefault(k, []).append({"bubbleId": f"b{t}", "type": 1 if r["role"] == "user" else 2})
-                bubble = ({"text": r["text"]}, {"text": " ", "content": r["text"]}, {"toolFormerData": {"tool": "grep", "args": {"q": t}}})[t % 3]
+    homes = 1 + talk.count() // rows
+    own = talk.withColumn("home", F.pmod(F.xxhash64("conv_id"), F.lit(homes)).cast("int"))
+    # One partition for each home and not one more: hashes of homes would put several into a task.
+    ordered = own.repartitionByRange(homes, "home").sortWithinPartitions("home", "conv_id", "turn").select("home", "conv_id", "turn", "role", "text")
+    ship(spark)
+    direct = by_ranges(root)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for home, of_home in groupby(turns, lambda r: r[0]):
+            with tempfile.TemporaryDirectory() as d:
+                for name, path in _home(Path(d), of_home).items():
+                    data = None
+                    if direct:
+                        store, top = store_of(root)
+                        to = f"{top}/home-{home}/{name}"
+                        store.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                        with path.open("rb") as f:
+                            put(store, to, iter(lambda f=f: f.read(1 << 20), b""))
+                    else:
+                        data = path.read_bytes()
+                    yield pa.RecordBatch.from_pydict({"path": [f"{root}/home-{home}/{name}"], "content": pa.array([data], pa.binary())})
+
+    made = ordered.mapInArrow(step, "path string, content binary")
+    if direct:
+        made.agg(F.count("path")).collect()
+    else:  # only Spark opens the store, so the driver puts one file after the other there
+        for r in made.toLocalIterator():
+            fs, to = file_system(spark, r["path"])
+            out = fs.create(to)
+            out.write(r["content"])
+            out.close()
+    return f"{root}/home-*"
+
+
+def _home(local: Path, turns: Iterator[tuple]) -> dict[str, Path]:
+    """The files of a home, by their names in it, of turns (home, conversation, turn, role, text) in order."""
+    known: list[int] = []
+    with sqlite3.connect(local / "global.db") as db:
+        db.execute("CREATE TABLE cursorDiskKV (key TEXT, value BLOB)")
+        for k, of_talk in groupby(turns, lambda r: r[1]):
+            heads = []
+            for _, _, t, role, text in of_talk:
+                heads.append({"bubbleId": f"b{t}", "type": 1 if role == "user" else 2})
+                bubble = ({"text": text}, {"text": " ", "content": text}, {"toolFormerData": {"tool": "grep", "args": {"q": t}}})[t % 3]
                 db.execute("INSERT INTO cursorDiskKV VALUES (?, ?)", (f"bubbleId:c-{k}:b{t}", json.dumps(bubble)))
-            for k, h in heads.items():
-                data = {"fullConversationHeadersOnly": h, "createdAt": (START + k) * 1000 + 500, "lastUpdatedAt": (START + 2 * k) * 1000, "name": f"N{k}" if k % 2 else ""}
-                if k % 5 == 0:
-                    data["latestConversationSummary"] = {"summary": {"summary": f"pre <previous_user_message>hello {k}</previous_user_message><attached_files>x</attached_files>"}}
-                db.execute("INSERT INTO cursorDiskKV VALUES (?, ?)", (f"composerData:c-{k}", json.dumps(data)))
-        made = {"globalStorage/state.vscdb": local / "global.db"}
-        for w in range(3):
-            with sqlite3.connect(local / f"w{w}.db") as db:
-                db.execute("CREATE TABLE ItemTable (key TEXT, value BLOB)")
-                db.execute("INSERT INTO ItemTable VALUES ('composer.composerData', ?)", (json.dumps({"allComposers": [{"composerId": f"c-{k}"} for k in heads if k % 3 == w]}),))
-            (local / f"w{w}.json").write_text(json.dumps({"folder": f"file:///home/my%20{w}"} if w else {"configuration": "vscode-remote://x"}))
-            made |= {f"workspaceStorage/w{w}/state.vscdb": local / f"w{w}.db", f"workspaceStorage/w{w}/workspace.json": local / f"w{w}.json"}
-        for name, path in made.items():
-            fs, to = file_system(spark, f"{root}/{name}")
-            fs.copyFromLocalFile(False, True, file_system(spark, f"file://{path}")[1], to)
-    return root
+            data = {"fullConversationHeadersOnly": heads, "createdAt": (START + k) * 1000 + 500, "lastUpdatedAt": (START + 2 * k) * 1000, "name": f"N{k}" if k % 2 else ""}
+            if k % 5 == 0:
+                data["latestConversationSummary"] = {"summary": {"summary": f"pre <previous_user_message>hello {k}</previous_user_message><attached_files>x</attached_files>"}}
+            db.execute("INSERT INTO cursorDiskKV VALUES (?, ?)", (f"composerData:c-{k}", json.dumps(data)))
+            known.append(k)
+    made = {"globalStorage/state.vscdb": local / "global.db"}
+    for w in range(3):
+        with sqlite3.connect(local / f"w{w}.db") as db:
+            db.execute("CREATE TABLE ItemTable (key TEXT, value BLOB)")
+            db.execute("INSERT INTO ItemTable VALUES ('composer.composerData', ?)", (json.dumps({"allComposers": [{"composerId": f"c-{k}"} for k in known if k % 3 == w]}),))
+        (local / f"w{w}.json").write_text(json.dumps({"folder": f"file:///home/my%20{w}"} if w else {"configuration": "vscode-remote://x"}))
+        made |= {f"workspaceStorage/w{w}/state.vscdb": local / f"w{w}.db", f"workspaceStorage/w{w}/workspace.json": local / f"w{w}.json"}
+    return made
 
 
 def _place(spark: SparkSession) -> str:

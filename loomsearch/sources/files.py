@@ -1,17 +1,19 @@
 """Transcript sources as tables of parsed messages.
 
-Files of lines are read by byte ranges, stores of key-value pairs whole, and
-parsed where they are read. Every reader gives the same columns (``PARSED``),
+Files of lines are read by byte ranges, stores of key-value pairs each by one
+task, and parsed where they are read. Every reader gives the same columns (``PARSED``),
 which ``ingest`` turns into sessions and messages.
 """
 
 from __future__ import annotations
 
 import re
+import shutil
 import sqlite3
 import tempfile
 import time
 from collections.abc import Iterator
+from contextlib import closing
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_path
 from ..model import flat_schema
-from ..storage import pandas_function, ship
+from ..storage import file_system, pandas_function, ship
 from . import parse, ranges
 from .ranges import RANGE, by_ranges, read_lines
 
@@ -31,8 +33,31 @@ RETRIES, RETRY_S = 5, 0.1
 
 
 def listing(spark: SparkSession, pattern: str, recursive: bool = False, name: str | None = None) -> DataFrame:
-    """``source_path, mtime_ns, size`` of the files of a pattern, without reading them."""
-    return _binary(spark, pattern, recursive, name).select(F.col("path").alias("source_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
+    """``source_path, mtime_ns, size`` of the files of a pattern, without reading them.
+
+    Folders are listed, not one path after the other, and by few tasks: a task
+    for each file would take far longer than what it says of it.
+    """
+    found = _binary(spark, pattern, recursive, name) if recursive or name else _in_folders(spark, pattern)
+    return found.coalesce(spark.sparkContext.defaultParallelism).select(F.col("path").alias("source_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
+
+
+def _in_folders(spark: SparkSession, pattern: str) -> DataFrame:
+    """The files of a pattern, by the folders that its beginning matches."""
+    folder, name = pattern.rsplit("/", 1)
+    fs, at = file_system(spark, folder)
+    above = [s.getPath().toString() for s in fs.globStatus(fs.makeQualified(at)) or [] if s.isDirectory()]
+    if not above:
+        raise FileNotFoundError(f"no folder is at {folder}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load([_plain(p) for p in above])
+    own = spark.createDataFrame([(a,) for a in above], "above string")
+    # Folders below these are listed too, but are not what the pattern means.
+    return found.join(F.broadcast(own), F.regexp_replace("path", "/[^/]*$", "") == F.col("above"), "left_semi")
+
+
+def _plain(path: str) -> str:
+    """A path as a pattern that only it matches."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def _binary(spark: SparkSession, pattern: str, recursive: bool, name: str | None) -> DataFrame:
@@ -46,7 +71,7 @@ def _binary(spark: SparkSession, pattern: str, recursive: bool, name: str | None
 
 def _named(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The files of these paths, whatever characters their names have."""
-    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    plain = [_plain(p) for p in paths]
     return spark.read.format("binaryFile").load(plain) if plain else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
@@ -101,16 +126,15 @@ def _lines(spark: SparkSession, due: DataFrame, range_bytes: int) -> DataFrame:
     Files in stores that only Spark reads are read whole. Names come to the driver, which lists all files anyway.
     """
     rows = due.select("source_path", "size", "offset", F.coalesce("head", F.lit("")).alias("head")).collect()
-    begins = {r["source_path"]: r["offset"] for r in rows if r["offset"]}
     here = [(r["source_path"], r["offset"] if r["head"] else 0, r["size"]) for r in rows if by_ranges(r["source_path"])]
     found = read_lines(spark, here, range_bytes)
     others = [r["source_path"] for r in rows if not by_ranges(r["source_path"])]
     if others:
         whole = _named(spark, others).select(F.col("path").alias("source_path"), "content")
         found = found.unionByName(whole.mapInArrow(_split, "source_path string, source_offset long, line binary"))
-    if not begins:
+    if not any(r["offset"] for r in rows):
         return found.withColumn("begin", F.lit(0).cast("long"))
-    return found.join(spark.createDataFrame(sorted(begins.items()), "source_path string, begin long"), "source_path", "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
+    return found.join(due.where("offset > 0").select("source_path", F.col("offset").alias("begin")), "source_path", "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,24 +198,57 @@ def _all(spark: SparkSession, agent: str, root: str) -> DataFrame:
 
 
 def key_values(files: DataFrame, table: str, like: str = "%") -> DataFrame:
-    """``source_path, key, value`` of SQLite files' key-value tables, read without changing them, one file at a time."""
-    own = files.select(F.col("path").alias("source_path"), "content")
-    ship(files.sparkSession)
+    """``source_path, key, value`` of SQLite files' key-value tables, read without changing them, a file by one task.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Their paths come to the driver; a task copies its file to its own disk, part
+    by part, so no process holds a file. Those in stores that only Spark opens
+    are held whole, one at a time.
+    """
+    spark = files.sparkSession
+    ship(spark)
+    paths = [r["path"] for r in files.select("path").collect()]
+    here, others = [p for p in paths if by_ranges(p)], [p for p in paths if not by_ranges(p)]
+    out = "source_path string, key string, value string"
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            with tempfile.TemporaryDirectory() as d:
+                copy = Path(d, "store.db")
+                store, at = ranges.store_of(path)
+                with store.open_input_stream(at) as f, copy.open("wb") as to:
+                    shutil.copyfileobj(f, to, ranges.CHUNK)
+                yield from _rows_of(copy, path, table, like)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with tempfile.TemporaryDirectory() as d:
                     copy = Path(d, "store.db")
-                    copy.write_bytes(data)
+                    copy.write_bytes(data.as_buffer())
                     del data
-                    with _opened(copy) as db:
-                        found = db.execute(f"SELECT key, value FROM {table} WHERE key LIKE ?", (like,))
-                        while rows := found.fetchmany(1000):
-                            texts = [v if isinstance(v, str) else (v or b"").decode("utf-8", "replace") for _, v in rows]
-                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([k for k, _ in rows]), pa.array(texts)], ["source_path", "key", "value"])
+                    yield from _rows_of(copy, path, table, like)
+
+    # A slice for each file, which no later step of the plan joins to another.
+    named = spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in here], max(1, len(here))), "source_path string")
+    found = named.mapInArrow(copied, out)
+    if others:
+        found = found.unionByName(_named(spark, others).select(F.col("path").alias("source_path"), "content").mapInArrow(held, out))
+    return found
+
 
-    return own.mapInArrow(step, "source_path string, key string, value string")
+def _rows_of(copy: Path, path: str, table: str, like: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a store, in batches of some megabytes."""
+    with closing(_opened(copy)) as db:
+        keys, texts, size = [], [], 0
+        for key, v in db.execute(f"SELECT key, value FROM {table} WHERE key LIKE ?", (like,)):
+            keys.append(key)
+            texts.append(v if isinstance(v, str) else (v or b"").decode("utf-8", "replace"))
+            size += len(texts[-1])
+            if size > ranges.CHUNK or len(keys) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(keys)), pa.array(keys), pa.array(texts)], ["source_path", "key", "value"])
+                keys, texts, size = [], [], 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(keys)), pa.array(keys), pa.array(texts)], ["source_path", "key", "value"])
 
 
 def _opened(path: Path) -> sqlite3.Connection:
@@ -233,10 +290,10 @@ def composers(spark: SparkSession, root: str, counts: DataFrame | None = None) -
     last time: with as many a composer is skipped, with fewer it restarts, and
     with more only the later bubbles are read. Bubbles are joined, not looked up.
     """
-    stores = key_values(_binary(spark, f"{root}/globalStorage/state.vscdb", False, None), "cursorDiskKV")
+    stores = _binary(spark, f"{root}/globalStorage/state.vscdb", False, None)
     digest = pandas_function(lambda s: s.map(lambda t: parse.summary_digest(t) if t else ""), "string")
     c = F.from_json("value", _COMPOSER)
-    heads = stores.where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_uid"), c.alias("c"))
+    heads = key_values(stores, "cursorDiskKV", "composerData:%").where(F.startswith("key", F.lit("composerData:"))).select(F.substring_index("key", ":", -1).alias("session_uid"), c.alias("c"))
     heads = heads.select("session_uid", F.col("c.fullConversationHeadersOnly").alias("heads"), F.coalesce("c.name", F.lit("")).alias("title"), F.col("c.latestConversationSummary.summary.summary").alias("raw"), F.floor(F.col("c.createdAt") / 1000).alias("started_at"), F.floor(F.col("c.lastUpdatedAt") / 1000).alias("ended_at"))
     heads = heads.where(F.size("heads") > 0).withColumn("summary", digest("raw")).withColumn("n", F.size("heads")).drop("raw")
     prior = counts.select("session_uid", F.col("n").alias("prior")) if counts is not None else spark.createDataFrame([], "session_uid string, prior int")
@@ -246,7 +303,7 @@ def composers(spark: SparkSession, root: str, counts: DataFrame | None = None) -
     due = heads.where("action != 'skip'")
     begin = F.when(F.col("action") == "resume", F.col("prior")).otherwise(0)
     wanted = due.select("session_uid", begin.alias("begin"), F.posexplode("heads").alias("pos", "h")).where(F.col("pos") >= F.col("begin"))
-    bubbles = stores.where(F.startswith("key", F.lit("bubbleId:"))).select(F.split_part("key", F.lit(":"), F.lit(2)).alias("session_uid"), F.split_part("key", F.lit(":"), F.lit(3)).alias("bubble"), "value")
+    bubbles = key_values(stores, "cursorDiskKV", "bubbleId:%").where(F.startswith("key", F.lit("bubbleId:"))).select(F.split_part("key", F.lit(":"), F.lit(2)).alias("session_uid"), F.split_part("key", F.lit(":"), F.lit(3)).alias("bubble"), "value")
     text = pandas_function(lambda s: s.map(_bubble), "string")
     rows = wanted.join(bubbles, (wanted["session_uid"] == bubbles["session_uid"]) & (wanted["h.bubbleId"] == bubbles["bubble"])).select(wanted["session_uid"], "pos", F.col("h.type").alias("type"), text("value").alias("content"))
     rows = rows.where(F.trim("content") != "").join(composer_workspaces(spark, root).withColumnRenamed("composer", "session_uid"), "session_uid", "left")

@@ -216,7 +216,7 @@ def _read_composers(spark: SparkSession, now: Tables, root: str, rules, redact:
     prefix = "cursor:composer:"
     counts = now.state.where(F.startswith("source_path", F.lit(prefix))).select(F.substring("source_path", len(prefix) + 1, 1 << 20).alias("session_uid"), F.regexp_extract("fingerprint", r"count=(\d+)", 1).try_cast("int").alias("n"))
     sessions, parsed = files.composers(spark, root, counts)
-    parsed = _kept(parsed, work, "read")
+    sessions, parsed = _kept(sessions, work, "composers"), _kept(parsed, work, "read")
     note(parsed)
     path = F.concat(F.lit(prefix), "session_uid")
     gone = sessions.where("action = 'restart'").select(path.alias("source_path"))

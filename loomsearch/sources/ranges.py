@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,6 +47,18 @@ def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
 
 
+def put(store: pafs.FileSystem, path: str, chunks: Iterable[bytes]) -> None:
+    """Writes a file beside its place and moves it there, so a reader, or a task that is run twice, never meets a part of it."""
+    folder, name = path.rsplit("/", 1)
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    if not isinstance(store, pafs.LocalFileSystem) and store.get_file_info(path).is_file:
+        store.delete_file(path)
+    store.move(draft, path)
+
+
 @dataclass
 class Range(InputPartition):
     """Parts of files: (path, where its reading may begin, start, end)."""
