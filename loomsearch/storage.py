@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,31 @@ def ship(spark: SparkSession | None = None) -> None:
         context._loomsearch_shipped = True
 
 
+#: Bytes of text that ``in_parts`` holds as Python strings at a time.
+PART = 1 << 20
+
+
+def in_parts(f: Callable[[str], object], kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    """A function of texts as one of Arrow arrays, of which it takes a part at a time; null stays null without a call."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = max(1, len(texts) * PART // max(1, texts.nbytes))
+        parts = [pa.array([None if (t := x.as_py()) is None else f(t) for x in texts.slice(k, rows)], kind) for k in range(0, len(texts), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
+
+
+def arrow_function(f: Callable[[pa.Array], pa.Array], kind: str):
+    """``F.arrow_udf`` of one column, whose executors have this package."""
+    ship()
+
+    def run(column: pa.Array) -> pa.Array:
+        return f(column)
+
+    return F.arrow_udf(run, kind)
+
+
 def pandas_function(f, kind: str):
     """``F.pandas_udf`` whose executors have this package."""
     ship()
