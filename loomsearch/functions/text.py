@@ -6,12 +6,17 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..storage import pandas_function
+from ..storage import arrow_function, pandas_function
 from .porter import stem
 
+#: Words that ``stem_lists`` takes at a time.
+MOST_WORDS = 200_000
+
 
 @lru_cache(maxsize=1)
 def _folds() -> tuple[str, str]:
@@ -35,12 +40,21 @@ def tokens(text: Column) -> Column:
 
 
 def stemmed(words: Column) -> Column:
-    """Stems of an array of tokens. Arrow batches; each worker keeps the stems of the words that it meets."""
-
-    def stems(lists):
-        return lists.map(lambda words: None if words is None else [stem(w) for w in words])
-
-    return pandas_function(stems, "array<string>")(words)
+    """Stems of an array of tokens. Arrow batches, of which only the distinct tokens become Python strings; each worker keeps the latest stems."""
+    return arrow_function(stem_lists, "array<string>")(words)
+
+
+def stem_lists(lists: pa.Array) -> pa.Array:
+    """The same lists with stems; ``MOST_WORDS`` words or so at a time, each distinct one of them stemmed once."""
+    rows = max(1, len(lists) * MOST_WORDS // max(1, len(lists.flatten())))
+    parts = []
+    for k in range(0, len(lists), rows):
+        part = lists.slice(k, rows)
+        coded = part.flatten().dictionary_encode()
+        stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(part), 0).cast(pa.int32()))
+        parts.append(pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stems, mask=part.is_null()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def fold_char(c: str) -> str:
