@@ -39,6 +39,8 @@ def _byte_letters() -> dict[int, int]:
 
 # The two splitting patterns that the vocabularies' files name.
 _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# The first for printable Latin-1, of which only a leading space is white: there the library's classes are these.
+_SPACED_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^ {0}{1}]+| +".format("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"))
 _BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 _LETTERS = _byte_letters()
@@ -91,6 +93,13 @@ class PieceTable:
         """The library's pieces of a stretch with the space before it; by its own pattern where all characters are Latin-1 ones, or else by its splitter."""
         if self.plain and (text.isascii() or max(text) < "\u0100"):
             if self.spaced:
+                if text.isprintable() and text.rfind(" ") <= 0:
+                    found = _SPACED_LATIN.findall(text)
+                    if text.isascii():
+                        if found and found[0][0] == " ":
+                            found[0] = "\u0120" + found[0][1:]
+                        return found
+                    return [p.encode().decode("latin-1").translate(_LETTERS) for p in found]
                 return [p.encode().decode("latin-1").translate(_LETTERS) for p in _SPACED.findall(text)]
             text = "".join(c.lower() for c in text)
             return [p.encode().decode("latin-1").translate(_LETTERS) for p in _BARE.findall(text)]
@@ -145,11 +154,12 @@ class PieceTable:
         for parts in split:
             new.update(parts[1:])
         self._learn(later, new.difference(later), " ")
-        out = []
+        out, after = [], later.__getitem__
         for parts, text in zip(split, texts, strict=True):
             try:
-                rest = [later[s] for s in parts[1:]]
-                out.append(first[parts[0]] + (sum(rest) if self.counts else b"".join(rest)))
+                head = first[parts[0]]
+                rest = map(after, parts[1:])
+                out.append(head + (sum(rest) if self.counts else b"".join(rest)))
             except TypeError:
                 out.append(self._carefully(parts, text or ""))
         return out

@@ -144,3 +144,24 @@ def test_files_of_odd_rows(odd_docs, no_docs):
 def test_checksums_of_parts_combine():
     a, b, c = b"abcd" * 5, b"efgh" * 1, b"ijkl" * 7
     assert tokenfiles._fold([(len(x) // 4, zlib.crc32(x)) for x in (a, b, c)]) == zlib.crc32(a + b + c)
+
+
+def test_printable_latin_is_cut_as_the_library_cuts_it():
+    """By every pair and many longer stretches of printable Latin-1; and no stretch of it goes through the slower pattern."""
+    import itertools
+    import random
+
+    import public_tokenizers
+
+    from loomsearch.llm import tokens
+
+    table = tokens.PieceTable(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [c for k in range(33, 256) if (c := chr(k)).isprintable()]
+    rng = random.Random(5)
+    stretches = ["".join(p) for p in itertools.product(signs, repeat=2)] + signs + ["".join(rng.choices("aZ09'strevmld.,-_$éßµ²¾×÷ª¡", k=rng.randint(3, 14))) for _ in range(20_000)]
+    slow, tokens._SPACED = tokens._SPACED, None
+    try:
+        for s in stretches + [" " + s for s in stretches] + [" "]:
+            assert table._cut(s) == [p for p, _ in table.library.pre_tokenizer.pre_tokenize_str(s)]
+    finally:
+        tokens._SPACED = slow
