@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             for rows in in_slices(batch, 1):
                 picked: list[int] = []
                 columns: list[list] = [[], [], [], [], []]
-                for k, ids in enumerate(table.look_up(rows.column(1).to_pylist())):
+                for k, ids in enumerate(table.look_up(rows.column(1))):
                     ids += end
                     n = len(ids) // 4
                     begin, stop, number = 0, n % capacity or capacity, 0

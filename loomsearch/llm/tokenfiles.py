@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, only, prefix_sums, staged
-from .rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
+from .rangecoder import BLOCK, decode_blocks, encode_blocks
 from .tokens import PieceTable, in_slices
 
 END_ID = 2
-#: Bytes of text in a part: at least the first, so that its blocks fill the coder's lanes, if that leaves all cores something to do; at most the second.
-LEAST_PART, MOST_PART = 20 << 20, 96 << 20
+#: Bytes of text in a part: at least the first, so that it has whole blocks, if that leaves all cores something to do; at most the second.
+LEAST_PART, MOST_PART = 4 << 20, 96 << 20
 
 
 def _parts(own: DataFrame) -> int:
-    """How many parts to write: lanes cost little more together than alone, so parts are as large as cores and memory allow."""
+    """How many parts to write: full blocks cost least for each id, so parts have some where all cores still get a share."""
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     cores = own.sparkSession.sparkContext.defaultParallelism
     return max(1, size // MOST_PART, min(-(-size // LEAST_PART), 4 * cores))
@@ -53,14 +53,14 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
         writer = _Writer(part)
         for whole in batches:
             for batch in in_slices(whole, 1):
-                for key, ids in zip(batch.column(0), table.look_up(batch.column(1).to_pylist()), strict=True):
+                for key, ids in zip(batch.column(0), table.look_up(batch.column(1)), strict=True):
                     writer.add(key.as_py(), ids + end)
-                while len(writer.blocks) >= 2 * LANES:
-                    yield writer.rows(LANES, batch.schema.field(0).type)
                 id_type = batch.schema.field(0).type
+                if writer.blocks:
+                    yield writer.rows(id_type)
         writer.cut()
-        while n := len(writer.blocks):  # the last ones in equal shares, for few lanes take as long as many
-            yield writer.rows(-(-n // 2) if n > LANES else n, id_type)
+        if writer.blocks:
+            yield writer.rows(id_type)
 
     return map_arrow(ordered, step, schema)
 
@@ -96,9 +96,9 @@ class _Writer:
             self.notes.append(self.note)
             self._begin()
 
-    def rows(self, most: int, id_type: pa.DataType) -> pa.RecordBatch:
-        blocks, notes = self.blocks[:most], self.notes[:most]
-        self.blocks, self.notes = self.blocks[most:], self.notes[most:]
+    def rows(self, id_type: pa.DataType) -> pa.RecordBatch:
+        blocks, notes = self.blocks, self.notes
+        self.blocks, self.notes = [], []
         numbers = range(self.number, self.number + len(blocks))
         self.number += len(blocks)
         columns = [

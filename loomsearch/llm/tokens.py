@@ -6,7 +6,8 @@ stretch, so a text's ids are the ids of its stretches in a row. ``count_tokens``
 counts the pieces of every distinct stretch of the corpus once and joins them to
 the stretches of each document. ``PieceTable`` gives ids: each worker process
 keeps what it has encoded in a bounded table and only ever asks the library
-about stretches that are new to it.
+about stretches that are new to it. Stretches are cut, numbered and put together
+again in Arrow arrays, so Python sees each of them once for some MB of text.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import os
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,10 @@ from pyspark.sql import types as T
 
 from .common import least_count, map_arrow, only, staged
 
-#: Stretches and pieces that a worker keeps before its tables start afresh, and the longest stretch that is kept.
-MOST_KEPT, LONGEST_KEPT = 250_000, 48
+#: Stretches that a worker keeps before those go that came only once, pieces before they start afresh, and the longest stretch that is kept.
+MOST_KEPT, MOST_PIECES, LONGEST_KEPT = 350_000, 250_000, 48
+#: Stands for no entry, where None is one.
+_ABSENT = object()
 
 
 def _byte_letters() -> dict[int, int]:
@@ -43,6 +48,8 @@ _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _SPACED_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^ {0}{1}]+| +".format("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"))
 _BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Signs that end a word and are a piece of their own there.
+_ENDS = frozenset(",.;:!?")
 _LETTERS = _byte_letters()
 _TABLES: dict[tuple[str, bool], PieceTable] = {}
 
@@ -66,6 +73,7 @@ class PieceTable:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.tokenize = self.library.model.tokenize
         self.counts = counts
         spec = json.loads(self.library.to_str())
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -74,6 +82,7 @@ class PieceTable:
         self.plain = self.spaced or kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
         self.later: dict[str, bytes | int | None] = {}  # stretches after a space
         self.first: dict[str, bytes | int | None] = {}  # stretches that begin a text
+        self.again: set[str] = set()  # of the stretches after a space, those that a later call met
         self.pieces: dict[str, bytes | int] = {}
 
     @classmethod
@@ -107,26 +116,46 @@ class PieceTable:
             text = self.library.normalizer.normalize_str(text)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _learn(self, table: dict, new: set[str], lead: str) -> None:
-        pieces, tokenize, value = self.pieces, self.library.model.tokenize, self._value
-        mark = "\u0120" if lead and self.spaced else ""
+    def _piece(self, p: str):
+        found = self.pieces.get(p)
+        if found is None:
+            found = self.pieces[p] = self._value([t.id for t in self.tokenize(p)])
+        return found
+
+    def _word(self, s: str, mark: str):
+        """The value of a Latin-1 word, or of one with a sign behind it; None for all else."""
+        if s.isalpha():
+            end = ""
+        elif s[-1:] in _ENDS and s[:-1].isalpha():
+            s, end = s[:-1], s[-1]
+        else:
+            return None
+        if not self.spaced:
+            s = s.lower()
+        found = self._piece(mark + s if s.isascii() else mark + s.encode().decode("latin-1").translate(_LETTERS))
+        return found + self._piece(end) if end else found
+
+    def _learn(self, table: dict, new: Iterable[str], lead: str) -> None:
+        plain, spaced, word = self.plain, self.spaced, self._word
+        mark = "\u0120" if lead and spaced else ""
         nothing = 0 if self.counts else b""
         for s in new:
-            if self.plain and s.isalpha() and s.isascii() and len(s) <= LONGEST_KEPT:
-                p = mark + s if self.spaced else s.lower()
-                found = pieces.get(p)
-                if found is None:
-                    found = pieces[p] = value([t.id for t in tokenize(p)])
-                table[s] = found
-            elif len(s) > LONGEST_KEPT or lead and (not s or s[0].isspace()) or "<" in s and any(x in s for x in self.specials):
+            if plain and len(s) <= LONGEST_KEPT and (s.isascii() or max(s) < "\u0100"):
+                found = word(s, mark)
+                if found is None and "\n" in s:  # a line's end between two words is a piece of its own, or none
+                    before, after = s.split("\n", 1)
+                    before, after = word(before, mark), word(after, "")
+                    if before is not None and after is not None:
+                        found = before + (self._piece("\u010a") if spaced else nothing) + after
+                if found is not None:
+                    table[s] = found
+                    continue
+            if len(s) > LONGEST_KEPT or lead and (not s or s[0].isspace()) or "<" in s and any(x in s for x in self.specials):
                 table[s] = None
             else:
                 whole = nothing
                 for p in self._cut(lead + s):
-                    found = pieces.get(p)
-                    if found is None:
-                        found = pieces[p] = value([t.id for t in tokenize(p)])
-                    whole += found
+                    whole += self._piece(p)
                 table[s] = whole
 
     def _carefully(self, parts: list[str], text: str):
@@ -141,27 +170,49 @@ class PieceTable:
         found = [self._whole(joined[k]) if v is None else v for k, v in enumerate(found)]
         return sum(found) if self.counts else b"".join(found)
 
-    def look_up(self, texts: list[str | None]) -> list:
-        """For each text its ids as bytes, or how many there are. Null counts as empty."""
+    def _make_room(self) -> None:
         if len(self.later) + len(self.first) > MOST_KEPT:
-            self.later, self.first = {}, {}
-        if len(self.pieces) > MOST_KEPT:
+            later, self.first = self.later, {}
+            self.later = {s: later[s] for s in self.again if s in later}
+            if 4 * len(self.later) > 3 * MOST_KEPT:
+                self.later = {}
+            self.again = set()
+        if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
-        split = [(t or "").split(" ") for t in texts]
-        first, later = self.first, self.later
-        self._learn(first, {p[0] for p in split}.difference(first), "")
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts[1:])
-        self._learn(later, new.difference(later), " ")
-        out, after = [], later.__getitem__
-        for parts, text in zip(split, texts, strict=True):
-            try:
-                head = first[parts[0]]
-                rest = map(after, parts[1:])
-                out.append(head + (sum(rest) if self.counts else b"".join(rest)))
-            except TypeError:
-                out.append(self._carefully(parts, text or ""))
+
+    def look_up(self, texts: list[str | None] | pa.Array) -> list:
+        """For each text its ids as bytes, or how many there are. Null counts as empty."""
+        self._make_room()
+        if not len(texts):
+            return []
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        parts = pc.split_pattern(column, " ")
+        starts = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [distinct[k] for k in coded.indices.take(pa.array(starts[:-1])).to_pylist()]
+        self._learn(self.first, {s for s in heads if s not in self.first}, "")
+        held = [self.later.get(s, _ABSENT) for s in distinct]
+        new = [s for s, v in zip(distinct, held, strict=True) if v is _ABSENT]
+        self.again.update(s for s, v in zip(distinct, held, strict=True) if v is not _ABSENT)
+        self._learn(self.later, new, " ")
+        # what begins a text is an entry of its own behind all others
+        found = [self.later[s] if v is _ABSENT else v for s, v in zip(distinct, held, strict=True)] + [self.first[s] for s in heads]
+        at = coded.indices.to_numpy().copy()
+        at[starts[:-1]] = np.arange(len(distinct), len(found))
+        each = pa.array(found, pa.int64() if self.counts else pa.binary()).take(pa.array(at))
+        if self.counts:
+            ends = np.append(0, np.cumsum(each.fill_null(0).to_numpy()))[starts].tolist()
+            out = [b - a for a, b in zip(ends, ends[1:])]
+        else:
+            ends = np.frombuffer(each.buffers()[1], np.int32, len(each) + 1, 4 * each.offset)[starts].tolist()
+            ids = memoryview(each.buffers()[2] or b"")
+            out = [bytes(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        if each.null_count:
+            odd = np.unique(np.searchsorted(starts, np.flatnonzero(each.is_null().to_numpy(zero_copy_only=False)), side="right") - 1)
+            for k in odd.tolist():
+                text = column[k].as_py()
+                out[k] = self._carefully(text.split(" "), text)
         return out
 
 

@@ -165,3 +165,32 @@ def test_printable_latin_is_cut_as_the_library_cuts_it():
             assert table._cut(s) == [p for p, _ in table.library.pre_tokenizer.pre_tokenize_str(s)]
     finally:
         tokens._SPACED = slow
+
+
+def test_a_large_block_is_coded_in_stretches_that_share_a_model():
+    """Stretches of unequal numbers of words, ids that are new late, ids beyond 16 bits, and predictions that are always wrong."""
+    rng = np.random.default_rng(11)
+    blocks = [np.concatenate((np.full(150_000, 9), rng.integers(0, 2**16, 150_001))), rng.zipf(1.2, 100_000) % 49_000, np.arange(70_000), rng.integers(0, 2**32, 40_000), np.tile([1, 2, 1, 3], 20_000)]
+    coded = rangecoder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(rangecoder.decode_blocks(coded), blocks, strict=True))
+    assert len(coded[0]) < 1.2 * 2 * 150_001 and len(coded[4]) < 80_000 / 10
+    for k in range(40):
+        bad = bytearray(coded[1])
+        bad[20 + k * len(bad) // 45] ^= 0x55
+        with pytest.raises(rangecoder.CorruptBlock):
+            rangecoder.decode_blocks([bytes(bad)])
+
+
+def test_stretches_met_again_stay_when_the_table_is_full(monkeypatch):
+    """And texts may come as a slice of an Arrow array."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MOST_KEPT", 50)
+    table, library = PieceTable(BYTES), Tokenizer.from_file(BYTES)
+    often = "the end, of\nall ünd größe."
+    texts = [None, *(f"{often} new{k} x{k}.\ny, q\n\nr{k} \n" for k in range(60))]
+    for k in range(1, 61, 6):
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[k : k + 6]]
+        assert table.look_up(pa.array(texts).slice(k, 6)) == want == PieceTable(BYTES).look_up(texts[k : k + 6]) if k == 1 else table.look_up(texts[k : k + 6]) == want
+        assert k == 1 or {"end,", "of\nall", "größe."} <= table.again & table.later.keys()
+    assert table.look_up(pa.array(texts).slice(0, 1)) == [b""] and table.look_up([]) == []
