@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, only, prefix_sums, staged
-from .tokens import PieceTable, in_slices
+from .tokens import PieceTable, gathered
 
 CAPACITY, END_ID = 1024, 2
 
@@ -121,26 +121,25 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         table, part = PieceTable.of(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for rows in in_slices(batch, 1):
-                picked: list[int] = []
-                columns: list[list] = [[], [], [], [], []]
-                for k, ids in enumerate(table.look_up(rows.column(1))):
-                    ids += end
-                    n = len(ids) // 4
-                    begin, stop, number = 0, n % capacity or capacity, 0
-                    while begin < n:
-                        size = stop - begin
-                        picked.append(k)
-                        for column, value in zip(columns, (number, begin, size, seen[size], ids[4 * begin : 4 * stop]), strict=True):
-                            column.append(value)
-                        seen[size] += 1
-                        begin, stop, number = stop, stop + capacity, number + 1
-                number, begin, size, nth, ids = columns
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(picked, pa.int64())), pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(size, pa.int32()), pa.array([part] * len(size), pa.int32()), pa.array(nth, pa.int64()), pa.array(ids, pa.binary())],
-                    schema.names,
-                )
+        for rows in gathered(batches, 1):
+            picked: list[int] = []
+            columns: list[list] = [[], [], [], [], []]
+            for k, ids in enumerate(table.look_up(rows.column(1))):
+                ids += end
+                n = len(ids) // 4
+                begin, stop, number = 0, n % capacity or capacity, 0
+                while begin < n:
+                    size = stop - begin
+                    picked.append(k)
+                    for column, value in zip(columns, (number, begin, size, seen[size], ids[4 * begin : 4 * stop]), strict=True):
+                        column.append(value)
+                    seen[size] += 1
+                    begin, stop, number = stop, stop + capacity, number + 1
+            number, begin, size, nth, ids = columns
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(pa.array(picked, pa.int64())), pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(size, pa.int32()), pa.array([part] * len(size), pa.int32()), pa.array(nth, pa.int64()), pa.array(ids, pa.binary())],
+                schema.names,
+            )
 
     return staged(map_arrow(own, step, schema), "pieces")
 

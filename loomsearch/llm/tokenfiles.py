@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, only, prefix_sums, staged
 from .rangecoder import BLOCK, decode_blocks, encode_blocks
-from .tokens import PieceTable, in_slices
+from .tokens import PieceTable, gathered
 
 END_ID = 2
 #: Bytes of text in a part: at least the first, so that it has whole blocks, if that leaves all cores something to do; at most the second.
@@ -51,13 +51,12 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
         table, part = PieceTable.of(path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         writer = _Writer(part)
-        for whole in batches:
-            for batch in in_slices(whole, 1):
-                for key, ids in zip(batch.column(0), table.look_up(batch.column(1)), strict=True):
-                    writer.add(key.as_py(), ids + end)
-                id_type = batch.schema.field(0).type
-                if writer.blocks:
-                    yield writer.rows(id_type)
+        for batch in gathered(batches, 1):
+            for key, ids in zip(batch.column(0), table.look_up(batch.column(1)), strict=True):
+                writer.add(key.as_py(), ids + end)
+            id_type = batch.schema.field(0).type
+            if writer.blocks:
+                yield writer.rows(id_type)
         writer.cut()
         if writer.blocks:
             yield writer.rows(id_type)

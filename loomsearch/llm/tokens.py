@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import least_count, map_arrow, only, staged
 
 #: Stretches that a worker keeps before those go that came only once, pieces before they start afresh, and the longest stretch that is kept.
-MOST_KEPT, MOST_PIECES, LONGEST_KEPT = 350_000, 250_000, 48
+MOST_KEPT, MOST_PIECES, LONGEST_KEPT = 500_000, 100_000, 48
 #: Stands for no entry, where None is one.
 _ABSENT = object()
 
@@ -122,17 +122,19 @@ class PieceTable:
             found = self.pieces[p] = self._value([t.id for t in self.tokenize(p)])
         return found
 
-    def _word(self, s: str, mark: str):
-        """The value of a Latin-1 word, or of one with a sign behind it; None for all else."""
+    def _word(self, s: str, mark: str, table: dict):
+        """The value of a Latin-1 word, or of one with a sign behind it, by the word's own entry in ``table``; None for all else."""
         if s.isalpha():
             end = ""
         elif s[-1:] in _ENDS and s[:-1].isalpha():
             s, end = s[:-1], s[-1]
         else:
             return None
-        if not self.spaced:
-            s = s.lower()
-        found = self._piece(mark + s if s.isascii() else mark + s.encode().decode("latin-1").translate(_LETTERS))
+        found = table.get(s)
+        if found is None:
+            p = s if self.spaced else s.lower()
+            p = mark + p if p.isascii() else mark + p.encode().decode("latin-1").translate(_LETTERS)
+            found = table[s] = self._value([t.id for t in self.tokenize(p)])
         return found + self._piece(end) if end else found
 
     def _learn(self, table: dict, new: Iterable[str], lead: str) -> None:
@@ -141,10 +143,10 @@ class PieceTable:
         nothing = 0 if self.counts else b""
         for s in new:
             if plain and len(s) <= LONGEST_KEPT and (s.isascii() or max(s) < "\u0100"):
-                found = word(s, mark)
+                found = word(s, mark, table)
                 if found is None and "\n" in s:  # a line's end between two words is a piece of its own, or none
                     before, after = s.split("\n", 1)
-                    before, after = word(before, mark), word(after, "")
+                    before, after = word(before, mark, table), word(after, "", self.first)
                     if before is not None and after is not None:
                         found = before + (self._piece("\u010a") if spaced else nothing) + after
                 if found is not None:
@@ -224,6 +226,21 @@ def in_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) ->
         yield batch.slice(k, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 12 << 20, most_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined, and large ones cut, to about ``most_bytes`` of text: the more at once, the fewer times a stretch is met."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for batch in batches:
+        for part in in_slices(batch, column, most_bytes):
+            held.append(part)
+            size, rows = size + part.column(column).nbytes, rows + part.num_rows
+            if size >= most_bytes or rows >= most_rows:
+                yield pa.concat_batches(held)
+                held, size, rows = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Splitter:
     """Cuts texts into pre-tokens and counts them; see the module. Strings of special tokens are pre-tokens of their own.
 
