@@ -17,8 +17,8 @@ added to the words that are out.
 
 A block is cut into stretches that are coded side by side, a step of all of
 them by each numpy operation. They share one model, which learns after each
-step what all of them had, so that it sees the whole block and stays in a
-core's cache. All arithmetic is in whole numbers, so a block decodes alike
+step what all of them had, so that it sees the whole block and takes less than
+two MB. All arithmetic is in whole numbers, so a block decodes alike
 everywhere. Blocks with ids beyond 16 bits are coded as twice as many halves.
 """
 
