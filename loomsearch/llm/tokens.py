@@ -8,6 +8,8 @@ the stretches of each document. ``PieceTable`` gives ids: each worker process
 keeps what it has encoded in a bounded table and only ever asks the library
 about stretches that are new to it. Stretches are cut, numbered and put together
 again in Arrow arrays, so Python sees each of them once for some MB of text.
+Where pieces have neither spaces nor capitals, Latin-1 texts are cut into pieces
+at once, so that a word is the same entry in all its stretches.
 """
 
 from __future__ import annotations
@@ -47,6 +49,12 @@ _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 # The first for printable Latin-1, of which only a leading space is white: there the library's classes are these.
 _SPACED_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^ {0}{1}]+| +".format("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"))
 _BARE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The second for Latin-1 in UTF-8: what its characters are, by the first byte or, behind 0xC2 and 0xC3, by the code, and their small letters.
+_WHITE, _LETTER, _NUMBER, _SIGN = range(4)
+_KINDS = bytes(_WHITE if regex.match(r"\s", c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _SIGN for c in map(chr, range(256)))
+_SMALL = bytes(ord(chr(c).lower()) for c in range(128)) + bytes(range(128, 256))
+_LATIN_KINDS = np.frombuffer(_KINDS, np.uint8)[128:]
+_LATIN_SMALL = np.array([c.lower().encode()[1] for c in map(chr, range(128, 256))], np.uint8)
 
 #: Signs that end a word and are a piece of their own there.
 _ENDS = frozenset(",.;:!?")
@@ -84,6 +92,8 @@ class PieceTable:
         self.first: dict[str, bytes | int | None] = {}  # stretches that begin a text
         self.again: set[str] = set()  # of the stretches after a space, those that a later call met
         self.pieces: dict[str, bytes | int] = {}
+        self.bare: dict[str, bytes | int] = {}  # pieces of vocabularies whose pieces have no space, and of these, those that a later call met
+        self.bare_again: set[str] = set()
 
     @classmethod
     def of(cls, path: str, counts: bool = False) -> PieceTable:
@@ -181,6 +191,11 @@ class PieceTable:
             self.again = set()
         if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
+        if len(self.bare) > MOST_KEPT:
+            self.bare = {s: self.bare[s] for s in self.bare_again}
+            if 4 * len(self.bare) > 3 * MOST_KEPT:
+                self.bare = {}
+            self.bare_again = set()
 
     def look_up(self, texts: list[str | None] | pa.Array) -> list:
         """For each text its ids as bytes, or how many there are. Null counts as empty."""
@@ -188,6 +203,47 @@ class PieceTable:
         if not len(texts):
             return []
         column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        return self._by_pieces(column) if self.plain and not self.spaced else self._by_stretches(column)
+
+    def _by_pieces(self, column: pa.Array) -> list:
+        """The texts of Latin-1 by their pieces, so that a word is one entry whatever stands around it and whichever letters are capitals; others by stretches."""
+        data, offsets = _bytes_of(column)
+        odd = np.zeros(len(column), bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(np.frombuffer(data, np.uint8) >= 0xC4), side="right") - 1] = True
+        for s in (s for s in self.specials if s.encode() in data):
+            odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        rest = column.filter(pa.array(odd))
+        if len(rest):
+            column = pc.if_else(pa.array(odd), pa.scalar("", column.type), column)
+        pieces, starts = _bare_pieces(column)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [self.bare.get(s) for s in distinct]
+        self.bare_again.update(s for s, v in zip(distinct, found, strict=True) if v is not None)
+        for k, v in enumerate(found):
+            if v is None:
+                s = distinct[k]
+                p = s if s.isascii() and s.isprintable() else s.encode().decode("latin-1").translate(_LETTERS)
+                found[k] = self._value([t.id for t in self.tokenize(p)])
+                if len(s) <= LONGEST_KEPT:
+                    self.bare[s] = found[k]
+        out, _ = self._joined(found, coded.indices, starts)
+        if len(rest):
+            for k, ids in zip(np.flatnonzero(odd).tolist(), self._by_stretches(rest), strict=True):
+                out[k] = ids
+        return out
+
+    def _joined(self, found: list, at: pa.Array, starts: np.ndarray) -> tuple[list, pa.Array]:
+        """What ``found`` has at ``at``, joined from each of ``starts`` to the next, and not joined."""
+        each = pa.array(found, pa.int64() if self.counts else pa.binary()).take(at)
+        if self.counts:
+            ends = np.append(0, np.cumsum(each.fill_null(0).to_numpy()))[starts].tolist()
+            return [b - a for a, b in zip(ends, ends[1:])], each
+        ends = np.frombuffer(each.buffers()[1], np.int32, len(each) + 1, 4 * each.offset)[starts].tolist()
+        ids = memoryview(each.buffers()[2] or b"")
+        return [bytes(ids[a:b]) for a, b in zip(ends, ends[1:])], each
+
+    def _by_stretches(self, column: pa.Array) -> list:
         parts = pc.split_pattern(column, " ")
         starts = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
@@ -202,14 +258,7 @@ class PieceTable:
         found = [self.later[s] if v is _ABSENT else v for s, v in zip(distinct, held, strict=True)] + [self.first[s] for s in heads]
         at = coded.indices.to_numpy().copy()
         at[starts[:-1]] = np.arange(len(distinct), len(found))
-        each = pa.array(found, pa.int64() if self.counts else pa.binary()).take(pa.array(at))
-        if self.counts:
-            ends = np.append(0, np.cumsum(each.fill_null(0).to_numpy()))[starts].tolist()
-            out = [b - a for a, b in zip(ends, ends[1:])]
-        else:
-            ends = np.frombuffer(each.buffers()[1], np.int32, len(each) + 1, 4 * each.offset)[starts].tolist()
-            ids = memoryview(each.buffers()[2] or b"")
-            out = [bytes(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        out, each = self._joined(found, pa.array(at), starts)
         if each.null_count:
             odd = np.unique(np.searchsorted(starts, np.flatnonzero(each.is_null().to_numpy(zero_copy_only=False)), side="right") - 1)
             for k in odd.tolist():
@@ -218,6 +267,43 @@ class PieceTable:
         return out
 
 
+def _bytes_of(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts of a column without nulls in a row, and where each begins."""
+    if not pa.types.is_string(column.type):
+        column = column.cast(pa.string())
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    size = int(offsets[-1] - offsets[0])
+    return (column.buffers()[2].slice(int(offsets[0]), size).to_pybytes() if size else b""), offsets - offsets[0]
+
+
+def _bare_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of Latin-1 texts by ``_BARE``, in small letters, and the first of each text, with an end: by marks on all bytes at once."""
+    data, offsets = _bytes_of(pc.binary_join_element_wise(column, "", " "))  # so that no piece reaches into the next text
+    kinds = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    small = np.frombuffer(bytearray(data.translate(_SMALL)), np.uint8)
+    wide = np.flatnonzero(small >= 0xC2)
+    code = ((small[wide] & 1) << 6) + (small[wide + 1] & 63)
+    kinds[wide] = kinds[wide + 1] = _LATIN_KINDS[code]
+    small[wide + 1] = _LATIN_SMALL[code]
+    begins = kinds == _NUMBER
+    begins[wide + 1] = False
+    begins[0] = True
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    solid = kinds != _WHITE
+    begins &= solid
+    quotes = np.flatnonzero(small == ord("'"))
+    quotes = quotes[begins[quotes]]
+    one, two = small[quotes + 1], small[np.minimum(quotes + 2, len(small) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (two == ord("e")) & ((one == ord("r")) | (one == ord("v"))) | (one == ord("l")) & (two == ord("l"))
+    begins[quotes[short | long] + 1] = False
+    after = np.append(quotes[short] + 2, quotes[long] + 3)
+    begins[after] = solid[after]
+    inside = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(inside) - 1, pa.py_buffer(inside), pa.py_buffer(small[solid]))
+    return pieces, np.searchsorted(np.flatnonzero(begins), offsets)
+
+
 def in_slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most_bytes`` of text each, at least a row."""
     size = max(1, batch.column(column).nbytes)

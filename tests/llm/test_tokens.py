@@ -194,3 +194,33 @@ def test_stretches_met_again_stay_when_the_table_is_full(monkeypatch):
         assert table.look_up(pa.array(texts).slice(k, 6)) == want == PieceTable(BYTES).look_up(texts[k : k + 6]) if k == 1 else table.look_up(texts[k : k + 6]) == want
         assert k == 1 or {"end,", "of\nall", "größe."} <= table.again & table.later.keys()
     assert table.look_up(pa.array(texts).slice(0, 1)) == [b""] and table.look_up([]) == []
+
+
+def test_bare_pieces_of_latin_1_are_the_library_s():
+    """Every pair of characters and many longer texts; none of them goes through the pattern for stretches."""
+    import itertools
+    import random
+
+    table = PieceTable(WORDS)
+    rng = random.Random(9)
+    texts = ["".join(p) for p in itertools.product(map(chr, range(256)), repeat=2)] + ["", "'", "x'", "'l", "'ll"]
+    texts += ["".join(rng.choices("aZ09'\"'strevmldSTL.,-_$éÉßµ²¾×÷ª¡ \n\t\x00\x1c\x85\xa0'", k=rng.randint(3, 30))) for _ in range(30_000)]
+    want = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+    bare, tokens._BARE = tokens._BARE, None
+    try:
+        assert [np.frombuffer(x, "<u4").tolist() for x in table.look_up(texts)] == want
+        assert PieceTable(WORDS, counts=True).look_up(texts) == [len(w) for w in want]
+        assert table.look_up(["", None, "  "]) == [b"", b"", b""]
+    finally:
+        tokens._BARE = bare
+
+
+def test_a_bare_word_is_asked_once_whatever_stands_around_it():
+    """And in texts next to ones that are not all Latin-1, or hold a special token's string."""
+    table, asked = PieceTable(WORDS), []
+    tokenize = table.tokenize
+    table.tokenize = lambda p: asked.append(p) or tokenize(p)
+    for texts in (["Größe of Words, words.\nWORDS größe", "words' GRÖSSE"], ["(of) größe!", "of; 日本語", "of日 <|endoftext|> x"]):
+        want = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in table.look_up(texts)] == want
+    assert [p for p in asked if p.startswith(("gr", "words"))] == ["grÃ¶ÃŁe", "words", "grÃ¶sse"]
