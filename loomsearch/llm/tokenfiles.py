@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, only, prefix_sums, staged
-from .rangecoder import BLOCK, decode_blocks, encode_blocks
+from .rangecoder import MOST, decode_blocks, encode_blocks
 from .tokens import PieceTable, gathered
 
 END_ID = 2
-#: Bytes of text in a part: at least the first, so that it has whole blocks, if that leaves all cores something to do; at most the second.
+#: Bytes of text in a part: at least the first, so that its blocks are no small ones, if that leaves all cores something to do; at most the second.
 LEAST_PART, MOST_PART = 4 << 20, 96 << 20
 
 
@@ -65,7 +65,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
 
 
 class _Writer:
-    """Gathers documents into blocks of ``BLOCK`` ids."""
+    """Gathers documents into blocks of ``MOST`` ids."""
 
     def __init__(self, part: int):
         self.part, self.number = part, 0
@@ -81,12 +81,12 @@ class _Writer:
     def add(self, key, ids: bytes) -> None:
         done, n = 0, len(ids) // 4
         while done < n:
-            here = min(n - done, BLOCK - self.size)
+            here = min(n - done, MOST - self.size)
             self.held.append(ids[4 * done : 4 * (done + here)])
             for column, value in zip(self.note, (key, done, here), strict=True):
                 column.append(value)
             done, self.size = done + here, self.size + here
-            if self.size == BLOCK:
+            if self.size == MOST:
                 self.cut()
 
     def cut(self) -> None:
@@ -129,7 +129,7 @@ def read(files: DataFrame) -> DataFrame:
             for p, b, words, earlier, sizes in zip(part.to_pylist(), block.to_pylist(), decode_blocks(coded.to_pylist()), before.to_pylist(), counts.to_pylist(), strict=True):
                 raw, at = words.tobytes(), 0
                 for had, n in zip(earlier, sizes, strict=True):
-                    row = (p, b * BLOCK + at - had, had, n, zlib.crc32(raw[4 * at : 4 * (at + n)]))
+                    row = (p, b * MOST + at - had, had, n, zlib.crc32(raw[4 * at : 4 * (at + n)]))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     at += n

@@ -224,3 +224,17 @@ def test_a_bare_word_is_asked_once_whatever_stands_around_it():
         want = [e.ids for e in table.library.encode_batch(texts, add_special_tokens=False)]
         assert [np.frombuffer(x, "<u4").tolist() for x in table.look_up(texts)] == want
     assert [p for p in asked if p.startswith(("gr", "words"))] == ["grÃ¶ÃŁe", "words", "grÃ¶sse"]
+
+
+def test_a_full_block_is_coded_by_many_ids_a_step(monkeypatch):
+    """What a step costs beyond its ids is shared by some thousands of them; and stretches may take many more words than others."""
+    rng = np.random.default_rng(3)
+    block = rng.zipf(1.2, rangecoder.MOST) % 49_000
+    block[1_000_000:1_100_000] = rng.integers(0, 2**16, 100_000)
+    steps, predict = [], rangecoder._Model.predict
+    monkeypatch.setattr(rangecoder._Model, "predict", lambda self, k: steps.append(k) or predict(self, k))
+    coded = rangecoder.encode_blocks([block])
+    assert np.array_equal(rangecoder.decode_blocks(coded)[0], block)
+    assert sum(steps) == 2 * len(block) and len(steps) * 6000 <= 2 * len(block)
+    short = rangecoder.encode_blocks([block[:1000]])
+    assert np.array_equal(rangecoder.decode_blocks(short)[0], block[:1000])
