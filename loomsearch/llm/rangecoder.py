@@ -404,9 +404,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for block in blocks:
         if len(block) > MOST:
             raise ValueError(f"a block has at most {MOST} ids")
-        ids = np.asarray(block).astype("<u4")
+        ids = np.ascontiguousarray(block, "<u4")
         width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-        out.append(_HEAD.pack(MAGIC, VERSION, width, len(ids), zlib.crc32(ids.tobytes())) + _encode(ids if width == 2 else ids.view("<u2")))
+        out.append(_HEAD.pack(MAGIC, VERSION, width, len(ids), zlib.crc32(ids)) + _encode(ids if width == 2 else ids.view("<u2")))
     return out
 
 
@@ -421,7 +421,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
             raise CorruptBlock("this block is of another version")
         symbols = _decode(c[_HEAD.size :], n * width // 2)
         ids = symbols.astype("<u4") if width == 2 else symbols.view("<u4")
-        if zlib.crc32(ids.tobytes()) != crc:
+        if zlib.crc32(ids) != crc:
             raise CorruptBlock("a block fails its checksum")
         out.append(ids)
     return out

@@ -127,7 +127,7 @@ def read(files: DataFrame) -> DataFrame:
             part, block, coded, before, counts, ids = (batch.column(c) for c in ("part", "block", "coded", "before", "counts", "ids"))
             out: list[list] = [[], [], [], [], []]
             for p, b, words, earlier, sizes in zip(part.to_pylist(), block.to_pylist(), decode_blocks(coded.to_pylist()), before.to_pylist(), counts.to_pylist(), strict=True):
-                raw, at = words.tobytes(), 0
+                raw, at = memoryview(words).cast("B"), 0
                 for had, n in zip(earlier, sizes, strict=True):
                     row = (p, b * MOST + at - had, had, n, zlib.crc32(raw[4 * at : 4 * (at + n)]))
                     for column, value in zip(out, row, strict=True):

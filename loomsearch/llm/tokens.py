@@ -212,6 +212,7 @@ class PieceTable:
         odd[np.searchsorted(offsets, np.flatnonzero(np.frombuffer(data, np.uint8) >= 0xC4), side="right") - 1] = True
         for s in (s for s in self.specials if s.encode() in data):
             odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+        del data  # a dozen MB, as are the marks below
         rest = column.filter(pa.array(odd))
         if len(rest):
             column = pc.if_else(pa.array(odd), pa.scalar("", column.type), column)
@@ -281,6 +282,7 @@ def _bare_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data, offsets = _bytes_of(pc.binary_join_element_wise(column, "", " "))  # so that no piece reaches into the next text
     kinds = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
     small = np.frombuffer(bytearray(data.translate(_SMALL)), np.uint8)
+    del data
     wide = np.flatnonzero(small >= 0xC2)
     code = ((small[wide] & 1) << 6) + (small[wide + 1] & 63)
     kinds[wide] = kinds[wide + 1] = _LATIN_KINDS[code]
